@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 
 from ..session import ensure_checkpoint_dir
-from . import q_core, q_text  # noqa: F401
+from . import q_core, q_features, q_text  # noqa: F401
 from .registry import REGISTRY
 
 
