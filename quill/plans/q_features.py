@@ -114,15 +114,16 @@ def order_price_scaled_on_train(spark, sf):
 DISC_COLS = ["l_quantity", "l_extendedprice", "l_discount"]
 
 
-def _disc_sql():
+def _disc_sql(disc_cols=None):
+    DISC = disc_cols or DISC_COLS
     qs = ", ".join(f"""select '{c}' as col, list_sort(list_distinct(quantile_cont({c}, [0.0, 1/3, 2/3, 1.0]))) as q
-        from lineitem""" for c in DISC_COLS).replace(", select", " union all select")
+        from lineitem""" for c in DISC).replace(", select", " union all select")
     lab = lambda c: f"""(select '[' || cast(round(b.lo, 4) as varchar) || ',' || cast(round(b.hi, 4) as varchar)
        || case when b.last then ']' else ')' end from bins b where b.col = '{c}' and l.{c} >= b.lo
        and (l.{c} < b.hi or (b.last and l.{c} <= b.hi)))"""
     items = " || ';' || ".join(
         ["'l_returnflag=' || l.l_returnflag", "'l_linestatus=' || l.l_linestatus"]
-        + [f"'{c}=' || {lab(c)}" for c in DISC_COLS])
+        + [f"'{c}=' || {lab(c)}" for c in DISC])
     return f"""with q as ({qs}),
 bins as (select col, q[i] as lo, q[i + 1] as hi, i = len(q) - 1 as last
          from q, range(1, 4) r(i) where i < len(q))
