@@ -215,7 +215,7 @@ def overdispersion(fit: GLMFit) -> dict:
     return {"deviance": fit.deviance, "df_resid": fit.df_resid, "ratio": r, "overdispersed": r > 1}
 
 
-def _theta_ml(d: Design, beta: np.ndarray, theta0: float | None, tol: float = 1e-8, max_iter: int = 25):
+def _theta_ml(d: Design, beta: np.ndarray, theta0: float | None, tol: float = 1e-7, max_iter: int = 15):
     """Newton on the profile score of θ at fixed μ (MASS ``theta.ml``)."""
     y, pw = F.col("_y"), F.col("_w")
     mu = F.exp(_eta(beta, d.p))
@@ -246,7 +246,7 @@ def _theta_ml(d: Design, beta: np.ndarray, theta0: float | None, tol: float = 1e
     return t, (1.0 / math.sqrt(info) if info and info > 0 else float("nan"))
 
 
-def negbin_glm(d: Design, theta: float | None = None, tol: float = 1e-8, max_iter: int = 25) -> GLMFit:
+def negbin_glm(d: Design, theta: float | None = None, tol: float = 1e-7, max_iter: int = 10) -> GLMFit:
     """M8 (and M9 through the design's prior weights): NB2 GLM, log link, θ by
     maximum likelihood alternating with IRLS at fixed θ (MASS ``glm.nb``
     scheme), unless θ is given."""
@@ -260,9 +260,10 @@ def negbin_glm(d: Design, theta: float | None = None, tol: float = 1e-8, max_ite
         total += it
         if fixed:
             break
+        th_old = th
         th, th_se = _theta_ml(d, beta, th)
         ll = float(ex["ll"])
-        if ll_old is not None and abs(ll - ll_old) < tol * (abs(ll) + 1):
+        if (ll_old is not None and abs(ll - ll_old) < tol * (abs(ll) + 1)) or abs(th - th_old) < 1e-5 * th_old:
             break
         ll_old = ll
     if not fixed:

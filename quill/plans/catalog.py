@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 
 from ..session import ensure_checkpoint_dir
-from . import q_core, q_features, q_models, q_rules, q_text  # noqa: F401
+from . import q_bayes_mlp, q_core, q_features, q_models, q_rules, q_text  # noqa: F401
 from .registry import REGISTRY
 
 
