@@ -19,14 +19,18 @@ def _long_form(row_df: DataFrame, names: list[str], value_names: list[str], var:
 
 
 def null_counts(df: DataFrame, cols=None, total: bool = True) -> DataFrame:
-    """G1: NULL count per column (one scan), plus a ``__total__`` row."""
+    """G1: NULL count per column and a ``__total__`` row, all from one scan."""
     cols = list(cols or df.columns)
-    r = df.agg(*[F.count_if(F.col(c).isNull()).cast("long").alias(f"{c}__n_null") for c in cols])
-    out = _long_form(r, cols, ["n_null"])
+    counts = [F.count_if(F.col(c).isNull()).cast("long") for c in cols]
+    aggs = [e.alias(f"{c}__n_null") for c, e in zip(cols, counts)]
+    names = list(cols)
     if total:
-        out = out.unionByName(out.agg(F.lit("__total__").alias("column"),
-                                      F.sum("n_null").cast("long").alias("n_null")))
-    return out
+        tot = counts[0]
+        for e in counts[1:]:
+            tot = tot + e
+        aggs.append(tot.alias("__total____n_null"))
+        names.append("__total__")
+    return _long_form(df.agg(*aggs), names, ["n_null"])
 
 
 def zero_counts(df: DataFrame, cols) -> DataFrame:
