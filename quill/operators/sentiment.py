@@ -72,10 +72,10 @@ def emotion_rates(df: DataFrame, key, text_col: str, lexicon: DataFrame, suffix:
           .groupBy(*keys, "sid", "nw", "word").agg(F.count(F.lit(1)).alias("n")))
     hits = lexicon_join(wc, lexicon)
     per_sentence = hits.groupBy(*keys, "sid", "nw", "emotion").agg(F.sum("n").alias("k"))
-    rates = per_sentence.groupBy(*keys).pivot("emotion", list(emotions)).agg(
-        F.sum(F.col("k") / F.col("nw")))
-    out = df.select(*keys).join(rates, keys, "left")
-    return out.select(*keys, *[F.coalesce(F.col(e), F.lit(0.0)).alias(f"{e}{suffix}") for e in emotions])
+    rates = per_sentence.select(*keys, F.concat("emotion", F.lit(suffix)).alias("fe"),
+                                (F.col("k") / F.col("nw")).alias("r"))
+    names = [f"{e}{suffix}" for e in emotions]
+    return _wide_sums(df.select(*keys), rates, keys, names, "fe", "r", 0.0)
 
 
 def score_all(df: DataFrame, key, text_cols: dict[str, str] | list[str], lexicon: DataFrame,
@@ -107,8 +107,20 @@ def score_long(base: DataFrame, stacked: DataFrame, keys: list[str], fields: lis
         # is one row per document, then a shuffle join (AQE splits skew)
         wc = toks.groupBy(*keys, "field", "word").agg(F.count(F.lit(1)).alias("n"))
         hits = wc.join(lx, "word", "inner")
-    hits = hits.withColumn("fe", F.concat("emotion", "field"))
+    hits = hits.select(*keys, F.concat("emotion", "field").alias("fe"), F.col("n").cast("long").alias("n"))
     names = [f"{e}{f}" for f in fields for e in emotions]
-    wide = hits.groupBy(*keys).pivot("fe", names).agg(F.sum("n"))
-    out = base.join(wide, keys, "left")
-    return out.select(*keys, *[F.coalesce(F.col(n), F.lit(0)).cast("long").alias(n) for n in names])
+    return _wide_sums(base, hits, keys, names, "fe", "n", 0)
+
+
+def _wide_sums(base: DataFrame, hits: DataFrame, keys: list[str], names: list[str], name_col: str,
+               value_col: str, zero) -> DataFrame:
+    """One row per key of ``base`` with a column per name: the sum of matching
+    values, ``zero`` when none. Keys without hits come from a zero row per key
+    unioned in, so the whole thing is one partial+final aggregate (one
+    shuffle) — no pivot pass and no join back to the base table."""
+    fill = base.select(*keys, F.lit(None).cast("string").alias(name_col),
+                       F.lit(zero).cast(hits.schema[value_col].dataType).alias(value_col))
+    allrows = hits.select(*keys, name_col, value_col).unionByName(fill)
+    aggs = [F.coalesce(F.sum(F.when(F.col(name_col) == F.lit(n), F.col(value_col))), F.lit(zero)).alias(n)
+            for n in names]
+    return allrows.groupBy(*keys).agg(*aggs)
