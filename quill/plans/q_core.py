@@ -13,7 +13,8 @@ from ..operators import joins as J
 from ..operators import sorting as S
 from ..operators import windows as W
 from ..operators.common import feature_columns
-from ..session import table
+from ..session import stage_path, table
+from ..sources.io import read_report, read_stage, write_stage
 from ..sources.io import read_pages
 from .registry import query
 
@@ -151,6 +152,31 @@ def clean_report_q(spark, sf):
                                  "Sessions": "sessions", "P_rebound": "p_rebound"})
 
 
+@query("report_csv_roundtrip", "A1 A2 A3 B9", """
+select event_id as url, cast(round(value * 1000) as bigint) as users, user_id as new_users,
+       case when event_type = 'click' then 0.0
+            else cast(hour(ts) * 3600 + minute(ts) * 60 + second(ts) as double) end as avg_session,
+       round(value, 2) as pages_session, cast(round(value * 1000) * 2 as bigint) as sessions,
+       round(value * 3, 2) as p_rebound
+from events where event_type <> 'view'""")
+def report_csv_roundtrip(spark, sf):
+    """Export-shaped text written as CSV (A3) into the shared stage folder,
+    read back as a report by header (A1, each part file's header skipped) and
+    cleaned (B9); the cleaned stage is written as Parquet and re-read (A2)."""
+    from ..plans.stages import clean_report
+    path = stage_path(spark, "report")
+    write_stage(report_from_events(spark, sf), path, fmt="csv")
+    raw = read_report(spark, path, skip_rows=0, max_rows=None)
+    clean = clean_report(raw, drop_band="view")
+    out = stage_path(spark, "clean")
+    write_stage(clean, out)
+    r = read_stage(spark, out)
+    return r.select(F.col("URL").cast("long").alias("url"), F.col("Users").alias("users"),
+                    F.col("New_users").cast("long").alias("new_users"), F.col("Avg_session").alias("avg_session"),
+                    F.col("Pages_session").alias("pages_session"), F.col("Sessions").alias("sessions"),
+                    F.col("P_rebound").alias("p_rebound"))
+
+
 @query("line_net_columns", "B10 X13", """
 select l_orderkey, l_linenumber, round(l_extendedprice * (1 - l_discount), 4) as net,
        round(l_extendedprice * (1 - l_discount) * (1 + l_tax), 6) as gross,

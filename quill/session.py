@@ -69,3 +69,10 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+
+
+def stage_path(spark: SparkSession, name: str) -> str:
+    """A fresh folder for a stage table under the shared checkpoint folder."""
+    import uuid
+    base = ensure_checkpoint_dir(spark)
+    return f"{base.rstrip('/')}/stages/{name}-{uuid.uuid4().hex[:12]}"
