@@ -1,0 +1,8 @@
+"""No streaming operators.
+
+The workflow reads bounded exports and page tables; it has no watermark,
+windowed aggregation, stateful operator or late-data handling (SURVEY §2.14),
+so none is built here. Row-wise operators (parsing, filters, extraction,
+lexicon scoring) hold no global state and would apply unchanged to a
+``readStream`` DataFrame, but no such use is claimed or tested.
+"""
