@@ -43,3 +43,115 @@ def impute_date(df: DataFrame, col: str, value: str, ref: str = "2024-02-29") ->
     out = df.withColumn(col, d)
     parts = P.date_parts(col)
     return out.withColumns({**parts, "Days_count": P.days_since(col, ref)})
+
+
+# ---------------------------------------------------------------------------
+# Stage 3.1: three exports + pages → article table (dataset2 semantics)
+# ---------------------------------------------------------------------------
+
+def article_table(url_report: DataFrame, author_report: DataFrame, tags_report: DataFrame,
+                  pages: DataFrame, lexicon: DataFrame, drop_tokens=("(other)", "acceder"),
+                  front_page_rx: str | None = None, section_fixes: DataFrame | None = None,
+                  drop_sections=(), drop_band: str = "25-34", ref_date: str = "2024-02-29") -> DataFrame:
+    """Clean the three exports alike (B9), join them on all six metrics with
+    NULL-safe keys (J1), apply the URL rules (C1, C2), derive and fix the
+    section (X6, J4, C4), attach the article fields extracted from the pages
+    in one parse (A4, P7; the scraped author wins, report author as fallback),
+    then add date parts, day counts, text lengths and 30 emotion counts
+    (X7, X8, X2, T5)."""
+    from ..operators import filters as C
+    from ..operators import joins as J
+    from ..operators.sentiment import score_all
+    from ..sources.pages import extract_articles
+
+    u = clean_report(url_report, drop_band)
+    a = clean_report(author_report, drop_band)
+    t = clean_report(tags_report, drop_band)
+    m = J.match_on_metrics(J.match_on_metrics(u, a, METRICS), t, METRICS)
+    m = C.drop_containing(m, "URL", list(drop_tokens))
+    if front_page_rx:
+        m = C.drop_matching(m, "URL", front_page_rx)
+    m = m.withColumn("Section", P.section_of("URL"))
+    if section_fixes is not None:
+        m = J.apply_overrides(m, "Section", section_fixes)
+    if drop_sections:
+        m = C.drop_in(m, "Section", list(drop_sections))
+    art = extract_articles(pages).join(pages.select("page_id", F.col("url").alias("URL")), "page_id").drop("page_id")
+    art = art.withColumnRenamed("Author", "_scraped_author")
+    m = m.join(art, "URL", "left")
+    m = m.withColumn("Author", F.coalesce(F.col("_scraped_author"), F.col("Author"))).drop("_scraped_author")
+    m = m.withColumns({**P.date_parts("Date"), "Days_count": P.days_since("Date", ref_date),
+                       "Title_length": P.text_length("Title"), "Subtitle_length": P.text_length("Subtitle"),
+                       "Content_length": P.text_length("Content", clean=True)})
+    m = m.withColumn("_row", F.monotonically_increasing_id())
+    scores = score_all(m.select("_row", "Title", "Subtitle", "Content"), "_row",
+                       {"Title": "_title", "Subtitle": "_subtitle", "Content": "_content"}, lexicon)
+    return m.join(scores, "_row", "left").drop("_row")
+
+
+# ---------------------------------------------------------------------------
+# Stage 3.2: article table → modelling table (dataset6 semantics)
+# ---------------------------------------------------------------------------
+
+def modelling_table(article: DataFrame, pages: DataFrame | None, topics: list[str], synonyms: dict,
+                    author_aliases: DataFrame | None = None, names: DataFrame | None = None,
+                    impute_date_value: str = "2024-01-01", min_section: int = 30) -> DataFrame:
+    """Drop rows without content (C5), impute dates (X9), back-fill title,
+    subtitle, tags and author from a second extraction (J7, P2, P5, P6),
+    assign topics (F1), keep one row per URL preferring a topic (W2), merge
+    author aliases (J4), band authors by productivity (F2), look up gender
+    (J5) and collapse rare sections (F3)."""
+    from ..operators import filters as C
+    from ..operators import joins as J
+    from ..operators.features import assign_topic, collapse_rare, frequency_band
+    from ..operators.windows import dedup_prefer_nonnull
+    from ..sources.pages import BACKFILL_FIELDS, extract
+
+    df = C.drop_null(article.withColumn("Content", blank_to_null_col("Content")), "Content")
+    df = impute_date(df, "Date", impute_date_value)
+    if pages is not None:
+        ex = extract(pages, BACKFILL_FIELDS).join(pages.select("page_id", F.col("url").alias("URL")), "page_id")
+        ex = ex.drop("page_id").withColumn("Tags", blank_to_null_col("Tags"))
+        df = J.backfill(df, ex, "URL", ["Title", "Subtitle", "Tags", "Author"])
+    df = assign_topic(df, "Tags", topics, synonyms, out="Topics")
+    df = dedup_prefer_nonnull(df, "URL", "Topics", ["URL", "Title"])
+    if author_aliases is not None:
+        df = J.apply_overrides(df, "Author", author_aliases)
+    df = frequency_band(df, "Author", out="author_quartiles")
+    if names is not None:
+        df = J.gender_of(df, "Author", names, out="Author_gender")
+    return collapse_rare(df, "Section", min_section)
+
+
+def blank_to_null_col(c: str):
+    return P.blank_to_null(c)
+
+
+# ---------------------------------------------------------------------------
+# Stage 3.3: modelling table → rules and count models
+# ---------------------------------------------------------------------------
+
+def rule_stage(d6: DataFrame, numeric_cols, factor_cols, response: str = "Users", min_support: float = 0.1,
+               min_confidence: float = 0.5, max_len: int = 10, top_n: int = 25000,
+               min_count: int = 10) -> dict[str, DataFrame]:
+    """F10 → F11 → M13/M14 → W3 + M15 → M16 → M17 on the modelling table."""
+    from ..operators import features as FE
+    from ..operators import rules as R
+    numeric_cols, factor_cols = list(numeric_cols), list(factor_cols)
+    tx = FE.to_items(FE.discretize(d6, numeric_cols, 3), numeric_cols + factor_cols)
+    rules = R.mine_rules(tx, min_support=min_support, min_confidence=min_confidence, max_len=max_len)
+    pruned = R.prune_redundant(rules, top_n)
+    return {"rules": rules, "pruned": pruned, "antecedent_freq": R.antecedent_freq(pruned, min_count),
+            "base_freq": R.antecedent_base_freq(pruned), "response_rules": R.response_rules(pruned, response)}
+
+
+def model_stage(d6: DataFrame, y: str, numeric=(), factors=(), drop=(), max_gvif: float | None = None):
+    """M4-M12 on the modelling table: Poisson (with GVIF-based elimination),
+    quasi-Poisson, overdispersion check, NB, and inverse-residual weighted NB."""
+    from ..operators import glm as M
+    pois, dropped = M.eliminate(d6, y, numeric, factors, drop=drop, max_gvif=max_gvif)
+    quasi = M.poisson_glm(pois.design, quasi=True)
+    nb = M.negbin_glm(pois.design)
+    nbw = M.refit_weighted(nb, M.with_inverse_residual_weights(nb.design.df, nb))
+    return {"poisson": pois, "quasi": quasi, "overdispersion": M.overdispersion(pois), "negbin": nb,
+            "negbin_weighted": nbw, "dropped": dropped}
