@@ -90,3 +90,15 @@ def cooccurrence(df: DataFrame, arr_col: str, pairs: list[tuple[str, str]]) -> D
                      F.col(f"a{i}").cast("long").alias("n_a"), F.col(f"b{i}").cast("long").alias("n_b"),
                      F.col(f"ab{i}").cast("long").alias("n_both")) for i, (a, b) in enumerate(pairs)]
     return r.select(F.inline(F.array(*rows)))
+
+
+def salted_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner", buckets: int = 16,
+                salt_col: str = "_salt") -> DataFrame:
+    """Equi-join that splits hot keys explicitly: each big-side row gets a salt
+    in [0, buckets) from a hash of its own columns (deterministic across
+    retries), the small side is repeated once per salt, and the join runs on
+    (keys, salt). One hot key is thus spread over ``buckets`` tasks. Use when
+    the small side is too large to broadcast but small enough to replicate."""
+    b = big.withColumn(salt_col, F.pmod(F.xxhash64(*[F.col(c) for c in big.columns]), F.lit(buckets)))
+    s = small.withColumn(salt_col, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(buckets - 1).cast("long"))))
+    return b.join(s, [*on, salt_col], how).drop(salt_col)

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import sized_broadcast
+from .joins import salted_join
 
 # Emotion columns in the reference's order (8 emotions, 2 valences).
 EMOTIONS = ["anger", "anticipation", "disgust", "fear", "joy", "sadness", "surprise", "trust",
@@ -93,7 +94,7 @@ def score_all(df: DataFrame, key, text_cols: dict[str, str] | list[str], lexicon
 
 
 def score_long(base: DataFrame, stacked: DataFrame, keys: list[str], fields: list[str],
-               lexicon: DataFrame, emotions=EMOTIONS) -> DataFrame:
+               lexicon: DataFrame, emotions=EMOTIONS, salt_buckets: int = 16) -> DataFrame:
     """T5 core on long input (key…, field, text): one row per key with a
     ``{emotion}{field}`` column per pair, 0 where nothing matched."""
     lx = lexicon.select("word", "emotion").distinct()
@@ -104,9 +105,10 @@ def score_long(base: DataFrame, stacked: DataFrame, keys: list[str], fields: lis
         hits = toks.join(small, "word", "inner").withColumn("n", F.lit(1))
     else:
         # large lexicon: cut tokens to (key, field, word, n) first so a hot word
-        # is one row per document, then a shuffle join (AQE splits skew)
+        # is one row per document, then a salted shuffle join so a word that
+        # occurs in a third of all documents is spread over many tasks
         wc = toks.groupBy(*keys, "field", "word").agg(F.count(F.lit(1)).alias("n"))
-        hits = wc.join(lx, "word", "inner")
+        hits = salted_join(wc, lx, ["word"], "inner", buckets=salt_buckets)
     hits = hits.select(*keys, F.concat("emotion", "field").alias("fe"), F.col("n").cast("long").alias("n"))
     names = [f"{e}{f}" for f in fields for e in emotions]
     return _wide_sums(base, hits, keys, names, "fe", "n", 0)

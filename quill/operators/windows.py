@@ -117,7 +117,7 @@ def acf(df: DataFrame, group_cols, index_col: str, value_col: str, max_lag: int)
     stats = base.groupBy(*g).agg(F.avg("_x").alias("_m"))
     cen = base.join(sized_broadcast(stats), on=g, how="inner").select(
         *g, "_t", (F.col("_x") - F.col("_m")).alias("_d"))
-    lagged = cen.select(*g, F.explode(F.sequence(F.lit(0), F.lit(max_lag))).alias("lag"),
+    lagged = cen.select(*g, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max_lag).cast("long"))).alias("lag"),
                         F.col("_t").alias("_t0"), F.col("_d").alias("_d0"))
     lagged = lagged.select(*g, "lag", (F.col("_t0") + F.col("lag")).alias("_t"), "_d0")
     pairs = lagged.join(cen, on=[*g, "_t"], how="inner")

@@ -9,7 +9,23 @@ from .registry import REGISTRY
 
 
 def prepare(spark: SparkSession) -> None:
+    """Shared checkpoint folder, and the runtime SQL defaults (AQE, skew-join
+    splitting, UTC) on a session built elsewhere — only where not set."""
+    from ..session import DEFAULTS
     ensure_checkpoint_dir(spark)
+    for k, v in DEFAULTS.items():
+        if k.startswith("spark.sql.") and not k.startswith("spark.sql.files.") and k not in _explicit(spark):
+            try:
+                spark.conf.set(k, v)
+            except Exception:  # static or locked settings stay as they are
+                pass
+
+
+def _explicit(spark: SparkSession) -> set[str]:
+    try:
+        return {k for k, _ in spark.sparkContext.getConf().getAll()}
+    except Exception:
+        return set()
 
 
 def builders():

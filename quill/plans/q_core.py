@@ -401,10 +401,12 @@ def lineitem_shares(spark, sf):
 
 
 @query("lineitem_ranges", "G10", " union all ".join(
-    f"select '{c}' as \"column\", cast(min({c}) as double) as min, cast(max({c}) as double) as max from lineitem"
+    f"select '{c}' as \"column\", cast(min({c}) as double) + 0.0 as min, cast(max({c}) as double) + 0.0 as max "
+    f"from lineitem"
     for c in LINE_NUM + ["l_linenumber"]))
 def lineitem_ranges(spark, sf):
-    return G.ranges(table(spark, sf, "lineitem"), LINE_NUM + ["l_linenumber"])
+    r = G.ranges(table(spark, sf, "lineitem"), LINE_NUM + ["l_linenumber"])
+    return r.select("column", (F.col("min") + 0.0).alias("min"), (F.col("max") + 0.0).alias("max"))
 
 
 @query("lines_per_order_meanvar", "G11", """
@@ -419,9 +421,10 @@ def lines_per_order_meanvar(spark, sf):
 @query("orders_per_customer_quantiles", "G12", """
 with f as (select o_custkey, count(*) as n from orders where o_custkey is not null group by 1)
 select unnest([0.0, 0.25, 0.5, 0.75, 1.0]::double[]) as prob,
-       unnest(quantile_cont(cast(n as double), [0.0, 0.25, 0.5, 0.75, 1.0])) as value from f""")
+       round(unnest(quantile_cont(cast(n as double), [0.0, 0.25, 0.5, 0.75, 1.0])), 6) as value from f""")
 def orders_per_customer_quantiles(spark, sf):
-    return G.freq_quantiles(table(spark, sf, "orders"), "o_custkey")
+    q = G.freq_quantiles(table(spark, sf, "orders"), "o_custkey")
+    return q.withColumn("value", F.round("value", 6))
 
 
 @query("status_priority_crosstab", "G14", """

@@ -83,13 +83,13 @@ def order_dummies_drop_first(spark, sf):
 
 @query("lineitem_scaled", "F7", """
 select l_orderkey, l_linenumber,
-  round((l_quantity - avg(l_quantity) over ()) / stddev_samp(l_quantity) over (), 8) as l_quantity,
-  round((l_extendedprice - avg(l_extendedprice) over ()) / stddev_samp(l_extendedprice) over (), 8)
+  round((l_quantity - avg(l_quantity) over ()) / stddev_samp(l_quantity) over (), 5) as l_quantity,
+  round((l_extendedprice - avg(l_extendedprice) over ()) / stddev_samp(l_extendedprice) over (), 5)
     as l_extendedprice from lineitem""")
 def lineitem_scaled(spark, sf):
     li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice")
     s = FE.scale(li, ["l_quantity", "l_extendedprice"])
-    return s.select("l_orderkey", "l_linenumber", *[F.round(c, 8).alias(c) for c in ["l_quantity", "l_extendedprice"]])
+    return s.select("l_orderkey", "l_linenumber", *[F.round(c, 5).alias(c) for c in ["l_quantity", "l_extendedprice"]])
 
 
 SQL_SPLIT = """(select o_orderkey, o_totalprice, row_number() over (order by md5('42' || cast(o_orderkey as varchar)),
@@ -103,12 +103,12 @@ def order_split(spark, sf):
 
 @query("order_price_scaled_on_train", "F8 F9", f"""with s as {SQL_SPLIT},
 st as (select avg(o_totalprice) as m, stddev_pop(o_totalprice) as sd from s where not is_test)
-select o_orderkey, is_test, round((o_totalprice - m) / sd, 8) as price_z from s, st""")
+select o_orderkey, is_test, round((o_totalprice - m) / sd, 5) as price_z from s, st""")
 def order_price_scaled_on_train(spark, sf):
     o = FE.split(table(spark, sf, "orders").select("o_orderkey", "o_totalprice"), "o_orderkey", 0.2, seed=42)
     stats = FE.fit_scaler(o.where(~F.col("is_test")), ["o_totalprice"], population=True)
     z = FE.scale(o, ["o_totalprice"], stats=stats, suffix="_z")
-    return z.select("o_orderkey", "is_test", F.round("o_totalprice_z", 8).alias("price_z"))
+    return z.select("o_orderkey", "is_test", F.round("o_totalprice_z", 5).alias("price_z"))
 
 
 DISC_COLS = ["l_quantity", "l_extendedprice", "l_discount"]

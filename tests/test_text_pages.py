@@ -55,3 +55,23 @@ def test_emotion_counts_repeats_and_nulls(spark):
 def test_split_sentences(spark):
     df = spark.createDataFrame([("Uno. Dos!  Tres? cuatro",)], "t string")
     assert df.select(T.split_sentences(F.col("t"))).first()[0] == ["Uno.", "Dos!", "Tres?", "cuatro"]
+
+
+def test_salted_lexicon_path_matches_broadcast(spark, monkeypatch):
+    import quill.operators.sentiment as S
+    lex = spark.createDataFrame([("bad", "anger"), ("bad", "negative"), ("joy", "joy")], "word string, emotion string")
+    df = spark.createDataFrame([(1, "Bad bad JOY zzz"), (2, None)], "id int, t string")
+    fast = sorted(map(tuple, S.emotion_counts(df, "id", "t", lex).collect()))
+    monkeypatch.setattr(S, "sized_broadcast", lambda d, max_bytes=0: d)  # force the salted shuffle join
+    slow = sorted(map(tuple, S.emotion_counts(df, "id", "t", lex).collect()))
+    assert fast == slow
+
+
+def test_salted_join_spreads_hot_key(spark):
+    from pyspark.sql import functions as F
+
+    from quill.operators.joins import salted_join
+    big = spark.range(0, 3000).select((F.col("id") % 3 == 0).cast("int").alias("k"), "id")
+    small = spark.createDataFrame([(0, "a"), (1, "b")], "k int, v string")
+    out = salted_join(big, small, ["k"], buckets=8)
+    assert out.count() == 3000 and out.where("k = 1 and v = 'b'").count() == 1000
