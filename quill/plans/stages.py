@@ -83,10 +83,13 @@ def article_table(url_report: DataFrame, author_report: DataFrame, tags_report:
     m = m.withColumns({**P.date_parts("Date"), "Days_count": P.days_since("Date", ref_date),
                        "Title_length": P.text_length("Title"), "Subtitle_length": P.text_length("Subtitle"),
                        "Content_length": P.text_length("Content", clean=True)})
-    m = m.withColumn("_row", F.monotonically_increasing_id())
-    scores = score_all(m.select("_row", "Title", "Subtitle", "Content"), "_row",
-                       {"Title": "_title", "Subtitle": "_subtitle", "Content": "_content"}, lexicon)
-    return m.join(scores, "_row", "left").drop("_row")
+    # scores are keyed by a digest of the three texts (deterministic across
+    # retries and plan branches); each distinct text triple is scored once
+    key = F.sha2(F.to_json(F.struct("Title", "Subtitle", "Content")), 256)
+    m = m.withColumn("_tk", key)
+    texts = m.select("_tk", "Title", "Subtitle", "Content").dropDuplicates(["_tk"])
+    scores = score_all(texts, "_tk", {"Title": "_title", "Subtitle": "_subtitle", "Content": "_content"}, lexicon)
+    return m.join(scores, "_tk", "left").drop("_tk")
 
 
 # ---------------------------------------------------------------------------
