@@ -118,8 +118,10 @@ def _init(d, hidden, out, seed):
     g = np.random.default_rng(seed)
     l1 = math.sqrt(6.0 / (d + hidden))
     l2 = math.sqrt(6.0 / (hidden + out))
-    return (g.uniform(-l1, l1, (d, hidden)), np.zeros(hidden), g.uniform(-l2, l2, (hidden, out)),
-            np.full(out, 1.0))
+    # output biases: the NB variance head starts above the mean head, outside
+    # the clamp (var ≥ mean + 1e-10) where the loss is flat or unstable
+    b2 = np.array([1.0, 3.0]) if out == 2 else np.full(out, 1.0)
+    return (g.uniform(-l1, l1, (d, hidden)), np.zeros(hidden), g.uniform(-l2, l2, (hidden, out)), b2)
 
 
 def mlp_fit(df: DataFrame, y: str, features: list[str], loss: str = "mse", hidden: int = 64,

@@ -30,9 +30,9 @@ def mine_rules(tx: DataFrame, items_col: str = "items", min_support: float = 0.1
     {} → y for items whose support reaches ``min_confidence`` (arules'
     default ``minlen = 1``). Antecedents are sorted.
     """
-    n = tx.count()
-    model = FPGrowth(itemsCol=items_col, minSupport=min_support, minConfidence=min_confidence).fit(
-        tx.select(items_col))
+    items = tx.select(items_col).persist()  # counted, then scanned by FP-growth
+    n = items.count()
+    model = FPGrowth(itemsCol=items_col, minSupport=min_support, minConfidence=min_confidence).fit(items)
     r = model.associationRules
     if max_len is not None:
         r = r.where(F.size("antecedent") + 1 <= max_len)

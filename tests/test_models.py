@@ -63,3 +63,52 @@ def test_kde_integrates_to_one(spark):
     k = ST.kde(df, "x", (-6.0, 6.0, 241)).orderBy("x").collect()
     step = 12.0 / 240
     assert abs(sum(r.density for r in k) * step - 1.0) < 1e-3
+
+
+def test_mlp_gradients_match_finite_differences():
+    from quill.operators import mlp as N
+    rng = np.random.default_rng(0)
+    X = rng.normal(size=(30, 4))
+    y = rng.poisson(5, 30).astype(float)
+    for loss, out in (("nb", 2), ("mse", 1)):
+        W1, b1, W2, b2 = N._init(4, 6, out, 1)
+        if out == 2:
+            b2 = np.array([1.0, 6.0])  # regular regime (variance above mean)
+        params = (W1, b1, W2, b2)
+        model = N.MLP(*params, loss=loss, features=["a", "b", "c", "d"])
+        v = model.vector()
+        _, g = N._grad_sums(params, X, y, loss)
+        num = np.zeros_like(v)
+        for i in range(0, v.size, 7):
+            for sgn in (1, -1):
+                w = v.copy()
+                w[i] += sgn * 1e-6
+                model.set_vector(w)
+                num[i] += sgn * N._grad_sums((model.W1, model.b1, model.W2, model.b2), X, y, loss)[0] / 2e-6
+        idx = np.arange(0, v.size, 7)
+        assert np.allclose(g[idx], num[idx], rtol=1e-4, atol=1e-4), loss
+
+
+def test_draws_do_not_depend_on_partitioning(spark):
+    from quill.operators import bayes as B
+    df = spark.createDataFrame([(i, float(i % 5), int(i % 7)) for i in range(200)], "k long, x double, y long")
+    d = M.design(df, "y", numeric=["x"], keys=["k"])
+    post = B.bayes_glm(d, "poisson", B.Priors(autoscale=False))
+    a = sorted(map(tuple, B.draws(spark, post, chains=2, iters=50).collect()))
+    spark.conf.set("spark.sql.shuffle.partitions", "3")
+    try:
+        b = sorted(map(tuple, B.draws(spark, post, chains=2, iters=50).collect()))
+        h1 = sorted(map(tuple, B.pp_check(post, n_draws=2, stop=20.0, width=2.0).collect()))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+    h2 = sorted(map(tuple, B.pp_check(post, n_draws=2, stop=20.0, width=2.0).collect()))
+    assert a == b and h1 == h2
+    obs = [r for r in h1 if r[0] == 0]
+    assert sum(r[4] for r in obs) == 200
+
+
+def test_hash_normal_moments(spark):
+    from quill.operators.bayes import hash_normal
+    r = spark.range(20000).select(hash_normal(7, F.col("id")).alias("z")).agg(
+        F.avg("z").alias("m"), F.stddev("z").alias("s")).first()
+    assert abs(r.m) < 0.03 and abs(r.s - 1) < 0.03
