@@ -149,6 +149,7 @@ def histogram(df: DataFrame, col: str, start: float, stop: float, width: float)
         F.when(inside, _bin_index(x, start, width)).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
     spark = df.sparkSession
     bins = spark.range(1, nb + 1).select(F.col("id").alias("bin"))
+    # bounded by the number of bins (a parameter), not by rows
     full = bins.join(F.broadcast(counts.where(F.col("bin").isNotNull())), "bin", "left")
     full = full.select("bin", (F.lit(start) + (F.col("bin") - 1) * width).alias("lo"),
                        (F.lit(start) + F.col("bin") * width).alias("hi"),
@@ -235,6 +236,7 @@ def histograms(df: DataFrame, cols) -> DataFrame:
     spec_df = spark.createDataFrame(spec, "column string, start double, width double, nbins int")
     long = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"),
                                                   F.col(c).cast("double").alias("x")) for c in cols])))
+    # one row per column (schema-bounded)
     long = long.where(F.col("x").isNotNull()).join(F.broadcast(spec_df), "column")
     binned = long.groupBy("column", F.greatest(F.ceil((F.col("x") - F.col("start")) / F.col("width")),
                                                F.lit(1)).cast("long").alias("bin")).agg(

@@ -137,6 +137,7 @@ def exact_quantiles(df: DataFrame, cols, probs) -> DataFrame:
     want = want.withColumn("_lo", F.floor("_h").cast("long")).withColumn(
         "_hi", F.least(F.col("_lo") + 1, F.col("_n") - 1))
     pos = want.select("column", F.explode(F.array_distinct(F.array("_lo", "_hi"))).alias("_i"))
+    # at most 2 × columns × probs positions (parameter-bounded)
     vals = idx.join(F.broadcast(pos.distinct()), ["column", "_i"], "inner").select("column", "_i", "x")
     w = want.join(vals.withColumnRenamed("_i", "_lo").withColumnRenamed("x", "_xlo"), ["column", "_lo"])
     w = w.join(vals.withColumnRenamed("_i", "_hi").withColumnRenamed("x", "_xhi"), ["column", "_hi"])
