@@ -279,10 +279,17 @@ def negbin_glm(d: Design, theta: float | None = None, tol: float = 1e-8, max_ite
     if fixed:
         th = float(theta)
     else:
+        # moment estimate of α = 1/θ at the Poisson fit (Var = μ + αμ²); α ≤ 0
+        # means no extra-Poisson variance: the ML θ is infinite (Poisson limit)
         y, pw = F.col("_y"), F.col("_w")
         mu = F.exp(_eta(beta, d.p))
-        r = d.df.agg(F.sum(pw).alias("n"), F.sum(pw * F.pow(y / mu - 1.0, 2)).alias("s")).collect()[0]
-        th = min(max(float(r["n"]) / max(float(r["s"]), 1e-12), 1e-4), 1e6)
+        r = d.df.agg(F.sum(pw * ((y - mu) * (y - mu) - y)).alias("num"),
+                     F.sum(pw * mu * mu).alias("den")).collect()[0]
+        alpha = float(r["num"]) / max(float(r["den"]), 1e-300)
+        if alpha <= 1e-6:
+            th, fixed = 1e8, True
+        else:
+            th = min(max(1.0 / alpha, 1e-4), 1e6)
     ll_old = None
     info = float("nan")
     for _ in range(max_iter):
@@ -298,14 +305,17 @@ def negbin_glm(d: Design, theta: float | None = None, tol: float = 1e-8, max_ite
             while th_new <= 0:
                 step /= 2
                 th_new = th + step
-            th_new = min(th_new, 1e8)
+            if th_new > 1e6:
+                # no overdispersion left: θ → ∞ is the Poisson limit; pin θ
+                # and let β converge alone instead of walking θ up step by step
+                th_new, fixed = 1e8, True
         done = (ll_old is not None and abs(ll - ll_old) < tol * (abs(ll) + 1)
                 and abs(th_new - th) < 1e-6 * th)
         beta, th, ll_old = beta_new, th_new, ll
-        if done or th >= 1e8:
+        if done:
             break
     G, _, ex = _nb_pass(d, beta, th)
-    th_se = 1.0 / math.sqrt(float(ex["info"])) if (not fixed and float(ex["info"]) > 0) else None
+    th_se = 1.0 / math.sqrt(float(ex["info"])) if (theta is None and th < 1e8 and float(ex["info"]) > 0) else None
     return GLMFit("negbin", d, beta, G, float(ex["dev"]), float(ex["pearson"]), float(ex["ll"]),
                   int(ex["n"]), total, theta=th, theta_se=th_se)
 
