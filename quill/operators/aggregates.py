@@ -160,9 +160,10 @@ def histogram(df: DataFrame, col: str, start: float, stop: float, width: float)
     return full.unionByName(outside)
 
 
-def pretty_breaks(lo: float, hi: float, n: int = 5, min_n: int | None = None) -> list[float]:
+def pretty_breaks(lo: float, hi: float, n: int = 5, min_n: int | None = None, spec: bool = False):
     """R ``pretty()`` (default ``high.u.bias=1.5``, ``u5.bias=.5+1.5*1.5``):
-    round breaks covering [lo, hi] with about ``n`` intervals."""
+    round breaks covering [lo, hi] with about ``n`` intervals; with ``spec``
+    the (first break, unit, number of intervals) instead of the list."""
     if min_n is None:
         min_n = n // 3
     h, h5 = 1.5, 0.5 + 1.5 * 1.5
@@ -204,11 +205,13 @@ def pretty_breaks(lo: float, hi: float, n: int = 5, min_n: int | None = None) ->
     if k < min_n:
         k = min_n - k
         if ns >= 0:
-            nu += k / 2
-            ns -= k / 2 + k % 2
+            nu += k // 2
+            ns -= k // 2 + k % 2
         else:
-            ns -= k / 2
-            nu += k / 2 + k % 2
+            ns -= k // 2
+            nu += k // 2 + k % 2
+    if spec:
+        return ns * unit, unit, int(round(nu - ns))
     return [ns * unit + i * unit for i in range(int(round(nu - ns)) + 1)]
 
 
@@ -230,8 +233,8 @@ def histograms(df: DataFrame, cols) -> DataFrame:
     for c in cols:
         if r[f"{c}__n"] == 0:
             continue
-        br = pretty_breaks(r[f"{c}__min"], r[f"{c}__max"], sturges_bins(r[f"{c}__n"]))
-        spec.append((c, float(br[0]), float(br[1] - br[0]), len(br) - 1))
+        start, unit, nb = pretty_breaks(r[f"{c}__min"], r[f"{c}__max"], sturges_bins(r[f"{c}__n"]), spec=True)
+        spec.append((c, float(start), float(unit), nb))
     spark = df.sparkSession
     spec_df = spark.createDataFrame(spec, "column string, start double, width double, nbins int")
     long = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"),

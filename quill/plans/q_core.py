@@ -451,7 +451,26 @@ def quantity_histogram(spark, sf):
     return G.histogram(table(spark, sf, "lineitem"), "l_quantity", 0.0, 160.0, 10.0)
 
 
-@query("lineitem_histograms", "G16 U3")
+HIST_COLS = ['l_linenumber', 'l_quantity', 'l_extendedprice', 'l_discount', 'l_tax']
+
+
+@query("lineitem_histograms", "G16 U3", """
+with s as (select 'l_linenumber' as col, count(l_linenumber) as n, cast(min(l_linenumber) as double) as lo, cast(max(l_linenumber) as double) as hi from lineitem union all select 'l_quantity' as col, count(l_quantity) as n, cast(min(l_quantity) as double) as lo, cast(max(l_quantity) as double) as hi from lineitem union all select 'l_extendedprice' as col, count(l_extendedprice) as n, cast(min(l_extendedprice) as double) as lo, cast(max(l_extendedprice) as double) as hi from lineitem union all select 'l_discount' as col, count(l_discount) as n, cast(min(l_discount) as double) as lo, cast(max(l_discount) as double) as hi from lineitem union all select 'l_tax' as col, count(l_tax) as n, cast(min(l_tax) as double) as lo, cast(max(l_tax) as double) as hi from lineitem),
+c as (select *, (hi - lo) / ceil(log2(n) + 1) as cell from s),
+b as (select *, pow(10, floor(log10(cell))) as base from c),
+u as (select *, case when 2 * base - cell < 1.5 * (cell - base) then
+        case when 5 * base - cell < 2.75 * (cell - 2 * base) then
+          case when 10 * base - cell < 1.5 * (cell - 5 * base) then 10 * base else 5 * base end
+        else 2 * base end else base end as unit from b),
+g as (select col, unit, floor(lo / unit + 1e-7) as ns, ceil(hi / unit - 1e-7) as nu from u),
+spec as (select col, ns * unit as start, unit as width, cast(nu - ns as bigint) as nbins from g),
+v as (select 'l_linenumber' as col, cast(l_linenumber as double) as x from lineitem where l_linenumber is not null union all select 'l_quantity' as col, cast(l_quantity as double) as x from lineitem where l_quantity is not null union all select 'l_extendedprice' as col, cast(l_extendedprice as double) as x from lineitem where l_extendedprice is not null union all select 'l_discount' as col, cast(l_discount as double) as x from lineitem where l_discount is not null union all select 'l_tax' as col, cast(l_tax as double) as x from lineitem where l_tax is not null),
+binned as (select v.col, cast(greatest(ceil((v.x - spec.start) / spec.width), 1) as bigint) as bin, count(*) as n
+           from v join spec using (col) group by all),
+grid as (select col, start, width, unnest(range(1, nbins + 1)) as bin from spec)
+select grid.col as "column", grid.bin, grid.start + (grid.bin - 1) * grid.width as lo,
+       grid.start + grid.bin * grid.width as hi, coalesce(binned.n, 0) as n
+from grid left join binned using (col, bin)""")
 def lineitem_histograms(spark, sf):
     li = table(spark, sf, "lineitem")
     cols = [c for c in feature_columns(li, ["l_orderkey", "l_partkey", "l_suppkey", "l_returnflag",
