@@ -2,9 +2,10 @@
 the operators return, under their contracts."""
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import langid, sharding, simhash
+from . import bpe, langid, licenses, mixing, sharding, simhash
 from .common import fold, table
 
 
@@ -17,6 +18,26 @@ def op2_sharding(spark, sf_dir):
                     "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "bucket")
 
 
+def op6_bpe(spark, sf_dir):
+    return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"),
+                          public_tokenizers.PATTERN)
+
+
+#: documents have no path: a tree of source, language and thousand; every 100th
+#: document lies at its source's root, every other 10th in its language's folder
+DOC_PATH = ("concat_ws('/', coalesce(source, '_'), "
+            "CASE WHEN doc_id % 100 <> 0 THEN coalesce(lang, '_') END, "
+            "CASE WHEN doc_id % 10 <> 0 THEN CAST(CAST(floor(doc_id / 1000) AS BIGINT) AS {text}) END, CAST(doc_id AS {text}))")
+
+
+def op7_license_scan(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", "text", F.expr(DOC_PATH.format(text="STRING")).alias("path"))
+    return licenses.scan(docs).select(
+        "row.doc_id", "row.path", "own_license", F.round("own_cosine", 6).alias("own_cosine"), "is_file",
+        "inherited_license", "inherited_from", "license")
+
+
 def op8_language_id(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = langid.train(docs.where(fold("doc_id") != 0))
@@ -29,10 +50,24 @@ def op9_simhash(spark, sf_dir):
     return g.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op10_mixing(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", "source", "lang", mixing.topic().alias("topic"), mixing.token_count().alias("n_tokens"))
+    return mixing.calibrated(docs, ["source", "lang", "topic"]).select(
+        "doc_id", "source", "lang", "topic", "n_tokens", F.round("__prob", 6).alias("prob"),
+        F.round("__weight", 6).alias("weight"), F.round("__draw", 9).alias("draw"), F.col("__kept").alias("kept"))
+
+
 QUERIES = {
     "op2_sharding": op2_sharding,
+    "op6_bpe": op6_bpe,
+    "op7_license_scan": op7_license_scan,
     "op8_language_id": op8_language_id,
     "op9_simhash": op9_simhash,
+    "op10_mixing": op10_mixing,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op7_license_scan": licenses.oracle(DOC_PATH.format(text="VARCHAR")),
+    "op10_mixing": mixing.oracle(),
+}
