@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, langid, licenses, mixing, sharding, simhash
+from . import ann, bpe, langid, licenses, mixing, sharding, simhash, warc, winnow
 from .common import fold, table
 
 
@@ -18,6 +18,20 @@ def op2_sharding(spark, sf_dir):
                     "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "bucket")
 
 
+def op3_winnowing(spark, sf_dir):
+    return winnow.edited_neighbours(table(spark, sf_dir, "documents"))
+
+
+def op4_nearest(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.nearest(vectors, vectors.where("vec_id % 100 = 0"), k=10)
+
+
+def op5_warc(spark, sf_dir):
+    back = warc.round_trip(table(spark, sf_dir, "pages"), bodies=False, revisit_bytes=0)
+    return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op6_bpe(spark, sf_dir):
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"),
                           public_tokenizers.PATTERN)
@@ -60,6 +74,9 @@ def op10_mixing(spark, sf_dir):
 
 QUERIES = {
     "op2_sharding": op2_sharding,
+    "op3_winnowing": op3_winnowing,
+    "op4_nearest": op4_nearest,
+    "op5_warc": op5_warc,
     "op6_bpe": op6_bpe,
     "op7_license_scan": op7_license_scan,
     "op8_language_id": op8_language_id,
