@@ -5,10 +5,16 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import ann, bpe, langid, licenses, mixing, sharding, simhash, warc, winnow
+from . import ann, bpe, langid, licenses, lm, mixing, sharding, simhash, warc, winnow
 from .common import fold, table
 
 
+def op1_lm_scoring(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = lm.score(docs, lm.train(docs.where(fold("doc_id") != 1)))
+    return scored.select("doc_id", (fold("doc_id") == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op2_sharding(spark, sf_dir):
     s = sharding.external_shuffle(table(spark, sf_dir, "documents").select("doc_id", "text"), shards=24)
     text = F.coalesce(F.col("record.text"), F.lit(""))
@@ -73,6 +79,7 @@ def op10_mixing(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_lm_scoring": op1_lm_scoring,
     "op2_sharding": op2_sharding,
     "op3_winnowing": op3_winnowing,
     "op4_nearest": op4_nearest,
