@@ -67,9 +67,10 @@ def blank_to_null(c) -> Column:
 
 
 def split_tags(c, sep: str = ",") -> Column:
-    """Split on ``sep`` without trimming; empty pieces are dropped
-    (R drops the trailing empty piece and gives an empty vector for ``""``)."""
-    return F.filter(F.split(col_of(c), sep), lambda x: x != "")
+    """Split on the literal ``sep`` without trimming. As in R only one
+    trailing empty piece is dropped: ``a,,b,`` → a, "", b; ``""`` → nothing."""
+    parts = F.split(col_of(c), r"\Q" + sep.replace(r"\E", r"\E\\E\Q") + r"\E")
+    return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
 
 
 def section_of(url) -> Column:

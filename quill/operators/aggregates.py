@@ -132,9 +132,15 @@ def crosstab_long(df: DataFrame, a: str, b: str) -> DataFrame:
         F.count(F.lit(1)).alias("n"))
 
 
-def _bin_index(x: Column, start: float, width: float) -> Column:
+#: as in R's ``hist``, a value this many bin widths past a break still counts
+#: as lying on it, so 0.07 is in (0.065, 0.07] whatever its binary neighbours
+FUZZ = 1e-7
+
+
+def _bin_index(x: Column, start, width) -> Column:
     """Right-closed bin number (1-based), lowest edge in bin 1."""
-    i = F.ceil((x - F.lit(start)) / F.lit(width))
+    lit = lambda v: v if isinstance(v, Column) else F.lit(v)
+    i = F.ceil((x - lit(start)) / lit(width) - F.lit(FUZZ))
     return F.greatest(i, F.lit(1)).cast("long")
 
 
@@ -144,7 +150,7 @@ def histogram(df: DataFrame, col: str, start: float, stop: float, width: float)
     breaks are kept in a row with NULL edges (R would refuse the call)."""
     nb = int(round((stop - start) / width))
     x = F.col(col).cast("double")
-    inside = (x >= start) & (x <= stop)
+    inside = (x >= start - FUZZ * width) & (x <= stop + FUZZ * width)
     counts = df.where(x.isNotNull()).groupBy(
         F.when(inside, _bin_index(x, start, width)).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
     spark = df.sparkSession
@@ -160,59 +166,37 @@ def histogram(df: DataFrame, col: str, start: float, stop: float, width: float)
     return full.unionByName(outside)
 
 
-def pretty_breaks(lo: float, hi: float, n: int = 5, min_n: int | None = None, spec: bool = False):
-    """R ``pretty()`` (default ``high.u.bias=1.5``, ``u5.bias=.5+1.5*1.5``):
-    round breaks covering [lo, hi] with about ``n`` intervals; with ``spec``
-    the (first break, unit, number of intervals) instead of the list."""
-    if min_n is None:
-        min_n = n // 3
-    h, h5 = 1.5, 0.5 + 1.5 * 1.5
-    dx = hi - lo
-    if dx == 0 and hi == 0:
-        cell, i_small = 1.0, True
-    else:
-        cell = max(abs(lo), abs(hi))
-        U = 1 + (1 / (1 + h) if h5 >= 1.5 * h + 0.5 else 1.5 / (1 + h5))
-        U *= max(1, n) * 2.220446e-16
-        i_small = dx < cell * U * 3
-    if i_small:
-        if cell > 10:
-            cell = 9 + cell / 10
-        cell *= 1.0
-        if min_n > 1:
-            cell /= min_n
+def pretty_breaks(lo: float, hi: float, n: int = 5, spec: bool = False):
+    """About ``n`` equal intervals that cover [lo, hi], their width 1, 2 or 5
+    times a power of ten (R's ``pretty`` as its help page describes it).
+
+    Of these widths the largest is taken that the wanted width (hi - lo) / n
+    nears from below by a bias: a width is passed over while the next one is
+    closer, distances from above counting 1.5 times (2.75 for 5s). A range
+    without extent gets the width that suits its magnitude. At least n // 3
+    intervals come out. With ``spec``: (first break, width, intervals)."""
+    least = n // 3
+    extent, size = hi - lo, max(abs(lo), abs(hi))
+    if size == 0:
+        want = 1.0 / max(least, 1)
+    elif extent < size * n * 1e-15:
+        want = (size if size <= 10 else 9 + size / 10) / max(least, 1)
     else:
-        cell = dx
-        if n > 1:
-            cell /= n
-    if cell < 20 * 2.2250738585072014e-308:
-        cell = 20 * 2.2250738585072014e-308
-    base = 10.0 ** math.floor(math.log10(cell))
-    unit = base
-    if 2 * base - cell < h * (cell - unit):
-        unit = 2 * base
-        if 5 * base - cell < h5 * (cell - unit):
-            unit = 5 * base
-            if 10 * base - cell < h * (cell - unit):
-                unit = 10 * base
-    ns = math.floor(lo / unit + 1e-7)
-    nu = math.ceil(hi / unit - 1e-7)
-    while ns * unit > lo + 1e-7 * unit:
-        ns -= 1
-    while nu * unit < hi - 1e-7 * unit:
-        nu += 1
-    k = int(0.5 + nu - ns)
-    if k < min_n:
-        k = min_n - k
-        if ns >= 0:
-            nu += k // 2
-            ns -= k // 2 + k % 2
-        else:
-            ns -= k // 2
-            nu += k // 2 + k % 2
+        want = extent / n
+    ten = 10.0 ** math.floor(math.log10(want))
+    unit = ten
+    for wider, bias in ((2 * ten, 1.5), (5 * ten, 2.75), (10 * ten, 1.5)):
+        if wider - want >= bias * (want - unit):
+            break
+        unit = wider
+    first, last = math.floor(lo / unit + FUZZ), math.ceil(hi / unit - FUZZ)
+    missing = least - (last - first)
+    if missing > 0:
+        up = missing // 2 if first >= 0 else missing - missing // 2
+        first, last = first - (missing - up), last + up
     if spec:
-        return ns * unit, unit, int(round(nu - ns))
-    return [ns * unit + i * unit for i in range(int(round(nu - ns)) + 1)]
+        return first * unit, unit, int(last - first)
+    return [first * unit + i * unit for i in range(int(last - first) + 1)]
 
 
 def sturges_bins(n: int) -> int:
@@ -241,8 +225,7 @@ def histograms(df: DataFrame, cols) -> DataFrame:
                                                   F.col(c).cast("double").alias("x")) for c in cols])))
     # one row per column (schema-bounded)
     long = long.where(F.col("x").isNotNull()).join(F.broadcast(spec_df), "column")
-    binned = long.groupBy("column", F.greatest(F.ceil((F.col("x") - F.col("start")) / F.col("width")),
-                                               F.lit(1)).cast("long").alias("bin")).agg(
+    binned = long.groupBy("column", _bin_index(F.col("x"), F.col("start"), F.col("width")).alias("bin")).agg(
         F.count(F.lit(1)).alias("n"))
     grid = spec_df.select("column", "start", "width",
                           F.explode(F.sequence(F.lit(1), F.col("nbins"))).alias("bin"))

@@ -223,24 +223,9 @@ def summarise_draws(d: DataFrame, probs=(0.025, 0.5, 0.975), max_lag: int = 50,
 
 def _quantiles_by(df: DataFrame, group: str, col: str, probs) -> DataFrame:
     """Exact type-7 quantiles per group, wide (q2_5, q50, …), distributed."""
-    from .windows import dense_index
-    x = df.select(group, F.col(col).cast("double").alias("x")).where(F.col("x").isNotNull())
-    idx = dense_index(x, ["x"], partition_cols=[group], index_col="_i")
-    n = x.groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
-    want = n.select(group, "_n", F.posexplode(F.array(*[F.lit(float(p)) for p in probs])).alias("_k", "prob"))
-    want = want.withColumn("_h", (F.col("_n") - 1) * F.col("prob")).withColumn(
-        "_lo", F.floor("_h").cast("long")).withColumn("_hi", F.least(F.col("_lo") + 1, F.col("_n") - 1))
-    pos = want.select(group, F.explode(F.array_distinct(F.array("_lo", "_hi"))).alias("_i")).distinct()
-    vals = idx.join(pos, [group, "_i"]).select(group, "_i", "x")
-    w = want.join(vals.withColumnRenamed("_i", "_lo").withColumnRenamed("x", "_xlo"), [group, "_lo"])
-    w = w.join(vals.withColumnRenamed("_i", "_hi").withColumnRenamed("x", "_xhi"), [group, "_hi"])
-    w = w.select(group, "prob", (F.col("_xlo") + (F.col("_h") - F.col("_lo")) * (F.col("_xhi") - F.col("_xlo")))
-                 .alias("v"))
-    names = [_qname(p) for p in probs]
-    w = w.withColumn("qn", F.element_at(F.array(*[F.lit(nm) for nm in names]),
-                                        F.array_position(F.array(*[F.lit(float(p)) for p in probs]),
-                                                         F.col("prob")).cast("int")))
-    return w.groupBy(group).pivot("qn", names).agg(F.first("v"))
+    from .features import quantiles_by
+    q = quantiles_by(df, [group], col, probs)
+    return q.groupBy(group).agg(*[F.max(F.when(F.col("prob") == F.lit(float(p)), F.col("value"))).alias(_qname(p)) for p in probs])
 
 
 def _qname(p: float) -> str:

@@ -1,9 +1,7 @@
 """Shared helpers: checked broadcast, null-safe join conditions, column lists."""
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # A lookup side is broadcast only when the optimizer's size estimate of its
@@ -27,10 +25,14 @@ def sized_broadcast(df: DataFrame, max_bytes: int = BROADCAST_MAX_BYTES) -> Data
     return df
 
 
-def null_safe_on(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
-    """Equality on all keys where NULL matches NULL (pandas merge semantics).
-    Catalyst still plans this as an equi-join (EqualNullSafe keys)."""
-    return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys])
+def measured_broadcast(df: DataFrame, max_bytes: int = BROADCAST_MAX_BYTES) -> DataFrame:
+    """Broadcast hint by the real number of rows. The optimizer takes an
+    aggregate to be as large as its input, so a small result over a large table
+    is checkpointed and counted instead."""
+    from ..session import cut_lineage
+    kept = cut_lineage(df)
+    width = 8 + sum(32 if t in ("string", "binary") else 16 for _, t in df.dtypes)
+    return F.broadcast(kept) if kept.count() * width <= max_bytes else kept
 
 
 def feature_columns(df: DataFrame, minus=()) -> list[str]:

@@ -2,11 +2,12 @@
 only values brought to the driver; they are bounded by cardinality, not rows."""
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.parse import split_tags
-from .common import sized_broadcast
+from ..session import cut_lineage
+from .common import measured_broadcast
 from .windows import dense_index
 
 
@@ -43,7 +44,7 @@ def frequency_band(df: DataFrame, col: str, labels=("Q1", "Q2", "Q3", "Q4"),
         band = F.when(cond, F.lit(lab)) if band is None else band.when(cond, F.lit(lab))
     band = band.otherwise(F.lit(labels[-1])) if band is not None else F.lit(labels[-1])
     bands = f.select(col, band.alias(out))
-    res = df.join(sized_broadcast(bands), on=col, how="left")
+    res = df.join(measured_broadcast(bands), on=col, how="left")
     if null_label is not None:
         res = res.withColumn(out, F.coalesce(F.col(out), F.lit(null_label)))
     return res
@@ -55,7 +56,7 @@ def collapse_rare(df: DataFrame, col: str, min_count: int = 30) -> DataFrame:
     possibly hot level)."""
     f = df.groupBy(col).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") < min_count).select(
         F.col(col).alias("_rare"))
-    out = df.join(sized_broadcast(f), F.col(col) == F.col("_rare"), "left")
+    out = df.join(measured_broadcast(f), F.col(col) == F.col("_rare"), "left")
     return out.withColumn(col, F.when(F.col("_rare").isNull(), F.col(col))).drop("_rare")
 
 
@@ -64,11 +65,23 @@ def na_to_other(df: DataFrame, cols, label: str = "Other") -> DataFrame:
     return df.fillna(label, subset=list(cols))
 
 
-def levels(df: DataFrame, cols) -> dict[str, list]:
-    """Distinct non-NULL levels per column, alphabetical — one job for all columns."""
+#: levels of one column that may come to the driver
+MAX_LEVELS = 10_000
+
+
+def levels(df: DataFrame, cols, max_levels: int = MAX_LEVELS) -> dict[str, list]:
+    """Distinct non-NULL levels per column, alphabetical. They are counted
+    before they are collected; a column with more than ``max_levels`` raises."""
     cols = list(cols)
-    r = df.agg(*[F.array_sort(F.collect_set(F.col(c).cast("string"))).alias(c) for c in cols]).collect()[0]
-    return {c: list(r[c]) for c in cols}
+    pairs = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("level"))
+                                         for c in cols]))).where("level IS NOT NULL").distinct()
+    pairs = cut_lineage(pairs)
+    for r in pairs.groupBy("column").count().where(F.col("count") > max_levels).collect():
+        raise ValueError(f"{r['column']} has {r['count']} levels, more than max_levels={max_levels}")
+    out: dict[str, list] = {c: [] for c in cols}
+    for r in pairs.collect():
+        out[r["column"]].append(r["level"])
+    return {c: sorted(v, key=lambda x: x.encode()) for c, v in out.items()}
 
 
 def dummies(df: DataFrame, cols, drop_first: bool = False, sep: str = "_",
@@ -120,40 +133,72 @@ def split(df: DataFrame, key: str, test_frac: float = 0.2, seed: int = 42,
     return idx.withColumn(col, F.col("_i") < n_test).drop("_h", "_i")
 
 
+#: distinct values that one range of ``exact_quantiles`` should hold
+RANGE_VALUES = 500_000
+
+
 def exact_quantiles(df: DataFrame, cols, probs) -> DataFrame:
-    """Type-7 quantiles for many columns with one distributed sort: values are
-    unpivoted to (column, x), indexed per column, and only the two order
-    statistics around each (n−1)·p are read back. Memory does not depend on
-    the number of distinct values (unlike ``percentile``)."""
+    """Type-7 quantiles for many columns: (column, prob, value)."""
     cols = list(cols)
     long = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"),
                                                   F.col(c).cast("double").alias("x")) for c in cols])))
-    long = long.where(F.col("x").isNotNull())
-    idx = dense_index(long, ["x"], partition_cols=["column"], index_col="_i")
-    n = long.groupBy("column").agg(F.count(F.lit(1)).alias("_n"))
-    pr = F.array(*[F.lit(float(p)) for p in probs])
-    want = n.select("column", "_n", F.posexplode(pr).alias("_k", "prob")).withColumn(
-        "_h", (F.col("_n") - 1) * F.col("prob"))
-    want = want.withColumn("_lo", F.floor("_h").cast("long")).withColumn(
-        "_hi", F.least(F.col("_lo") + 1, F.col("_n") - 1))
-    pos = want.select("column", F.explode(F.array_distinct(F.array("_lo", "_hi"))).alias("_i"))
-    # at most 2 × columns × probs positions (parameter-bounded)
-    vals = idx.join(F.broadcast(pos.distinct()), ["column", "_i"], "inner").select("column", "_i", "x")
-    w = want.join(vals.withColumnRenamed("_i", "_lo").withColumnRenamed("x", "_xlo"), ["column", "_lo"])
-    w = w.join(vals.withColumnRenamed("_i", "_hi").withColumnRenamed("x", "_xhi"), ["column", "_hi"])
-    return w.select("column", "prob", (F.col("_xlo") + (F.col("_h") - F.col("_lo")) *
-                                       (F.col("_xhi") - F.col("_xlo"))).alias("value"))
-
-
-def _fmt(c: Column) -> Column:
-    return F.round(c, 4).cast("string")
+    return quantiles_by(long, ["column"], "x", probs)
+
+
+def quantiles_by(df: DataFrame, group_cols, value_col: str, probs) -> DataFrame:
+    """Type-7 quantiles of a value per group: (groups, prob, value).
+
+    Rows are first counted per (group, value), combined before the shuffle, so
+    a value that a third of all rows share is one row. The distinct values are
+    sorted over ranges; the ranges' sums tell which of them hold the order
+    statistics around each (n−1)·p, and only these are counted through.
+    """
+    g = list(group_cols)
+    x = F.col(value_col).cast("double")
+    vals = cut_lineage(df.where(x.isNotNull()).groupBy(*g, x.alias("_x")).agg(F.count(F.lit(1)).alias("_k")))
+    ranges = max(1, -(-vals.count() // RANGE_VALUES))
+    cut = cut_lineage(vals.repartitionByRange(ranges, *g, "_x").withColumn("_r", F.spark_partition_id()))
+    sums = cut.groupBy(*g, "_r").agg(F.sum("_k").alias("_k"))
+    before = Window.partitionBy(*g).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*g)
+    sums = sums.select(*g, "_r", "_k", F.coalesce(F.sum("_k").over(before), F.lit(0)).alias("_before"),
+                       F.sum("_k").over(whole).alias("_n"))
+    h = (F.col("_n") - 1) * F.col("prob")
+    want = sums.select(*g, "_r", "_k", "_before", "_n", F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("prob"))
+    lo = F.floor(h).cast("long")
+    want = want.select(*g, "_r", "_k", "_before", "prob", (h - lo).alias("_part"), F.explode(F.array_distinct(F.array(
+        lo, F.least(lo + 1, F.col("_n") - 1)))).alias("_at"), lo.alias("_lo"))
+    # (range, group, position) of the wanted order statistics: at most two per group and probability
+    want = want.where((F.col("_at") >= F.col("_before")) & (F.col("_at") < F.col("_before") + F.col("_k"))) \
+        .select(*[F.col(c).alias(f"_g_{c}") for c in g], F.col("_r").alias("_gr"), "_before", "prob", "_part", "_at", "_lo")
+    same = F.col("_r") == F.col("_gr")
+    for c in g:
+        same = same & F.col(c).eqNullSafe(F.col(f"_g_{c}"))
+    want = measured_broadcast(want)
+    run = Window.partitionBy("_r", *g).orderBy("_x").rowsBetween(Window.unboundedPreceding, -1)
+    through = cut.join(want, same, "left_semi").withColumn("_from", F.coalesce(F.sum("_k").over(run), F.lit(0)))
+    hit = through.join(want, same & (F.col("_at") >= F.col("_before") + F.col("_from"))
+                       & (F.col("_at") < F.col("_before") + F.col("_from") + F.col("_k")))
+    low = F.max(F.when(F.col("_at") == F.col("_lo"), F.col("_x")))
+    high = F.coalesce(F.max(F.when(F.col("_at") != F.col("_lo"), F.col("_x"))), low)
+    return hit.groupBy(*g, "prob").agg((low + F.max("_part") * (high - low)).alias("value"))
+
+
+def _label_digits(cuts: list[float]) -> int | None:
+    """Decimal places that keep the labels of distinct cuts distinct: 4, or as
+    many more as it takes; None: unrounded."""
+    return next((d for d in range(4, 16) if len({round(c, d) for c in cuts}) == len(cuts)), None)
+
+
+def _fmt(v: float, digits: int | None) -> Column:
+    return (F.lit(v) if digits is None else F.round(F.lit(v), digits)).cast("string")
 
 
 def discretize(df: DataFrame, cols, bins: int = 3, keep_original: bool = False) -> DataFrame:
     """equal-frequency bins (arules ``discretize`` default): cuts at the
     type-7 quantiles 0, 1/b, …, 1; equal cuts merged; intervals ``[lo,hi)``
     with the last closed ``[lo,hi]``. Labels use the cut values rounded to 4
-    places."""
+    places, or to more where that would merge two cuts."""
     cols = list(cols)
     probs = [i / bins for i in range(bins + 1)]
     q = exact_quantiles(df, cols, probs).collect()
@@ -166,14 +211,15 @@ def discretize(df: DataFrame, cols, bins: int = 3, keep_original: bool = False)
         cs = cuts[c]
         x = F.col(c).cast("double")
         if len(cs) < 2:
-            e = F.when(x.isNotNull(), F.concat(F.lit("["), _fmt(F.lit(cs[0])), F.lit(","),
-                                               _fmt(F.lit(cs[0])), F.lit("]")))
+            # no value, or one value only
+            e = F.when(x.isNotNull(), F.concat(F.lit("["), _fmt(cs[0], 4), F.lit(","), _fmt(cs[0], 4), F.lit("]"))) \
+                if cs else F.lit(None).cast("string")
         else:
-            e = None
+            e, digits = None, _label_digits(cs)
             for i in range(len(cs) - 1):
                 last = i == len(cs) - 2
                 cond = (x >= cs[i]) & ((x <= cs[i + 1]) if last else (x < cs[i + 1]))
-                lab = F.concat(F.lit("["), _fmt(F.lit(cs[i])), F.lit(","), _fmt(F.lit(cs[i + 1])),
+                lab = F.concat(F.lit("["), _fmt(cs[i], digits), F.lit(","), _fmt(cs[i + 1], digits),
                                F.lit("]" if last else ")"))
                 e = F.when(cond, lab) if e is None else e.when(cond, lab)
         out.append(e.alias(c))

@@ -66,11 +66,29 @@ def count_where(df: DataFrame, cond: Column, name: str = "n") -> DataFrame:
 
 
 def drop_first(df: DataFrame, order_cols) -> DataFrame:
-    """Drop exactly the first row of an explicit order (a distributed
-    consecutive index, so duplicate rows are not all removed)."""
-    from .windows import dense_index
+    """Drop exactly the first row of an explicit ascending order (NULL
+    first; ties: the smallest remaining columns in schema order). One aggregate
+    finds that row and how often it occurs; a filter drops it, and its other
+    copies, if any, are put back. Nothing is sorted."""
     order_cols = [order_cols] if isinstance(order_cols, (str, Column)) else list(order_cols)
-    return dense_index(df, order_cols, index_col="_i").where(F.col("_i") > 0).drop("_i")
+    keys = [F.col(c) if isinstance(c, str) else c for c in order_cols]
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    first = df.agg(F.min(F.struct(F.struct(*keys).alias("k"), row.alias("r"))).alias("f")).select("f.r").first()
+    if first is None or first["r"] is None:
+        return df
+    schema = df.select(row.alias("r")).schema
+    one = df.sparkSession.createDataFrame([(first["r"],)], schema)
+    is_first = None
+    for c in df.columns:
+        e = F.col(f"`{c}`").eqNullSafe(F.col("_r")[c])
+        is_first = e if is_first is None else is_first & e
+    one = F.broadcast(one.withColumnRenamed("r", "_r"))  # a single row
+    copies = df.join(one, is_first, "left_semi").count()
+    rest = df.join(one, is_first, "left_anti")
+    if copies > 1:
+        back = one.select("_r.*", F.explode(F.sequence(F.lit(2), F.lit(copies))).alias("_copy")).drop("_copy")
+        rest = rest.unionByName(back)
+    return rest
 
 
 def rules_for(rules: DataFrame, text: str, col: str = "consequent") -> DataFrame:

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import null_safe_on, sized_broadcast
+from .common import sized_broadcast
 
 
 def match_on_metrics(left: DataFrame, right: DataFrame, keys: list[str],
@@ -62,7 +62,7 @@ def gender_of(df: DataFrame, name_col: str, names: DataFrame, out: str = "gender
     """First word of the name, lower-cased, looked up in a name→gender
     dictionary; NULL when unknown."""
     d = names.select(F.lower(F.col(name_key)).alias("_fn"), F.col(gender_key).alias(out))
-    d = d.groupBy("_fn").agg(F.first(out).alias(out))
+    d = d.groupBy("_fn").agg(F.min(out).alias(out))  # a name listed twice: the first value in order
     return df.join(sized_broadcast(d), first_word(name_col) == F.col("_fn"), "left").drop("_fn")
 
 

@@ -86,7 +86,7 @@ def scott_bandwidth(df: DataFrame, col: str) -> float:
 def kde(df: DataFrame, col: str, grid: list[float] | tuple[float, float, int], bw: float | None = None,
         cutoff: float = 9.0) -> DataFrame:
     """M3: Gaussian kernel density of ``col`` on a grid, bandwidth Scott's rule
-    (sd·n^(-1/5)) unless given.
+    (sd·n^(-1/5)) unless given; a constant column has none and raises.
 
     No data × grid cross product: values are first reduced to (x, count), then
     each distinct x adds to the grid points within ``cutoff`` bandwidths
@@ -98,12 +98,12 @@ def kde(df: DataFrame, col: str, grid: list[float] | tuple[float, float, int], b
     step = (stop - start) / (num - 1) if num > 1 else 1.0
     x = F.col(col).cast("double")
     vals = df.where(x.isNotNull()).groupBy(x.alias("x")).agg(F.count(F.lit(1)).alias("k"))
-    stats = vals.agg(F.sum("k").alias("n"), F.sum(F.col("k") * F.col("x")).alias("s1"),
-                     F.sum(F.col("k") * F.col("x") * F.col("x")).alias("s2")).collect()[0]
+    stats = df.agg(F.count(x).alias("n"), F.stddev_samp(x).alias("sd")).collect()[0]
     n = float(stats["n"])
     if bw is None:
-        var = (stats["s2"] - stats["s1"] ** 2 / n) / (n - 1)
-        bw = math.sqrt(max(var, 0.0)) * n ** (-0.2)
+        bw = (stats["sd"] or 0.0) * n ** (-0.2) if n else 0.0
+    if not bw > 0:
+        raise ValueError(f"{col}: no bandwidth (constant, fewer than two values); give bw")
     lo = F.greatest(F.ceil((F.col("x") - cutoff * bw - start) / step), F.lit(0))
     hi = F.least(F.floor((F.col("x") + cutoff * bw - start) / step), F.lit(num - 1))
     contrib = vals.where(hi >= lo).select("x", "k", F.explode(F.sequence(lo.cast("int"), hi.cast("int"))).alias("i"))
@@ -122,15 +122,15 @@ def kde_by(df: DataFrame, group_cols, col: str, num: int = 512, cut: float = 3.0
            cutoff: float = 9.0) -> DataFrame:
     """Gaussian KDE per group on a per-group grid (min − cut·bw … max + cut·bw,
     ``num`` points, bandwidth sd·n^(-1/5)); same truncated-kernel scheme as
-    ``kde`` — no group × grid × rows product."""
+    ``kde`` — no group × grid × rows product. A group of equal values has no
+    density: it is one point, with density NULL."""
     g = list(group_cols)
     x = F.col(col).cast("double")
     vals = df.where(x.isNotNull()).groupBy(*g, x.alias("x")).agg(F.count(F.lit(1)).alias("k"))
-    st = vals.groupBy(*g).agg(F.sum("k").alias("n"), F.sum(F.col("k") * F.col("x")).alias("s1"),
-                              F.sum(F.col("k") * F.col("x") * F.col("x")).alias("s2"),
-                              F.min("x").alias("mn"), F.max("x").alias("mx"))
-    var = (F.col("s2") - F.col("s1") * F.col("s1") / F.col("n")) / (F.col("n") - 1)
-    st = st.withColumn("bw", F.sqrt(F.greatest(var, F.lit(1e-300))) * F.pow(F.col("n"), -0.2))
+    every = df.where(x.isNotNull()).groupBy(*g).agg(
+        F.count(x).alias("n"), F.stddev_samp(x).alias("sd"), F.min(x).alias("mn"), F.max(x).alias("mx"))
+    constant = every.where("mn = mx").select(*g, F.col("mn").alias("x"), F.lit(None).cast("double").alias("density"))
+    st = every.where("mn < mx").withColumn("bw", F.col("sd") * F.pow(F.col("n"), -0.2))
     st = st.withColumn("start", F.col("mn") - cut * F.col("bw")).withColumn(
         "step", (F.col("mx") - F.col("mn") + 2 * cut * F.col("bw")) / (num - 1))
     v = vals.join(st.select(*g, "n", "bw", "start", "step"), g)
@@ -144,4 +144,4 @@ def kde_by(df: DataFrame, group_cols, col: str, num: int = 512, cut: float = 3.0
     out = grid.join(dens, [*g, "i"], "left")
     return out.select(*g, (F.col("start") + F.col("i") * F.col("step")).alias("x"),
                       (F.coalesce("_s", F.lit(0.0)) / (F.col("n") * F.col("bw") * math.sqrt(2 * math.pi)))
-                      .alias("density"))
+                      .alias("density")).unionByName(constant)

@@ -11,7 +11,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .common import sized_broadcast
+from .common import estimated_bytes, measured_broadcast
+
+#: bytes that one sort task of ``dense_index`` should get
+SORT_BYTES = 128 << 20
 
 
 def _as_cols(cols) -> list:
@@ -35,14 +38,18 @@ def dense_index(df: DataFrame, order_cols, partition_cols=(), index_col: str = "
     1. range-partition on (group, order) — a hot group spans many partitions;
     2. sort within partitions, tag partition id and position; checkpoint once so
        the two passes below see the same placement (and survive lost executors);
-    3. per (partition, group): row count and first position (small table);
+    3. per (partition, group): row count and first position (ungrouped: one row
+       per partition), broadcast when its counted size allows;
     4. offsets = running count over earlier partitions of the same group;
     5. index = offset + position − first position.
+
+    The number of ranges follows the input's size (``SORT_BYTES`` each).
     """
     spark = df.sparkSession
     order = [_sort_key(c) for c in _as_cols(order_cols)]
     parts = [c for c in _as_cols(partition_cols)]
-    nparts = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    nparts = num_partitions or max(-(-(estimated_bytes(df) or 0) // SORT_BYTES),
+                                   min(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism))
     keys = [F.col(c) for c in parts] + order
     srt = (df.repartitionByRange(nparts, *keys).sortWithinPartitions(*keys)
            .withColumn("_pid", F.spark_partition_id())
@@ -57,7 +64,7 @@ def dense_index(df: DataFrame, order_cols, partition_cols=(), index_col: str = "
     cond = F.col("_pid") == F.col("_spid")
     for c in parts:
         cond = cond & F.col(c).eqNullSafe(F.col(f"_s_{c}"))
-    out = srt.join(sized_broadcast(s), cond, "inner")
+    out = srt.join(measured_broadcast(s), cond, "inner")
     out = out.withColumn(index_col, (F.col("_off") + F.col("_mid") - F.col("_first") + start).cast("long"))
     return out.drop("_pid", "_mid", "_spid", "_off", "_first", *[f"_s_{c}" for c in parts])
 
@@ -107,21 +114,31 @@ def acf(df: DataFrame, group_cols, index_col: str, value_col: str, max_lag: int)
     """Autocorrelation per group for lags 0..max_lag.
 
     ``index_col`` is a consecutive integer position inside the group (an
-    iteration number, or ``dense_index`` output). Lagged pairs come from an
-    equi-join on (group, index + k): each row is repeated ``max_lag + 1`` times,
-    linear in the data, with unique join keys — no window over a whole group.
+    iteration number, or ``dense_index`` output). Each series is cut into
+    blocks of positions; only the ``max_lag`` rows before a block's end are
+    copied into the next one, and the lags are window offsets inside (group,
+    block) — no row is repeated per lag and no task holds a whole group.
     acf_k = Σ_t (x_t − m)(x_{t+k} − m) / Σ_t (x_t − m)².
     """
     g = _as_cols(group_cols)
-    base = df.select(*g, F.col(index_col).alias("_t"), F.col(value_col).cast("double").alias("_x"))
+    block = max(4096, 8 * max_lag)
+    base = df.select(*g, F.col(index_col).cast("long").alias("_t"), F.col(value_col).cast("double").alias("_x"))
     stats = base.groupBy(*g).agg(F.avg("_x").alias("_m"))
-    cen = base.join(sized_broadcast(stats), on=g, how="inner").select(
+    same = None
+    for c in g:
+        e = F.col(c).eqNullSafe(F.col(f"_s_{c}"))
+        same = e if same is None else same & e
+    stats = stats.select(*[F.col(c).alias(f"_s_{c}") for c in g], "_m")
+    cen = base.join(measured_broadcast(stats), same if g else F.lit(True), "inner").select(
         *g, "_t", (F.col("_x") - F.col("_m")).alias("_d"))
-    lagged = cen.select(*g, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max_lag).cast("long"))).alias("lag"),
-                        F.col("_t").alias("_t0"), F.col("_d").alias("_d0"))
-    lagged = lagged.select(*g, "lag", (F.col("_t0") + F.col("lag")).alias("_t"), "_d0")
-    pairs = lagged.join(cen, on=[*g, "_t"], how="inner")
-    num = pairs.groupBy(*g, "lag").agg(F.sum(F.col("_d0") * F.col("_d")).alias("_num"))
-    den = num.where(F.col("lag") == 0).select(*g, F.col("_num").alias("_den"))
-    return num.join(den, on=g, how="inner").select(
-        *g, "lag", (F.col("_num") / F.col("_den")).alias("acf"))
+    own = F.floor(F.col("_t") / block).cast("long")
+    after = F.floor((F.col("_t") + max_lag) / block).cast("long")  # the block that needs this row as a predecessor
+    cut = cen.select(*g, "_t", "_d", F.explode(F.array_distinct(F.array(own, after))).alias("_b"), own.alias("_own"))
+    w = Window.partitionBy(*g, "_b").orderBy("_t")
+    # position t pairs with position t - k where that row is there
+    lags = [F.when(F.lag("_t", k).over(w) == F.col("_t") - k, F.lag("_d", k).over(w) * F.col("_d")) if k else F.col("_d") * F.col("_d")
+            for k in range(max_lag + 1)]
+    sums = (cut.select(*g, "_b", "_own", *[e.alias(f"_p{k}") for k, e in enumerate(lags)])
+            .where(F.col("_b") == F.col("_own")).groupBy(*g).agg(*[F.sum(f"_p{k}").alias(f"_p{k}") for k in range(max_lag + 1)]))
+    return sums.select(*g, F.col("_p0").alias("_den"), F.posexplode(F.array(*[f"_p{k}" for k in range(max_lag + 1)])).alias("lag", "_num")) \
+        .where(F.col("_num").isNotNull()).select(*g, F.col("lag").cast("long").alias("lag"), (F.col("_num") / F.col("_den")).alias("acf"))

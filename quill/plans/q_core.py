@@ -443,8 +443,8 @@ def status_priority_crosstab(spark, sf):
 
 @query("quantity_histogram", "G15", """
 with b as (select range as bin from range(1, 17)),
-c as (select greatest(cast(ceil((l_quantity - 0) / 10.0) as bigint), 1) as bin, count(*) as n
-      from lineitem where l_quantity is not null and l_quantity between 0 and 160 group by 1)
+e as (select bin, case when bin = 1 then -1e-6 else (bin - 1) * 10 + 1e-6 end as above, bin * 10 + 1e-6 as upto from b),
+c as (select bin, count(*) as n from lineitem join e on l_quantity > above and l_quantity <= upto group by 1)
 select b.bin, cast((b.bin - 1) * 10.0 as double) as lo, cast(b.bin * 10.0 as double) as hi, coalesce(c.n, 0) as n
 from b left join c using (bin)""")
 def quantity_histogram(spark, sf):
@@ -465,9 +465,11 @@ u as (select *, case when 2 * base - cell < 1.5 * (cell - base) then
 g as (select col, unit, floor(lo / unit + 1e-7) as ns, ceil(hi / unit - 1e-7) as nu from u),
 spec as (select col, ns * unit as start, unit as width, cast(nu - ns as bigint) as nbins from g),
 v as (select 'l_linenumber' as col, cast(l_linenumber as double) as x from lineitem where l_linenumber is not null union all select 'l_quantity' as col, cast(l_quantity as double) as x from lineitem where l_quantity is not null union all select 'l_extendedprice' as col, cast(l_extendedprice as double) as x from lineitem where l_extendedprice is not null union all select 'l_discount' as col, cast(l_discount as double) as x from lineitem where l_discount is not null union all select 'l_tax' as col, cast(l_tax as double) as x from lineitem where l_tax is not null),
-binned as (select v.col, cast(greatest(ceil((v.x - spec.start) / spec.width), 1) as bigint) as bin, count(*) as n
-           from v join spec using (col) group by all),
-grid as (select col, start, width, unnest(range(1, nbins + 1)) as bin from spec)
+grid as (select col, start, width, unnest(range(1, nbins + 1)) as bin from spec),
+edges as (select col, bin, case when bin = 1 then start - 1e-7 * width else start + (bin - 1 + 1e-7) * width end as above,
+                 start + (bin + 1e-7) * width as upto from grid),
+f as (select col, x, count(*) as k from v group by all),
+binned as (select f.col, bin, cast(sum(k) as bigint) as n from f join edges e on f.col = e.col and x > above and x <= upto group by all)
 select grid.col as "column", grid.bin, grid.start + (grid.bin - 1) * grid.width as lo,
        grid.start + grid.bin * grid.width as hi, coalesce(binned.n, 0) as n
 from grid left join binned using (col, bin)""")
