@@ -17,6 +17,17 @@ def estimated_bytes(df: DataFrame) -> int | None:
         return None
 
 
+def input_bytes(df: DataFrame) -> int | None:
+    """Bytes of the tables a plan reads (a join's own estimate multiplies its
+    sides); None if one of them has no known size."""
+    try:
+        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+        sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    except Exception:  # pragma: no cover - non-classic sessions
+        return None
+    return None if any(s >= 1 << 60 for s in sizes) else sum(sizes)
+
+
 def sized_broadcast(df: DataFrame, max_bytes: int = BROADCAST_MAX_BYTES) -> DataFrame:
     """Broadcast hint only behind a size check (estimate from the optimized plan)."""
     size = estimated_bytes(df)

@@ -33,6 +33,7 @@ def mine_rules(tx: DataFrame, items_col: str = "items", min_support: float = 0.1
     items = tx.select(items_col).persist()  # counted, then scanned by FP-growth
     n = items.count()
     model = FPGrowth(itemsCol=items_col, minSupport=min_support, minConfidence=min_confidence).fit(items)
+    items.unpersist()
     r = model.associationRules
     if max_len is not None:
         r = r.where(F.size("antecedent") + 1 <= max_len)
@@ -54,8 +55,8 @@ def rule_order(prefix: str = ""):
             F.asc(F.array_join(F.col(f"{prefix}antecedent"), SEP)), F.asc(f"{prefix}consequent")]
 
 
-def rank_rules(rules: DataFrame, n: int | None = 25000) -> DataFrame:
-    """Best ``n`` rules by lift with a full tie-break, ``rank`` 1-based."""
+def rank_rules(rules: DataFrame, n: int | None = None) -> DataFrame:
+    """All rules, or the best ``n``, by lift with a full tie-break, ``rank`` 1-based."""
     return rank_by(rules, rule_order(), n=n, col="rank")
 
 
@@ -63,8 +64,8 @@ def _items(r: DataFrame) -> DataFrame:
     return r.withColumn("_items", F.array_sort(F.array_union("antecedent", F.array("consequent"))))
 
 
-def prune_redundant(rules: DataFrame, n: int | None = 25000, ranked: bool = False) -> DataFrame:
-    """M15 (+J8): among the top ``n`` rules by lift, drop rule j when a
+def prune_redundant(rules: DataFrame, n: int | None = None, ranked: bool = False) -> DataFrame:
+    """M15 (+J8): among all rules, or the top ``n`` by lift, drop rule j when a
     higher-ranked rule i has items(i) ⊆ items(j) (equal sets included)."""
     top = rules if ranked else rank_rules(rules, n)
     top = _items(top)

@@ -44,10 +44,21 @@ def md5_lexicon(docs: DataFrame, text_col: str = "text") -> DataFrame:
         "word", F.get(em, d.cast("int")).alias("emotion"))
 
 
-def lexicon_join(word_counts: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """(key…, word, n) ⋈ lexicon(word, emotion)."""
+def lexicon_join(toks: DataFrame, lexicon: DataFrame, keys: list[str], value: str, salt_buckets: int = 16) -> DataFrame:
+    """(keys…, word, value) ⋈ lexicon(word, emotion) → (keys…, emotion, value).
+
+    A lexicon whose size is checked small is broadcast and meets the raw
+    tokens. A large one is joined by shuffle: tokens are first summed to one
+    row per (keys, word), and the join is salted, so a word that stands in a
+    third of all documents is spread over many tasks."""
     lx = lexicon.select("word", "emotion").distinct()
-    return word_counts.join(sized_broadcast(lx), "word", "inner")
+    small = sized_broadcast(lx)
+    if small is not lx:
+        hits = toks.join(small, "word", "inner")
+    else:
+        sums = toks.groupBy(*keys, "word").agg(F.sum(value).alias(value))
+        hits = salted_join(sums, lx, ["word"], "inner", buckets=salt_buckets)
+    return hits.select(*keys, "emotion", value)
 
 
 def emotion_counts(df: DataFrame, key, text_col: str, lexicon: DataFrame, suffix: str = "",
@@ -63,18 +74,14 @@ def emotion_counts(df: DataFrame, key, text_col: str, lexicon: DataFrame, suffix
 
 def emotion_rates(df: DataFrame, key, text_col: str, lexicon: DataFrame, suffix: str = "",
                   emotions=EMOTIONS) -> DataFrame:
-    """Per sentence, emotion words ÷ words of the sentence; summed per
-    (document, emotion); pivoted with 0 fill (G6 + G7)."""
+    """Per sentence, emotion words ÷ words of the sentence, summed per
+    (document, emotion); 0 fill (G6 + G7). The sum over sentences of k/words is
+    the sum over hits of 1/words, so one aggregate on the hits is enough."""
     keys = [key] if isinstance(key, str) else list(key)
-    sent = df.select(*keys, F.posexplode(split_sentences(F.col(text_col))).alias("sid", "sentence"))
-    sent = sent.withColumn("toks", tokens(F.col("sentence"))).withColumn("nw", F.size("toks"))
-    sent = sent.where(F.col("nw") > 0)
-    wc = (sent.select(*keys, "sid", "nw", F.explode("toks").alias("word"))
-          .groupBy(*keys, "sid", "nw", "word").agg(F.count(F.lit(1)).alias("n")))
-    hits = lexicon_join(wc, lexicon)
-    per_sentence = hits.groupBy(*keys, "sid", "nw", "emotion").agg(F.sum("n").alias("k"))
-    rates = per_sentence.select(*keys, F.concat("emotion", F.lit(suffix)).alias("fe"),
-                                (F.col("k") / F.col("nw")).alias("r"))
+    sent = df.select(*keys, F.explode(split_sentences(F.col(text_col))).alias("s")).select(*keys, tokens(F.col("s")).alias("w"))
+    toks = sent.where(F.size("w") > 0).select(*keys, (F.lit(1.0) / F.size("w")).alias("r"), F.explode("w").alias("word"))
+    hits = lexicon_join(toks, lexicon, keys, "r")
+    rates = hits.select(*keys, F.concat("emotion", F.lit(suffix)).alias("fe"), "r")
     names = [f"{e}{suffix}" for e in emotions]
     return _wide_sums(df.select(*keys), rates, keys, names, "fe", "r", 0.0)
 
@@ -97,18 +104,8 @@ def score_long(base: DataFrame, stacked: DataFrame, keys: list[str], fields: lis
                lexicon: DataFrame, emotions=EMOTIONS, salt_buckets: int = 16) -> DataFrame:
     """T5 core on long input (key…, field, text): one row per key with a
     ``{emotion}{field}`` column per pair, 0 where nothing matched."""
-    lx = lexicon.select("word", "emotion").distinct()
-    toks = stacked.select(*keys, "field", F.explode(tokens(F.col("text"))).alias("word"))
-    small = sized_broadcast(lx)
-    if small is not lx:
-        # lexicon is small: map-side join on raw tokens, one shuffle (the pivot)
-        hits = toks.join(small, "word", "inner").withColumn("n", F.lit(1))
-    else:
-        # large lexicon: cut tokens to (key, field, word, n) first so a hot word
-        # is one row per document, then a salted shuffle join so a word that
-        # occurs in a third of all documents is spread over many tasks
-        wc = toks.groupBy(*keys, "field", "word").agg(F.count(F.lit(1)).alias("n"))
-        hits = salted_join(wc, lx, ["word"], "inner", buckets=salt_buckets)
+    toks = stacked.select(*keys, "field", F.explode(tokens(F.col("text"))).alias("word")).withColumn("n", F.lit(1).cast("long"))
+    hits = lexicon_join(toks, lexicon, [*keys, "field"], "n", salt_buckets)
     hits = hits.select(*keys, F.concat("emotion", "field").alias("fe"), F.col("n").cast("long").alias("n"))
     names = [f"{e}{f}" for f in fields for e in emotions]
     return _wide_sums(base, hits, keys, names, "fe", "n", 0)

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .common import estimated_bytes, measured_broadcast
+from .common import input_bytes, measured_broadcast
 
 #: bytes that one sort task of ``dense_index`` should get
 SORT_BYTES = 128 << 20
@@ -48,8 +48,10 @@ def dense_index(df: DataFrame, order_cols, partition_cols=(), index_col: str = "
     spark = df.sparkSession
     order = [_sort_key(c) for c in _as_cols(order_cols)]
     parts = [c for c in _as_cols(partition_cols)]
-    nparts = num_partitions or max(-(-(estimated_bytes(df) or 0) // SORT_BYTES),
-                                   min(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism))
+    usual = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = input_bytes(df)
+    nparts = num_partitions or (usual if size is None else
+                                max(-(-size // SORT_BYTES), min(usual, spark.sparkContext.defaultParallelism)))
     keys = [F.col(c) for c in parts] + order
     srt = (df.repartitionByRange(nparts, *keys).sortWithinPartitions(*keys)
            .withColumn("_pid", F.spark_partition_id())

@@ -21,7 +21,7 @@ def transactions(spark, sf):
 
 
 def mined(spark, sf):
-    r = R.mine_rules(transactions(spark, sf), min_support=0.1, min_confidence=0.5, max_len=3)
+    r = R.mine_rules(transactions(spark, sf), min_support=0.1, min_confidence=0.5)
     # rounded measures: the same ranking in every engine
     return r.select("antecedent", "consequent", *[F.round(c, 10).alias(c) for c in ["support", "confidence", "lift"]],
                     "count")
@@ -32,33 +32,21 @@ def _out(r):
                     "lift", "count")
 
 
+# every non-empty subset of a transaction's six items is an item set
 SQL_RULES = f"""with tx as ({_disc_sql(RULE_DISC)}),
-t as (select row_number() over () as tid, unnest(string_split(items, ';')) as item from tx),
 n as (select count(*) as n from tx),
-f1 as (select item as a, count(*) as c from t group by 1 having count(*) >= 0.1 * (select n from n)),
-f2 as (select x.item as a, y.item as b, count(*) as c from t x join t y on x.tid = y.tid and x.item < y.item
-       where x.item in (select a from f1) and y.item in (select a from f1) group by 1, 2
-       having count(*) >= 0.1 * (select n from n)),
-f3 as (select x.item as a, y.item as b, z.item as cc, count(*) as c from t x join t y on x.tid = y.tid
-       and x.item < y.item join t z on z.tid = x.tid and y.item < z.item
-       where (x.item, y.item) in (select (a, b) from f2) and (x.item, z.item) in (select (a, b) from f2)
-         and (y.item, z.item) in (select (a, b) from f2)
-       group by 1, 2, 3 having count(*) >= 0.1 * (select n from n)),
-cand as (
-  select f2.a as antecedent, f2.b as consequent, f2.c as c_s, f1a.c as c_a, f1b.c as c_y from f2
-    join f1 f1a on f1a.a = f2.a join f1 f1b on f1b.a = f2.b
-  union all select f2.b, f2.a, f2.c, f1b.c, f1a.c from f2 join f1 f1a on f1a.a = f2.a join f1 f1b on f1b.a = f2.b
-  union all select f3.a || '|' || f3.b, f3.cc, f3.c, p.c, s.c from f3 join f2 p on p.a = f3.a and p.b = f3.b
-    join f1 s on s.a = f3.cc
-  union all select f3.a || '|' || f3.cc, f3.b, f3.c, p.c, s.c from f3 join f2 p on p.a = f3.a and p.b = f3.cc
-    join f1 s on s.a = f3.b
-  union all select f3.b || '|' || f3.cc, f3.a, f3.c, p.c, s.c from f3 join f2 p on p.a = f3.b and p.b = f3.cc
-    join f1 s on s.a = f3.a),
+t as (select list_sort(string_split(items, ';')) as l, count(*) as k from tx group by 1),
+m as (select unnest(range(1, {2 ** len(ITEM_COLS)})) as m),
+fs as (select l as s, sum(k) as c from (
+    select [l[i] for i in generate_series(1, len(l)) if (m >> (i - 1)) & 1 = 1] as l, k from t, m)
+  group by 1 having sum(k) >= 0.1 * (select n from n)),
+cand as (select [x for x in f.s if x <> y] as a, y, f.c as c_s from (select s, c, unnest(s) as y from fs where len(s) > 1) f),
 rules as (
-  select antecedent, consequent, round(c_s / n, 10) as support, round(c_s / c_a, 10) as confidence,
-         round((c_s / c_a) / (c_y / n), 10) as lift, cast(c_s as bigint) as count from cand, n
-  where c_s / c_a >= 0.5
-  union all select '', a, round(c / n, 10), round(c / n, 10), 1.0, cast(c as bigint) from f1, n where c / n >= 0.5)"""
+  select array_to_string(a, '|') as antecedent, y as consequent, round(c_s / n, 10) as support, round(c_s / fa.c, 10) as confidence,
+         round((c_s / fa.c) / (fy.c / n), 10) as lift, cast(c_s as bigint) as count
+  from cand join fs fa on fa.s = a join fs fy on fy.s = [y], n where c_s / fa.c >= 0.5
+  union all select '', s[1], round(c / n, 10), round(c / n, 10), 1.0, cast(c as bigint) from fs, n
+  where len(s) = 1 and c / n >= 0.5)"""
 
 
 @query("association_rules", "M13 M14 F10 F11", SQL_RULES + "\nselect * from rules")
@@ -84,7 +72,7 @@ def _ranked_out(r):
 SQL_PRUNED = SQL_RANKED + """,
 it as (select *, list_sort(case when antecedent = '' then [consequent]
           else list_concat(string_split(antecedent, '|'), [consequent]) end) as items
-       from ranked where rank <= 25000),
+       from ranked),
 pruned as (select j.* from it j where not exists (select 1 from it i where i.rank < j.rank
            and list_has_all(j.items, i.items)))"""
 
@@ -92,28 +80,28 @@ pruned as (select j.* from it j where not exists (select 1 from it i where i.ran
 @query("pruned_rules", "M15 J8", SQL_PRUNED + """
 select antecedent, consequent, support, confidence, lift, count, rank from pruned""")
 def pruned_rules(spark, sf):
-    return _ranked_out(R.prune_redundant(mined(spark, sf), 25000))
+    return _ranked_out(R.prune_redundant(mined(spark, sf)))
 
 
 @query("antecedent_item_freq", "M16 G4 C6", SQL_PRUNED + """,
 ai as (select unnest(string_split(antecedent, '|')) as item from pruned where antecedent <> '')
 select item, count(*) as n, count(*) > 10 as important from ai group by item""")
 def antecedent_item_freq(spark, sf):
-    return R.antecedent_freq(R.prune_redundant(mined(spark, sf), 25000), 10)
+    return R.antecedent_freq(R.prune_redundant(mined(spark, sf)), 10)
 
 
 @query("antecedent_base_freq", "M16 G13", SQL_PRUNED + """,
 ai as (select unnest(string_split(antecedent, '|')) as item from pruned where antecedent <> '')
 select regexp_replace(item, '=.*$', '') as variable, cast(count(*) as bigint) as n from ai group by 1""")
 def antecedent_base_freq(spark, sf):
-    return R.antecedent_base_freq(R.prune_redundant(mined(spark, sf), 25000))
+    return R.antecedent_base_freq(R.prune_redundant(mined(spark, sf)))
 
 
 @query("response_rules", "M17 C8", SQL_PRUNED + """
 select antecedent, consequent, support, confidence, lift, count, rank from pruned
 where contains(consequent, 'l_linestatus')""")
 def response_rules(spark, sf):
-    return _ranked_out(R.response_rules(R.prune_redundant(mined(spark, sf), 25000), "l_linestatus"))
+    return _ranked_out(R.response_rules(R.prune_redundant(mined(spark, sf)), "l_linestatus"))
 
 
 @query("rules_for_consequent", "C8", SQL_RULES + """

@@ -135,7 +135,7 @@ def blank_to_null_col(c: str):
 # ---------------------------------------------------------------------------
 
 def rule_stage(d6: DataFrame, numeric_cols, factor_cols, response: str = "Users", min_support: float = 0.1,
-               min_confidence: float = 0.5, max_len: int = 10, top_n: int = 25000,
+               min_confidence: float = 0.5, max_len: int = 10, top_n: int | None = None,
                min_count: int = 10) -> dict[str, DataFrame]:
     """F10 → F11 → M13/M14 → W3 + M15 → M16 → M17 on the modelling table."""
     from ..operators import features as FE

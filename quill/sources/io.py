@@ -8,36 +8,39 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
-def read_report(spark: SparkSession, path: str, skip_rows: int = 6, max_rows: int | None = 5000,
-                schema: StructType | str | None = None) -> DataFrame:
+def read_report(spark: SparkSession, path: str, skip_rows: int = 6, max_rows: int | None = None,
+                schema: StructType | str | None = None, positions: bool = False) -> DataFrame:
     """A1: an analytics export — ``skip_rows`` preamble lines, a header line,
-    then at most ``max_rows`` data rows, in file order.
+    then all data rows, or the first ``max_rows`` of each file.
 
-    Lines are read as text with their (file, byte-ordered) position from a
-    distributed index; the header is the first line after the preamble. Rows
-    are parsed by the CSV reader from the remaining lines, so quoting follows
-    the CSV rules (report exports do not hold newlines inside fields).
+    Lines are read as text with their position; a line's number within its
+    file comes from a distributed index. Every file must have the same header:
+    files that differ raise. Rows are parsed by the CSV reader, so quoting
+    follows the CSV rules (a report row holds no newline). File order is not
+    forced on the result: with ``positions`` the columns ``_file`` and ``_ln``
+    say where a row was.
     """
     from ..operators.windows import dense_index
     lines = spark.read.text(path).withColumn("_file", F.input_file_name()).withColumn(
         "_pos", F.monotonically_increasing_id())
     idx = dense_index(lines, ["_pos"], partition_cols=["_file"], index_col="_ln")
-    header_line = idx.where(F.col("_ln") == skip_rows).select("value").limit(1).collect()
-    if not header_line:
+    headers = idx.where(F.col("_ln") == skip_rows).groupBy("value").agg(F.min("_file").alias("_file")).limit(2).collect()
+    if not headers:
         raise ValueError(f"{path}: fewer than {skip_rows + 1} lines")
+    if len(headers) > 1:
+        raise ValueError(f"headers differ: {headers[0]['_file']} and {headers[1]['_file']}")
     body = idx.where(F.col("_ln") > skip_rows)
     if max_rows is not None:
         body = body.where(F.col("_ln") <= skip_rows + max_rows)
-    names = next(iter(csv.reader([header_line[0][0]])))
+    names = next(iter(csv.reader([headers[0]["value"]])))
     if schema is None:
         ddl = ", ".join(f"`{n}` string" for n in names)
     elif isinstance(schema, str):
         ddl = schema
     else:
         ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
-    # from_csv parses JVM-side; the line number keeps file order downstream
-    parsed = body.select("_file", "_ln", F.from_csv(F.col("value"), ddl).alias("_r"))
-    return parsed.orderBy("_file", "_ln").select("_r.*")
+    parsed = body.select("_file", "_ln", F.from_csv(F.col("value"), ddl).alias("_r"))  # JVM-side
+    return parsed.select(*(["_file", "_ln"] if positions else []), "_r.*")
 
 
 def read_stage(spark: SparkSession, path: str, schema: StructType | str | None = None,
