@@ -4,10 +4,9 @@ The reference samples posteriors with Hamiltonian Monte Carlo on one machine.
 Here the same questions — posterior summaries, intervals, predictive checks —
 are answered from the posterior **mode with a Laplace (Gaussian)
 approximation**: penalised IRLS (prior precision added to the Gram) gives the
-mode, the inverse penalised Gram the covariance. Draws are then generated as a
-Spark job from hash-seeded normals keyed by (chain, iteration, parameter), so
-the answer does not depend on partitioning. This is an approximation of the
-reference's sampler output, not the same Markov chain.
+mode, the inverse penalised Gram the covariance; intervals and predictive
+counts follow in closed form. This approximates a sampler's output and draws
+nothing; tables of draws made elsewhere can be summarised (M19, M22, W4).
 """
 from __future__ import annotations
 
@@ -15,12 +14,12 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.mathx import digamma, lgamma, nb_logpmf, norm_ppf, poisson_logpmf, trigamma
-from .glm import INTERCEPT, Design, _eta, _family, _gram, _theta_ml
+from ..functions.mathx import digamma, lgamma, trigamma
+from .aggregates import FUZZ
+from .glm import Design, NotConverged, _eta, _family, _gram, batch_sums, moment_theta, theta_step
 from .windows import acf
 
 
@@ -68,124 +67,82 @@ class Posterior:
         return self.terms + (["reciprocal_dispersion"] if self.theta is not None else [])
 
 
-def bayes_glm(d: Design, family: str = "poisson", priors: Priors | None = None, tol: float = 1e-8,
-              max_iter: int = 30, max_outer: int = 10) -> Posterior:
+def bayes_glm(d: Design, family: str = "poisson", priors: Priors | None = None, tol: float = 1e-10,
+              max_iter: int = 200) -> Posterior:
     """Posterior mode and Laplace covariance of a Poisson or NB2 GLM.
 
-    Convergence is judged on the penalised deviance (relative change), which
-    is robust to the summation-order noise of distributed sums."""
+    Each pass makes one penalised IRLS step for β and, for the negative
+    binomial, one Newton step for log θ (likelihood plus the prior's terms).
+    Convergence is judged on the penalised deviance and on θ."""
     pr = priors or Priors()
     m0, sd = pr.means(d), pr.sds(d)
     lam = np.diag(1.0 / sd ** 2)
-    theta = None
-    beta = None
     y, pw = F.col("_y"), F.col("_w")
-    for outer in range(max_outer):
-        # NB starts from the Poisson mode (θ unknown on the first round)
-        var, devf = _family(family if theta is not None else "poisson", theta)
-        pen_old = None
-        for _ in range(max_iter):
-            if beta is None:
-                eta = F.log(y + 0.1)
-                mu = y + 0.1
-            else:
-                eta = _eta(beta, d.p)
-                mu = F.exp(eta)
-            w = pw * mu * mu / var(mu)
-            z = eta + (y - mu) / mu
-            G, b, ex = _gram(d, w, z, {"dev": F.sum(pw * devf(mu))})
-            pen = float(ex["dev"]) + (0.0 if beta is None else float((beta - m0) @ lam @ (beta - m0)))
-            beta = np.linalg.solve(G + lam, b + lam @ m0)
-            if pen_old is not None and abs(pen - pen_old) / (abs(pen) + 0.1) < tol:
-                break
-            pen_old = pen
-        if family != "negbin":
-            break
-        t_new, _ = _theta_map(d, beta, theta, pr)
-        if theta is not None and abs(t_new - theta) < 1e-5 * (theta + 1e-9):
-            theta = t_new
+    theta, beta, pen_old, done = None, None, None, False
+    for _ in range(max_iter):
+        if beta is None:
+            mu = y + 0.1
+            eta = F.log(mu)
+        else:
+            eta = _eta(beta, d.p)
+            mu = F.exp(eta)
+        var, devf = _family(family, theta)
+        extra = {"dev": pw * devf(mu)}
+        if theta is not None:
+            t = F.lit(theta)
+            extra["score"] = pw * (digamma(y + t) - digamma(t) + math.log(theta) + 1.0 - F.log(t + mu) - (y + t) / (mu + t))
+            extra["info"] = pw * (-trigamma(y + t) + trigamma(t) - 1.0 / theta + 2.0 / (mu + t) - (y + t) / ((mu + t) * (mu + t)))
+        G, b, ex = _gram(d, pw * mu * mu / var(mu), eta + (y - mu) / mu, extra)
+        pen = ex["dev"] + (0.0 if beta is None else float((beta - m0) @ lam @ (beta - m0)))
+        still = pen_old is not None and abs(pen - pen_old) < tol * (abs(pen) + 0.1)
+        beta, pen_old = np.linalg.solve(G + lam, b + lam @ m0), pen
+        if family == "negbin":
+            if theta is None:
+                if still:  # from the Poisson mode on; without extra variance the prior alone bounds θ
+                    theta, pen_old = moment_theta(d, beta) or 100.0, None
+                continue
+            score, info = _with_prior(pr, theta, ex["score"], ex["info"])
+            new = theta_step(theta, score, info)
+            still, theta = still and abs(new - theta) < 1e-9 * theta, new
+        if still:
+            done = True
             break
-        theta = t_new
-    var, _ = _family(family, theta)
+    if not done:
+        raise NotConverged(f"{family} posterior mode: {max_iter} steps")
     mu = F.exp(_eta(beta, d.p))
-    G, _, _ = _gram(d, pw * mu * mu / var(mu), F.lit(0.0), {})
-    cov = np.linalg.inv(G + lam)
+    var, _ = _family(family, theta)
+    extra = {}
+    if theta is not None:
+        t = F.lit(theta)
+        extra["info"] = pw * (-trigamma(y + t) + trigamma(t) - 1.0 / theta + 2.0 / (mu + t) - (y + t) / ((mu + t) * (mu + t)))
+    G, _, ex = _gram(d, pw * mu * mu / var(mu), F.lit(0.0), extra)
     lt_sd = None
-    if family == "negbin":
-        _, info = _theta_map(d, beta, theta, pr, steps=0)
-        lt_sd = 1.0 / (theta * math.sqrt(info)) if info > 0 else float("nan")
-    return Posterior(family, list(d.terms), beta, cov, theta, lt_sd, d)
-
-
-def _theta_map(d: Design, beta, theta0, pr: Priors, steps: int = 15):
-    """Mode of θ at fixed μ: likelihood score/information plus the prior's."""
-    y, pw = F.col("_y"), F.col("_w")
-    mu = F.exp(_eta(beta, d.p))
-    if theta0 is None:
-        theta0, _ = _theta_ml(d, beta, None, max_iter=3)
-        theta0 = min(max(theta0, 1e-3), 1e6)
-    t = theta0
-    info = 0.0
-    for k in range(max(steps, 1)):
-        th = F.lit(t)
-        r = d.df.agg(
-            F.sum(pw * (digamma(y + th) - digamma(th) + math.log(t) + 1.0 - F.log(th + mu)
-                        - (y + th) / (mu + th))).alias("s"),
-            F.sum(pw * (-trigamma(y + th) + trigamma(th) - 1.0 / t + 2.0 / (mu + th)
-                        - (y + th) / ((mu + th) * (mu + th)))).alias("i")).collect()[0]
-        if pr.aux == "gamma":
-            s = r["s"] + (pr.aux_a - 1) / t - pr.aux_b
-            info = r["i"] + (pr.aux_a - 1) / t ** 2
-        else:
-            s = r["s"] - pr.aux_a
-            info = r["i"]
-        if steps == 0:
-            return t, info
-        step = s / info if info > 0 else t
-        t_new = t + step
-        while t_new <= 0:
-            step /= 2
-            t_new = t + step
-        if abs(t_new - t) < 1e-7 * (t + 1e-9):
-            return t_new, info
-        t = t_new
-    return t, info
-
-
-def hash_normal(seed: int, *keys: Column) -> Column:
-    """Standard normal keyed by the given columns (same value under any
-    partitioning): uniform from a 64-bit hash, then the normal quantile."""
-    h = F.xxhash64(F.lit(seed), *keys)
-    u = (F.pmod(h, F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
-    return norm_ppf(u)
-
-
-def hash_uniform(seed: int, *keys: Column) -> Column:
-    h = F.xxhash64(F.lit(seed), *keys)
-    return (F.pmod(h, F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
-
-
-def draws(spark: SparkSession, post: Posterior, chains: int = 4, iters: int = 1000, seed: int = 102) -> DataFrame:
-    """Posterior draws (chain, iter, param, value) from the Laplace
-    approximation: β = mode + L·z with L the Cholesky factor of the covariance;
-    log θ ~ N(log θ̂, sd²) for NB."""
-    L = np.linalg.cholesky(post.cov)
-    p = len(post.terms)
-    base = spark.range(chains * iters).select(
-        (F.col("id") / iters).cast("int").alias("chain"), (F.col("id") % iters).cast("int").alias("iter"))
-    z = [hash_normal(seed, F.col("chain"), F.col("iter"), F.lit(k)) for k in range(p + 1)]
-    base = base.select("chain", "iter", *[zk.alias(f"_z{k}") for k, zk in enumerate(z)])
-    cols = []
-    for i, name in enumerate(post.terms):
-        e = F.lit(float(post.mode[i]))
-        for k in range(i + 1):
-            if L[i, k] != 0:
-                e = e + F.col(f"_z{k}") * float(L[i, k])
-        cols.append(F.struct(F.lit(name).alias("param"), e.alias("value")))
+    if theta is not None:
+        _, info = _with_prior(pr, theta, 0.0, ex["info"])
+        lt_sd = 1.0 / (theta * math.sqrt(info)) if info > 0 else None
+    return Posterior(family, list(d.terms), beta, np.linalg.inv(G + lam), theta, lt_sd, d)
+
+
+def _with_prior(pr: Priors, theta: float, score: float, info: float) -> tuple[float, float]:
+    """Score and information of θ with its prior's terms added."""
+    if pr.aux == "gamma":
+        return score + (pr.aux_a - 1) / theta - pr.aux_b, info + (pr.aux_a - 1) / theta ** 2
+    return score - pr.aux_a, info
+
+
+def posterior_table(post: Posterior, probs=(0.025, 0.5, 0.975)) -> DataFrame:
+    """M19 for a fitted model: per parameter mode, sd and quantiles of its
+    Gaussian (θ: log-normal) approximation, in closed form."""
+    from statistics import NormalDist
+    z = [NormalDist().inv_cdf(p) for p in probs]
+    rows = [(t, float(m), float(s), *[float(m + s * q) for q in z])
+            for t, m, s in zip(post.terms, post.mode, np.sqrt(np.diag(post.cov)), strict=True)]
     if post.theta is not None:
-        e = F.exp(F.lit(math.log(post.theta)) + F.col(f"_z{p}") * float(post.log_theta_sd or 0.0))
-        cols.append(F.struct(F.lit("reciprocal_dispersion").alias("param"), e.alias("value")))
-    return base.select("chain", "iter", F.inline(F.array(*cols)))
+        sd = post.log_theta_sd
+        rows.append(("reciprocal_dispersion", float(post.theta), None if sd is None else float(post.theta * sd),
+                     *[None if sd is None else float(post.theta * math.exp(sd * q)) for q in z]))
+    names = ", ".join(f"{_qname(p)} double" for p in probs)
+    return post.design.df.sparkSession.createDataFrame(rows, f"param string, mode double, sd double, {names}")
 
 
 def summarise_draws(d: DataFrame, probs=(0.025, 0.5, 0.975), max_lag: int = 50, ess: bool = True) -> DataFrame:
@@ -203,24 +160,36 @@ def summarise_draws(d: DataFrame, probs=(0.025, 0.5, 0.975), max_lag: int = 50,
     wide_q = _quantiles_by(d, "param", "value", probs)
     out = base.join(wide_q, "param").join(rh, "param")
     if ess:
-        a = acf(d, ["param", "chain"], "iter", "value", max_lag)
-        a = a.groupBy("param", "lag").agg(F.avg("acf").alias("rho"))
-        pdf = a.toPandas()  # params × lags rows only
-        rows = []
-        for prm, g in pdf.groupby("param"):
-            rho = g.sort_values("lag")["rho"].to_numpy()
-            s = 0.0
-            for t in range(1, len(rho) - 1, 2):
-                pair = rho[t] + rho[t + 1]
-                if pair < 0:
-                    break
-                s += pair
-            rows.append((prm, float(1.0 + 2.0 * s)))
-        tau = d.sparkSession.createDataFrame(rows, "param string, tau double")
+        longest = int(ch.agg(F.max("cn")).collect()[0][0] or 1)
+        lags, tau = max_lag, None
+        while tau is None:
+            lags = min(lags, longest - 1)
+            rho: dict[str, dict[int, float]] = {}
+            a = acf(d, ["param", "chain"], "iter", "value", lags).groupBy("param", "lag").agg(F.avg("acf").alias("rho"))
+            for r in a.collect():  # params × lags rows
+                rho.setdefault(r["param"], {})[r["lag"]] = r["rho"]
+            ended = {p: _geyer(v, lags) for p, v in rho.items()}
+            if all(e for _, e in ended.values()) or lags >= longest - 1:
+                tau = [(p, t) for p, (t, _) in ended.items()]
+            else:  # the pair sums have not turned negative yet
+                lags *= 4
+        tau = d.sparkSession.createDataFrame(tau, "param string, tau double")
         out = out.join(tau, "param").withColumn("ess", F.col("m") * F.col("n") / F.col("tau")).drop("tau")
     return out.drop("m", "n")
 
 
+def _geyer(rho: dict[int, float], lags: int) -> tuple[float, bool]:
+    """1 + 2 Σ of autocorrelations over pairs until a pair's sum is negative,
+    and whether that happened within ``lags``."""
+    total = 0.0
+    for t in range(1, lags, 2):
+        pair = rho.get(t, 0.0) + rho.get(t + 1, 0.0)
+        if pair < 0:
+            return 1.0 + 2.0 * total, True
+        total += pair
+    return 1.0 + 2.0 * total, False
+
+
 def _quantiles_by(df: DataFrame, group: str, col: str, probs) -> DataFrame:
     """Exact type-7 quantiles per group, wide (q2_5, q50, …), distributed."""
     from .features import quantiles_by
@@ -242,76 +211,42 @@ def prior_table(spark: SparkSession, d: Design, priors: Priors, family: str = "p
     return spark.createDataFrame(rows, "param string, dist string, a double, b double")
 
 
-def prior_draws(spark: SparkSession, d: Design, priors: Priors, n: int = 1000, seed: int = 102,
-                family: str = "poisson") -> DataFrame:
-    """Draws from the prior only (``prior_PD``): (draw, param, value)."""
-    sd, m = priors.sds(d), priors.means(d)
-    base = spark.range(n).withColumnRenamed("id", "draw")
-    cols = [F.struct(F.lit(t).alias("param"),
-                     (F.lit(float(m[i])) + F.lit(float(sd[i])) * hash_normal(seed, F.col("draw"), F.lit(i)))
-                     .alias("value")) for i, t in enumerate(d.terms)]
-    if family == "negbin":
-        u = hash_uniform(seed, F.col("draw"), F.lit(-1))
-        if priors.aux == "exponential":
-            v = -F.log(u) / priors.aux_a
-        else:  # Wilson-Hilferty approximation of a gamma quantile
-            a = priors.aux_a
-            zq = hash_normal(seed, F.col("draw"), F.lit(-2))
-            v = F.lit(a) * F.pow(1 - 1 / (9 * a) + zq * math.sqrt(1 / (9 * a)), 3) / priors.aux_b
-        cols.append(F.struct(F.lit("reciprocal_dispersion").alias("param"), v.alias("value")))
-    return base.select("draw", F.inline(F.array(*cols)))
-
-
-def pp_check(post: Posterior, n_draws: int = 5, seed: int = 1, start: float = 0.0, stop: float = 200.0,
-             width: float = 10.0, chains: int = 4, iters: int = 1000) -> DataFrame:
-    """Replicated responses for ``n_draws`` posterior draws against the
-    observed response, as histograms on fixed breaks: (draw, bin, lo, hi, n),
-    draw 0 = observed. Each row is repeated ``n_draws`` times (a fixed small
-    factor); replicates are sampled inside Arrow batches with a generator seeded
-    by (seed, row key, draw), so they do not depend on partitioning."""
+def expected_counts(post: Posterior, start: float, stop: float, width: float) -> DataFrame:
+    """Observed and expected counts per bin at the posterior mode:
+    (bin, lo, hi, observed, expected). The expected count of a bin is the sum
+    over all rows of the fitted probability that a count falls into (lo, hi],
+    the lowest edge included. What lies outside the breaks is kept in a row
+    with NULL edges. Each task runs the recurrence of the probabilities over
+    its rows in numpy; nothing is simulated."""
     d = post.design
-    spark = d.df.sparkSession
-    dr = draws(spark, post, chains, iters, seed).where(F.col("iter") < n_draws).where(F.col("chain") == 0)
-    wide = dr.groupBy("iter").pivot("param", post.params()).agg(F.first("value")).collect()
-    coefs = {int(r["iter"]) + 1: [float(r[t]) for t in post.terms] for r in wide}
-    thetas = {int(r["iter"]) + 1: (float(r["reciprocal_dispersion"]) if post.theta is not None else None)
-              for r in wide}
-    rows = d.df.select(F.xxhash64(*[F.col(k) for k in d.keys] or [F.monotonically_increasing_id()]).alias("_k"),
-                       "_y", *d.xcols()).withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(n_draws))))
-    eta = None
-    for k, coef in coefs.items():
-        e = _eta(np.array(coef), d.p)
-        eta = F.when(F.col("draw") == k, e) if eta is None else eta.when(F.col("draw") == k, e)
-    th = None
-    if post.theta is not None:
-        for k, t in thetas.items():
-            th = F.when(F.col("draw") == k, F.lit(t)) if th is None else th.when(F.col("draw") == k, F.lit(t))
-    mu = rows.select("_k", "draw", F.exp(eta).alias("mu"), (th if th is not None else F.lit(None).cast("double"))
-                     .alias("theta"))
-
-    def sample(batches):
-        for b in batches:
-            out = np.empty(len(b))
-            for i, (k, dr_, m, t) in enumerate(zip(b["_k"], b["draw"], b["mu"], b["theta"])):
-                g = np.random.default_rng([seed, int(k) & 0xFFFFFFFF, (int(k) >> 32) & 0xFFFFFFFF, int(dr_)])
-                lam = m if t is None or t != t else g.gamma(t, m / t)
-                out[i] = g.poisson(lam)
-            yield pd.DataFrame({"draw": b["draw"], "y": out})
-
-    rep = mu.mapInPandas(sample, "draw int, y double")
-    obs = d.df.select(F.lit(0).alias("draw"), F.col("_y").alias("y"))
-    allv = obs.unionByName(rep)
-    nb = int(round((stop - start) / width))
-    x = F.col("y")
-    inside = (x >= start) & (x <= stop)
-    binned = allv.where(inside).groupBy("draw", F.greatest(F.ceil((x - start) / width), F.lit(1)).cast("long")
-                                        .alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-    grid = spark.range(0, n_draws + 1).select(F.col("id").cast("int").alias("draw")).withColumn(
-        "bin", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(nb).cast("long"))))
-    out = grid.join(binned, ["draw", "bin"], "left")
-    return out.select("draw", "bin", (F.lit(start) + (F.col("bin") - 1) * width).alias("lo"),
-                      (F.lit(start) + F.col("bin") * width).alias("hi"),
-                      F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+    bins = int(round((stop - start) / width))
+    last = int(math.floor(stop + FUZZ * width))
+    of = np.full(last + 1, bins)  # bin of every count 0..last; ``bins`` is outside
+    for k in range(last + 1):
+        if k >= start - FUZZ * width:
+            of[k] = max(1, math.ceil((k - start) / width - FUZZ)) - 1
+    theta = post.theta
+
+    def add(m):
+        y, mu, w = m[:, 0], m[:, 1], np.ones(len(m))
+        out = np.zeros((2, bins + 1))
+        inside = (y >= start - FUZZ * width) & (y <= stop + FUZZ * width)
+        seen = np.maximum(1, np.ceil((y - start) / width - FUZZ)).astype(int) - 1
+        out[0] = np.bincount(np.where(inside, seen, bins), minlength=bins + 1)
+        p = np.exp(-mu) if theta is None else np.exp(-theta * np.log1p(mu / theta))
+        left = float(len(m))
+        for k in range(last + 1):
+            total = float((p * w).sum())
+            out[1, of[k]] += total
+            left -= total
+            p = p * mu / (k + 1) if theta is None else p * (k + theta) / (k + 1) * (mu / (mu + theta))
+        out[1, bins] += max(left, 0.0)
+        return out.ravel()
+
+    s = batch_sums(d.df, [F.col("_y"), F.exp(_eta(post.mode, d.p))], add, 2 * (bins + 1)).reshape(2, bins + 1)
+    rows = [(i + 1 if i < bins else None, start + i * width if i < bins else None, start + (i + 1) * width if i < bins else None,
+             int(s[0, i]), float(s[1, i])) for i in range(bins + 1)]
+    return d.df.sparkSession.createDataFrame(rows, "bin long, lo double, hi double, observed long, expected double")
 
 
 def trace(d: DataFrame) -> DataFrame:
@@ -340,7 +275,7 @@ def nb_shape_regression(d: Design, zcols: list[str], priors: Priors | None = Non
     sd = np.concatenate([pr.sds(d), np.full(q, shape_sd)])
     theta = np.concatenate([np.zeros(p), np.zeros(q)])
     theta[0] = math.log(max(d.df.agg(F.avg("_y")).collect()[0][0], 1e-3))
-    lp_old = None
+    lp_old, done = None, False
     for _ in range(max_iter):
         b, g = theta[:p], theta[p:]
         mu = F.exp(_eta(b, p))
@@ -355,25 +290,27 @@ def nb_shape_regression(d: Design, zcols: list[str], priors: Priors | None = Non
         h_mm = -phi * mu * (y + phi) / ((mu + phi) * (mu + phi))
         h_mp = phi * mu * (y - mu) / ((mu + phi) * (mu + phi))
         h_pp = phi * A + phi * phi * dA
-        v = x + zc
-        gr = [g_mu] * p + [g_phi] * q
-        aggs = [F.sum(pw * v[i] * gr[i]).alias(f"g{i}") for i in range(p + q)]
-        for i in range(p + q):
-            for j in range(i, p + q):
-                hij = h_mm if (i < p and j < p) else (h_pp if (i >= p and j >= p) else h_mp)
-                aggs.append(F.sum(pw * v[i] * v[j] * hij).alias(f"h{i}_{j}"))
         ll = lgamma(y + phi) - lgamma(phi) - lgamma(y + 1.0) + phi * F.log(phi / (phi + mu)) + \
             F.when(y > 0, y * F.log(mu / (phi + mu))).otherwise(F.lit(0.0))
-        aggs.append(F.sum(pw * ll).alias("ll"))
-        r = d.df.agg(*aggs).collect()[0]
-        grad = np.array([r[f"g{i}"] for i in range(p + q)]) - (theta - m0) / sd ** 2
-        H = np.zeros((p + q, p + q))
-        for i in range(p + q):
-            for j in range(i, p + q):
-                H[i, j] = H[j, i] = r[f"h{i}_{j}"]
+
+        def add(m):
+            xm, zm = m[:, :p], m[:, p:p + q]
+            w, gm, gp, hm, hx, hp, lv = (m[:, p + q + i:p + q + i + 1] for i in range(7))
+            hess = np.zeros((p + q, p + q))
+            hess[:p, :p] = xm.T @ (xm * (w * hm))
+            hess[:p, p:] = xm.T @ (zm * (w * hx))
+            hess[p:, :p] = hess[:p, p:].T
+            hess[p:, p:] = zm.T @ (zm * (w * hp))
+            return np.concatenate([(xm * (w * gm)).sum(0), (zm * (w * gp)).sum(0), hess.ravel(), (w * lv).sum(0)])
+
+        s = batch_sums(d.df, [*x, *zc, pw, g_mu, g_phi, h_mm, h_mp, h_pp, ll], add, (p + q) * (p + q + 1) + 1)
+        grad = s[:p + q] - (theta - m0) / sd ** 2
+        H = s[p + q:-1].reshape(p + q, p + q).copy()
+        r = {"ll": s[-1]}
         H -= np.diag(1.0 / sd ** 2)
         lp = r["ll"] - 0.5 * np.sum((theta - m0) ** 2 / sd ** 2)
-        if lp_old is not None and abs(lp - lp_old) < tol * (abs(lp) + 1):
+        done = lp_old is not None and abs(lp - lp_old) < tol * (abs(lp) + 1)
+        if done:
             break
         lp_old = lp
         try:
@@ -383,5 +320,7 @@ def nb_shape_regression(d: Design, zcols: list[str], priors: Priors | None = Non
         if not np.all(np.linalg.eigvalsh(H) < 0):
             step = -grad / (np.abs(np.diag(H)) + 1.0)  # not concave here: scaled gradient step
         theta = theta - np.clip(step, -2.0, 2.0)
+    if not done:
+        raise NotConverged(f"shape regression: {max_iter} steps")
     cov = np.linalg.inv(-H)
     return theta[:p], theta[p:], cov

@@ -1,11 +1,13 @@
 """Count regression: Poisson, quasi-Poisson and negative
 binomial GLMs with a log link, fitted by IRLS.
 
-Each IRLS step is one aggregate pass over a cached design: the upper triangle
-of Xᵀ W X, Xᵀ W z and the deviance are sums of column expressions (JVM-side,
-partial + final aggregation); only the p×p solve runs on the driver. θ of the
-negative binomial is found by Newton steps on its profile score, each one more
-pass with digamma / trigamma column expressions.
+Each IRLS step is one pass over a cached design. Weights, working response and
+likelihood terms are column expressions; Xᵀ W X and Xᵀ W z are summed per Arrow
+batch with numpy, one vector per task, and added up by Spark, so the time is
+linear in the rows and one matrix product per batch in the columns. Only the
+p×p solve runs on the driver. θ of the negative binomial is found by Newton
+steps on its profile score from the same passes. A fit that does not converge
+raises ``NotConverged``.
 """
 from __future__ import annotations
 
@@ -13,10 +15,11 @@ import math
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.mathx import digamma, lgamma, nb_logpmf, norm_ppf, norm_sf2, poisson_logpmf, trigamma
+from ..functions.mathx import digamma, lgamma, nb_logpmf, norm_ppf, norm_sf2, poisson_logpmf, t_sf2, trigamma
 from .features import levels
 from .windows import dense_index
 
@@ -38,6 +41,14 @@ class Design:
     def xcols(self) -> list[Column]:
         return [F.col(f"_x{j}") for j in range(self.p)]
 
+    def free(self) -> None:
+        """Release the cached rows; later reads compute them again."""
+        self.df.unpersist()
+
+
+class NotConverged(RuntimeError):
+    """A fit that stopped at its last allowed step."""
+
 
 def design(df: DataFrame, y: str, numeric=(), factors=(), weight: str | None = None,
            keys=(), level_map: dict | None = None, cache: bool = True) -> Design:
@@ -78,26 +89,41 @@ def _eta(beta: np.ndarray, p: int) -> Column:
     return e
 
 
+def batch_sums(df: DataFrame, columns: list[Column], fn, size: int) -> np.ndarray:
+    """Σ over Arrow batches of ``fn(matrix of the columns) -> vector``: every
+    task adds up its batches and hands on one vector, Spark sums these."""
+    named = df.select(*[c.cast("double").alias(f"c{i}") for i, c in enumerate(columns)])
+
+    def run(batches):
+        total = np.zeros(size)
+        for b in batches:
+            if b.num_rows:
+                total += fn(np.column_stack([c.to_numpy(zero_copy_only=False) for c in b.columns]))
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["i", "v"])
+
+    out = np.zeros(size)
+    for r in named.mapInArrow(run, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect():
+        out[r.i] = r.v
+    return out
+
+
 def _gram(d: Design, w: Column, z: Column, extra: dict[str, Column]) -> tuple[np.ndarray, np.ndarray, dict]:
+    """XᵀWX, XᵀWz and the sums of the ``extra`` row expressions, in one pass."""
     p = d.p
-    x = d.xcols()
-    aggs = []
-    for i in range(p):
-        for j in range(i, p):
-            aggs.append(F.sum(w * x[i] * x[j]).alias(f"g{i}_{j}"))
-    aggs += [F.sum(w * x[i] * z).alias(f"b{i}") for i in range(p)]
-    aggs += [e.alias(k) for k, e in extra.items()]
-    r = d.df.agg(*aggs).collect()[0]
-    G = np.zeros((p, p))
-    for i in range(p):
-        for j in range(i, p):
-            G[i, j] = G[j, i] = r[f"g{i}_{j}"]
-    b = np.array([r[f"b{i}"] for i in range(p)], dtype=float)
-    return G, b, {k: r[k] for k in extra}
+
+    def add(m):
+        x, wx = m[:, :p], m[:, :p] * m[:, p:p + 1]
+        return np.concatenate([(x.T @ wx).ravel(), wx.T @ m[:, p + 1], m[:, p + 2:].sum(0)])
+
+    s = batch_sums(d.df, [*d.xcols(), w, z, *extra.values()], add, p * p + p + len(extra))
+    return s[:p * p].reshape(p, p), s[p * p:p * p + p], dict(zip(extra, s[p * p + p:].tolist(), strict=True))
 
 
 def _family(family: str, theta: float | None):
+    """Variance and deviance terms; a negative binomial without θ is Poisson."""
     y = F.col("_y")
+    family = "poisson" if theta is None else family
 
     def var(mu):
         return mu if family == "poisson" else mu + mu * mu / F.lit(theta)
@@ -115,9 +141,7 @@ def _irls(d: Design, family: str, theta: float | None, beta0: np.ndarray | None,
           tol: float = 1e-8, max_iter: int = 50):
     var, devf = _family(family, theta)
     y, pw = F.col("_y"), F.col("_w")
-    beta = beta0
-    dev_old = None
-    it = 0
+    beta, dev_old, converged = beta0, None, False
     for it in range(1, max_iter + 1):
         if beta is None:
             mu = y + 0.1 if family == "poisson" else y + F.lit(1.0 / 6.0)
@@ -127,24 +151,23 @@ def _irls(d: Design, family: str, theta: float | None, beta0: np.ndarray | None,
             mu = F.exp(eta)
         w = pw * mu * mu / var(mu)
         z = eta + (y - mu) / mu
-        G, b, ex = _gram(d, w, z, {"dev": F.sum(pw * devf(mu)) if beta is not None else F.lit(0.0)})
+        G, b, ex = _gram(d, w, z, {"dev": pw * devf(mu) if beta is not None else F.lit(0.0)})
         beta_new = np.linalg.solve(G, b)
         if beta is not None:
-            dev = float(ex["dev"])
-            if dev_old is not None and abs(dev - dev_old) / (abs(dev) + 0.1) < tol:
-                beta = beta_new
-                break
-            dev_old = dev
+            converged = dev_old is not None and abs(ex["dev"] - dev_old) / (abs(ex["dev"]) + 0.1) < tol
+            dev_old = ex["dev"]
         beta = beta_new
+        if converged:
+            break
+    if not converged:
+        raise NotConverged(f"{family} fit: {max_iter} steps")
     # final pass at beta: Gram for the covariance, deviance, Pearson χ², log-likelihood, n
     eta = _eta(beta, d.p)
     mu = F.exp(eta)
     w = pw * mu * mu / var(mu)
     ll = poisson_logpmf(y, mu) if family == "poisson" else nb_logpmf(y, mu, F.lit(theta))
-    G, _, ex = _gram(d, w, eta, {"dev": F.sum(pw * devf(mu)),
-                                 "pearson": F.sum(pw * (y - mu) * (y - mu) / var(mu)),
-                                 "ll": F.sum(pw * ll), "n": F.count(F.lit(1)),
-                                 "sw": F.sum(pw)})
+    G, _, ex = _gram(d, w, eta, {"dev": pw * devf(mu), "pearson": pw * (y - mu) * (y - mu) / var(mu),
+                                 "ll": pw * ll, "n": F.lit(1.0), "sw": pw})
     return beta, G, ex, it
 
 
@@ -159,9 +182,11 @@ class GLMFit:
     loglik: float
     n: int
     iterations: int
-    theta: float | None = None
+    theta: float | None = None        # NULL: Poisson, or the negative binomial's Poisson limit
     theta_se: float | None = None
     quasi: bool = False
+    poisson_limit: bool = False       # a negative binomial whose θ is infinite
+    converged: bool = True            # a fit that is not raises NotConverged
 
     @property
     def terms(self):
@@ -185,10 +210,11 @@ class GLMFit:
         return -2.0 * self.loglik + 2.0 * k
 
     def coefficients(self, spark: SparkSession) -> DataFrame:
-        """Coefficient table (term, estimate, std_error, z_value, p_value);
-        t statistics for quasi fits use the normal tail as well."""
+        """Coefficient table (term, estimate, std_error, z_value, p_value); a
+        quasi fit's statistics are referred to t with the residual df."""
         se = np.sqrt(np.diag(self.cov))
-        rows = [(t, float(b), float(s), float(b / s), float(norm_sf2(b / s)))
+        tail = (lambda v: t_sf2(v, self.df_resid)) if self.quasi else norm_sf2
+        rows = [(t, float(b), float(s), float(b / s), float(tail(b / s)))
                 for t, b, s in zip(self.terms, self.beta, se)]
         return spark.createDataFrame(rows, "term string, estimate double, std_error double, "
                                            "z_value double, p_value double")
@@ -196,10 +222,10 @@ class GLMFit:
     def summary(self, spark: SparkSession) -> DataFrame:
         row = [(self.family + ("-quasi" if self.quasi else ""), float(self.deviance), int(self.df_resid),
                 float(self.pearson), float(self.dispersion), float(self.loglik), float(self.aic),
-                float(self.theta) if self.theta is not None else None, int(self.iterations))]
+                float(self.theta) if self.theta is not None else None, int(self.iterations), self.poisson_limit, self.converged)]
         return spark.createDataFrame(row, "family string, deviance double, df_resid long, pearson_chi2 double, "
                                           "dispersion double, loglik double, aic double, theta double, "
-                                          "iterations int")
+                                          "iterations int, poisson_limit boolean, converged boolean")
 
 
 def poisson_glm(d: Design, quasi: bool = False, tol: float = 1e-8, max_iter: int = 50) -> GLMFit:
@@ -215,35 +241,21 @@ def overdispersion(fit: GLMFit) -> dict:
     return {"deviance": fit.deviance, "df_resid": fit.df_resid, "ratio": r, "overdispersed": r > 1}
 
 
-def _theta_ml(d: Design, beta: np.ndarray, theta0: float | None, tol: float = 1e-7, max_iter: int = 15):
-    """Newton on the profile score of θ at fixed μ (MASS ``theta.ml``)."""
+def moment_theta(d: Design, beta: np.ndarray) -> float | None:
+    """Moment estimate of θ at μ = exp(Xβ) (Var = μ + μ²/θ). None where
+    Σ w ((y − μ)² − y) ≤ 0: twice the slope of the likelihood in 1/θ at zero,
+    so the most likely θ is infinite, the Poisson limit."""
     y, pw = F.col("_y"), F.col("_w")
     mu = F.exp(_eta(beta, d.p))
-    if theta0 is None:
-        r = d.df.agg(F.sum(pw).alias("n"), F.sum(pw * F.pow(y / mu - 1.0, 2)).alias("s")).collect()[0]
-        theta0 = float(r["n"]) / max(float(r["s"]), 1e-12)
-    t = max(theta0, 1e-6)
-    info = None
-    for _ in range(max_iter):
-        th = F.lit(t)
-        r = d.df.agg(
-            F.sum(pw * (digamma(y + th) - digamma(th) + math.log(t) + 1.0 - F.log(th + mu)
-                        - (y + th) / (mu + th))).alias("score"),
-            F.sum(pw * (-trigamma(y + th) + trigamma(th) - 1.0 / t + 2.0 / (mu + th)
-                        - (y + th) / ((mu + th) * (mu + th)))).alias("info")).collect()[0]
-        score, info = float(r["score"]), float(r["info"])
-        step = score / info if info > 0 else -t / 2
-        t_new = t + step
-        while t_new <= 0:  # step-halving keeps θ positive
-            step /= 2
-            t_new = t + step
-        if t_new > 1e8:   # no overdispersion: θ → ∞ (Poisson limit)
-            return 1e8, float("nan")
-        if abs(t_new - t) < tol * (t + tol):
-            t = t_new
-            break
-        t = t_new
-    return t, (1.0 / math.sqrt(info) if info and info > 0 else float("nan"))
+    r = d.df.agg(F.sum(pw * ((y - mu) * (y - mu) - y)).alias("num"), F.sum(pw * mu * mu).alias("den")).collect()[0]
+    return float(r["den"]) / float(r["num"]) if r["num"] is not None and r["num"] > 0 else None
+
+
+def theta_step(th: float, score: float, info: float) -> float:
+    """θ after one Newton step on log θ, at most a factor e² away."""
+    slope, bend = th * score, th * th * info - th * score
+    step = slope / bend if bend > 0 else math.copysign(2.0, slope)
+    return th * math.exp(min(2.0, max(-2.0, step)))
 
 
 def _nb_pass(d: Design, beta: np.ndarray, th: float):
@@ -256,68 +268,42 @@ def _nb_pass(d: Design, beta: np.ndarray, th: float):
     t = F.lit(th)
     w = pw * mu * mu / var(mu)
     z = eta + (y - mu) / mu
-    G, b, ex = _gram(d, w, z, {
-        "dev": F.sum(pw * devf(mu)), "ll": F.sum(pw * nb_logpmf(y, mu, t)),
-        "pearson": F.sum(pw * (y - mu) * (y - mu) / var(mu)), "n": F.count(F.lit(1)),
-        "score": F.sum(pw * (digamma(y + t) - digamma(t) + math.log(th) + 1.0 - F.log(t + mu) - (y + t) / (mu + t))),
-        "info": F.sum(pw * (-trigamma(y + t) + trigamma(t) - 1.0 / th + 2.0 / (mu + t)
-                            - (y + t) / ((mu + t) * (mu + t))))})
-    return G, b, ex
+    return _gram(d, w, z, {
+        "dev": pw * devf(mu), "ll": pw * nb_logpmf(y, mu, t),
+        "pearson": pw * (y - mu) * (y - mu) / var(mu), "n": F.lit(1.0),
+        "score": pw * (digamma(y + t) - digamma(t) + math.log(th) + 1.0 - F.log(t + mu) - (y + t) / (mu + t)),
+        "info": pw * (-trigamma(y + t) + trigamma(t) - 1.0 / th + 2.0 / (mu + t)
+                      - (y + t) / ((mu + t) * (mu + t)))})
 
 
-def negbin_glm(d: Design, theta: float | None = None, tol: float = 1e-8, max_iter: int = 60) -> GLMFit:
+def negbin_glm(d: Design, theta: float | None = None, tol: float = 1e-10, max_iter: int = 100) -> GLMFit:
     """M8 (and M9 through the design's prior weights): NB2 GLM, log link.
 
     Starts from the Poisson fit and a moment estimate of θ, then each pass
-    makes one IRLS step for β and one Newton step for θ (profile score, as
-    MASS ``theta.ml``) from the same aggregates — the joint fixed point is the
+    makes one IRLS step for β and one Newton step for log θ (profile score, as
+    MASS ``theta.ml``) from the same sums — the joint fixed point is the
     ``glm.nb`` estimate, reached in a few passes instead of nested loops.
-    A fixed ``theta`` skips the θ steps."""
-    beta, G, ex, it = _irls(d, "poisson", None, None)
-    total = it
-    fixed = theta is not None
-    if fixed:
-        th = float(theta)
-    else:
-        # moment estimate of α = 1/θ at the Poisson fit (Var = μ + αμ²); α ≤ 0
-        # means no extra-Poisson variance: the ML θ is infinite (Poisson limit)
-        y, pw = F.col("_y"), F.col("_w")
-        mu = F.exp(_eta(beta, d.p))
-        r = d.df.agg(F.sum(pw * ((y - mu) * (y - mu) - y)).alias("num"),
-                     F.sum(pw * mu * mu).alias("den")).collect()[0]
-        alpha = float(r["num"]) / max(float(r["den"]), 1e-300)
-        if alpha <= 1e-6:
-            th, fixed = 1e8, True
-        else:
-            th = min(max(1.0 / alpha, 1e-4), 1e6)
-    ll_old = None
-    info = float("nan")
+    A fixed ``theta`` skips the θ steps. Data without more variance than a
+    Poisson have no finite θ: the fit is the Poisson one, ``poisson_limit``."""
+    beta, G, ex, total = _irls(d, "poisson", None, None)
+    th = float(theta) if theta is not None else moment_theta(d, beta)
+    if th is None:
+        return GLMFit("negbin", d, beta, G, ex["dev"], ex["pearson"], ex["ll"], int(ex["n"]), total, poisson_limit=True)
+    ll_old, done = None, False
     for _ in range(max_iter):
         G, b, ex = _nb_pass(d, beta, th)
         total += 1
-        ll = float(ex["ll"])
-        beta_new = np.linalg.solve(G, b)
-        th_new = th
-        if not fixed:
-            score, info = float(ex["score"]), float(ex["info"])
-            step = score / info if info > 0 else -th / 2
-            th_new = th + step
-            while th_new <= 0:
-                step /= 2
-                th_new = th + step
-            if th_new > 1e6:
-                # no overdispersion left: θ → ∞ is the Poisson limit; pin θ
-                # and let β converge alone instead of walking θ up step by step
-                th_new, fixed = 1e8, True
-        done = (ll_old is not None and abs(ll - ll_old) < tol * (abs(ll) + 1)
-                and abs(th_new - th) < 1e-6 * th)
-        beta, th, ll_old = beta_new, th_new, ll
+        beta = np.linalg.solve(G, b)
+        th_new = th if theta is not None else theta_step(th, ex["score"], ex["info"])
+        done = ll_old is not None and abs(ex["ll"] - ll_old) < tol * (abs(ex["ll"]) + 1) and abs(th_new - th) < 1e-9 * th
+        th, ll_old = th_new, ex["ll"]
         if done:
             break
+    if not done:
+        raise NotConverged(f"negative binomial fit: {max_iter} steps, θ at {th:.4g}")
     G, _, ex = _nb_pass(d, beta, th)
-    th_se = 1.0 / math.sqrt(float(ex["info"])) if (theta is None and th < 1e8 and float(ex["info"]) > 0) else None
-    return GLMFit("negbin", d, beta, G, float(ex["dev"]), float(ex["pearson"]), float(ex["ll"]),
-                  int(ex["n"]), total, theta=th, theta_se=th_se)
+    th_se = 1.0 / math.sqrt(ex["info"]) if theta is None and ex["info"] > 0 else None
+    return GLMFit("negbin", d, beta, G, ex["dev"], ex["pearson"], ex["ll"], int(ex["n"]), total, theta=th, theta_se=th_se)
 
 
 def with_inverse_residual_weights(df: DataFrame, fit: GLMFit, out: str = "w_resid",
@@ -391,7 +377,7 @@ def eliminate(df: DataFrame, y: str, numeric=(), factors=(), drop=(), max_gvif:
         dropped.append(worst[0])
         numeric = [c for c in numeric if c != worst[0]]
         factors = [c for c in factors if c != worst[0]]
-        d.df.unpersist()
+        d.free()
 
 
 def glm_diagnostics(fit: GLMFit, qq: bool = True) -> DataFrame:

@@ -3,13 +3,16 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType
 
 from ..functions.mathx import chi2_sf
+from ..session import cut_lineage
 
 
 @pandas_udf(DoubleType())
@@ -17,52 +20,89 @@ def _chi2_p(stat: pd.Series, dof: pd.Series) -> pd.Series:
     return pd.Series(chi2_sf(stat.to_numpy(dtype=float), dof.to_numpy(dtype=float)))
 
 
+def pair_cells(df: DataFrame, cols) -> DataFrame:
+    """(pair, va, vb, n): counts of the value pairs of every pair of columns,
+    NULLs left out. Each task codes the columns of an Arrow batch once and
+    counts all pairs in numpy, so one scan and one exchange of counts serve any
+    number of pairs; ``pair`` numbers the pairs in column order."""
+    cols = list(cols)
+    pairs = [(i, j) for i in range(len(cols)) for j in range(i + 1, len(cols))]
+
+    def run(batches):
+        for b in batches:
+            coded = []
+            for c in b.columns:
+                d = c.dictionary_encode()
+                coded.append((d.indices.fill_null(-1).to_numpy(), d.dictionary.to_pylist()))
+            out = ([], [], [], [])
+            for p, (i, j) in enumerate(pairs):
+                (a, la), (z, lz) = coded[i], coded[j]
+                ok = (a >= 0) & (z >= 0)
+                code = a[ok].astype(np.int64) * len(lz) + z[ok]
+                if len(la) * len(lz) <= 1 << 16:
+                    n = np.bincount(code, minlength=len(la) * len(lz))
+                    at = np.flatnonzero(n)
+                    n = n[at]
+                else:
+                    at, n = np.unique(code, return_counts=True)
+                out[0].append(np.full(len(at), p, np.int32))
+                out[1].extend(la[k] for k in at // max(len(lz), 1))
+                out[2].extend(lz[k] for k in at % max(len(lz), 1))
+                out[3].append(n.astype(np.int64))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate(out[0])), pa.array(out[1], pa.string()), pa.array(out[2], pa.string()),
+                 pa.array(np.concatenate(out[3]))], names=["pair", "va", "vb", "n"])
+
+    text = df.select(*[F.col(c).cast("string").alias(f"c{i}") for i, c in enumerate(cols)])
+    return text.mapInArrow(run, "pair int, va string, vb string, n long").groupBy("pair", "va", "vb").agg(
+        F.sum("n").cast("double").alias("o"))
+
+
 def chi_square_pairs(df: DataFrame, cols, yates: bool = True, with_p: bool = True,
                      symmetric: bool = True) -> DataFrame:
     """M1: Pearson χ² test of independence for every pair of columns, in one job.
 
-    Rows are first reduced to distinct value vectors with a count (partial
-    aggregate), then each vector emits one cell per column pair (the pair list
-    is fixed by the schema, not by the data) and cells are summed. With
-    observed cells o, row totals r, column totals c and N:
-    χ² = N·(Σ o²/(r·c) − 1), dof = (R−1)(C−1) over non-empty levels. For 2×2
-    tables with ``yates`` (R ``chisq.test`` default) the corrected statistic
+    The cells of all pairs come from one scan (``pair_cells``) and are
+    checkpointed; totals and statistics are grouped from them. With observed
+    cells o, row totals r, column totals c and N: χ² = N·(Σ o²/(r·c) − 1),
+    dof = (R−1)(C−1) over non-empty levels. For 2×2 tables with ``yates`` (R
+    ``chisq.test`` default) the corrected statistic
     Σ (|o−e| − min(½, |o−e|))²/e over all four cells is used instead.
     p-values come from the χ² upper tail on the small result only.
     """
     cols = list(cols)
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
-    vec = df.select(*[F.col(c).cast("string").alias(c) for c in cols]).groupBy(*cols).agg(
-        F.count(F.lit(1)).alias("_n"))
-    cells = vec.select(F.inline(F.array(*[
-        F.struct(F.lit(a).alias("var1"), F.lit(b).alias("var2"), F.col(a).alias("va"), F.col(b).alias("vb"))
-        for a, b in pairs])), "_n").where(F.col("va").isNotNull() & F.col("vb").isNotNull())
-    cells = cells.groupBy("var1", "var2", "va", "vb").agg(F.sum("_n").cast("double").alias("o"))
-    rows = cells.groupBy("var1", "var2", "va").agg(F.sum("o").alias("r"))
-    colt = cells.groupBy("var1", "var2", "vb").agg(F.sum("o").alias("c"))
-    tot = rows.groupBy("var1", "var2").agg(F.sum("r").alias("N"), F.count(F.lit(1)).alias("R"))
-    tot = tot.join(colt.groupBy("var1", "var2").agg(F.count(F.lit(1)).alias("C")), ["var1", "var2"])
+    cells = cut_lineage(pair_cells(df, cols))
+    # row and column totals of every pair in one pass: side 0 has a column value's level
+    side = cells.select("pair", "o", F.posexplode(F.array("va", "vb")).alias("side", "level")) \
+        .groupBy("pair", "side", "level").agg(F.sum("o").alias("t"))
+    rows = side.where("side = 0").select("pair", F.col("level").alias("va"), F.col("t").alias("r"))
+    colt = side.where("side = 1").select("pair", F.col("level").alias("vb"), F.col("t").alias("c"))
+    tot = side.groupBy("pair").agg(F.sum(F.when(F.col("side") == 0, F.col("t"))).alias("N"),
+                                   F.count_if(F.col("side") == 0).alias("R"), F.count_if(F.col("side") == 1).alias("C"))
     # Pearson statistic over observed cells only
-    x = cells.join(rows, ["var1", "var2", "va"]).join(colt, ["var1", "var2", "vb"])
-    pear = x.groupBy("var1", "var2").agg(F.sum(F.col("o") * F.col("o") / (F.col("r") * F.col("c"))).alias("_s"))
-    res = tot.join(pear, ["var1", "var2"]).withColumn("statistic", F.col("N") * (F.col("_s") - 1.0))
+    x = cells.join(rows, ["pair", "va"]).join(colt, ["pair", "vb"])
+    pear = x.groupBy("pair").agg(F.sum(F.col("o") * F.col("o") / (F.col("r") * F.col("c"))).alias("_s"))
+    res = tot.join(pear, "pair").withColumn("statistic", F.col("N") * (F.col("_s") - 1.0))
     if yates:
         # 2×2 only: all four cells from the margins (bounded: 2 levels × 2 levels)
-        t22 = tot.where((F.col("R") == 2) & (F.col("C") == 2)).select("var1", "var2", "N")
-        grid = rows.join(t22, ["var1", "var2"]).join(colt, ["var1", "var2"])
-        grid = grid.join(cells, ["var1", "var2", "va", "vb"], "left").withColumn("o", F.coalesce("o", F.lit(0.0)))
+        t22 = tot.where((F.col("R") == 2) & (F.col("C") == 2)).select("pair", "N")
+        grid = rows.join(t22, "pair").join(colt, "pair")
+        grid = grid.join(cells, ["pair", "va", "vb"], "left").withColumn("o", F.coalesce("o", F.lit(0.0)))
         e = F.col("r") * F.col("c") / F.col("N")
         dev = F.abs(F.col("o") - e)
-        corr = grid.groupBy("var1", "var2").agg(F.sum(F.pow(dev - F.least(F.lit(0.5), dev), 2) / e).alias("_y"))
-        res = res.join(corr, ["var1", "var2"], "left").withColumn(
+        corr = grid.groupBy("pair").agg(F.sum(F.pow(dev - F.least(F.lit(0.5), dev), 2) / e).alias("_y"))
+        res = res.join(corr, "pair", "left").withColumn(
             "statistic", F.coalesce(F.col("_y"), F.col("statistic")))
-    res = res.select("var1", "var2", "statistic",
+    name = lambda k: F.element_at(F.array(*[F.lit(p[k]) for p in pairs]), F.col("pair") + 1)
+    res = res.select(name(0).alias("var1"), name(1).alias("var2"), "statistic",
                      ((F.col("R") - 1) * (F.col("C") - 1)).cast("int").alias("dof"))
     if with_p:
         res = res.withColumn("p_value", _chi2_p(F.col("statistic"), F.col("dof").cast("double")))
     if symmetric:
-        res = res.unionByName(res.select(F.col("var2").alias("var1"), F.col("var1").alias("var2"),
-                                         *[c for c in res.columns if c not in ("var1", "var2")]))
+        both = F.array(F.struct("var1", "var2"), F.struct(F.col("var2").alias("var1"), F.col("var1").alias("var2")))
+        rest = [c for c in res.columns if c not in ("var1", "var2")]
+        res = res.select(F.explode(both).alias("_v"), *rest).select("_v.var1", "_v.var2", *rest)
     return res
 
 

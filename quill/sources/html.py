@@ -115,25 +115,41 @@ class Simple:
 
 
 def chain(selector: str) -> list[Simple]:
-    return [Simple(p) for p in selector.split()]
+    """The steps of a selector; an unsupported one raises."""
+    steps = [Simple(p) for p in selector.split()]
+    if not steps:
+        raise ValueError("empty selector")
+    return steps
 
 
-def find(root: Node, selector: str) -> Node | None:
+def find(root: Node, steps: list[Simple]) -> Node | None:
     """First match of each step inside the previous step's first match
-    (``find(a).find(b)`` — the scraping semantics of the reference)."""
+    (``find(a).find(b)``)."""
     cur = root
-    for s in chain(selector):
+    for s in steps:
         cur = next((n for n in cur.iter() if s.match(n)), None)
         if cur is None:
             return None
     return cur
 
 
-def find_all(root: Node, selector: str) -> list[Node]:
+def find_all(root: Node, steps: list[Simple]) -> list[Node]:
     """All matches of the last step inside the first match of the steps before."""
-    steps = selector.split()
-    cur = find(root, " ".join(steps[:-1])) if len(steps) > 1 else root
-    if cur is None:
-        return []
-    last = Simple(steps[-1])
-    return [n for n in cur.iter() if last.match(n)]
+    cur = find(root, steps[:-1]) if len(steps) > 1 else root
+    return [] if cur is None else [n for n in cur.iter() if steps[-1].match(n)]
+
+
+def select(root: Node, steps: list[Simple]) -> list[Node]:
+    """All nodes that match as a CSS descendant selector, in document order:
+    the last step matches the node, the others match ancestors in order."""
+    found = []
+    for n in root.iter():
+        if steps[-1].match(n):
+            left, up = len(steps) - 1, n.parent
+            while left and up is not None:
+                if steps[left - 1].match(up):
+                    left -= 1
+                up = up.parent
+            if not left:
+                found.append(n)
+    return found

@@ -24,40 +24,48 @@ class Field:
           ``paragraphs`` (P4: stripped texts of all matches joined; no
           container → ``""``), ``meta`` (P5: ``content`` of the first match),
           ``meta_all`` (P6: all ``content`` values joined; none → ``""``).
+
+    A selector of several steps looks inside the first match of each step; with
+    ``css`` it is a CSS descendant selector, any match of the earlier steps.
     """
     kind: str
     selector: str
     attr: str | None = None
     max_len: int | None = None
     sep: str = "\n"
-
-
-def _value(root, f: Field):
+    css: bool = False
+
+    def __post_init__(self):
+        if self.kind not in ("text", "attr", "paragraphs", "meta", "meta_all"):
+            raise ValueError(f"unknown kind {self.kind!r}")
+        H.chain(self.selector)
+
+
+def _value(root, f: Field, steps):
+    if f.kind in ("paragraphs", "meta_all"):
+        nodes = H.select(root, steps) if f.css else H.find_all(root, steps)
+        if f.kind == "paragraphs":
+            return f.sep.join(n.text().strip() for n in nodes)
+        return f.sep.join(n.attrs.get(f.attr or "content", "") for n in nodes)
+    n = next(iter(H.select(root, steps)), None) if f.css else H.find(root, steps)
+    if n is None:
+        return None
     if f.kind == "text":
-        n = H.find(root, f.selector)
-        return n.text().strip() if n is not None else None
-    if f.kind == "attr":
-        n = H.find(root, f.selector)
-        if n is None or f.attr not in n.attrs:
-            return None
-        v = n.attrs[f.attr]
-        return v[: f.max_len] if f.max_len else v
-    if f.kind == "paragraphs":
-        return f.sep.join(n.text().strip() for n in H.find_all(root, f.selector))
+        return n.text().strip()
     if f.kind == "meta":
-        n = H.find(root, f.selector)
-        return n.attrs.get(f.attr or "content") if n is not None else None
-    if f.kind == "meta_all":
-        return f.sep.join(n.attrs.get(f.attr or "content", "") for n in H.find_all(root, f.selector))
-    raise ValueError(f.kind)
+        return n.attrs.get(f.attr or "content")
+    v = n.attrs.get(f.attr)
+    return v[:f.max_len] if v is not None and f.max_len else v
 
 
 def extract(pages: DataFrame, fields: dict[str, Field], key: str = "page_id",
             html_col: str = "html") -> DataFrame:
-    """P7 generalised: ``(key, field…)`` with one parse per page. A page with
-    NULL html (a failed fetch) gives NULL in every field."""
+    """P7 generalised: ``(key, field…)`` with one parse per page. Selectors are
+    compiled here, so a bad one raises before any page is read. A page with
+    NULL html (a failed fetch) or one the parser gives up on has NULL in every
+    field."""
     names = list(fields)
-    specs = [fields[n] for n in names]
+    specs = [(fields[n], H.chain(fields[n].selector)) for n in names]
     key_type = dict(pages.dtypes)[key]
     schema = ", ".join([f"`{key}` {key_type}"] + [f"`{n}` string" for n in names])
 
@@ -66,17 +74,12 @@ def extract(pages: DataFrame, fields: dict[str, Field], key: str = "page_id",
             out = {key: b[key].tolist()}
             cols = [[] for _ in names]
             for h in b[html_col].tolist():
-                if h is None:
-                    for c in cols:
-                        c.append(None)
-                    continue
                 try:
-                    root = H.parse(h)
-                    vals = [_value(root, s) for s in specs]
-                except Exception:  # malformed page: the reference's failed page → all NULL
-                    vals = [None] * len(specs)
-                for c, v in zip(cols, vals):
-                    c.append(v)
+                    root = None if h is None else H.parse(h)
+                except AssertionError:  # what html.parser raises on markup it cannot follow
+                    root = None
+                for c, (f, steps) in zip(cols, specs):
+                    c.append(None if root is None else _value(root, f, steps))
             for n, c in zip(names, cols):
                 out[n] = c
             yield pd.DataFrame(out)
@@ -96,7 +99,7 @@ ARTICLE_FIELDS = {
 BACKFILL_FIELDS = {
     "Title": Field("meta", "meta[name=title]"),
     "Subtitle": Field("text", ".article__summary"),
-    "Author": Field("text", ".article-author__name span"),
+    "Author": Field("text", ".article-author__name span", css=True),
     "Tags": Field("meta_all", "meta[property=article:tag]", sep=","),
 }
 
