@@ -409,5 +409,5 @@ def glm_diagnostics(fit: GLMFit, qq: bool = True) -> DataFrame:
         return out
     n = fit.n
     a = 3.0 / 8.0 if n <= 10 else 0.5
-    ranked = dense_index(out, ["std_resid", *d.keys], index_col="_r")
+    ranked = dense_index(out, [F.round("std_resid", 9), *d.keys], index_col="_r")
     return ranked.withColumn("theoretical_q", norm_ppf((F.col("_r") + 1.0 - a) / (n + 1.0 - 2.0 * a))).drop("_r")

@@ -14,7 +14,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, DoubleType
@@ -127,14 +127,15 @@ def _init(d, hidden, out, seed):
 def mlp_fit(df: DataFrame, y: str, features: list[str], loss: str = "mse", hidden: int = 64,
             epochs: int = 150, lr: float = 1e-4, seed: int = 123, batches_per_epoch: int = 1,
             validation_frac: float = 0.2, patience: int | None = None, min_delta: float = 0.0,
-            scale: bool = True, key: str | None = None) -> MLP:
+            scale: bool = True, key: str | None = None, init: list | None = None) -> MLP:
     """M25 (+M29 history, M30 early stopping): train on ``df``.
 
     Validation rows are an exact seeded hash split of ``df`` (F9). Features
     are standardised with population statistics of the training rows (F8) —
     the fitted network uses the scaled inputs (§2.17 #15). Each step returns
     (train loss, gradient) sums from one pass; the validation loss is computed
-    in the same pass with the same weights."""
+    in the same pass with the same weights. ``init`` gives the first weights
+    (W1, b1, W2, b2) instead of the seeded ones."""
     from .features import fit_scaler, split
     k = key or "_rowkey"
     data = df if key else df.withColumn(k, F.xxhash64(*[F.col(c) for c in df.columns]))
@@ -149,7 +150,8 @@ def mlp_fit(df: DataFrame, y: str, features: list[str], loss: str = "mse", hidde
     n_b = {r["_b"]: r["count"] for r in n_tr}
     n_val = prep.where(F.col("_val")).count()
     out_dim = 2 if loss == "nb" else 1
-    model = MLP(*_init(len(features), hidden, out_dim, seed), loss=loss, features=list(features), scaler=stats)
+    first = [np.array(a, float) for a in init] if init else _init(len(features), hidden, out_dim, seed)
+    model = MLP(*first, loss=loss, features=list(features), scaler=stats)
     theta = model.vector()
     m_t = np.zeros_like(theta)
     v_t = np.zeros_like(theta)
@@ -180,17 +182,17 @@ def mlp_fit(df: DataFrame, y: str, features: list[str], loss: str = "mse", hidde
                     if b == nb - 1 and val.any():
                         _, _, _, out = _forward(params, Xb[val])
                         l_va += float(_loss_grad_out(out, yb[val], loss)[0].sum())
-                yield pd.DataFrame({"l_tr": [l_tr], "l_va": [l_va], "g": [g_acc.tolist()]})
-
-            parts = prep.mapInPandas(run, "l_tr double, l_va double, g array<double>")
-            agg = parts.select("l_tr", "l_va", F.posexplode("g").alias("i", "gi")).groupBy("i").agg(
-                F.sum("gi").alias("g"), F.sum("l_tr").alias("l_tr"), F.sum("l_va").alias("l_va"))
-            rows = agg.collect()
-            g = np.zeros(P)
-            for r in rows:
-                g[r["i"]] = r["g"]
-            lt = rows[0]["l_tr"] if rows else 0.0
-            lv = rows[0]["l_va"] if rows else 0.0
+                yield pd.DataFrame({"i": [np.arange(P + 2)], "v": [np.concatenate([g_acc, [l_tr, l_va]])]})
+
+            # a training step reads its batch only; validation rows ride on the last one
+            mine = ~F.col("_val") & (F.col("_b") == b)
+            rows_ = prep.where(mine | F.col("_val") if b == nb - 1 else mine)
+            parts = rows_.mapInPandas(run, "i array<int>, v array<double>")
+            g = np.zeros(P + 2)
+            # one vector per task: (gradient, training loss, validation loss), summed per position
+            for r in parts.select(F.explode(F.arrays_zip("i", "v")).alias("p")).groupBy("p.i").agg(F.sum("p.v").alias("v")).collect():
+                g[r["i"]] = r["v"]
+            lt, lv, g = g[P], g[P + 1], g[:P]
             nbatch = max(n_b.get(b, 0), 1)
             g /= nbatch
             tr_sum += lt
@@ -216,6 +218,18 @@ def mlp_fit(df: DataFrame, y: str, features: list[str], loss: str = "mse", hidde
     return model
 
 
+def early_stopping(history: DataFrame, patience: int, min_delta: float = 0.0) -> DataFrame:
+    """M30 on a history (epoch, val_loss): whether an epoch improved on the best
+    loss so far by more than ``min_delta``, the epochs since the last one that
+    did, and the epoch at which training stops. One row per epoch."""
+    w = Window.orderBy("epoch")
+    best = F.min("val_loss").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    h = history.withColumn("improved", best.isNull() | (F.col("val_loss") < best - min_delta))
+    h = h.withColumn("wait", (F.col("epoch") - F.max(F.when(F.col("improved"), F.col("epoch"))).over(w)).cast("int"))
+    stop = F.min(F.when(F.col("wait") >= patience, F.col("epoch"))).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    return h.withColumn("stops", F.col("epoch") == stop)
+
+
 def history_df(spark, model: MLP) -> DataFrame:
     """Learning curve."""
     return spark.createDataFrame([(int(e), float(a), float(b)) for e, a, b in model.history],

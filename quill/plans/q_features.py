@@ -9,6 +9,7 @@ from ..operators import features as FE
 from ..operators import stats as ST
 from ..session import table
 from .registry import query
+from .sqlmath import chi2_p
 
 # Fixed values for the tag/topic queries over part names (stand-ins for the
 # reference's topic list and synonym merges).
@@ -184,9 +185,43 @@ def chi_square_pairs(spark, sf):
     return r.withColumn("statistic", F.round("statistic", 6))
 
 
-@query("chi_square_pvalues", "M1")
+@query("chi_square_pvalues", "M1", f"""with m as ({_chi_sql()})
+select var1, var2, statistic, dof, round({chi2_p('statistic', 'dof')}, 4) as p_value from m""")
 def chi_square_pvalues(spark, sf):
-    return ST.chi_square_pairs(flag_frame(spark, sf), FLAG_COLS, with_p=True)
+    r = ST.chi_square_pairs(flag_frame(spark, sf), FLAG_COLS, with_p=True)
+    return r.select("var1", "var2", F.round("statistic", 6).alias("statistic"), "dof", F.round("p_value", 4).alias("p_value"))
+
+
+# 45 three-level columns: five measures cut at nine pairs of thresholds
+WIDE_RANGES = {"l_quantity": (1.0, 50.0), "l_extendedprice": (900.0, 100000.0), "l_discount": (0.0, 0.1), "l_tax": (0.0, 0.08),
+               "l_partkey": (1.0, 2000.0)}
+WIDE = [(f"{c}_{k}", c, lo + (hi - lo) * k / 13, lo + (hi - lo) * (k + 3) / 13) for c, (lo, hi) in WIDE_RANGES.items()
+        for k in range(1, 10)]
+
+
+def _wide_sql():
+    cols = ", ".join(f"case when {c} < {lo!r} then 'a' when {c} < {hi!r} then 'b' else 'c' end as {n}" for n, c, lo, hi in WIDE)
+    names = [w[0] for w in WIDE]
+    pairs = " union all ".join(f"select {i} as i, {j} as j, {names[i]} as va, {names[j]} as vb, count(*)::double as o from x group by all"
+                               for i in range(len(names)) for j in range(i + 1, len(names)))
+    lst = "[" + ", ".join(f"'{n}'" for n in names) + "]"
+    return f"""with x as materialized (select {cols} from lineitem), o as materialized ({pairs}),
+r as (select i, j, va, sum(o) as r from o group by all), c as (select i, j, vb, sum(o) as c from o group by all),
+t as (select i, j, sum(r) as n, count(*) as nr from r group by all), tc as (select i, j, count(*) as nc from c group by all),
+s as (select i, j, sum(o * o / (r * c)) as s from o join r using (i, j, va) join c using (i, j, vb) group by all),
+z as (select i, j, n * (s - 1) as statistic, cast((nr - 1) * (nc - 1) as integer) as dof, nr, nc from s join t using (i, j) join tc using (i, j))
+select {lst}[i + 1] as var1, {lst}[j + 1] as var2, round(statistic, 4) as statistic, dof,
+  round({chi2_p('statistic', 'dof')}, 6) as p_value from z where not (nr = 2 and nc = 2)"""
+
+
+@query("chi_square_wide", "M1", _wide_sql())
+def chi_square_wide(spark, sf):
+    """All 990 pairs of 45 columns from one scan (pairs of two-level columns,
+    which take Yates' correction, are left to chi_square_pvalues)."""
+    li = table(spark, sf, "lineitem")
+    x = li.select(*[F.when(F.col(c) < lo, "a").when(F.col(c) < hi, "b").otherwise("c").alias(n) for n, c, lo, hi in WIDE])
+    r = ST.chi_square_pairs(x, [w[0] for w in WIDE], symmetric=False)
+    return r.where("dof <> 1").select("var1", "var2", F.round("statistic", 4).alias("statistic"), "dof", F.round("p_value", 6).alias("p_value"))
 
 
 @query("chi_square_long", "M2", f"""with m as ({_chi_sql()})

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import mathx
 from ..operators import glm as M
 from ..session import table
 from .registry import query
+from .sqlmath import normal_p, student_p, theta_ctes
 
 
 def lines_per_order(spark, sf):
@@ -38,28 +40,29 @@ st as (select sum(power(y - mu, 2) / mu) as pearson, count(*) as n, (select coun
          sum(case when y > 0 then y * ln(mu) else 0 end - mu - lgamma(y + 1)) as ll from fit)"""
 
 
-def _coef_sql(scale: str) -> str:
-    return f"""with {SQL_Y}
-select '(Intercept)' as term, round(ln(b.m), 6) as estimate, round(sqrt(1 / b.s) * {scale}, 6) as std_error,
-       round(ln(b.m) / (sqrt(1 / b.s) * {scale}), 4) as z_value from b, st
+def _coef_sql(scale: str, p_value) -> str:
+    return f"""with {SQL_Y},
+c as (select '(Intercept)' as term, ln(b.m) as est, sqrt(1 / b.s) * {scale} as se, n - p as dof from b, st
 union all
-select 'o_orderpriority_' || g.lv, round(ln(g.m / b.m), 6), round(sqrt(1 / b.s + 1 / g.s) * {scale}, 6),
-       round(ln(g.m / b.m) / (sqrt(1 / b.s + 1 / g.s) * {scale}), 4) from g, b, st where g.lv <> b.lv"""
+select 'o_orderpriority_' || g.lv, ln(g.m / b.m), sqrt(1 / b.s + 1 / g.s) * {scale}, n - p from g, b, st where g.lv <> b.lv)
+select term, round(est, 6) as estimate, round(se, 6) as std_error, round(est / se, 4) as z_value,
+  round({p_value('est / se', 'dof')}, 6) as p_value from c"""
 
 
 def _coef_df(fit, spark):
     c = fit.coefficients(spark)
+    fit.design.free()
     return c.select("term", F.round("estimate", 6).alias("estimate"), F.round("std_error", 6).alias("std_error"),
-                    F.round("z_value", 4).alias("z_value"))
+                    F.round("z_value", 4).alias("z_value"), F.round("p_value", 6).alias("p_value"))
 
 
-@query("poisson_priority_coefficients", "M4", _coef_sql("1"))
+@query("poisson_priority_coefficients", "M4", _coef_sql("1", lambda z, dof: normal_p(z)))
 def poisson_priority_coefficients(spark, sf):
     d = M.design(lines_per_order(spark, sf), "y", factors=["o_orderpriority"], keys=["o_orderkey"])
     return _coef_df(M.poisson_glm(d), spark)
 
 
-@query("quasipoisson_priority_coefficients", "M5", _coef_sql("sqrt(st.pearson / (st.n - st.p))"))
+@query("quasipoisson_priority_coefficients", "M5", _coef_sql("sqrt(st.pearson / (st.n - st.p))", student_p))
 def quasipoisson_priority_coefficients(spark, sf):
     d = M.design(lines_per_order(spark, sf), "y", factors=["o_orderpriority"], keys=["o_orderkey"])
     return _coef_df(M.poisson_glm(d, quasi=True), spark)
@@ -94,38 +97,83 @@ def poisson_diagnostics(spark, sf):
                     F.round("std_resid", 6).alias("std_resid"))
 
 
-@query("poisson_qq", "M12")
+def _ppf_sql(p: str) -> str:
+    """The standard normal quantile as the operator approximates it."""
+    poly = lambda cs, x: "(" * len(cs) + "0" + "".join(f" * {x} + {c!r})" for c in cs)
+    low, high = f"sqrt(-2 * ln({p}))", f"sqrt(-2 * ln(1 - ({p})))"
+    q = f"(({p}) - 0.5)"
+    tail = lambda x: f"{poly(mathx._C, x)} / ({poly(mathx._D, x)} * {x} + 1)"
+    return (f"(case when ({p}) < 0.02425 then {tail(low)} when ({p}) > 1 - 0.02425 then -({tail(high)}) else "
+            f"{poly(mathx._A, f'({q} * {q})')} * {q} / ({poly(mathx._B, f'({q} * {q})')} * ({q} * {q}) + 1) end)")
+
+
+@query("poisson_qq", "M12", f"""with {SQL_Y},
+d as (select o_orderkey, sign(y - mu) * sqrt(greatest(2 * (case when y > 0 then y * ln(y / mu) else 0 end - (y - mu)), 0))
+    / sqrt(1 - 1.0 / k) as std_resid from fit),
+r as (select *, row_number() over (order by round(std_resid, 9), o_orderkey) as i, count(*) over () as n from d)
+select o_orderkey, round(std_resid, 6) as std_resid, round({_ppf_sql('(i - 0.5) / n')}, 6) as theoretical_q from r""")
 def poisson_qq(spark, sf):
-    d = M.design(lines_per_order(spark, sf), "y", numeric=["o_totalprice"], factors=["o_orderpriority"],
-                 keys=["o_orderkey"])
-    return M.glm_diagnostics(M.poisson_glm(d), qq=True)
+    d = M.design(lines_per_order(spark, sf), "y", factors=["o_orderpriority"], keys=["o_orderkey"])
+    return M.glm_diagnostics(M.poisson_glm(d), qq=True).select(
+        "o_orderkey", F.round("std_resid", 6).alias("std_resid"), F.round("theoretical_q", 6).alias("theoretical_q"))
 
 
-SQL_CUST = """y as (select c.c_custkey, c.c_mktsegment, coalesce(n.n, 0) as y from customer c left join
+SQL_CUST = """y as (select c.c_custkey, c.c_mktsegment as lv, coalesce(n.n, 0) as y from customer c left join
   (select o.o_custkey, count(*) as n from lineitem l join orders o on o.o_orderkey = l.l_orderkey group by 1) n
   on n.o_custkey = c.c_custkey where c.c_mktsegment is not null),
-g as (select c_mktsegment as lv, avg(y) as m from y group by 1),
-b as (select * from g where lv = (select min(lv) from g))"""
-
-
-@query("negbin_segment_coefficients", "M8", f"""with {SQL_CUST}
-select '(Intercept)' as term, round(ln(b.m), 6) as estimate from b
-union all select 'c_mktsegment_' || g.lv, round(ln(g.m / b.m), 6) from g, b where g.lv <> b.lv""")
+g as (select lv, avg(y) as m, count(*)::double as n from y group by 1),
+j as (select range as j from range(0, 2000) where range < (select max(y) from y))"""
+
+# θ of the one-factor fit, and of its refit with weights 1 / |Pearson residual|
+SQL_THETA = SQL_CUST + """,
+tl as materialized (select j, count(*)::double as nj from j join y on y.y > j.j group by j),
+""" + theta_ctes("th", "g", "tl") + """,
+nb as materialized (select sqrt(lo * hi) as theta from th60),
+info as (select (select sum(nj / ((theta + j) * (theta + j))) from tl) - (select sum(n / theta - n / (theta + m)) from g) as i from nb)"""
+SQL_WEIGHTED = SQL_THETA + """,
+wt as materialized (select y.lv, y.y, 1 / greatest(abs((y.y - g.m) / sqrt(g.m + g.m * g.m / theta)), 1e-8) as w
+  from y join g on y.lv = g.lv, nb),
+gw as materialized (select lv, sum(w * y) / sum(w) as m, sum(w) as n from wt group by 1),
+tw as materialized (select j, sum(w) as nj from j join wt on wt.y > j.j group by j),
+""" + theta_ctes("tv", "gw", "tw") + """,
+nw as materialized (select sqrt(lo * hi) as theta from tv60)"""
+
+
+def _nb_coef_sql(groups: str, fit: str) -> str:
+    return f"""v as (select {groups}.*, n * m / (1 + m / theta) as i, theta from {groups}, {fit}),
+b as (select * from v where lv = (select min(lv) from v)),
+c as (select '(Intercept)' as term, ln(m) as est, sqrt(1 / i) as se, theta from b
+  union all select 'c_mktsegment_' || v.lv, ln(v.m / b.m), sqrt(1 / b.i + 1 / v.i), v.theta from v, b where v.lv <> b.lv)"""
+
+
+@query("negbin_segment_coefficients", "M8", f"""with {SQL_THETA}, {_nb_coef_sql('g', 'nb')}
+select term, round(est, 6) as estimate, round(se, 6) as std_error, round({normal_p('est / se')}, 6) as p_value,
+  round(theta, 5) as theta, round(1 / sqrt(i), 5) as theta_se from c, info""")
 def negbin_segment_coefficients(spark, sf):
     d = M.design(lines_per_customer(spark, sf), "y", factors=["c_mktsegment"], keys=["c_custkey"])
-    c = M.negbin_glm(d).coefficients(spark)
-    return c.select("term", F.round("estimate", 6).alias("estimate"))
+    fit = M.negbin_glm(d)
+    c = fit.coefficients(spark)
+    d.free()
+    return c.select("term", F.round("estimate", 6).alias("estimate"), F.round("std_error", 6).alias("std_error"),
+                    F.round("p_value", 6).alias("p_value"), F.round(F.lit(fit.theta), 5).alias("theta"),
+                    F.round(F.lit(fit.theta_se), 5).alias("theta_se"))
 
 
-@query("negbin_segment_summary", "M8 M9")
+@query("negbin_segment_summary", "M8 M9", f"""with {SQL_WEIGHTED}, {_nb_coef_sql('gw', 'nw')}
+select term, round(est, 5) as estimate, round(se, 5) as std_error, excess <= 0 as poisson_limit,
+  case when excess > 0 then round(theta, 4) end as theta
+from c, (select sum(w * ((y - m) * (y - m) - y)) as excess from wt join gw using (lv))""")
 def negbin_segment_summary(spark, sf):
-    d = M.design(lines_per_customer(spark, sf), "y", numeric=["c_acctbal"], factors=["c_mktsegment"],
-                 keys=["c_custkey"])
+    """Refit with the inverse absolute Pearson residuals as weights."""
+    d = M.design(lines_per_customer(spark, sf), "y", factors=["c_mktsegment"], keys=["c_custkey"])
     fit = M.negbin_glm(d)
     wfit = M.refit_weighted(fit, M.with_inverse_residual_weights(fit.design.df, fit))
-    a = fit.coefficients(spark).withColumn("fit", F.lit("negbin")).withColumn("theta", F.lit(fit.theta))
-    b = wfit.coefficients(spark).withColumn("fit", F.lit("negbin_weighted")).withColumn("theta", F.lit(wfit.theta))
-    return a.unionByName(b)
+    c = wfit.coefficients(spark)
+    wfit.design.free()
+    d.free()
+    return c.select("term", F.round("estimate", 5).alias("estimate"), F.round("std_error", 5).alias("std_error"),
+                    F.lit(wfit.poisson_limit).alias("poisson_limit"),
+                    F.round(F.lit(wfit.theta).cast("double"), 4).alias("theta"))
 
 
 @query("gvif_two_numerics", "M10", f"""with {SQL_Y.split(',' + chr(10) + 'g as')[0]},
@@ -141,11 +189,35 @@ def gvif_two_numerics(spark, sf):
     return g.select("term", F.round("gvif", 6).alias("gvif"), "df", F.round("gvif_adj", 6).alias("gvif_adj"))
 
 
-@query("gvif_elimination", "M10 M11")
+def _irls_sql(steps: int = 12) -> str:
+    """Poisson fit of y on an intercept and x1, x2: unrolled IRLS, each step a
+    3 × 3 system by Cramer's rule."""
+    sums = "sum(w) as a, sum(w * x1) as b, sum(w * x2) as c, sum(w * x1 * x1) as d, sum(w * x1 * x2) as e, sum(w * x2 * x2) as f, " \
+           "sum(w * z) as p, sum(w * x1 * z) as q, sum(w * x2 * z) as r"
+    det = "(a * (d * f - e * e) - b * (b * f - c * e) + c * (b * e - c * d))"
+    out = [f"s0 as materialized (select {sums} from (select x1, x2, y + 0.1 as w, ln(y + 0.1) - 0.1 / (y + 0.1) as z from x))"]
+    for i in range(steps):
+        out.append(f"b{i} as materialized (select (p * (d * f - e * e) - b * (q * f - r * e) + c * (q * e - r * d)) / {det} as b0, "
+                   f"(a * (q * f - r * e) - p * (b * f - c * e) + c * (b * r - c * q)) / {det} as b1, "
+                   f"(a * (d * r - e * q) - b * (b * r - c * q) + p * (b * e - c * d)) / {det} as b2 from s{i})")
+        out.append(f"s{i + 1} as materialized (select {sums} from (select x1, x2, exp(eta) as w, eta + (y - exp(eta)) / exp(eta) as z "
+                   f"from (select x.*, b0 + b1 * x1 + b2 * x2 as eta from x, b{i})))")
+    return ",\n".join(out)
+
+
+@query("gvif_elimination", "M10 M11", f"""with {SQL_Y.split(',' + chr(10) + 'g as')[0]},
+x as materialized (select y.y, o.o_totalprice / 100000.0 as x1, ln(o.o_totalprice) - 11 as x2 from y join orders o using (o_orderkey)),
+{_irls_sql()},
+v as (select 1 / (1 - power(a * e - b * c, 2) / ((a * f - c * c) * (a * d - b * b))) as g from s12)
+select 'price' as term, round(b1, 6) as estimate, round(g, 5) as gvif, round(sqrt(g), 5) as gvif_adj, 'o_totalprice' as dropped from v, b11
+union all select 'log_price', round(b2, 6), round(g, 5), round(sqrt(g), 5), 'o_totalprice' from v, b11""")
 def gvif_elimination(spark, sf):
-    x = lines_per_order(spark, sf).withColumn("log_price", F.log("o_totalprice")).withColumn(
-        "price_k", F.col("o_totalprice") / 1000.0)
-    fit, dropped = M.eliminate(x, "y", numeric=["o_totalprice", "log_price", "price_k"],
-                               factors=["o_orderpriority"], max_gvif=5.0)
-    g = M.gvif(fit, spark)
-    return g.withColumn("dropped", F.lit(",".join(dropped)))
+    """A listed term is dropped, the rest refitted; inflation at the fit's weights."""
+    x = lines_per_order(spark, sf).withColumn("log_price", F.log("o_totalprice") - 11).withColumn(
+        "price", F.col("o_totalprice") / 100000.0)
+    fit, dropped = M.eliminate(x, "y", numeric=["o_totalprice", "price", "log_price"], drop=["o_totalprice"], max_gvif=1e6)
+    beta = spark.createDataFrame([(t, float(b)) for t, b in zip(fit.terms, fit.beta)], "term string, estimate double")
+    g = M.gvif(fit, spark).join(beta, "term")
+    fit.design.free()
+    return g.select("term", F.round("estimate", 6).alias("estimate"), F.round("gvif", 5).alias("gvif"),
+                    F.round("gvif_adj", 5).alias("gvif_adj"), F.lit(",".join(dropped)).alias("dropped"))
