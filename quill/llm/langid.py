@@ -22,10 +22,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name
+from .common import free_name, written
 
 UND = "und"
-_BLOCK = 1 << 20  # characters scored at once
+_BLOCK = 1 << 16  # characters scored at once
 
 
 @functools.lru_cache(1)
@@ -131,7 +131,8 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", b
                  pa.array(np.r_[k, a[at]].astype(np.int64))], names=["lang", "bucket", "n"])
 
     rows = labelled.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("lang IS NOT NULL")
-    counts = rows.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    counts = written(rows.mapInArrow(count, "lang string, bucket int, n long")
+                     .groupBy("lang", "bucket").agg(F.sum("n").alias("n")), "ngrams")
     langs = [r[0] for r in counts.select("lang").distinct().limit(max_langs + 1).collect()]
     if len(langs) > max_langs:
         raise ValueError(f"more than max_langs={max_langs} languages")
