@@ -37,6 +37,8 @@ from .common import binary_list, dropped, written
 SEED = 42
 #: shingles whose bits are unpacked at once (64 bytes each)
 _CHUNK = 65536
+#: variants that one task emits
+VARIANTS = 2_000_000
 
 
 def text_fingerprint(text: bytes | None, shingle: int = 3) -> bytes:
@@ -142,7 +144,8 @@ def links(fps: DataFrame, radius: int = 3) -> DataFrame:
 
     ball = F.array(*[F.struct(F.lit(a).cast("long").alias("keep"), F.lit(x).cast("long").alias("flip"))
                      for a, x in ball_masks(radius)])
-    v = (fps.select("fp", F.explode(ball).alias("m"))
+    tasks = -(-fps.count() * len(ball_masks(radius)) // VARIANTS)  # the balls are much larger than what emits them
+    v = (fps.select("fp").repartition(max(1, tasks), "fp").select("fp", F.explode(ball).alias("m"))
          .select(F.col("fp").bitwiseAND(F.col("m.keep")).bitwiseXOR(F.col("m.flip")).alias("key"), "fp"))
     return (v.repartition("key").sortWithinPartitions("key")
             .mapInArrow(forest, "a long, b long").distinct())
@@ -178,7 +181,7 @@ def near_groups(docs: DataFrame, radius: int = 3, shingle: int = 3,
     ``root`` is the smallest fingerprint of the component, ``component_id`` the
     smallest doc_id in it."""
     prints = written(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
-    reps = prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
+    reps = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "fingerprints")
     roots = star_components(links(reps.select("fp"), radius))
     named = reps.join(roots.withColumnRenamed("node", "fp"), "fp", "left") \
         .withColumn("root", F.coalesce("root", "fp"))
