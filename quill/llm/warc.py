@@ -79,45 +79,56 @@ def member(data: bytes, level: int = 6) -> bytes:
     return c.compress(data) + c.flush()
 
 
-def with_revisits(pages: DataFrame, id_col: str, url_col: str, body_col: str, revisit_bytes: int) -> DataFrame:
-    """(page_id, url, payload, digest, refers_to): refers_to is NULL for responses."""
-    p = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"),
-                     F.coalesce(F.col(body_col).cast("binary"), F.lit(b"")).alias("payload"))
-    digest, size = F.sha1("payload"), F.octet_length("payload")
-    copied = (p.where(size >= revisit_bytes).select("page_id", digest.alias("copy"), size.alias("copy_size"))
-              .groupBy("copy", "copy_size").agg(F.max("page_id").alias("keep"), F.count("*").alias("n"))
+def revisits(pages: DataFrame, revisit_bytes: int) -> DataFrame:
+    """(page_id, digest, keep) of the rows of (page_id, url, payload) that
+    revisit another page; only digests are shuffled."""
+    light = pages.select("page_id", F.sha1("payload").alias("digest"), F.octet_length("payload").alias("size")) \
+        .where(F.col("size") >= revisit_bytes)
+    copied = (light.groupBy("digest", "size").agg(F.max("page_id").alias("keep"), F.count("*").alias("n"))
               .where("n > 1 AND keep IS NOT NULL").drop("n"))
-    p = p.withColumn("digest", digest)
-    return p.join(copied, (F.col("digest") == F.col("copy")) & (size == F.col("copy_size")), "left").select(
-        "page_id", "url", "payload", "digest", F.when(~F.col("page_id").eqNullSafe(F.col("keep")), F.col("keep")).alias("refers_to"))
+    return (light.join(copied, ["digest", "size"]).where(~F.col("page_id").eqNullSafe(F.col("keep")))
+            .select("page_id", "digest", "keep").distinct())
 
 
 def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", body_col: str = "html",
                    revisit_bytes: int = 0, range_bytes: int = 16 << 20, file_bytes: int = 4 << 20) -> DataFrame:
     """Write the archives; the manifest (file, records, bytes, sha256), also
-    kept as ``folder/manifest``."""
+    kept as ``folder/manifest``. Pages and their revisits go to their range in
+    one shuffle; within a page id the revisits come first."""
     total = pages.agg(F.sum(F.octet_length(body_col))).first()[0] or 0
-    which = range_of(range_bounds(pages, id_col, -(-total // range_bytes)))
-    rows = with_revisits(pages, id_col, url_col, body_col, revisit_bytes).withColumn("r", which("page_id"))
+    bounds = range_bounds(pages, id_col, -(-total // range_bytes))
+    which = range_of(bounds)
+    p = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"),
+                     F.coalesce(F.col(body_col).cast("binary"), F.lit(b"")).alias("payload"))
+    known = revisits(p, revisit_bytes).select("page_id", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("url"),
+                                              F.lit(None).cast("binary").alias("payload"), "digest", "keep")
+    rows = known.union(p.select("page_id", F.lit(1), "url", "payload", F.sha1("payload"), F.lit(None).cast("long")))
 
     def run(batches):
         fs, base = _store(folder)
         fs.create_dir(base, recursive=True)
-        at, roll, out = None, 0, None
+        at, roll, out, page, keeps = None, 0, None, None, {}
         for b in batches:
-            for r, i, u, body, to in zip(*(b.column(n).to_pylist() for n in ("r", "page_id", "url", "payload", "refers_to")), strict=True):
+            for r, i, kind, u, body, digest, keep in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if (r, i) != page:
+                    page, keeps = (r, i), {}
+                if kind == 0:
+                    keeps[digest] = keep
+                    continue
                 if out and (r != at or out.bytes >= file_bytes):
                     yield out.close()
                     out, roll = None, roll + 1
                 if r != at:
                     at, roll = r, 0
                 out = out or _File(fs, base, f"pages-{r:07d}-{roll:05d}.warc.gz")
+                to = keeps.get(digest)
                 out.add(member(record(i, u, body, to, to is not None)))
         if out:
             yield out.close()
 
-    manifest = (rows.repartition("r").sortWithinPartitions("r", "page_id", "url", "digest")
-                .select("r", "page_id", "url", "payload", "refers_to")
+    manifest = (rows.withColumn("r", which("page_id")).repartitionById(len(bounds) + 1, F.col("r"))
+                .sortWithinPartitions("r", "page_id", "kind", "url", "digest")
+                .select("r", "page_id", "kind", "url", "payload", "digest", "keep")
                 .mapInArrow(run, "file string, records long, bytes long, sha256 string"))
     manifest.write.parquet(f"{folder}/manifest")
     return pages.sparkSession.read.schema(manifest.schema).parquet(f"{folder}/manifest")
@@ -203,7 +214,7 @@ def read_archives(spark: SparkSession, folder: str, bodies: bool = True) -> Data
 
     arrow = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()),
                        ("record_type", pa.string()), ("refers_to", pa.int64())] + ([("payload", pa.binary())] if bodies else []))
-    return listed.repartition("file").mapInArrow(
+    return listed.repartition(max(1, listed.count()), "file").mapInArrow(  # a file is more work than its row shows
         run, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
              + ", payload binary" * bodies)
 
