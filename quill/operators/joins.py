@@ -10,16 +10,23 @@ from .common import sized_broadcast
 
 
 def match_on_metrics(left: DataFrame, right: DataFrame, keys: list[str],
-                     how: str = "left") -> DataFrame:
+                     how: str = "left", salt_buckets: int | None = None) -> DataFrame:
     """Left equi-join on several (possibly NULL) columns, NULL matching
-    NULL as in pandas ``merge``; many-to-many fan-out is kept."""
-    r = right.select(*[F.col(k).alias(f"_r_{k}") for k in keys],
-                     *[c for c in right.columns if c not in keys])
-    cond = None
-    for k in keys:
-        e = left[k].eqNullSafe(r[f"_r_{k}"])
-        cond = e if cond is None else cond & e
-    return left.join(r, cond, how).drop(*[f"_r_{k}" for k in keys])
+    NULL as in pandas ``merge``; many-to-many fan-out is kept. With
+    ``salt_buckets`` the left rows of a hot key are spread over that many tasks
+    and the right side is repeated for each; use it where the right side has
+    one row per key."""
+    if salt_buckets is None:
+        r = right.select(*[F.col(k).alias(f"_r_{k}") for k in keys],
+                         *[c for c in right.columns if c not in keys])
+        cond = None
+        for k in keys:
+            e = left[k].eqNullSafe(r[f"_r_{k}"])
+            cond = e if cond is None else cond & e
+        return left.join(r, cond, how).drop(*[f"_r_{k}" for k in keys])
+    key = F.to_json(F.struct(*keys), {"ignoreNullFields": "false"})  # one text without NULL
+    r = right.withColumn("_key", key).drop(*keys)
+    return salted_join(left.withColumn("_key", key), r, ["_key"], how, buckets=salt_buckets).drop("_key")
 
 
 def attach(df: DataFrame, result: DataFrame, key, how: str = "left") -> DataFrame:

@@ -3,8 +3,8 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
-from ..session import ensure_checkpoint_dir
-from . import q_bayes_mlp, q_core, q_features, q_models, q_rules, q_text  # noqa: F401
+from ..session import ensure_checkpoint_dir, ship_package
+from . import q_bayes_mlp, q_core, q_features, q_models, q_rules, q_stages, q_text  # noqa: F401
 from .registry import REGISTRY
 
 
@@ -13,6 +13,7 @@ def prepare(spark: SparkSession) -> None:
     splitting, UTC) on a session built elsewhere — only where not set."""
     from ..session import DEFAULTS
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     for k, v in DEFAULTS.items():
         if k.startswith("spark.sql.") and not k.startswith("spark.sql.files.") and k not in _explicit(spark):
             try:

@@ -50,24 +50,42 @@ def impute_date(df: DataFrame, col: str, value: str, ref: str = "2024-02-29") ->
 # ---------------------------------------------------------------------------
 
 def article_table(url_report: DataFrame, author_report: DataFrame, tags_report: DataFrame,
-                  pages: DataFrame, lexicon: DataFrame, drop_tokens=("(other)", "acceder"),
+                  pages: DataFrame, lexicon: DataFrame | None = None, drop_tokens=("(other)", "acceder"),
                   front_page_rx: str | None = None, section_fixes: DataFrame | None = None,
-                  drop_sections=(), drop_band: str = "25-34", ref_date: str = "2024-02-29") -> DataFrame:
+                  drop_sections=(), drop_band: str = "25-34", ref_date: str = "2024-02-29",
+                  topics: list[str] | None = None, synonyms: dict | None = None, fields: dict | None = None,
+                  salt_buckets: int = 16) -> DataFrame:
     """Clean the three exports alike (B9), join them on all six metrics with
     NULL-safe keys (J1), apply the URL rules (C1, C2), derive and fix the
     section (X6, J4, C4), attach the article fields extracted from the pages
-    in one parse (A4, P7; the scraped author wins, report author as fallback),
-    then add date parts, day counts, text lengths and 30 emotion counts
-    (X7, X8, X2, T5)."""
+    in one parse (A4, P7; the scraped author wins, report author as fallback).
+    With a lexicon the text features follow (X7, X8, X2, T5); a pipeline that
+    back-fills texts adds them afterwards (``modelling_table``).
+
+    The author report only lends a fallback author, so one row per metric key
+    is kept of it (the smallest author); so it is with the tags report when the
+    ``topics`` are given: the smallest tag text that has a topic, else the
+    smallest. Later steps keep one row per URL and would choose the same, and
+    the joins neither fan out nor meet a hot key in one task. ``row_id``
+    numbers the URL report's rows (``_file``, ``_ln`` if there, else by value)."""
     from ..operators import filters as C
     from ..operators import joins as J
-    from ..operators.sentiment import score_all
+    from ..operators.features import assign_topic
+    from ..operators.windows import dedup_first, dedup_prefer_nonnull, with_row_id
     from ..sources.pages import extract_articles
 
+    place = [c for c in ("_file", "_ln") if c in url_report.columns]
     u = clean_report(url_report, drop_band)
-    a = clean_report(author_report, drop_band)
-    t = clean_report(tags_report, drop_band)
-    m = J.match_on_metrics(J.match_on_metrics(u, a, METRICS), t, METRICS)
+    u = with_row_id(u, place or u.columns, "row_id").drop(*place)
+    a = clean_report(author_report, drop_band).drop("_file", "_ln")
+    t = clean_report(tags_report, drop_band).drop("_file", "_ln")
+    a = dedup_first(a, METRICS, ["Author"])
+    m = J.match_on_metrics(u, a, METRICS, salt_buckets=salt_buckets)
+    if topics is None:
+        m = J.match_on_metrics(m, t, METRICS)
+    else:
+        t = dedup_prefer_nonnull(assign_topic(t, "Tags", topics, synonyms, out="_topic"), METRICS, "_topic", ["Tags"])
+        m = J.match_on_metrics(m, t.drop("_topic"), METRICS, salt_buckets=salt_buckets)
     m = C.drop_containing(m, "URL", list(drop_tokens))
     if front_page_rx:
         m = C.drop_matching(m, "URL", front_page_rx)
@@ -76,20 +94,29 @@ def article_table(url_report: DataFrame, author_report: DataFrame, tags_report:
         m = J.apply_overrides(m, "Section", section_fixes)
     if drop_sections:
         m = C.drop_in(m, "Section", list(drop_sections))
-    art = extract_articles(pages).join(pages.select("page_id", F.col("url").alias("URL")), "page_id").drop("page_id")
+    art = extract_articles(pages, fields=fields).join(pages.select("page_id", F.col("url").alias("URL")), "page_id").drop("page_id")
     art = art.withColumnRenamed("Author", "_scraped_author")
     m = m.join(art, "URL", "left")
     m = m.withColumn("Author", F.coalesce(F.col("_scraped_author"), F.col("Author"))).drop("_scraped_author")
-    m = m.withColumns({**P.date_parts("Date"), "Days_count": P.days_since("Date", ref_date),
-                       "Title_length": P.text_length("Title"), "Subtitle_length": P.text_length("Subtitle"),
+    if lexicon is None:
+        return m
+    m = m.withColumns({**P.date_parts("Date"), "Days_count": P.days_since("Date", ref_date)})
+    return text_features(m, lexicon)
+
+
+def text_features(m: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """Lengths and 30 emotion counts of title, subtitle and content
+    as they are now; columns of an earlier call are replaced. Scores are keyed
+    by a digest of the three texts (deterministic across retries and plan
+    branches); each distinct text triple is scored once."""
+    from ..operators.sentiment import EMOTIONS, score_all
+    fields = {"Title": "_title", "Subtitle": "_subtitle", "Content": "_content"}
+    m = m.drop(*[f"{e}{s}" for e in EMOTIONS for s in fields.values()])
+    m = m.withColumns({"Title_length": P.text_length("Title"), "Subtitle_length": P.text_length("Subtitle"),
                        "Content_length": P.text_length("Content", clean=True)})
-    # scores are keyed by a digest of the three texts (deterministic across
-    # retries and plan branches); each distinct text triple is scored once
-    key = F.sha2(F.to_json(F.struct("Title", "Subtitle", "Content")), 256)
-    m = m.withColumn("_tk", key)
+    m = m.withColumn("_tk", F.sha2(F.to_json(F.struct("Title", "Subtitle", "Content")), 256))
     texts = m.select("_tk", "Title", "Subtitle", "Content").dropDuplicates(["_tk"])
-    scores = score_all(texts, "_tk", {"Title": "_title", "Subtitle": "_subtitle", "Content": "_content"}, lexicon)
-    return m.join(scores, "_tk", "left").drop("_tk")
+    return m.join(score_all(texts, "_tk", fields, lexicon), "_tk", "left").drop("_tk")
 
 
 # ---------------------------------------------------------------------------
@@ -98,12 +125,15 @@ def article_table(url_report: DataFrame, author_report: DataFrame, tags_report:
 
 def modelling_table(article: DataFrame, pages: DataFrame | None, topics: list[str], synonyms: dict,
                     author_aliases: DataFrame | None = None, names: DataFrame | None = None,
-                    impute_date_value: str = "2024-01-01", min_section: int = 30) -> DataFrame:
+                    gender_overrides: DataFrame | None = None, lexicon: DataFrame | None = None,
+                    impute_date_value: str = "2024-01-01", min_section: int = 30, fields: dict | None = None) -> DataFrame:
     """Drop rows without content (C5), impute dates (X9), back-fill title,
-    subtitle, tags and author from a second extraction (J7, P2, P5, P6),
-    assign topics (F1), keep one row per URL preferring a topic (W2), merge
-    author aliases (J4), band authors by productivity (F2), look up gender
-    (J5) and collapse rare sections (F3)."""
+    subtitle, tags and author from a second extraction (J7, P2, P5, P6), then
+    measure and score the texts (X2, T5; with a lexicon), assign topics (F1),
+    keep one row per URL preferring a topic (W2; then the first input row),
+    merge author aliases (J4), band authors by productivity (F2), look up
+    gender (J5) with author-level overrides after it (J4), and collapse rare
+    sections (F3)."""
     from ..operators import filters as C
     from ..operators import joins as J
     from ..operators.features import assign_topic, collapse_rare, frequency_band
@@ -113,16 +143,21 @@ def modelling_table(article: DataFrame, pages: DataFrame | None, topics: list[st
     df = C.drop_null(article.withColumn("Content", blank_to_null_col("Content")), "Content")
     df = impute_date(df, "Date", impute_date_value)
     if pages is not None:
-        ex = extract(pages, BACKFILL_FIELDS).join(pages.select("page_id", F.col("url").alias("URL")), "page_id")
-        ex = ex.drop("page_id").withColumn("Tags", blank_to_null_col("Tags"))
-        df = J.backfill(df, ex, "URL", ["Title", "Subtitle", "Tags", "Author"])
+        ex = extract(pages, fields or BACKFILL_FIELDS).join(pages.select("page_id", F.col("url").alias("URL")), "page_id")
+        cols = [c for c in ("Title", "Subtitle", "Tags", "Author") if c in ex.columns]
+        ex = ex.select("URL", *[blank_to_null_col(c).alias(c) if c == "Tags" else F.col(c) for c in cols])
+        df = J.backfill(df, ex, "URL", cols)
+    if lexicon is not None:
+        df = text_features(df, lexicon)
     df = assign_topic(df, "Tags", topics, synonyms, out="Topics")
-    df = dedup_prefer_nonnull(df, "URL", "Topics", ["URL", "Title"])
+    df = dedup_prefer_nonnull(df, "URL", "Topics", ["row_id", "Tags"] if "row_id" in df.columns else ["Title"])
     if author_aliases is not None:
         df = J.apply_overrides(df, "Author", author_aliases)
     df = frequency_band(df, "Author", out="author_quartiles")
     if names is not None:
         df = J.gender_of(df, "Author", names, out="Author_gender")
+        if gender_overrides is not None:
+            df = J.apply_overrides(df, "Author_gender", gender_overrides, key_col="Author")
     return collapse_rare(df, "Section", min_section)
 
 
@@ -144,17 +179,27 @@ def rule_stage(d6: DataFrame, numeric_cols, factor_cols, response: str = "Users"
     tx = FE.to_items(FE.discretize(d6, numeric_cols, 3), numeric_cols + factor_cols)
     rules = R.mine_rules(tx, min_support=min_support, min_confidence=min_confidence, max_len=max_len)
     pruned = R.prune_redundant(rules, top_n)
+    mine = R.response_rules(pruned, response)
     return {"rules": rules, "pruned": pruned, "antecedent_freq": R.antecedent_freq(pruned, min_count),
-            "base_freq": R.antecedent_base_freq(pruned), "response_rules": R.response_rules(pruned, response)}
+            "base_freq": R.antecedent_base_freq(pruned), "response_rules": mine,
+            "response_antecedent_freq": R.antecedent_freq(mine, min_count), "response_base_freq": R.antecedent_base_freq(mine)}
 
 
 def model_stage(d6: DataFrame, y: str, numeric=(), factors=(), drop=(), max_gvif: float | None = None):
     """M4-M12 on the modelling table: Poisson (with GVIF-based elimination),
-    quasi-Poisson, overdispersion check, NB, and inverse-residual weighted NB."""
+    quasi-Poisson, overdispersion check, NB, inverse-residual weighted NB, and
+    the refits on scaled predictors (F7) and on dummy columns (F6)."""
+    from ..operators import features as FE
     from ..operators import glm as M
     pois, dropped = M.eliminate(d6, y, numeric, factors, drop=drop, max_gvif=max_gvif)
+    left = [c for c in numeric if c not in dropped]
+    kept = [c for c in factors if c not in dropped]
     quasi = M.poisson_glm(pois.design, quasi=True)
     nb = M.negbin_glm(pois.design)
     nbw = M.refit_weighted(nb, M.with_inverse_residual_weights(nb.design.df, nb))
+    rows = d6.dropna(subset=[y, *left, *kept])
+    scaled = M.poisson_glm(M.design(FE.scale(rows, left) if left else rows, y, left, kept))
+    wide = FE.dummies(rows.select(y, *left, *kept), kept, drop_first=True) if kept else rows.select(y, *left)
+    dummy = M.poisson_glm(M.design(wide, y, [c for c in wide.columns if c != y]))
     return {"poisson": pois, "quasi": quasi, "overdispersion": M.overdispersion(pois), "negbin": nb,
-            "negbin_weighted": nbw, "dropped": dropped}
+            "negbin_weighted": nbw, "poisson_scaled": scaled, "poisson_dummies": dummy, "dropped": dropped}

@@ -5,7 +5,10 @@ caller (spark-submit, the cluster config) has not already set.
 """
 from __future__ import annotations
 
+import atexit
 import os
+import re
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -39,6 +42,7 @@ def get_spark(master: str | None = None, app: str = "quill",
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
@@ -54,9 +58,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return d
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
-        if not sc.master.startswith("local"):
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
             raise RuntimeError("set spark.checkpoint.dir to a shared folder on the cluster")
-        d = tempfile.mkdtemp(prefix="quill-ckpt-")
+        d = tempfile.mkdtemp(prefix="quill-ckpt-")  # one process: its folder goes with it
+        atexit.register(shutil.rmtree, d, ignore_errors=True)
     sc.setCheckpointDir(d)
     return d
 
@@ -76,3 +81,24 @@ def stage_path(spark: SparkSession, name: str) -> str:
     import uuid
     base = ensure_checkpoint_dir(spark)
     return f"{base.rstrip('/')}/stages/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the workers this package's source (``addPyFile`` of a zip), once per
+    session. Needed where it is not installed on the executors: functions of
+    the package that run in Python tasks are found by name there."""
+    import zipfile
+    sc, root = spark.sparkContext, os.path.dirname(os.path.abspath(__file__))
+    if getattr(sc, "_quill_shipped", False):
+        return
+    folder = tempfile.mkdtemp(prefix="quill-src-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    path = os.path.join(folder, "quill.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for base, _, names in os.walk(root):
+            for n in names:
+                if n.endswith(".py"):
+                    full = os.path.join(base, n)
+                    z.write(full, os.path.join("quill", os.path.relpath(full, root)))
+    sc.addPyFile(path)
+    sc._quill_shipped = True

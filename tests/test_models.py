@@ -89,26 +89,85 @@ def test_mlp_gradients_match_finite_differences():
         assert np.allclose(g[idx], num[idx], rtol=1e-4, atol=1e-4), loss
 
 
-def test_draws_do_not_depend_on_partitioning(spark):
+def test_posterior_table_shrinks_to_the_prior(spark):
     from quill.operators import bayes as B
-    df = spark.createDataFrame([(i, float(i % 5), int(i % 7)) for i in range(200)], "k long, x double, y long")
-    d = M.design(df, "y", numeric=["x"], keys=["k"])
-    post = B.bayes_glm(d, "poisson", B.Priors(autoscale=False))
-    a = sorted(map(tuple, B.draws(spark, post, chains=2, iters=50).collect()))
-    spark.conf.set("spark.sql.shuffle.partitions", "3")
-    try:
-        b = sorted(map(tuple, B.draws(spark, post, chains=2, iters=50).collect()))
-        h1 = sorted(map(tuple, B.pp_check(post, n_draws=2, stop=20.0, width=2.0).collect()))
-    finally:
-        spark.conf.set("spark.sql.shuffle.partitions", "8")
-    h2 = sorted(map(tuple, B.pp_check(post, n_draws=2, stop=20.0, width=2.0).collect()))
-    assert a == b and h1 == h2
-    obs = [r for r in h1 if r[0] == 0]
-    assert sum(r[4] for r in obs) == 200
-
-
-def test_hash_normal_moments(spark):
-    from quill.operators.bayes import hash_normal
-    r = spark.range(20000).select(hash_normal(7, F.col("id")).alias("z")).agg(
-        F.avg("z").alias("m"), F.stddev("z").alias("s")).first()
-    assert abs(r.m) < 0.03 and abs(r.s - 1) < 0.03
+    df = spark.createDataFrame([(i, int(i % 7)) for i in range(200)], "k long, y long")
+    d = M.design(df, "y", keys=["k"])
+    wide, tight = (B.posterior_table(B.bayes_glm(d, "poisson", B.Priors(intercept_mean=4.0, intercept_sd=s))).first() for s in (1e6, 1e-3))
+    assert abs(wide.mode - math.log(sum(i % 7 for i in range(200)) / 200)) < 1e-6 and abs(tight.mode - 4.0) < 0.02
+    assert wide.q2_5 < wide.q50 < wide.q97_5
+
+
+def test_expected_counts_keep_what_is_outside(spark):
+    from quill.operators import bayes as B
+    df = spark.createDataFrame([(i, 3 if i % 2 else 30) for i in range(100)], "k long, y long")
+    post = B.bayes_glm(M.design(df, "y", keys=["k"]), "negbin")
+    rows = B.expected_counts(post, 0.0, 20.0, 5.0).collect()
+    out = next(r for r in rows if r.bin is None)
+    assert sum(r.observed for r in rows) == 100 and out.observed == 50
+    assert abs(sum(r.expected for r in rows) - 100) < 1e-6 and out.expected > 1
+
+
+def test_no_overdispersion_is_the_poisson_limit(spark):
+    df = spark.createDataFrame([(5,)] * 50 + [(4,)] * 20 + [(6,)] * 20, "y long")
+    fit = M.negbin_glm(M.design(df, "y"))
+    assert fit.theta is None and fit.poisson_limit and fit.converged
+    assert abs(math.exp(fit.beta[0]) - 5.0) < 1e-8
+
+
+def test_fits_that_do_not_converge_raise(spark):
+    import pytest
+    df = spark.createDataFrame([(1, 0.1), (9, 2.0), (3, 1.0), (40, 3.0)], "y long, x double")
+    with pytest.raises(M.NotConverged):
+        M.poisson_glm(M.design(df, "y", numeric=["x"]), max_iter=2)
+
+
+def test_quasi_p_values_use_t(spark):
+    from quill.functions.mathx import t_sf2
+    assert abs(t_sf2(1.64, 3) - 0.1996) < 5e-4 and abs(t_sf2(2.0, 1) - 0.295167) < 1e-6
+    df = spark.createDataFrame([(1, 0.0), (4, 1.0), (3, 2.0), (9, 3.0), (6, 4.0)], "y long, x double")
+    fit = M.poisson_glm(M.design(df, "y", numeric=["x"]), quasi=True)
+    r = fit.coefficients(spark).where("term = 'x'").first()
+    assert fit.df_resid == 3 and abs(r.p_value - t_sf2(r.z_value, 3)) < 1e-12
+
+
+def test_wide_design_meets_its_score_equations(spark):
+    rng = np.random.default_rng(8)
+    n, p = 1500, 45
+    x = rng.normal(size=(n, p)) * 0.3
+    y = rng.poisson(np.exp(0.5 + x @ rng.normal(0, 0.2, p)))
+    cols = [f"x{i}" for i in range(p)]
+    df = spark.createDataFrame([(int(v), *map(float, r)) for v, r in zip(y, x)], "y long, " + ", ".join(f"{c} double" for c in cols))
+    fit = M.poisson_glm(M.design(df.repartition(3), "y", numeric=cols))
+    full = np.column_stack([np.ones(n), x])
+    assert np.abs(full.T @ (y - np.exp(full @ fit.beta))).max() < 1e-3
+
+
+def test_kde_of_large_values(spark):
+    values = np.random.default_rng(2).normal(1e9, 0.3, 1000)
+    df = spark.createDataFrame([(float(v),) for v in values], "x double")
+    k = ST.kde(df, "x", (1e9 - 3, 1e9 + 3, 301)).collect()
+    assert abs(sum(r.density for r in k) * 0.02 - 1.0) < 1e-3
+
+
+def test_kde_without_cutoff_is_the_same(spark):
+    df = spark.createDataFrame([(float(v),) for v in np.random.default_rng(3).normal(0, 1, 300)], "x double")
+    a, b = ({r.x: r.density for r in ST.kde(df, "x", (-4.0, 4.0, 41), cutoff=c).collect()} for c in (9.0, 1e6))
+    assert all(abs(a[x] - b[x]) < 1e-12 for x in a)
+
+
+def test_constant_values_have_no_density(spark):
+    import pytest
+    df = spark.createDataFrame([("a", 1.0), ("a", 1.0), ("b", 1.0), ("b", 2.0)], "g string, x double")
+    with pytest.raises(ValueError, match="bandwidth"):
+        ST.kde(df.where("g = 'a'"), "x", (0.0, 2.0, 5))
+    rows = ST.kde_by(df, ["g"], "x", num=8).collect()
+    assert [(r.x, r.density) for r in rows if r.g == "a"] == [(1.0, None)] and sum(r.g == "b" for r in rows) == 8
+
+
+def test_held_out_loss_beats_the_mean(spark, sf):
+    """The full-sized network on held-out rows."""
+    from quill.plans.catalog import REGISTRY
+    rows = REGISTRY["mlp_nb_predictions"].build(spark, sf).collect()
+    assert len(rows) > 20 and all(math.isfinite(r.prediction) and r.prediction > 0 for r in rows)
+    assert len({r.test_nb_loss for r in rows}) == 1 and rows[0].test_nb_loss < 8

@@ -32,8 +32,10 @@ def test_to_int_truncates(spark):
     assert col(spark, ["12.9", "-3.7", "abc", None], P.to_int) == [12, -3, None, None]
 
 
-def test_split_tags_drops_empty(spark):
-    assert col(spark, ["a,b,", "", "x"], lambda c: P.split_tags(c)) == [["a", "b"], [], ["x"]]
+def test_split_tags_like_r(spark):
+    assert col(spark, ["a,b,", "", "x", "a,,b,", ",a", None], lambda c: P.split_tags(c)) == [
+        ["a", "b"], [], ["x"], ["a", "", "b"], ["", "a"], None]
+    assert col(spark, ["a.b"], lambda c: P.split_tags(c, ".")) == [["a", "b"]]
 
 
 def test_text_length_counts_code_points(spark):

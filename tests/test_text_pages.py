@@ -75,3 +75,31 @@ def test_salted_join_spreads_hot_key(spark):
     small = spark.createDataFrame([(0, "a"), (1, "b")], "k int, v string")
     out = salted_join(big, small, ["k"], buckets=8)
     assert out.count() == 3000 and out.where("k = 1 and v = 'b'").count() == 1000
+
+
+def test_bad_selectors_raise_before_any_page(spark):
+    import pytest
+    with pytest.raises(ValueError, match="unsupported selector"):
+        PG.Field("text", "h1:first-child")
+
+
+def test_css_descendants_look_in_every_box(spark):
+    page = '<div class="a"><b>x</b></div><div class="a"><p><span>Ana</span></p></div><span>no</span>'
+    pages = spark.createDataFrame([(1, page)], "page_id long, html string")
+    f = {"steps": PG.Field("text", ".a span"), "css": PG.Field("text", ".a span", css=True), "all": PG.Field("paragraphs", "div b", css=True)}
+    r = PG.extract(pages, f).first()
+    assert (r.steps, r.css, r["all"]) == (None, "Ana", "x")
+
+
+def test_pages_from_another_working_directory(tmp_path):
+    """Workers find the package although it is neither installed nor in their folder."""
+    import os
+    import subprocess
+    import sys
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = ("import sys; sys.path.insert(0, %r)\nfrom pyspark.sql import SparkSession\nimport __spark_entry__ as e\n"
+            "s = SparkSession.builder.master('local[2]').config('spark.ui.enabled', 'false').getOrCreate()\n"
+            "print('ROWS', e.queries()['page_titles'](s, '/root/testdata/sf0.001').count())" % root)
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert "ROWS" in done.stdout, done.stderr[-2000:]
