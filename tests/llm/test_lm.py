@@ -48,7 +48,7 @@ def slow_score(model, text):
     soft = lambda z: z - z.max() - np.log(np.exp(z - z.max()).sum())
     for t in tokens_of(text):
         i = at.get(t)
-        x, c, w = (v.x[i], v.c[i], v.w[i]) if i is not None else (*v.ending(t), -1)
+        x, c, w = v.xcw[i] if i is not None else (*v.ending(t), -1)
         total += soft(s @ p["wc"] + p["bc"])[c] / math.log(10)
         if w >= 0:
             total += soft(s @ p["wh"][c] + p["bh"][c])[w] / math.log(10)
@@ -89,42 +89,64 @@ def test_probabilities_sum_to_one(spark, sf):
     assert abs(of_class.sum() - 1) < 1e-9
 
 
+def small_documents(rng, sizes):
+    """Documents of a small network, and its shape and weights."""
+    shape = gru.Shape(9, 4, 6, 3, 5)
+    docs = []
+    for k, n in enumerate(sizes):
+        d = np.zeros((n, 6), np.int32)
+        d[:, gru.X], d[:, gru.C], d[:, gru.DOC] = rng.integers(0, 9, n), rng.integers(0, 6, n), k
+        d[:, gru.W] = np.where(d[:, gru.C] < 3, rng.integers(0, 5, n), -1)
+        d[0, gru.FIRST] = d[-1, gru.LAST] = 1
+        docs.append(d)
+    return docs, shape, shape.initial(np.ones(6), np.ones((3, 5)))
+
+
 def test_gradient_against_differences(monkeypatch):
     monkeypatch.setattr(gru, "F32", np.float64)
     rng = np.random.default_rng(1)
-    shape = gru.Shape(9, 4, 6, 3, 5)
-    n = 40
-    x, c = rng.integers(0, 9, n).astype(np.int32), rng.integers(0, 6, n).astype(np.int32)
-    w = np.where(c < 3, rng.integers(0, 5, n), -1).astype(np.int32)
-    first = np.zeros(n, bool)
-    first[[0, 7, 20, 31]] = True
-    p = gru.Pass(shape, x, c, w, first, np.array([20, 20]), 20)
-    flat = shape.initial(np.ones(6), np.ones((3, 5))).astype(np.float64)
-    at, live = next(p.windows())
-    g, _, total = p.gradient(flat, at, live, np.zeros((2, 4)))
-    for i in rng.integers(0, len(flat), 60):
+    docs, shape, flat = small_documents(rng, [7, 13, 11, 9])
+    lane, token, live = next(gru.windows(docs, 2, 20))
+    assert live.sum() == 40 - (~live).sum() and token[live][:, gru.FIRST].sum() == 4
+    total = lambda w: gru.Net(shape, w, 2).score(lane, token, live)[1].sum()
+    g, logp = gru.Net(shape, flat, 2).gradient(lane, token, live)
+    n = int(live.sum())
+    for i in rng.integers(0, len(flat), 80):
         e = np.zeros(len(flat))
         e[i] = 1e-5
-        d = (p.score(flat + e).sum() - p.score(flat - e).sum()) / 2e-5
-        assert abs(-d / n - g[i]) < 1e-6
-    assert abs(p.score(flat).sum() - total) < 1e-6
+        assert abs(-(total(flat + e) - total(flat - e)) / 2e-5 / n - g[i]) < 1e-6
+    assert abs(total(flat) - logp) < 1e-6
 
 
 @pytest.mark.parametrize(("count", "steps"), [(1, 3), (4, 7), (64, 16)])
 def test_lanes_do_not_change_scores(count, steps):
     rng = np.random.default_rng(2)
-    shape = gru.Shape(9, 4, 6, 3, 5)
-    sizes = rng.integers(1, 60, 12)
-    n = int(sizes.sum())
-    x, c = rng.integers(0, 9, n).astype(np.int32), rng.integers(0, 6, n).astype(np.int32)
-    w = np.where(c < 3, rng.integers(0, 5, n), -1).astype(np.int32)
-    flat = shape.initial(np.ones(6), np.ones((3, 5)))
-    p, _, take, _ = lm.laid_out(shape, sizes, x, c, w, count, steps)
-    got = np.empty(n)
-    got[take] = p.score(flat)
-    one = [gru.Pass(shape, x[a:a + k], c[a:a + k], w[a:a + k], np.arange(k) == 0, np.array([k]), 5).score(flat)
-           for a, k in zip(np.cumsum(sizes) - sizes, sizes, strict=True)]
-    assert np.allclose(got, np.concatenate(one), atol=1e-4)
+    docs, shape, flat = small_documents(rng, rng.integers(1, 60, 12))
+    def by_doc(items, lanes, steps):
+        out, seen, net = Counter(), 0, gru.Net(shape, flat, lanes)
+        for lane, token, live in gru.windows(items, lanes, steps):
+            t, logp = net.score(lane, token, live)
+            seen += len(t)
+            for d, x in zip(t[:, gru.DOC], logp, strict=True):
+                out[int(d)] += float(x)
+        assert seen == sum(map(len, items))
+        return out
+    got = by_doc(docs, count, steps)
+    for k, d in enumerate(docs):
+        assert abs(got[k] - by_doc([d], 1, 5)[k]) < 1e-3
+
+
+def test_learning_lowers_the_loss():
+    rng = np.random.default_rng(3)
+    docs, shape, flat = small_documents(rng, [200] * 20)
+    for d in docs:
+        d[:, gru.X] = d[:, gru.C] = np.arange(200) % 2  # a class follows the other
+        d[:, gru.W] = 0
+    adam = gru.Adam(len(flat), 0.02)
+    first = gru.fit(flat, shape, iter(docs), adam, lanes=4, steps=8, most=64)
+    for _ in range(5):
+        last = gru.fit(flat, shape, iter(docs), adam, lanes=4, steps=8, most=64)
+    assert first[1] == last[1] == 4000 and last[0] > 0.2 * first[0]
 
 
 def test_means_add_up_in_levels(spark, sf, monkeypatch):
