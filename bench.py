@@ -30,7 +30,12 @@ HEADLINE = [
     "pruned_rules",              # subset-key redundancy prune
     "poisson_priority_coefficients",  # IRLS passes over a cached design
     "negbin_segment_coefficients",    # NB with θ by ML
+    "chi_square_wide",           # 990 pairs of 45 columns, one scan
+    "stage_modelling",           # exports and pages to the modelling table
+    "stage_models",              # ... and on to the count models
 ]
+#: also timed at the next smaller scale, for their growth
+RATIO = ["chi_square_pairs", "chi_square_wide", "association_rules", "pruned_rules", "doc_emotions", "doc_emotion_rates"]
 
 
 def main() -> None:
@@ -50,9 +55,17 @@ def main() -> None:
         qs[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         times[name] = round(time.time() - t0, 3)
         print(f"{name}: {times[name]}s", file=sys.stderr)
+    small = os.path.join(os.path.dirname(sf_dir.rstrip("/")), "sf0.01")
+    ratios = {}
+    if os.path.basename(sf_dir.rstrip("/")) == "sf0.1" and os.path.isdir(small):
+        for name in (n for n in RATIO if n in times):
+            t0 = time.time()
+            qs[name](spark, small).write.format("noop").mode("overwrite").save()
+            ratios[name] = round(times[name] / (time.time() - t0), 2)  # ten times the rows
+            print(f"{name}: {ratios[name]} x its time at sf0.01", file=sys.stderr)
     sf = os.path.basename(sf_dir.rstrip("/")).replace("sf", "")
     print(json.dumps({"metric": "total_headline_sec", "value": round(sum(times.values()), 3), "unit": "sec",
-                      "queries": times, "sf": float(sf) if sf.replace(".", "").isdigit() else sf}))
+                      "queries": times, "ratio_to_sf0.01": ratios, "sf": float(sf) if sf.replace(".", "").isdigit() else sf}))
 
 
 if __name__ == "__main__":

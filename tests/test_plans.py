@@ -77,3 +77,40 @@ def test_partition_invariance(spark, sf, name):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "8")
     assert sorted(map(repr, a)) == sorted(map(repr, b))
+
+
+def test_entry_without_the_training_data_package():
+    """The other queries are there when the optional package and pipeline are not."""
+    import os
+    import subprocess
+    import sys
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = ("import sys, importlib.abc\n"
+            "class Gone(importlib.abc.MetaPathFinder):\n"
+            "    def find_spec(self, name, *a):\n"
+            "        if name in ('quill.llm', 'corpus_pipeline'):\n"
+            "            raise ModuleNotFoundError(f'No module named {name!r}', name=name)\n"
+            "sys.meta_path.insert(0, Gone())\n"
+            "import __spark_entry__ as e\n"
+            "q, o = e.queries(), e.oracle_sql()\n"
+            "assert not any(k.startswith('op') and k[2].isdigit() or k == 'pipeline' for k in q) and set(o) <= set(q)\n"
+            "print('QUERIES', len(q))")
+    done = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, timeout=120)
+    assert "QUERIES" in done.stdout, done.stderr[-1500:]
+
+
+@pytest.mark.parametrize("force", [True, False])
+def test_both_sides_of_the_broadcast_checks_give_the_same_rows(spark, monkeypatch, force):
+    """Size switches choose how rows meet, never which rows."""
+    from quill.operators import common, features, windows
+    df = spark.createDataFrame([(i, f"g{i % 3}" if i % 4 else None, float(i * 7 % 11)) for i in range(60)], "k long, g string, v double")
+    if force:
+        for m in (features, windows):
+            monkeypatch.setattr(m, "measured_broadcast", lambda d, max_bytes=0: common.measured_broadcast(d, -1))
+    a = windows.dense_index(df, ["v", "k"], ["g"], "i").select("k", "i").collect()
+    b = features.frequency_band(df, "g").select("k", "band").collect()
+    c = features.collapse_rare(df, "g", 16).select("k", "g").collect()
+    got = tuple(sorted(map(tuple, x), key=repr) for x in (a, b, c))
+    seen = getattr(test_both_sides_of_the_broadcast_checks_give_the_same_rows, "rows", got)
+    test_both_sides_of_the_broadcast_checks_give_the_same_rows.rows = seen
+    assert got == seen
