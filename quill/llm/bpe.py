@@ -26,11 +26,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import free_name
+from .common import free_name, slices
 
 LONG = 1024  # bytes of a piece
 CACHE = 300_000  # pieces
-_ROWS_BYTES = 1 << 22  # matrix cells at once
+_ROWS_BYTES = 1 << 19  # matrix cells at once
 _NONE = np.int32(2**31 - 1)
 
 
@@ -195,31 +195,36 @@ def codec(path: str, pattern: str) -> Codec:
     return Codec(read_ranks(path), pattern)
 
 
-def _parts(texts: list, size: int = 1 << 21):
-    """Runs of texts of at most ``size`` characters together, or one text."""
-    part, total = [], 0
-    for t in texts:
-        if part and total + len(t or "") > size:
-            yield part
-            part, total = [], 0
-        part.append(t)
-        total += len(t or "")
-    if part:
-        yield part
+#: bytes of text worked on at once
+_SLICE = 1 << 19
 
 
-def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", name: str = "ids") -> DataFrame:
-    """``docs`` with its ids as one more column: binary, 4 bytes an id. A name
-    that ``docs`` already has gets underscores."""
-    name, at = free_name(docs, name), docs.columns.index(text_col)
+def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", name: str = "ids",
+           check: str | None = None, keep_text: bool = True) -> DataFrame:
+    """``docs`` with its ids as one more column: binary, 4 bytes an id. With
+    ``check`` a column of that name tells whether the ids decode to the text;
+    without ``keep_text`` the text stays behind. Names that ``docs`` already
+    has get underscores."""
+    at = docs.columns.index(text_col)
+    kept = [i for i in range(len(docs.columns)) if keep_text or i != at]
+    fields = [docs.schema.fields[i] for i in kept] + [T.StructField(free_name(docs, name), T.BinaryType())]
+    if check:
+        fields.append(T.StructField(free_name(docs, check), T.BooleanType()))
+    names = [f.name for f in fields]
 
     def run(batches):
         c = codec(path, pattern)
-        for b in batches:
-            ids = [x for part in _parts(b.column(at).to_pylist()) for x in c.encode(part)]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ids, pa.binary())], names=[*b.schema.names, name])
+        for whole in batches:
+            for b in slices(whole, at, _SLICE):
+                texts = b.column(at).to_pylist()
+                ids = c.encode(texts)
+                cols = [*(b.column(i) for i in kept), pa.array(ids, pa.binary())]
+                if check:
+                    cols.append(pa.array([c.decode(x) == (t or "").encode() for x, t in zip(ids, texts, strict=True)]))
+                yield pa.RecordBatch.from_arrays(cols, names=names)
+        c.met.clear()  # an idle worker holds no cache
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.BinaryType())]))
+    return docs.mapInArrow(run, T.StructType(fields))
 
 
 def decode(encoded: DataFrame, path: str, pattern: str, ids_col: str = "ids", name: str = "bytes") -> DataFrame:
@@ -228,9 +233,10 @@ def decode(encoded: DataFrame, path: str, pattern: str, ids_col: str = "ids", na
 
     def run(batches):
         c = codec(path, pattern)
-        for b in batches:
-            got = [None if x is None else c.decode(x) for x in b.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(got, pa.binary())], names=[*b.schema.names, name])
+        for whole in batches:
+            for b in slices(whole, at, _SLICE):
+                got = [None if x is None else c.decode(x) for x in b.column(at).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(got, pa.binary())], names=[*b.schema.names, name])
 
     return encoded.mapInArrow(run, T.StructType([*encoded.schema.fields, T.StructField(name, T.BinaryType())]))
 
@@ -240,16 +246,15 @@ def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
     decoded bytes stay in the worker, digests leave it."""
     def run(batches):
         c = codec(path, pattern)
-        for b in batches:
-            n, ids_sha, text_sha = [], [], []
-            for part in _parts(b.column(1).to_pylist()):
-                for ids in c.encode(part):
-                    n.append(len(ids) // 4)
-                    ids_sha.append(hashlib.sha256(ids).hexdigest())
-                    text_sha.append(hashlib.sha256(c.decode(ids)).hexdigest())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()),
-                                              pa.array(text_sha, pa.string())],
-                                             names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        for whole in batches:
+            for b in slices(whole, 1, _SLICE):
+                ids = c.encode(b.column(1).to_pylist())
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()),
+                     pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string()),
+                     pa.array([hashlib.sha256(c.decode(x)).hexdigest() for x in ids], pa.string())],
+                    names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        c.met.clear()  # an idle worker holds no cache
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.selectExpr(f"`{id_col}` AS doc_id", f"`{text_col}` AS text").mapInArrow(

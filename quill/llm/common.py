@@ -88,6 +88,19 @@ def range_of(bounds: np.ndarray):
     return which
 
 
+def slices(batch, column: int, size: int = 1 << 20):
+    """The rows of an Arrow batch in runs whose texts have about ``size`` bytes
+    together (or one text), so that few texts are Python objects at a time."""
+    import pyarrow.compute as pc
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy() + 64)
+    at = 0
+    while at < batch.num_rows:
+        before = ends[at - 1] if at else 0
+        n = max(1, int(np.searchsorted(ends, before + size, "right")) - at)
+        yield batch.slice(at, n)
+        at += n
+
+
 def binary_list(column) -> list:
     """Arrow text column as a list of bytes (None for NULL), without decoding."""
     import pyarrow as pa

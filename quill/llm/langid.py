@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, written
+from .common import free_name, slices, written
 
 UND = "und"
 _BLOCK = 1 << 16  # characters scored at once
@@ -109,7 +109,7 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", b
     def count(batches):
         acc: dict[str, np.ndarray] = {}
         rows: dict[str, int] = {}
-        for b in batches:
+        for b in (part for whole in batches for part in slices(whole, 0)):
             texts, langs = b.column(0).to_pylist(), np.array(b.column(1).to_pylist(), object)
             for ids, code, start, head in blocks(texts):
                 size = np.diff(np.r_[start, len(code)])
@@ -157,10 +157,11 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", names: tuple[
     at = docs.columns.index(text_col)
 
     def run(batches):
-        for b in batches:
-            p, s = shared.value.predict(b.column(at).to_pylist())
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p, pa.string()), pa.array(s)],
-                                             names=[*b.schema.names, lang, score])
+        for whole in batches:
+            for b in slices(whole, at):
+                p, s = shared.value.predict(b.column(at).to_pylist())
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p, pa.string()), pa.array(s)],
+                                                 names=[*b.schema.names, lang, score])
 
     from pyspark.sql import types as T
     schema = T.StructType([*docs.schema.fields, T.StructField(lang, T.StringType()), T.StructField(score, T.DoubleType())])

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import binary_list, dropped, written
+from .common import binary_list, dropped, slices, written
 
 SEED = 42
 #: shingles whose bits are unpacked at once (64 bytes each)
@@ -60,7 +60,7 @@ def text_fingerprint(text: bytes | None, shingle: int = 3) -> bytes:
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
     """(doc_id, text_hash, fp long): one row per input row."""
     def run(batches):
-        for b in batches:
+        for b in (part for whole in batches for part in slices(whole, 2)):
             raw = b"".join([text_fingerprint(t, shingle) for t in binary_list(b.column(2))])
             fp = np.frombuffer(raw, ">i8").astype(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp)],
@@ -196,13 +196,13 @@ def one_per_group(docs: DataFrame, radius: int = 3, shingle: int = 3,
     component the row with the smallest doc_id (NULL last; of rows with one id
     that with the smallest text hash; of rows equal in both any one)."""
     groups = near_groups(docs, radius, shingle, id_col, text_col)
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash"))
-    keep = groups.groupBy("root").agg(first.alias("k")) \
-        .select(F.col("k.doc_id").alias("__keep_id"), F.col("k.text_hash").alias("__keep_hash"))
-    had = docs.columns
-    row = docs.select(F.col(id_col).cast("long").alias("__id"), text_hash(text_col).alias("__hash"),
-                      F.struct(*[F.col(f"`{c}`") for c in had]).alias("__row"))
-    same = F.col("__id").eqNullSafe(F.col("__keep_id")) & (F.col("__hash") == F.col("__keep_hash"))
-    once = Window.partitionBy("__id", "__hash").orderBy("__id", "__hash")
-    return (row.join(keep, same, "left_semi").withColumn("__n", F.row_number().over(once))
+    none, number = F.col("doc_id").isNull(), F.coalesce("doc_id", F.lit(0))  # keys without NULL: one exchange of the texts
+    keep = groups.groupBy("root").agg(F.min(F.struct(none.alias("__none"), number.alias("__id"), F.col("text_hash").alias("__hash")))
+                                      .alias("k")).select("k.*")
+    key = ["__none", "__id", "__hash"]
+    row = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_hash(text_col).alias("__hash"),
+                      F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"))
+    row = row.select(none.alias("__none"), number.alias("__id"), "__hash", "__row")
+    once = Window.partitionBy(*key).orderBy(*key)
+    return (row.join(keep, key, "left_semi").withColumn("__n", F.row_number().over(once))
             .where("__n = 1").select("__row.*"))
