@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quill.llm import bpe, langid, mixing, simhash
 from quill.llm.common import fold, table, written
+from quill.session import ship_package
 
 TOKENIZER = "byte_bpe_multi_50k.tiktoken"
 #: a document goes when its language has a smaller posterior probability
@@ -38,10 +39,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode_bytes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, and whether they decode to its text."""
     path, pattern = public_tokenizers.path(TOKENIZER), public_tokenizers.PATTERN
-    text = docs.select("doc_id", "lang", "source", F.coalesce("text", F.lit("")).alias("text"))
-    both = bpe.decode(bpe.encode(text, path, pattern), path, pattern)
-    return both.select("doc_id", "lang", "source", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids",
-                       (F.col("bytes") == F.col("text").cast("binary")).alias("decodes"))
+    ids = bpe.encode(docs.select("doc_id", "lang", "source", "text"), path, pattern, check="decodes", keep_text=False)
+    return ids.select("doc_id", "lang", "source", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", "decodes")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
@@ -56,6 +55,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_package(spark)
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), name)
