@@ -127,6 +127,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", path_col: str = "path", text_c
                .select("dir", "u.depth", "u.above").join(files, "above")
                .groupBy("dir").agg(F.max(F.struct("depth", "above", "inherited_license")).alias("n"))
                .select("dir", F.col("n.above").alias("inherited_from"), "n.inherited_license"))
+    nearest = written(nearest, "license-dirs")  # a table of its own, so a directory with many rows can be split in the join
     bare = F.col("own_license").isNull()
     return rows.join(nearest, "dir", "left").select(
         "row", "own_license", "own_cosine", "is_file",
