@@ -26,6 +26,7 @@ def bayes_poisson_flat_mode(spark, sf):
     """With (practically) flat priors the posterior mode is the Poisson MLE."""
     d = M.design(lines_per_order(spark, sf), "y", factors=["o_orderpriority"], keys=["o_orderkey"])
     post = B.bayes_glm(d, "poisson", FLAT)
+    d.free()
     return spark.createDataFrame([(t, round(float(b), 6)) for t, b in zip(post.terms, post.mode)],
                                  "term string, estimate double")
 
@@ -171,19 +172,23 @@ def trace_and_density(spark, sf):
                     F.round("x", 8).alias("x"), F.round("density", 8).alias("density"))
 
 
-@query("nb_varying_shape", "M23", f"""with {SQL_CUST},
+TWO = "case when c_mktsegment < 'D' then 'low' else 'rest' end"
+
+
+@query("nb_varying_shape", "M23", f"""with {SQL_CUST.replace('c.c_mktsegment as lv', TWO + ' as lv')},
 tl as materialized (select lv, j, count(*)::double as nj from j join y on y.y > j.j group by all),
 {theta_ctes('th', 'g', 'tl', by='lv')},
 f as (select g.lv, m, n, sqrt(lo * hi) as t from g join th60 using (lv)),
 v as (select f.*, n * t * m / (t + m) as im, t * t * ((select sum(nj / ((t + j) * (t + j))) from tl where tl.lv = f.lv) - n / t + n / (t + m)) as it from f),
 b as (select * from v where lv = (select min(lv) from v))
 select 'mu:(Intercept)' as param, round(ln(m), 5) as mode, round(1 / sqrt(im), 5) as sd from b
-union all select 'mu:c_mktsegment_' || v.lv, round(ln(v.m / b.m), 5), round(sqrt(1 / b.im + 1 / v.im), 5) from v, b where v.lv <> b.lv
+union all select 'mu:half_' || v.lv, round(ln(v.m / b.m), 5), round(sqrt(1 / b.im + 1 / v.im), 5) from v, b where v.lv <> b.lv
 union all select 'shape:(Intercept)', round(ln(t), 4), round(1 / sqrt(it), 4) from b
-union all select 'shape:c_mktsegment_' || v.lv, round(ln(v.t / b.t), 4), round(sqrt(1 / b.it + 1 / v.it), 4) from v, b where v.lv <> b.lv""")
+union all select 'shape:half_' || v.lv, round(ln(v.t / b.t), 4), round(sqrt(1 / b.it + 1 / v.it), 4) from v, b where v.lv <> b.lv""")
 def nb_varying_shape(spark, sf):
     """A factor in the mean and in the shape, practically flat priors."""
-    d = M.design(lines_per_customer(spark, sf), "y", factors=["c_mktsegment"], keys=["c_custkey"])
+    x = lines_per_customer(spark, sf).where("c_mktsegment IS NOT NULL").withColumn("half", F.expr(TWO))
+    d = M.design(x, "y", factors=["half"], keys=["c_custkey"])
     beta, gamma, cov = B.nb_shape_regression(d, [f"_x{i}" for i in range(1, d.p)], FLAT, shape_sd=1e8, tol=1e-12)
     d.free()
     rows = [(f"mu:{t}", round(float(v), 5), round(float(s), 5)) for t, v, s in zip(d.terms, beta, cov.diagonal()[:d.p] ** 0.5)]

@@ -75,6 +75,7 @@ def poisson_fit_stats(spark, sf):
     d = M.design(lines_per_order(spark, sf), "y", factors=["o_orderpriority"], keys=["o_orderkey"])
     fit = M.poisson_glm(d)
     od = M.overdispersion(fit)
+    d.free()
     row = [(round(od["deviance"], 4), int(od["df_resid"]), round(od["ratio"], 8), bool(od["overdispersed"]),
             round(fit.loglik, 4), round(fit.aic, 4))]
     return spark.createDataFrame(row, "deviance double, df_resid long, ratio double, overdispersed boolean, "
@@ -186,6 +187,7 @@ def gvif_two_numerics(spark, sf):
     x = lines_per_order(spark, sf).withColumnRenamed("y", "n_lines").withColumn("one", F.lit(1.0))
     d = M.design(x, "one", numeric=["o_totalprice", "n_lines"])
     g = M.design_gvif(d, spark)
+    d.free()
     return g.select("term", F.round("gvif", 6).alias("gvif"), "df", F.round("gvif_adj", 6).alias("gvif_adj"))
 
 
