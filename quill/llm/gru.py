@@ -1,9 +1,9 @@
 """The numpy kernel of the gated recurrent language model.
 
-Documents lie in lanes: each lane is a row of documents one after the other,
-all lanes take a step together, and a lane's state starts at zero with every
-document. A window of steps is computed at once; the state is carried into the
-next window, gradients are not (truncated backpropagation).
+Documents lie in lanes: a lane that is through with a document takes the next
+one, all lanes take a step together, and a lane's state starts at zero with
+every document. A window of steps is computed at once; the state is carried
+into the next window, gradients are not (truncated backpropagation).
 
 Before a token is read it is predicted from the state: a softmax over classes,
 then for frequent words a softmax over the words of the class. The words of
@@ -11,7 +11,6 @@ other classes have fixed shares of their class, which the caller adds.
 """
 from __future__ import annotations
 
-import heapq
 from dataclasses import dataclass
 
 import numpy as np
@@ -61,75 +60,101 @@ class Shape:
         return flat
 
 
-def lanes(sizes: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
-    """Order of the documents, longest first into the shortest lane, and the
-    lanes' lengths, longest lane first; documents of a lane are neighbours."""
-    count = max(1, min(count, len(sizes)))
-    heap, of = [(0, i) for i in range(count)], np.zeros(len(sizes), np.int64)
-    for d in np.argsort(-sizes, kind="stable"):
-        n, lane = heap[0]
-        of[d] = lane
-        heapq.heapreplace(heap, (n + int(sizes[d]), lane))
-    total = np.bincount(of, weights=sizes, minlength=count).astype(np.int64)
-    rank = np.empty(count, np.int64)
-    rank[np.argsort(-total, kind="stable")] = np.arange(count)
-    return np.argsort(rank[of], kind="stable"), np.sort(total)[::-1]
-
-
-class Pass:
-    """Windows over one set of documents: ``x`` input ids, ``c`` classes, ``w``
-    places in the class (-1 where the class has no words), token by token in
-    lane order; ``first`` marks a document's first token."""
-
-    def __init__(self, shape: Shape, x, c, w, first, lane_sizes, steps: int):
-        self.shape, self.steps = shape, steps
-        self.x, self.c, self.w, self.first = x, c, w, first
-        self.size = lane_sizes
-        self.start = np.cumsum(lane_sizes) - lane_sizes
-
-    def windows(self):
-        """(index matrix [steps, lanes], mask) of every window, in order."""
-        for t in range(0, int(self.size[0]) if len(self.size) else 0, self.steps):
-            n = int(np.searchsorted(-self.size, -t, "left"))  # lanes longer than t
-            step = t + np.arange(min(self.steps, int(self.size[0]) - t))[:, None]
-            yield self.start[:n] + np.minimum(step, self.size[:n] - 1), step < self.size[:n]
-
-    def forward(self, v: dict, at: np.ndarray, live: np.ndarray, state: np.ndarray, keep: bool):
-        h = self.shape.hidden
-        steps, n = at.shape
-        a = v["wx"][self.x[at]]
-        fresh = ~self.first[at] & live  # states that go on
+#: columns of a token: input id, class, place in the class (-1: none), document, first of it, last of it
+X, C, W, DOC, FIRST, LAST = range(6)
+
+
+def windows(documents, lanes: int, steps: int):
+    """Windows over documents, each an int32 array (tokens, 6), in the order in
+    which lanes get free: (lane numbers, tokens [steps, lanes, 6], live mask)."""
+    documents = iter(documents)
+    held = [np.empty((0, 6), np.int32)] * lanes
+    at, open_ = [0] * lanes, True
+    while True:
+        active, parts = [], []
+        for lane in range(lanes):
+            tokens, i = held[lane], at[lane]
+            if len(tokens) - i < steps and open_:
+                more, n = [tokens[i:]], len(tokens) - i
+                while n < steps:
+                    d = next(documents, None)
+                    if d is None:
+                        open_ = False
+                        break
+                    more.append(d)
+                    n += len(d)
+                tokens, i = np.concatenate(more) if len(more) > 1 else more[0], 0
+                held[lane] = tokens
+            if i < len(tokens):
+                active.append(lane)
+                parts.append(tokens[i:i + steps])
+                at[lane] = i + steps
+        if not active:
+            return
+        size = np.array([len(p) for p in parts])
+        out = np.zeros((len(parts), steps, 6), np.int32)
+        for row, p in zip(out, parts, strict=True):
+            row[:len(p)] = p
+        yield np.array(active), out.transpose(1, 0, 2), np.arange(steps)[:, None] < size
+
+
+class Net:
+    """The network over windows, with its lanes' states."""
+
+    def __init__(self, shape: Shape, flat: np.ndarray, lanes: int):
+        self.shape, self.flat, self.v = shape, flat, shape.views(flat)
+        self.state = np.zeros((lanes, shape.hidden), F32)
+
+    def forward(self, lane: np.ndarray, token: np.ndarray, live: np.ndarray, keep: bool):
+        """States before each token; the lanes' states move on."""
+        h, v = self.shape.hidden, self.v
+        steps, n = live.shape
+        # the gates' sigmoid as (1 + tanh(x / 2)) / 2
+        half = np.r_[np.full(2 * h, 0.5), np.ones(h)].astype(F32)
+        u, wx = v["u"] * half, v["wx"] * half
+        a = wx[token[:, :, X]]
+        fresh = (live & (token[:, :, FIRST] == 0))[:, :, None]  # states that go on
         s = np.empty((steps, n, h), F32)
-        cache = ([], [], [], []) if keep else None
-        now, u = state[:n], v["u"]
+        gates = np.empty((steps, n, 3 * h), F32) if keep else None
+        now = self.state[lane]
         for t in range(steps):
-            now = now * fresh[t][:, None]
-            s[t] = now
-            g = now @ u
-            zr = a[t, :, :2 * h] + g[:, :2 * h]
-            np.negative(zr, out=zr)
-            np.exp(zr, out=zr)
+            now = np.multiply(now, fresh[t], out=s[t])
+            g = np.matmul(now, u, out=gates[t]) if keep else now @ u
+            zr = a[t, :, :2 * h]
+            zr += g[:, :2 * h]
+            np.tanh(zr, out=zr)
             zr += 1
-            np.reciprocal(zr, out=zr)
-            z, r = zr[:, :h], zr[:, h:]
-            new = np.tanh(a[t, :, 2 * h:] + r * g[:, 2 * h:])
-            if keep:
-                for store, value in zip(cache, (z, r, new, g[:, 2 * h:]), strict=True):
-                    store.append(value)
-            now = new + z * (now - new)
-        return s, now, cache
-
-    def outputs(self, v: dict, s: np.ndarray, c: np.ndarray, w: np.ndarray, grad: dict | None):
+            zr *= F32(0.5)
+            z, r, gn, new = zr[:, :h], zr[:, h:], g[:, 2 * h:], a[t, :, 2 * h:]
+            new += r * gn
+            np.tanh(new, out=new)
+            now = now - new
+            now *= z
+            now += new
+        self.state[lane] = now
+        return s, (a, gates)  # of every step: both gates and the new value; the products with the state
+
+    @staticmethod
+    def _softmax(s, weight, bias, rows, pick):
+        """Exponentials, log probability of the picked columns, row sums."""
+        e = s @ weight
+        e += bias
+        p = e[rows, pick]
+        with np.errstate(over="ignore"):
+            top = np.exp(e)
+            total = top.sum(1)
+        if not (np.isfinite(total) & (total > 0)).all():  # hardly ever: states and weights are small
+            m = e.max(1, keepdims=True)
+            top, p = np.exp(e - m), p - m[:, 0]
+            total = top.sum(1)
+        return top, p - np.log(total), total
+
+    def outputs(self, s: np.ndarray, c: np.ndarray, w: np.ndarray, grad: dict | None):
         """Natural log probabilities of class and word; with ``grad`` also the
         gradient of their negative sum on ``s``, the weights' added to ``grad``."""
-        logits = s @ v["wc"]
-        logits += v["bc"]
-        logits -= logits.max(1, keepdims=True)
+        v = self.v
         every = np.arange(len(s))
-        picked = logits[every, c]
-        np.exp(logits, out=logits)
-        total = logits.sum(1)
-        logp = picked - np.log(total)
+        logits, logp, total = self._softmax(s, v["wc"], v["bc"], every, c)
         ds = None
         if grad is not None:
             logits /= total[:, None]
@@ -138,19 +163,14 @@ class Pass:
             grad["bc"] += logits.sum(0)
             ds = logits @ v["wc"].T
         head = np.flatnonzero(w >= 0)
-        order = head[np.argsort(c[head], kind="stable")]
+        order = head[np.argsort(c[head].astype(np.int16), kind="stable")]
         edge = np.searchsorted(c[order], np.arange(self.shape.heads + 1))
         for k in np.flatnonzero(np.diff(edge)):
             rows = order[edge[k]:edge[k + 1]]
             sk, wk = s[rows], w[rows]
-            q = sk @ v["wh"][k]
-            q += v["bh"][k]
-            q -= q.max(1, keepdims=True)
-            i = np.arange(len(rows))
-            p = q[i, wk]
-            np.exp(q, out=q)
-            total = q.sum(1)
-            logp[rows] += p - np.log(total)
+            i = every[:len(rows)]
+            q, p, total = self._softmax(sk, v["wh"][k], v["bh"][k], i, wk)
+            logp[rows] += p
             if grad is not None:
                 q /= total[:, None]
                 q[i, wk] -= 1
@@ -159,49 +179,54 @@ class Pass:
                 ds[rows] += q @ v["wh"][k].T
         return logp, ds
 
-    def score(self, flat: np.ndarray) -> np.ndarray:
-        """Natural log probability of every token (class and word)."""
-        v = self.shape.views(flat)
-        out = np.zeros(len(self.x))
-        state = np.zeros((len(self.size), self.shape.hidden), F32)
-        for at, live in self.windows():
-            s, state, _ = self.forward(v, at, live, state, False)
-            i = at[live]
-            out[i] = self.outputs(v, s[live], self.c[i], self.w[i], None)[0]
-        return out
+    def score(self, lane, token, live) -> tuple[np.ndarray, np.ndarray]:
+        """Of a window its live tokens, and their natural log probabilities."""
+        s, _ = self.forward(lane, token, live, False)
+        t = token[live]
+        return t, self.outputs(s[live], t[:, C], t[:, W], None)[0]
 
-    def gradient(self, flat: np.ndarray, at, live, state) -> tuple[np.ndarray, np.ndarray, float]:
-        """Mean gradient of a window, the state after it, its summed log probability."""
-        shape, h = self.shape, self.shape.hidden
-        v, g = shape.views(flat), np.zeros(shape.size, F32)
+    def gradient(self, lane, token, live) -> tuple[np.ndarray, float]:
+        """Mean gradient of a window and its summed log probability."""
+        shape, h, v = self.shape, self.shape.hidden, self.v
+        g = np.zeros(shape.size, F32)
         grad = shape.views(g)
-        s, after, (z, r, new, gn) = self.forward(v, at, live, state, True)
-        i = at[live]
-        logp, ds_live = self.outputs(v, s[live], self.c[i], self.w[i], grad)
+        s, (a, gates) = self.forward(lane, token, live, True)
+        tokens = token[live]
+        logp, ds_live = self.outputs(s[live], tokens[:, C], tokens[:, W], grad)
         ds = np.zeros_like(s)
         ds[live] = ds_live
-        steps, n = at.shape
-        da = np.empty((steps, n, 3 * h), F32)
-        dg = np.empty((steps, n, 3 * h), F32)
-        fresh, ut = (~self.first[at] & live), v["u"].T.copy()
+        steps, n = live.shape
+        da, dg = np.empty((steps, n, 3 * h), F32), np.empty((steps, n, 3 * h), F32)
+        fresh, ut = (live & (token[:, :, FIRST] == 0))[:, :, None], v["u"].T.copy()
         back = np.zeros((n, h), F32)  # gradient on the state after the step
         for t in range(steps - 1, -1, -1):
-            zt, rt, nt = z[t], r[t], new[t]
-            dn = back * (1 - zt) * (1 - nt * nt)
-            da[t, :, :h] = back * (s[t] - nt) * zt * (1 - zt)
-            da[t, :, h:2 * h] = dn * gn[t] * rt * (1 - rt)
-            da[t, :, 2 * h:] = dn
-            dg[t, :, :2 * h] = da[t, :, :2 * h]
-            dg[t, :, 2 * h:] = dn * rt
-            back = (back * zt + dg[t] @ ut + ds[t]) * fresh[t][:, None]
+            z, r, new, gn = a[t, :, :h], a[t, :, h:2 * h], a[t, :, 2 * h:], gates[t, :, 2 * h:]
+            bz = back * z
+            of_new = back - bz
+            of_new *= 1 - new * new
+            of_z = s[t] - new
+            of_z *= bz
+            of_z *= 1 - z
+            of_r = of_new * r
+            da[t, :, :h] = dg[t, :, :h] = of_z
+            da[t, :, 2 * h:], dg[t, :, 2 * h:] = of_new, of_r
+            of_r *= gn
+            of_r *= 1 - r
+            da[t, :, h:2 * h] = dg[t, :, h:2 * h] = of_r
+            back = dg[t] @ ut
+            back += bz
+            back += ds[t]
+            back *= fresh[t]
         grad["u"] += s.reshape(-1, h).T @ dg.reshape(-1, 3 * h)
-        ids, rows = self.x[at].ravel(), da.reshape(-1, 3 * h)
+        ids, rows = token[:, :, X].ravel(), da.reshape(-1, 3 * h)
+        if shape.inputs < 1 << 15:
+            ids = ids.astype(np.int16)  # sorted by radix
         order = np.argsort(ids, kind="stable")
         ids = ids[order]
         edge = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
         grad["wx"][ids[edge]] += np.add.reduceat(rows[order], edge, axis=0)
-        g /= max(1, len(i))
-        return g, after, float(logp.sum())
+        g /= max(1, len(tokens))
+        return g, float(logp.sum())
 
 
 class Adam:
@@ -216,11 +241,28 @@ class Adam:
         flat -= size * self.m / (np.sqrt(self.s * F32(1 / (1 - 0.995 ** self.t))) + F32(1e-6))
 
 
-def fit(flat: np.ndarray, todo: Pass, adam: Adam) -> float:
-    """One run over the documents, weights changed in place; its log probability."""
-    state, total = np.zeros((len(todo.size), todo.shape.hidden), F32), 0.0
-    for at, live in todo.windows():
-        g, state, logp = todo.gradient(flat, at, live, state)
-        adam.step(flat, g)
-        total += logp
-    return total
+def cut(documents, most: int):
+    """The documents, those of more than ``most`` tokens in parts that start anew."""
+    for d in documents:
+        if len(d) > most:
+            d[::most, FIRST] = 1
+            yield from (d[i:i + most] for i in range(0, len(d), most))
+        else:
+            yield d
+
+
+def fit(flat: np.ndarray, shape: Shape, documents, adam: Adam, lanes: int = 1024, steps: int = 8,
+        most: int = 2048) -> tuple[float, int]:
+    """One run over the documents, weights changed in place; the summed log
+    probability on the way and the number of tokens. While learning, a document
+    starts anew every ``most`` tokens, so that all lanes are in use."""
+    net, total, n = Net(shape, flat, lanes), 0.0, 0
+    for lane, token, live in windows(cut(documents, most), lanes, 4 * steps):
+        for part in (slice(i, i + steps) for i in range(0, 4 * steps, steps)):
+            on = live[part].any(0)
+            if not on.any():
+                break
+            g, logp = net.gradient(lane[on], token[part, on], live[part, on])
+            adam.step(flat, g)
+            total, n = total + logp, n + int(live[part].sum())
+    return total, n

@@ -30,6 +30,7 @@ import zlib
 from bisect import bisect_right
 from collections import Counter
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -37,16 +38,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import binary_list, written
-from .gru import Adam, Pass, Shape, fit, lanes
+from .gru import DOC, FIRST, LAST, Adam, C, Net, Shape, W, fit, windows
 
 END = b"\n"  # no word holds a blank
-KNOWN = 1 << 17
-HEADS, WORDS = 32, 32
-TAILS = 64  # classes of all other tokens
+KNOWN = 1 << 18
+HEADS, WORDS = 16, 32
+TAILS = 48  # classes of all other tokens
 ENDINGS = 512  # input ids of all other tokens, by their last three bytes
 HIDDEN = 16
 FAN = 32
-BLOCK = 1 << 22  # bytes of text worked on at once
+BLOCK = 1 << 20  # bytes of text worked on at once
+LANES = 256  # documents that take a step together
 FLUSH = 400_000  # distinct tokens a task holds before it hands them on
 ROUNDS = ((0, 1), (1, 4), (4, 16))  # parts of 16
 
@@ -68,19 +70,6 @@ def words(text: bytes) -> list[bytes]:
     return text.lower().split()  # bytes: A-Z and the six blanks only
 
 
-def runs(texts, size: int = BLOCK):
-    """Neighbouring items whose texts have about ``size`` bytes together."""
-    part, total = [], 0
-    for t in texts:
-        part.append(t)
-        total += len(t or b"") + 64
-        if total >= size:
-            yield part
-            part, total = [], 0
-    if part:
-        yield part
-
-
 # 1. counts ------------------------------------------------------------------
 
 def token_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -138,11 +127,12 @@ class Vocabulary:
         mass = np.cumsum(counts[rest]) if rest else np.zeros(0)
         at = np.searchsorted(mass, mass[-1] * np.arange(1, TAILS) / TAILS) if rest else []
         self.cuts = [tokens[rest[i]][-4:][::-1] for i in at]
-        self.x, self.c, self.w = (np.full(len(tokens), -1, np.int32) for _ in range(3))
+        self.xcw = np.full((len(tokens), 3), -1, np.int32)  # input id, class, place in it
         for k, i in enumerate(head):
-            self.x[i], self.c[i], self.w[i] = k, k // WORDS, k % WORDS
+            self.xcw[i] = k, k // WORDS, k % WORDS
         for i in range(len(head), len(tokens)):
-            self.x[i], self.c[i] = self.ending(tokens[i])
+            self.xcw[i, :2] = self.ending(tokens[i])
+        self.c, self.w = self.xcw[:, 1], self.xcw[:, 2]
         self._at = self._seen = None
 
     def ending(self, token: bytes) -> tuple[int, int]:
@@ -155,36 +145,35 @@ class Vocabulary:
     def __setstate__(self, d):
         self.__dict__.update(d, _at=None, _seen=None)
 
-    def encode(self, texts: list):
-        """(sizes, ids or -1, x, c, w) of all tokens of the texts, end tokens
-        included, and each text's tokens outside the vocabulary."""
+    def encode(self, text: bytes | None):
+        """(tokens, 6) of a text with its end token, as the network reads them,
+        the known tokens' ids (-1: unknown), and the unknown tokens."""
         if self._at is None:
             self._at, self._seen = {t: i for i, t in enumerate(self.tokens)}, {}
-        get, seen, sizes, ids, others, odd = self._at.get, self._seen, [], [], [], []
-        for t in texts:
-            n, own = 1, []
-            for p in pieces(t):
-                ws = words(p)
-                a = np.array([get(x, -1) for x in ws], np.int32)
-                own += [ws[i] for i in np.flatnonzero(a < 0)]
-                ids.append(a)
-                n += len(a)
-            ids.append(np.array([self.end], np.int32))
-            sizes.append(n)
-            others.append(own)
-            odd += own
-        ids = np.concatenate(ids) if ids else np.zeros(0, np.int32)
-        x, c, w = self.x[ids], self.c[ids], self.w[ids]
+        get, parts, odd = self._at.get, [], []
+        for p in pieces(text):
+            ws = words(p)
+            a = np.fromiter(map(get, ws, repeat(-1)), np.int32, len(ws))
+            odd += [ws[i] for i in np.flatnonzero(a < 0).tolist()]
+            parts.append(a)
+        parts.append(np.array([self.end], np.int32))
+        ids = np.concatenate(parts)
+        out = np.zeros((len(ids), 6), np.int32)
+        out[:, :3] = self.xcw[ids]
         if odd:
+            seen = self._seen
             if len(seen) > 1 << 18:
                 seen.clear()
-            for t in {o[-4:] for o in odd}:
-                if t not in seen:
-                    seen[t] = self.ending(t)
+            ends = [o[-4:] for o in odd]
+            for e in set(ends):
+                if e not in seen:
+                    x, c = self.ending(e)
+                    seen[e] = x << 10 | c
+            xc = np.fromiter(map(seen.__getitem__, ends), np.int32, len(ends))
             at = ids < 0
-            xc = np.array([seen[o[-4:]] for o in odd], np.int32)
-            x[at], c[at], w[at] = xc[:, 0], xc[:, 1], -1
-        return np.array(sizes, np.int64), ids, x, c, w, others
+            out[at, 0], out[at, 1] = xc >> 10, xc & 1023
+        out[0, FIRST] = out[-1, LAST] = 1
+        return out, ids, odd
 
 
 def class_sums(counts: DataFrame, vocab) -> np.ndarray:
@@ -208,15 +197,11 @@ def class_sums(counts: DataFrame, vocab) -> np.ndarray:
 
 # 3. weights -------------------------------------------------------------------
 
-def laid_out(shape: Shape, sizes, x, c, w, count: int, steps: int):
-    """A Pass over the documents, and their order in it."""
-    order, lane_sizes = lanes(sizes, count)
-    begin = np.cumsum(sizes) - sizes
-    new = np.cumsum(sizes[order]) - sizes[order]
-    take = np.arange(int(sizes.sum())) + np.repeat(begin[order] - new, sizes[order])
-    first = np.zeros(len(x), bool)
-    first[new] = True
-    return Pass(shape, x[take], c[take], w[take], first, lane_sizes, steps), order, take, new
+def long_first(batches, column: int):
+    """The texts of each Arrow batch, longest first: so lanes end together."""
+    for b in batches:
+        texts = binary_list(b.column(column))
+        yield from sorted(texts, key=lambda t: -len(t or b""))
 
 
 def trained(docs: DataFrame, text_col: str, vocab, shape: Shape, flat: np.ndarray, rate: float) -> np.ndarray:
@@ -224,12 +209,8 @@ def trained(docs: DataFrame, text_col: str, vocab, shape: Shape, flat: np.ndarra
     start = docs.sparkSession.sparkContext.broadcast(flat)
 
     def run(batches):
-        v, mine, adam, n = vocab.value, start.value.copy(), Adam(len(start.value), rate), 0
-        texts = (t for b in batches for t in binary_list(b.column(0)))
-        for part in runs(texts):
-            sizes, _, x, c, w, _ = v.encode(part)
-            fit(mine, laid_out(shape, sizes, x, c, w, 512, 16)[0], adam)
-            n += int(sizes.sum())
+        v, mine = vocab.value, start.value.copy()
+        _, n = fit(mine, shape, (v.encode(t)[0] for t in long_first(batches, 0)), Adam(len(mine), rate))
         if n:
             yield blob(mine.astype(np.float64) * n, n)
 
@@ -306,40 +287,63 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     base = math.log10(model.tokens + 0.5 * (model.distinct + 1))
 
     def run(batches):
-        v = vocab.value
-        for b in batches:
-            done = 0
-            for part in runs(binary_list(b.column(2))):
-                rows = b.slice(done, len(part))
-                done += len(part)
-                sizes, ids, x, c, w, others = v.encode(part)
-                todo, order, take, new = laid_out(shape, sizes, x, c, w, 512, 32)
-                logp = np.empty(len(ids))
-                logp[take] = todo.score(weights.value) / math.log(10)
-                known = ids >= 0
-                share = np.where(known, v.logc[ids], 0.0)
-                logp += np.where(w < 0, share - log_class[c], 0.0)
-                start = np.cumsum(sizes) - sizes
-                sums = [np.add.reduceat(a, start) for a in (logp, share - base, known & (v.counts[ids] > 0))]
-                bags = [Counter(o) for o in others]
-                offsets = np.cumsum([0, *map(len, bags)])
-                yield pa.RecordBatch.from_arrays(
-                    [rows.column(0), rows.column(1), pa.array(sizes), pa.array(sums[2].astype(np.int64)), pa.array(sums[1]), pa.array(sums[0]),
-                     pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array([t for g in bags for t in g], pa.binary())),
-                     pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array([k for g in bags for k in g.values()], pa.int64()))],
-                    names=["row", "doc_id", "n_tokens", "n_known", "base_score", "score", "others", "times"])
-
-    kind = docs.schema[id_col].dataType.simpleString()
+        v, net = vocab.value, Net(shape, weights.value, LANES)
+        at, free, sums, places = [], [], np.zeros(0), np.zeros(0, np.int64)  # of the documents in the lanes
+        facts, done = [], []  # rows to hand on
+
+        def documents():
+            nonlocal sums, places
+            for b in batches:
+                texts, numbers, ids = binary_list(b.column(2)), b.column(0).to_pylist(), b.column(1).to_pylist()
+                for k in sorted(range(len(texts)), key=lambda k: -len(texts[k] or b"")):  # long ones first: lanes end together
+                    tokens, known, odd = v.encode(texts[k])
+                    have = known >= 0
+                    share = np.where(have, v.logc[known], 0.0)
+                    tail = tokens[:, W] < 0
+                    if not free:
+                        free.extend(range(len(sums), len(sums) + 4096))
+                        sums, places = np.r_[sums, np.zeros(4096)], np.r_[places, np.zeros(4096, np.int64)]
+                    i = free.pop()
+                    # the fixed shares of tail words; unknown tokens' counts come by the join
+                    sums[i], places[i] = (share - log_class[tokens[:, C]])[tail].sum(), numbers[k]
+                    tokens[:, DOC] = i
+                    bag = Counter(odd)
+                    facts.append((numbers[k], ids[k], len(tokens), int((have & (v.counts[known] > 0)).sum()),
+                                  float((share - base).sum()), None, list(bag), list(bag.values())))
+                    yield tokens
+
+        for lane, token, live in windows(documents(), LANES, 32):
+            t, logp = net.score(lane, token, live)
+            np.add.at(sums, t[:, DOC], logp / math.log(10))
+            ended = t[t[:, LAST] == 1, DOC]
+            done.extend((int(places[i]), None, None, None, None, float(sums[i]), None, None) for i in ended)
+            free.extend(ended.tolist())
+            if len(facts) + len(done) > 4096:
+                yield table_of(facts + done)
+                facts.clear(), done.clear()
+        yield table_of(facts + done)
+
+    def table_of(rows):
+        cols = list(zip(*rows, strict=True)) or [()] * len(schema)
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
+
+    from pyspark.sql.pandas.types import to_arrow_type
+    kind = docs.schema[id_col].dataType
+    schema = pa.schema([("row", pa.int64()), ("doc_id", to_arrow_type(kind)), ("n_tokens", pa.int64()), ("n_known", pa.int64()),
+                        ("base_score", pa.float64()), ("score", pa.float64()), ("others", pa.list_(pa.binary())),
+                        ("times", pa.list_(pa.int64()))])
     own = written(docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-                  .mapInArrow(run, f"row long, doc_id {kind}, n_tokens long, n_known long, base_score double, score double, "
+                  .mapInArrow(run, f"row long, doc_id {kind.simpleString()}, n_tokens long, n_known long, base_score double, score double, "
                                    "others array<binary>, times array<long>"), "scores")
-    pairs = own.select("row", F.explode(F.arrays_zip("others", "times")).alias("o")).select(
+    facts = own.where("n_tokens IS NOT NULL")
+    pairs = facts.select("row", F.explode(F.arrays_zip("others", "times")).alias("o")).select(
         "row", F.col("o.others").alias("token"), F.col("o.times").alias("k"))
     n = F.coalesce("n", F.lit(0))
-    rest = pairs.join(model.counts, "token", "left").groupBy("row").agg(
-        F.sum(F.col("k") * F.log10(n + 0.5)).alias("more"), F.sum(F.when(n > 0, F.col("k")).otherwise(0)).alias("also"))
-    more = F.coalesce("more", F.lit(0.0))
-    return own.drop("others", "times").join(rest, "row", "left").select(
-        "doc_id", "n_tokens", (F.col("n_known") + F.coalesce("also", F.lit(0))).alias("n_known"),
-        F.lit(model.tokens).cast("long").alias("train_tokens"), (F.col("base_score") + more).alias("base_score"),
-        (F.col("score") + more).alias("score"))
+    joined = pairs.join(model.counts, "token", "left").select(
+        "row", (F.col("k") * F.log10(n + 0.5)).alias("more"), F.when(n > 0, F.col("k")).otherwise(0).alias("also"), F.lit(0.0).alias("score"))
+    scores = own.where("score IS NOT NULL").select("row", F.lit(0.0), F.lit(0).cast("long"), "score")
+    rest = joined.union(scores).groupBy("row").agg(*[F.sum(c).alias(f"_{c}") for c in ("more", "also", "score")])
+    return facts.drop("others", "times", "score").join(rest, "row").select(
+        "doc_id", "n_tokens", (F.col("n_known") + F.col("_also")).alias("n_known"),
+        F.lit(model.tokens).cast("long").alias("train_tokens"), (F.col("base_score") + F.col("_more")).alias("base_score"),
+        (F.col("_score") + F.col("_more")).alias("score"))
