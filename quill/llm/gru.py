@@ -112,8 +112,8 @@ class Net:
         # the gates' sigmoid as (1 + tanh(x / 2)) / 2
         half = np.r_[np.full(2 * h, 0.5), np.ones(h)].astype(F32)
         u, wx = v["u"] * half, v["wx"] * half
-        a = wx[token[:, :, X]]
-        fresh = (live & (token[:, :, FIRST] == 0))[:, :, None]  # states that go on
+        a = wx.take(token[:, :, X], axis=0, mode="clip")
+        fresh = (live & (token[:, :, FIRST] == 0)).astype(F32)[:, :, None]  # states that go on
         s = np.empty((steps, n, h), F32)
         gates = np.empty((steps, n, 3 * h), F32) if keep else None
         now = self.state[lane]
@@ -182,8 +182,9 @@ class Net:
     def score(self, lane, token, live) -> tuple[np.ndarray, np.ndarray]:
         """Of a window its live tokens, and their natural log probabilities."""
         s, _ = self.forward(lane, token, live, False)
-        t = token[live]
-        return t, self.outputs(s[live], t[:, C], t[:, W], None)[0]
+        full = live.all()
+        t = token.reshape(-1, 6) if full else token[live]
+        return t, self.outputs(s.reshape(-1, s.shape[2]) if full else s[live], t[:, C], t[:, W], None)[0]
 
     def gradient(self, lane, token, live) -> tuple[np.ndarray, float]:
         """Mean gradient of a window and its summed log probability."""
@@ -191,13 +192,16 @@ class Net:
         g = np.zeros(shape.size, F32)
         grad = shape.views(g)
         s, (a, gates) = self.forward(lane, token, live, True)
-        tokens = token[live]
-        logp, ds_live = self.outputs(s[live], tokens[:, C], tokens[:, W], grad)
-        ds = np.zeros_like(s)
-        ds[live] = ds_live
-        steps, n = live.shape
+        full, (steps, n) = live.all(), live.shape
+        tokens = token.reshape(-1, 6) if full else token[live]
+        logp, ds = self.outputs(s.reshape(-1, h) if full else s[live], tokens[:, C], tokens[:, W], grad)
+        if full:
+            ds = ds.reshape(s.shape)
+        else:
+            ds_live, ds = ds, np.zeros_like(s)
+            ds[live] = ds_live
         da, dg = np.empty((steps, n, 3 * h), F32), np.empty((steps, n, 3 * h), F32)
-        fresh, ut = (live & (token[:, :, FIRST] == 0))[:, :, None], v["u"].T.copy()
+        fresh, ut = (live & (token[:, :, FIRST] == 0)).astype(F32)[:, :, None], v["u"].T.copy()
         back = np.zeros((n, h), F32)  # gradient on the state after the step
         for t in range(steps - 1, -1, -1):
             z, r, new, gn = a[t, :, :h], a[t, :, h:2 * h], a[t, :, 2 * h:], gates[t, :, 2 * h:]
@@ -257,8 +261,8 @@ def fit(flat: np.ndarray, shape: Shape, documents, adam: Adam, lanes: int = 1024
     probability on the way and the number of tokens. While learning, a document
     starts anew every ``most`` tokens, so that all lanes are in use."""
     net, total, n = Net(shape, flat, lanes), 0.0, 0
-    for lane, token, live in windows(cut(documents, most), lanes, 4 * steps):
-        for part in (slice(i, i + steps) for i in range(0, 4 * steps, steps)):
+    for lane, token, live in windows(cut(documents, most), lanes, 8 * steps):
+        for part in (slice(i, i + steps) for i in range(0, 8 * steps, steps)):
             on = live[part].any(0)
             if not on.any():
                 break

@@ -30,18 +30,19 @@ import zlib
 from bisect import bisect_right
 from collections import Counter
 from dataclasses import dataclass
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary_list, written
+from .common import slices, written
 from .gru import DOC, FIRST, LAST, Adam, C, Net, Shape, W, fit, windows
 
 END = b"\n"  # no word holds a blank
 KNOWN = 1 << 18
+FREQUENT = 1 << 15  # tokens of them that training looks up
 HEADS, WORDS = 16, 32
 TAILS = 48  # classes of all other tokens
 ENDINGS = 512  # input ids of all other tokens, by their last three bytes
@@ -49,25 +50,27 @@ HIDDEN = 16
 FAN = 32
 BLOCK = 1 << 20  # bytes of text worked on at once
 LANES = 256  # documents that take a step together
-FLUSH = 400_000  # distinct tokens a task holds before it hands them on
-ROUNDS = ((0, 1), (1, 4), (4, 16))  # parts of 16
+COUNTED = 1 << 24  # bytes of text whose words are counted at once
+ROUNDS = ((0, 2), (2, 16))  # parts of 16
 
 
-def pieces(text: bytes | None, size: int = BLOCK):
-    """The text in parts of about ``size`` bytes, cut at blanks."""
-    text, at = text or b"", 0
-    while len(text) - at > size:
-        cut = max(text.rfind(b, at, at + size) for b in (b" ", b"\t", b"\n", b"\x0b", b"\x0c", b"\r"))
-        if cut <= at:
-            ends = [i for i in (text.find(b, at + size) for b in (b" ", b"\t", b"\n", b"\x0b", b"\x0c", b"\r")) if i >= 0]
-            cut = min(ends, default=len(text))
-        yield text[at:cut]
-        at = cut
-    yield text[at:]
+def split_words(column) -> tuple[pa.Array, np.ndarray]:
+    """All words of an Arrow text column in one array, and each text's number of
+    them. Arrow lower-cases A-Z and splits at the six blanks, without a Python
+    object per word."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(column.cast(pa.string()), "")))
+    flat, offsets = lists.flatten(), lists.offsets.to_numpy()
+    some = pc.not_equal(pc.binary_length(flat), 0)  # blanks at a text's ends leave empty pieces
+    before = np.r_[0, np.cumsum(some.to_numpy(zero_copy_only=False))]
+    at = offsets - offsets[0]
+    return flat.filter(some), before[at[1:]] - before[at[:-1]]
 
 
-def words(text: bytes) -> list[bytes]:
-    return text.lower().split()  # bytes: A-Z and the six blanks only
+def long_first(batches, column: int):
+    """Slices of each Arrow batch, the longest texts first: lanes end together."""
+    for b in batches:
+        size = pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy()
+        yield from slices(b.take(pa.array(np.argsort(-size, kind="stable"))), column, BLOCK)
 
 
 # 1. counts ------------------------------------------------------------------
@@ -75,22 +78,12 @@ def words(text: bytes) -> list[bytes]:
 def token_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """(token binary, n): every distinct token of the texts, end tokens too."""
     def run(batches):
-        c: Counter = Counter()
-        for b in batches:
-            for t in binary_list(b.column(0)):
-                for p in pieces(t):
-                    c.update(words(p))
-                    if len(c) > FLUSH:
-                        yield from rows(c)
-                        c = Counter()
-                c[END] += 1
-        yield from rows(c)
-
-    def rows(c):
-        keys, n = list(c), list(c.values())
-        for i in range(0, len(keys), 1 << 16):
-            yield pa.RecordBatch.from_arrays([pa.array(keys[i:i + (1 << 16)], pa.binary()), pa.array(n[i:i + (1 << 16)], pa.int64())],
-                                             names=["token", "n"])
+        for part in (p for b in batches for p in slices(b, 0, COUNTED)):
+            distinct = split_words(part.column(0))[0].value_counts()
+            yield pa.RecordBatch.from_arrays(
+                [pa.concat_arrays([distinct.field("values").cast(pa.binary()), pa.array([END], pa.binary())]),
+                 pa.concat_arrays([distinct.field("counts").cast(pa.int64()), pa.array([part.num_rows], pa.int64())])],
+                names=["token", "n"])
 
     return (docs.select(F.col(text_col).alias("text")).mapInArrow(run, "token binary, n long")
             .groupBy("token").agg(F.sum("n").alias("n")))
@@ -133,59 +126,73 @@ class Vocabulary:
         for i in range(len(head), len(tokens)):
             self.xcw[i, :2] = self.ending(tokens[i])
         self.c, self.w = self.xcw[:, 1], self.xcw[:, 2]
-        self._at = self._seen = None
+        self._values = self._ends = None
 
     def ending(self, token: bytes) -> tuple[int, int]:
         """Input id and class of a token that is not among the first."""
         return (HEADS * WORDS + zlib.crc32(token[-3:]) % ENDINGS, HEADS + bisect_right(self.cuts, token[-4:][::-1]))
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k not in ("_at", "_seen")}
+        return {k: v for k, v in self.__dict__.items() if k[0] != "_"}
 
     def __setstate__(self, d):
-        self.__dict__.update(d, _at=None, _seen=None)
-
-    def encode(self, text: bytes | None):
-        """(tokens, 6) of a text with its end token, as the network reads them,
-        the known tokens' ids (-1: unknown), and the unknown tokens."""
-        if self._at is None:
-            self._at, self._seen = {t: i for i, t in enumerate(self.tokens)}, {}
-        get, parts, odd = self._at.get, [], []
-        for p in pieces(text):
-            ws = words(p)
-            a = np.fromiter(map(get, ws, repeat(-1)), np.int32, len(ws))
-            odd += [ws[i] for i in np.flatnonzero(a < 0).tolist()]
-            parts.append(a)
-        parts.append(np.array([self.end], np.int32))
-        ids = np.concatenate(parts)
-        out = np.zeros((len(ids), 6), np.int32)
-        out[:, :3] = self.xcw[ids]
-        if odd:
-            seen = self._seen
-            if len(seen) > 1 << 18:
-                seen.clear()
-            ends = [o[-4:] for o in odd]
-            for e in set(ends):
-                if e not in seen:
-                    x, c = self.ending(e)
-                    seen[e] = x << 10 | c
-            xc = np.fromiter(map(seen.__getitem__, ends), np.int32, len(ends))
-            at = ids < 0
-            out[at, 0], out[at, 1] = xc >> 10, xc & 1023
-        out[0, FIRST] = out[-1, LAST] = 1
-        return out, ids, odd
+        self.__dict__.update(d, _values=None, _ends=None)
+
+    def read(self, column, learn: bool = False):
+        """Texts as the network reads them: (tokens, 6) with end tokens, the
+        place of each text's end, the tokens' ids (-1: unknown), the unknown
+        tokens, and each text's number of them. Training (``learn``) needs no
+        counts: only the most frequent tokens are looked up."""
+        if self._values is None:
+            every = pa.array(self.tokens, pa.string())
+            self._values, self._ends = {True: every[:FREQUENT], False: every}, {}
+        flat, n = split_words(column)
+        ids = pc.fill_null(pc.index_in(flat, value_set=self._values[learn]), -1).to_numpy()
+        ends = np.cumsum(n + 1) - 1
+        total = int(ends[-1]) + 1
+        at = np.ones(total, bool)
+        at[ends] = False
+        every = np.full(total, self.end, np.int32)
+        every[at] = ids
+        out = np.zeros((total, 6), np.int32)
+        out[:, :3] = self.xcw.take(every, axis=0, mode="clip")
+        odd = flat.filter(pa.array(ids < 0)).cast(pa.binary())
+        places = np.flatnonzero(every < 0)
+        if len(places):
+            endings = pc.binary_slice(odd, -4, None).dictionary_encode()
+            if len(self._ends) > 1 << 18:
+                self._ends.clear()
+            xc = []
+            for e in endings.dictionary.to_pylist():
+                if e not in self._ends:
+                    self._ends[e] = self.ending(e)
+                xc.append(self._ends[e])
+            out[places, :2] = np.array(xc, np.int32)[endings.indices.to_numpy()]
+            out[places, W] = -1
+        out[ends - n, FIRST] = out[ends, LAST] = 1
+        unknown = np.diff(np.r_[0, np.cumsum(every < 0)[ends]])
+        return out, ends, every, odd, unknown
+
+    def texts(self, column):
+        """Each text's tokens, for training."""
+        out, ends, *_ = self.read(column, True)
+        return np.split(out, ends[:-1] + 1)
 
 
 def class_sums(counts: DataFrame, vocab) -> np.ndarray:
     """Sum of count + 0.5 over the tokens of each class, and 0.5 for one unseen."""
     def run(batches):
         v = vocab.value
-        first = set(v.tokens[i] for i in np.flatnonzero(v.w >= 0))
-        z = np.zeros(HEADS + TAILS)
+        first = [v.tokens[i] for i in np.flatnonzero(v.w >= 0)]
+        z, classes = np.zeros(HEADS + TAILS), {}
         for b in batches:
-            for t, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                if t not in first:
-                    z[v.ending(t)[1]] += n + 0.5
+            tail = pc.invert(pc.is_in(b.column(0), pa.array(first, b.column(0).type)))
+            ends = [t[-4:] for t in b.column(0).filter(tail).to_pylist()]
+            for e in set(ends):
+                if e not in classes:
+                    classes[e] = v.ending(e)[1]
+            c = np.fromiter(map(classes.__getitem__, ends), np.int64, len(ends))
+            z += np.bincount(c, b.column(1).filter(tail).to_numpy() + 0.5, minlength=len(z))
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(z)), pa.int32()), pa.array(z)], names=["c", "z"])
 
     got = counts.select("token", "n").mapInArrow(run, "c int, z double").groupBy("c").agg(F.sum("z").alias("z")).collect()
@@ -197,20 +204,13 @@ def class_sums(counts: DataFrame, vocab) -> np.ndarray:
 
 # 3. weights -------------------------------------------------------------------
 
-def long_first(batches, column: int):
-    """The texts of each Arrow batch, longest first: so lanes end together."""
-    for b in batches:
-        texts = binary_list(b.column(column))
-        yield from sorted(texts, key=lambda t: -len(t or b""))
-
-
 def trained(docs: DataFrame, text_col: str, vocab, shape: Shape, flat: np.ndarray, rate: float) -> np.ndarray:
     """The mean of the weights that the tasks trained from ``flat`` on their rows."""
     start = docs.sparkSession.sparkContext.broadcast(flat)
 
     def run(batches):
         v, mine = vocab.value, start.value.copy()
-        _, n = fit(mine, shape, (v.encode(t)[0] for t in long_first(batches, 0)), Adam(len(mine), rate))
+        _, n = fit(mine, shape, (t for part in long_first(batches, 0) for t in v.texts(part.column(0))), Adam(len(mine), rate))
         if n:
             yield blob(mine.astype(np.float64) * n, n)
 
@@ -288,31 +288,33 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     def run(batches):
         v, net = vocab.value, Net(shape, weights.value, LANES)
-        at, free, sums, places = [], [], np.zeros(0), np.zeros(0, np.int64)  # of the documents in the lanes
+        free, sums, places = [], np.zeros(0), np.zeros(0, np.int64)  # of the documents in the lanes
         facts, done = [], []  # rows to hand on
 
         def documents():
             nonlocal sums, places
-            for b in batches:
-                texts, numbers, ids = binary_list(b.column(2)), b.column(0).to_pylist(), b.column(1).to_pylist()
-                for k in sorted(range(len(texts)), key=lambda k: -len(texts[k] or b"")):  # long ones first: lanes end together
-                    tokens, known, odd = v.encode(texts[k])
-                    have = known >= 0
-                    share = np.where(have, v.logc[known], 0.0)
-                    tail = tokens[:, W] < 0
+            for part in long_first(batches, 2):
+                tokens, ends, known, odd, unknown = v.read(part.column(2))
+                numbers, ids = part.column(0).to_pylist(), part.column(1).to_pylist()
+                starts, have = np.r_[0, ends[:-1] + 1], known >= 0
+                share = np.where(have, v.logc[known], 0.0)
+                # the fixed shares of tail words; unknown tokens' counts come by the join
+                tail = np.add.reduceat(np.where(tokens[:, W] < 0, share - log_class[tokens[:, C]], 0.0), starts)
+                base_of = np.add.reduceat(share - base, starts)
+                counted = np.add.reduceat((have & (v.counts[known] > 0)).astype(np.int64), starts)
+                words, cut = odd.to_pylist(), np.r_[0, np.cumsum(unknown)]
+                for k, (a, z) in enumerate(zip(starts, ends, strict=True)):
                     if not free:
                         free.extend(range(len(sums), len(sums) + 4096))
                         sums, places = np.r_[sums, np.zeros(4096)], np.r_[places, np.zeros(4096, np.int64)]
                     i = free.pop()
-                    # the fixed shares of tail words; unknown tokens' counts come by the join
-                    sums[i], places[i] = (share - log_class[tokens[:, C]])[tail].sum(), numbers[k]
-                    tokens[:, DOC] = i
-                    bag = Counter(odd)
-                    facts.append((numbers[k], ids[k], len(tokens), int((have & (v.counts[known] > 0)).sum()),
-                                  float((share - base).sum()), None, list(bag), list(bag.values())))
-                    yield tokens
-
-        for lane, token, live in windows(documents(), LANES, 32):
+                    sums[i], places[i] = tail[k], numbers[k]
+                    tokens[a:z + 1, DOC] = i
+                    bag = Counter(words[cut[k]:cut[k + 1]])
+                    facts.append((numbers[k], ids[k], int(z - a) + 1, int(counted[k]), float(base_of[k]), None, list(bag), list(bag.values())))
+                    yield tokens[a:z + 1]
+
+        for lane, token, live in windows(documents(), LANES, 64):
             t, logp = net.score(lane, token, live)
             np.add.at(sums, t[:, DOC], logp / math.log(10))
             ended = t[t[:, LAST] == 1, DOC]

@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -75,6 +76,24 @@ def test_scores_step_by_step_with_a_small_vocabulary(spark, sf, monkeypatch):
     assert all(abs(got[i].base_score - b[3]) < 1e-6 * max(1, abs(b[3])) and got[i].n_known == b[1] for i, b in want.items())
 
 
+def test_training_reads_what_scoring_reads(monkeypatch):
+    monkeypatch.setattr(lm, "FREQUENT", 700)
+    rng = np.random.default_rng(4)
+    tokens = [lm.END] + sorted({bytes(rng.integers(97, 101, rng.integers(1, 8), dtype=np.uint8)) for _ in range(1500)})
+    v = lm.Vocabulary(tokens, np.arange(len(tokens), 0, -1))
+    texts = [None, "", "  a B\tunknown zzzz abca \n" * 9, b" ".join(tokens[1:]).decode() + "\x0bnew \u00e9\u00e9\u2003x", " ", "a"]
+    column = pa.array(["skipped", *texts])[1:]
+    out, ends, ids, odd, unknown = v.read(column)
+    assert all((a == b).all() for a, b in zip(np.split(out, ends[:-1] + 1), v.texts(column), strict=True))
+    want = [tokens_of(t) for t in texts]
+    assert np.diff(np.r_[-1, ends]).tolist() == [len(w) for w in want]
+    assert [tokens[i] if i >= 0 else None for i in ids] == [w if w in tokens else None for t in want for w in t]
+    assert odd.to_pylist() == [w for t in want for w in t if w not in tokens]
+    assert unknown.tolist() == [sum(w not in tokens for w in t) for t in want]
+    for row, w in zip(out, (w for t in want for w in t), strict=True):
+        assert tuple(row[:3]) == (tuple(v.xcw[tokens.index(w)]) if w in tokens else (*v.ending(w), -1))
+
+
 def test_probabilities_sum_to_one(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").where("doc_id < 40")
     m = lm.train(docs, max_epochs=1)
