@@ -5,6 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
+from ..session import ship_package
 from . import ann, bpe, langid, licenses, lm, mixing, sharding, simhash, warc, winnow
 from .common import fold, table
 
@@ -91,6 +92,19 @@ QUERIES = {
     "op10_mixing": op10_mixing,
 }
 
+
+
+def _shipped(query):
+    """The query on a session whose workers have the package."""
+    def run(spark, sf_dir):
+        ship_package(spark)
+        return query(spark, sf_dir)
+    run.__name__ = query.__name__
+    return run
+
+
+QUERIES = {name: _shipped(query) for name, query in QUERIES.items()}
+
 ORACLES: dict[str, str] = {
     "op7_license_scan": licenses.oracle(DOC_PATH.format(text="VARCHAR")),
     "op10_mixing": mixing.oracle(),
