@@ -10,10 +10,11 @@ distance. A query is done in a block when ``k`` verified vectors lie within
 the radius, or when its windows hold the whole block; nothing caps the number
 of candidates. The best ``k`` of all blocks follow from one window per query.
 
-With half = 1 a vector within the radius collides on a projection with
-probability 0.683 (the normal law), and is missed when fewer than half of the
-60 projections collide: about 0.2 % of the time. At 1.5 radii half of the
-vectors are verified, at 3 radii almost none.
+With half = 1 a vector at the radius collides on a projection with probability
+0.683 (the normal law); it is missed when fewer than 0.62 of the 128 projections
+collide, 7 % of the time, and the nearer it is the less. A vector at 1.2 radii is
+verified 28 % of the time, at 1.5 radii hardly ever. The last radius lies beyond
+the k-th distance, so recall is higher: tests hold it at 0.95 or more.
 
 Defined results: vectors that are NULL, zero, of another length than most, or
 that hold a NULL or non-finite number take no part, neither do rows without
@@ -49,10 +50,13 @@ def _matrix(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return ids[order], x[order]
 
 
+_ROUNDS = 12  # radii whose windows are looked up at once
+
+
 class Index:
     """The sorted projections of one block."""
 
-    def __init__(self, ids: np.ndarray, x: np.ndarray, m: int = 60, seed: int = 42):
+    def __init__(self, ids: np.ndarray, x: np.ndarray, m: int = 128, seed: int = 42):
         self.ids, self.x, self.m = ids, x, m
         self.verified = 0  # distances computed by the last search
         self.axes = np.random.default_rng(seed).standard_normal((x.shape[1], m))
@@ -60,7 +64,7 @@ class Index:
         self.order = np.ascontiguousarray(np.argsort(p, axis=0, kind="stable").T.astype(np.int32))
         self.sorted = np.ascontiguousarray(np.sort(p, axis=0).T)
 
-    def search(self, qid: int, q: np.ndarray, k: int, half: float = 1.0, grow: float = 1.4, share: float = 0.5):
+    def search(self, qid: int, q: np.ndarray, k: int, half: float = 1.0, grow: float = 1.1, share: float = 0.62):
         """(distance, id) of the k nearest found, the row with id ``qid`` excepted."""
         n, need = len(self.ids), int(np.ceil(share * self.m))
         centre = q @ self.axes
@@ -73,20 +77,25 @@ class Index:
         near = near[~seen[near]]
         gap = np.sqrt(((self.x[near] - q) ** 2).sum(1)) if len(near) else np.zeros(0)
         radius = max(float(gap.min()) / 2 if len(gap) else 0.0, float(np.finfo(float).tiny))
-        while True:
-            new_lo = np.array([np.searchsorted(s, c - half * radius, "left") for s, c in zip(self.sorted, centre, strict=True)])
-            new_hi = np.array([np.searchsorted(s, c + half * radius, "right") for s, c in zip(self.sorted, centre, strict=True)])
-            new_lo, new_hi = np.minimum(new_lo, lo), np.maximum(new_hi, hi)
-            more = [self.order[j, new_lo[j]:lo[j]] for j in range(self.m)] + [self.order[j, hi[j]:new_hi[j]] for j in range(self.m)]
-            hits += np.bincount(np.concatenate(more), minlength=n).astype(np.int32)
-            lo, hi = new_lo, new_hi
-            fresh = np.flatnonzero((hits >= need) & ~seen)
-            if len(fresh):
-                seen[fresh] = True
-                found = np.r_[found, fresh]
-                dist = np.r_[dist, np.sqrt(((self.x[fresh] - q) ** 2).sum(1))]
-            if np.count_nonzero(dist <= radius) >= k or (lo == 0).all() and (hi == n).all():
-                break
+        done = False
+        while not done:
+            radii = radius * grow ** np.arange(_ROUNDS)
+            los = np.array([np.searchsorted(s, c - half * radii, "left") for s, c in zip(self.sorted, centre, strict=True)])
+            his = np.array([np.searchsorted(s, c + half * radii, "right") for s, c in zip(self.sorted, centre, strict=True)])
+            for new_lo, new_hi, radius in zip(los.T, his.T, radii, strict=True):
+                new_lo, new_hi = np.minimum(new_lo, lo), np.maximum(new_hi, hi)
+                more = [o[a:b] for o, a, b in zip(self.order, new_lo.tolist(), lo.tolist(), strict=True)]
+                more += [o[a:b] for o, a, b in zip(self.order, hi.tolist(), new_hi.tolist(), strict=True)]
+                hits += np.bincount(np.concatenate(more), minlength=n).astype(np.int32)
+                lo, hi = new_lo, new_hi
+                fresh = np.flatnonzero((hits >= need) & ~seen)
+                if len(fresh):
+                    seen[fresh] = True
+                    found = np.r_[found, fresh]
+                    dist = np.r_[dist, np.sqrt(((self.x[fresh] - q) ** 2).sum(1))]
+                done = np.count_nonzero(dist <= radius) >= k or bool((lo == 0).all() and (hi == n).all())
+                if done:
+                    break
             radius *= grow
         self.verified = len(found)
         best = np.lexsort((self.ids[found], dist))[:k]
