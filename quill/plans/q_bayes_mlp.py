@@ -325,7 +325,7 @@ def mlp_nb_predictions(spark, sf):
         "seg_m", (F.col("c_mktsegment") == "MACHINERY").cast("double"))
     x = FE.split(x, "c_custkey", 0.2, seed=42)
     feats = ["c_acctbal", "seg_b", "seg_m"]
-    m = N.mlp_fit(x.where("NOT is_test"), "y", feats, loss="nb", hidden=64, epochs=150, lr=0.02, seed=123, patience=10, key="c_custkey")
+    m = N.mlp_fit(x.where("NOT is_test"), "y", feats, loss="nb", hidden=64, epochs=150, lr=0.05, seed=123, patience=30, key="c_custkey")
     p = N.mlp_predict(m, x.where("is_test"))
     loss = N.nb_nll(p, "y", "pred", "pred_var").collect()[0][0]
     return p.select("c_custkey", F.col("y").alias("actual"), F.col("pred").alias("prediction"), F.lit(loss).alias("test_nb_loss"))
