@@ -43,15 +43,15 @@ from .gru import DOC, FIRST, LAST, Adam, C, Net, Shape, W, fit, windows
 END = b"\n"  # no word holds a blank
 KNOWN = 1 << 18
 FREQUENT = 1 << 15  # tokens of them that training looks up
-HEADS, WORDS = 16, 32
-TAILS = 48  # classes of all other tokens
+HEADS, WORDS = 128, 64
+TAILS = 64  # classes of all other tokens
 ENDINGS = 512  # input ids of all other tokens, by their last three bytes
 HIDDEN = 16
 FAN = 32
 BLOCK = 1 << 20  # bytes of text worked on at once
 LANES = 256  # documents that take a step together
 COUNTED = 1 << 24  # bytes of text whose words are counted at once
-ROUNDS = ((0, 2), (2, 16))  # parts of 16
+ROUNDS = ((0, 1), (1, 4), (4, 16))  # parts of 16
 
 
 def split_words(column) -> tuple[pa.Array, np.ndarray]:
@@ -145,7 +145,7 @@ class Vocabulary:
         counts: only the most frequent tokens are looked up."""
         if self._values is None:
             every = pa.array(self.tokens, pa.string())
-            self._values, self._ends = {True: every[:FREQUENT], False: every}, {}
+            self._values, self._ends = {True: every[:max(FREQUENT, HEADS * WORDS)], False: every}, {}
         flat, n = split_words(column)
         ids = pc.fill_null(pc.index_in(flat, value_set=self._values[learn]), -1).to_numpy()
         ends = np.cumsum(n + 1) - 1

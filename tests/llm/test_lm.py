@@ -193,3 +193,13 @@ def test_odd_rows(spark, odd_docs, no_docs):
     rows = lm.score(odd_docs, bare).where(F.col("n_known") == 0).collect()
     assert len(rows) == odd_docs.count() and all(math.isfinite(r.score) for r in rows)
     assert lm.score(no_docs, model).count() == 0
+
+
+def test_words_beyond_the_first_512_are_predicted_one_by_one():
+    tokens = [lm.END] + [f"w{i:05d}x".encode() for i in range(20000)]
+    v = lm.Vocabulary(tokens, np.arange(len(tokens), 0, -1))
+    assert (v.w[:8192] >= 0).all() and (v.w[8192:] == -1).all() and len(lm.ROUNDS) == 3
+    assert len(set(v.xcw[:8192, 0].tolist())) == 8192  # own input ids
+    assert len(set(map(tuple, v.xcw[:8192, 1:].tolist()))) == 8192  # own places in their classes
+    (read,) = v.texts(pa.array([tokens[5000].decode()]))
+    assert tuple(read[0, :3]) == tuple(v.xcw[5000])
