@@ -8,7 +8,7 @@ counts as a licence file of its directory; documents without a licence of
 their own take that of the nearest directory above them that has a file.
 
 DataFrame functions only. What is broadcast has at most as many rows as the
-templates have terms. Lines are scored where they are, so a line that a third
+templates have terms and ``HOT``. Lines are scored where they are, so a line that a third
 of all documents share needs no join on its text; directories are resolved on
 the table of distinct directories.
 
@@ -48,6 +48,7 @@ TEMPLATES = [
 CUES = ["licens", "licenc", "copyright", "permission is", "redistribut", "spdx", "cc by"]
 TERM = r"[a-z0-9]+(?:\.[0-9]+)*"
 ROOT = "."
+HOT = 10000  # terms that may be broadcast because many lines hold them
 
 
 def templates_of(spark: SparkSession, templates) -> DataFrame:
@@ -75,17 +76,22 @@ def line_scores(spark: SparkSession, lines: DataFrame, templates=TEMPLATES) -> D
     tf = written(_terms(lines, "line", *unit), "license-terms")
     n = lines.count()
     want = _terms(templates_of(spark, templates), "text", "t", "license")
-    vocabulary = F.broadcast(want.select("term").distinct())  # at most the templates' terms
-    df = tf.join(vocabulary, "term").groupBy("term").agg(F.count("*").alias("df"))
-    idf = vocabulary.join(df, "term", "left").select(
-        "term", (F.log((1.0 + n) / (1 + F.coalesce("df", F.lit(0)))) + 1).alias("idf"))
-    unseen = F.lit(1.0) * (F.log(F.lit(1.0 + n)) + 1)
+    vocabulary = want.select("term").distinct()  # at most the templates' terms
+    df = written(tf.groupBy("term").agg(F.count("*").alias("df")), "license-df")
+    total = df.agg(F.sum("df")).first()[0] or 0
+    in_lines = F.log((1.0 + n) / (1 + F.coalesce("df", F.lit(0)))) + 1
+    idf = F.broadcast(vocabulary).join(df, "term", "left").select("term", in_lines.alias("idf"))
     weight = want.join(F.broadcast(idf), "term").withColumn("w", F.col("tf") * F.col("idf"))
     size = weight.groupBy("t").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("size"))
     weight = weight.join(size, "t").groupBy("term").agg(F.collect_list(F.struct(
         "t", "license", (F.col("w") / F.col("size")).alias("w"))).alias("to"))
-    v = (tf.join(F.broadcast(idf.join(weight, "term")), "term", "left")
-         .withColumn("v", F.col("tf") * F.coalesce("idf", unseen)))
+    # at most HOT terms hold more than total / HOT rows: these and the templates' are broadcast, the others joined by a shuffle
+    other = df.join(F.broadcast(vocabulary), "term", "left_anti").select("term", "df", in_lines.alias("idf"))
+    near = written(idf.join(weight, "term").unionByName(other.where(F.col("df") * HOT > total).select("term", "idf"), True), "license-hot")
+    rest = other.where(F.col("df") * HOT <= total).select("term", "idf")
+    v = (tf.join(F.broadcast(near), "term").unionByName(
+        tf.join(F.broadcast(near.select("term")), "term", "left_anti").join(rest, "term"), True)
+        .withColumn("v", F.col("tf") * F.col("idf")))
     norm = F.sqrt(F.sum(F.col("v") * F.col("v")))
     lengths = v.groupBy(*unit).agg(norm.alias("norm"), F.sum("tf").alias("terms"))
     dots = (v.select(*unit, "v", F.explode("to").alias("to"))

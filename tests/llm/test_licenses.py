@@ -2,6 +2,8 @@ import math
 import re
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from quill.llm import licenses
 
 
@@ -83,3 +85,27 @@ def test_odd_rows(spark, odd_docs, no_docs):
 def test_no_python_in_the_plan(spark, sf, llm_queries):
     plan = llm_queries.op7_license_scan(spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan
+
+
+def test_common_extra_words_do_not_hide_a_header(spark):
+    """Words that most lines hold weigh little, however many lines there are."""
+    header = "Released under the MIT License by Acme Corporation."
+    found = []
+    for n in (40, 2000):
+        docs = spark.range(n).select(
+            F.col("id").alias("doc_id"), F.concat(F.lit("src/"), F.col("id")).alias("path"),
+            F.when(F.col("id") % 20 == 0, header).otherwise("Copyright by Acme Corporation.").alias("text"))
+        hits = licenses.scan(docs).where("row.doc_id % 20 = 0").collect()
+        assert len(hits) == n // 20 and {r.own_license for r in hits} == {"MIT"}
+        assert licenses.scan(docs).where("row.doc_id % 20 <> 0 AND own_license IS NOT NULL").count() == 0
+        found.append(hits[0].own_cosine)
+    assert abs(found[0] - found[1]) < 0.1
+
+
+def test_terms_joined_by_shuffle_weigh_the_same(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"d/{i}", f"Licensed under the Apache License, Version 2.0. word{i % 3} x{i}") for i in range(30)],
+                                 "doc_id long, path string, text string")
+    get = lambda: sorted((r.row.doc_id, r.own_license, round(r.own_cosine, 9)) for r in licenses.scan(docs, least=0.1).collect())
+    want = get()
+    monkeypatch.setattr(licenses, "HOT", 0)
+    assert get() == want and len(want) == 30
