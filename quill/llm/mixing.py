@@ -14,7 +14,11 @@ Defined results: NULL is a level like any other; a level without tokens, or
 with target zero and no tokens, leaves its cells' ratios as they are; a level
 with target zero gets ratio zero; rows with equal ids share their draw; an
 empty table gives an empty result. The fit ends when no factor of a sweep
-differs from one by more than ``tol``; after ``max_sweeps`` it raises.
+differs from one by more than ``tol``. Targets that contradict each other (a
+source that alone holds a language) have no such fit: ``rake`` raises after
+``max_sweeps``, or, if not ``strict``, returns the last sweep as soon as sweeps
+no longer change the ratios; then the last dimension's targets are met and
+``gaps`` tells what the others lack. ``calibrated`` is not strict.
 """
 from __future__ import annotations
 
@@ -60,7 +64,7 @@ def flattened(cells: DataFrame, dim: str, power: float) -> DataFrame:
 
 
 def rake(cells: DataFrame, targets: dict[str, DataFrame], budget: float, tol: float = 1e-10,
-         max_sweeps: int = 200) -> DataFrame:
+         max_sweeps: int = 200, strict: bool = True) -> DataFrame:
     """Cells (dimensions, tokens) with one more column: ``ratio``. ``targets``
     has (level, share) per dimension; shares are of ``budget`` tokens."""
     now = cells.withColumn("ratio", F.lit(1.0))
@@ -69,22 +73,36 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], budget: float, tol: fl
         now = now.join(w, F.col(dim).eqNullSafe(F.col("__level")), "left").drop("__level")
     now, kept = written(now, "cells"), [*cells.columns, "ratio", *[f"__want_{d}" for d in targets]]
     for _ in range(max_sweeps):
-        step, moved = now, []
+        step, moved = now.withColumn("__old", F.col("ratio")), []
         for dim in targets:
             have = F.sum(F.col("tokens") * F.col("ratio")).over(Window.partitionBy(dim))
             step = step.withColumn("__have", have).withColumn(
                 f"__f_{dim}", F.when(F.col("__have") > 0, F.coalesce(F.col(f"__want_{dim}"), F.lit(0.0)) / F.col("__have"))
                 .otherwise(1.0)).withColumn("ratio", F.col("ratio") * F.col(f"__f_{dim}"))
             moved.append(F.abs(F.col(f"__f_{dim}") - 1))
-        after = written(step.select(*kept, reduce(F.greatest, moved).alias("__moved")), "cells")
+        change = F.when(F.col("__old") > 0, F.abs(F.col("ratio") / F.col("__old") - 1)).otherwise(F.col("ratio"))
+        after = written(step.select(*kept, reduce(F.greatest, moved).alias("__moved"), change.alias("__change")), "cells")
         dropped(now)
-        far = after.agg(F.max("__moved")).first()[0]
+        far, change = after.agg(F.max("__moved"), F.max("__change")).first()
         now = after.select(*kept)
-        if far is None or far <= tol:
+        if far is None or far <= tol or (not strict and change <= tol):
             return now.select(*cells.columns, "ratio")
+    if not strict:
+        return now.select(*cells.columns, "ratio")
     raise ValueError(f"no fit after {max_sweeps} sweeps: the targets contradict each other (last factor off by {far})")
 
 
+def gaps(fit: DataFrame, targets: dict[str, DataFrame], budget: float) -> DataFrame:
+    """(dim, level, want, have) of every level: tokens wanted and weighted."""
+    out = []
+    for dim, want in targets.items():
+        have = fit.groupBy(dim).agg(F.sum(F.col("tokens") * F.col("ratio")).alias("have"))
+        w = want.select(F.col(dim).alias("__level"), (F.col("share") * F.lit(float(budget))).alias("want"))
+        out.append(have.join(w, F.col(dim).eqNullSafe(F.col("__level")), "left").select(
+            F.lit(dim).alias("dim"), F.col(dim).cast("string").alias("level"), F.coalesce("want", F.lit(0.0)).alias("want"), "have"))
+    return reduce(DataFrame.unionByName, out)
+
+
 def calibrated(docs: DataFrame, dims: list[str], power: float = 0.8, budget_share: float = 1.0, seed: int = 42,
                id_col: str = "doc_id", tokens_col: str = "n_tokens") -> DataFrame:
     """``docs`` (with ``dims`` and ``tokens_col``) and ``__ratio``, ``__prob``,
@@ -92,7 +110,7 @@ def calibrated(docs: DataFrame, dims: list[str], power: float = 0.8, budget_shar
     level to ``power``, of ``budget_share`` of all tokens."""
     cells = written(docs.groupBy(*dims).agg(F.sum(tokens_col).alias("tokens")), "cells")
     total = cells.agg(F.sum("tokens")).first()[0] or 0
-    fit = rake(cells, {d: flattened(cells, d, power) for d in dims}, total * budget_share)
+    fit = rake(cells, {d: flattened(cells, d, power) for d in dims}, total * budget_share, strict=False)
     fit = fit.select(*[F.col(d).alias(f"__{d}") for d in dims], F.col("ratio").alias("__ratio"))
     same = reduce(lambda a, b: a & b, [F.col(d).eqNullSafe(F.col(f"__{d}")) for d in dims])
     prob = F.least(F.lit(1.0), F.col("__ratio"))

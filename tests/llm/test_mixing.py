@@ -49,3 +49,17 @@ def test_sample_follows_probabilities(spark):
     got = mixing.calibrated(docs, ["source"], power=0.5)
     row = got.where("source = 'a'").agg(F.avg(F.col("__kept").cast("int")), F.avg("__prob")).first()
     assert abs(row[0] - row[1]) < 0.02 and row[1] < 1
+
+
+def test_a_source_with_a_language_of_its_own(spark):
+    """Contradicting margins have a result, and what they lack is told."""
+    rows = [("hot", "en", 900), ("hot", "de", 300), ("a", "en", 100), ("a", "de", 120), ("b", "en", 70), ("b", "de", 60), ("c", "fr", 40)]
+    docs = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, source string, lang string, n_tokens long")
+    got = mixing.calibrated(docs, ["source", "lang"], power=0.5).collect()
+    assert len(got) == len(rows) and all(0 < r["__ratio"] < 100 for r in got)
+    cells = docs.select("source", "lang", F.col("n_tokens").alias("tokens"))
+    targets = {d: mixing.flattened(cells, d, 0.5) for d in ("source", "lang")}
+    fit = mixing.rake(cells, targets, 1590.0, strict=False)
+    gap = {(r.dim, r.level): r.have / r.want - 1 for r in mixing.gaps(fit, targets, 1590.0).collect()}
+    assert len(gap) == 7 and all(abs(g) < 1e-6 for (d, _), g in gap.items() if d == "lang")
+    assert abs(gap["source", "c"]) > 0.01 and max(map(abs, gap.values())) < 0.5
