@@ -78,3 +78,12 @@ def test_odd_rows(spark, odd_docs, no_docs):
     assert winnow.edited_neighbours(no_docs).count() == 0
     one = winnow.edited_neighbours(odd_docs.where("doc_id = 8")).first()
     assert one.near_next == 1 and one.n_chars == 5000
+
+
+def test_short_texts_stay_near_their_edited_form():
+    rnd = random.Random(3)
+    word = lambda n: "".join(rnd.choice("abcdefghij ") for _ in range(n))
+    texts = [word(n) for n in range(60, 301) for _ in range(3)]
+    changed = [winnow.edited(t, word(300)) for t in texts]
+    for t, a, b in zip(texts, winnow.fingerprint(texts), winnow.fingerprint(changed), strict=True):
+        assert winnow.likeness(set(a["h"].tolist()), set(b["h"].tolist())) > 0, len(t)
