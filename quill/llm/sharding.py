@@ -1,7 +1,8 @@
 """Sharding by a two-pass external shuffle, in DataFrame functions only.
 
 Pass 1 scatters the records uniformly into buckets small enough for a task's
-memory, by a seeded hash of the record's key and text; the number of buckets
+memory, by a seeded hash of the record and, of equal records, the copy's
+number (equal rows are counted, then dealt out again); the number of buckets
 follows the bytes. Pass 2 puts each bucket's records into a fixed order and
 permutes them by a Fisher-Yates shuffle (``shuffle(array, seed)``); the buckets
 one after the other are the corpus in random order. Cutting that order into
@@ -11,8 +12,8 @@ equal runs gives the shards, so their row counts differ by one at most.
 seeded by seed + partition, so a recomputed task gives the same order: the
 result depends on rows, seed and bucket size, not on files or executors.
 
-Defined results: NULL text has no bytes and counts like empty text; rows equal
-in key and text keep their multiplicity and share a bucket; an empty table
+Defined results: NULL text has no bytes and counts like empty text; equal
+rows keep their multiplicity and spread over the buckets; an empty table
 gives an empty result; the record is returned as one struct column, so no
 column name can clash.
 """
@@ -29,6 +30,11 @@ def record_size(text_col: str = "text"):
     return F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)).cast("long") + ROW_BYTES
 
 
+def _inexact(kind) -> bool:
+    """Whether grouping by such a column may change its values (-0.0)."""
+    return any(x in kind.simpleString() for x in ("float", "double"))
+
+
 def external_shuffle(df: DataFrame, shards: int, key: str = "doc_id", text_col: str = "text",
                      seed: int = 42, bucket_bytes: int = 16 << 20) -> DataFrame:
     """(shard int, slot long, bucket int, record struct): slot is the record's
@@ -37,10 +43,20 @@ def external_shuffle(df: DataFrame, shards: int, key: str = "doc_id", text_col:
     n, buckets = total["n"], max(1, -(-(total["b"] or 0) // bucket_bytes))
     if buckets >= 1 << 31:
         raise ValueError("too many buckets: raise bucket_bytes")
-    bucket = F.pmod(F.xxhash64(F.lit(seed), F.col(key), F.col(text_col)), F.lit(buckets)).cast("int")
-    scattered = df.select(bucket.alias("bucket"), F.col(key).alias("key"),
-                          F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("h"),
-                          F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("record"))
+    # equal rows become one row with their number, then as many numbered rows again
+    keys = [F.col(f"`{c}`") for c in df.columns]
+    exact = [(c.cast("string") if _inexact(f.dataType) else c).alias(f"__g{i}") for i, (c, f) in enumerate(zip(keys, df.schema, strict=True))]
+    values = [F.first(c).alias(f"__v{i}") for i, (c, f) in enumerate(zip(keys, df.schema, strict=True)) if _inexact(f.dataType)]
+    place = {c: i for i, c in enumerate(df.columns)}
+    single = (df.groupBy(*exact).agg(F.count("*").alias("__n"), *values)
+              .withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__n")))))
+    own = [F.col(f"__v{i}" if _inexact(f.dataType) else f"__g{i}") for i, f in enumerate(df.schema)]
+    of_key, of_text = own[place[key]], own[place[text_col]]
+    whole = [F.col(f"__g{i}").cast("string") if "map<" in f.dataType.simpleString() else F.col(f"__g{i}") for i, f in enumerate(df.schema)]
+    bucket = F.pmod(F.xxhash64(F.lit(seed), of_key, of_text, *whole, F.col("__copy")), F.lit(buckets)).cast("int")
+    scattered = single.select(bucket.alias("bucket"), of_key.alias("key"),
+                              F.xxhash64(F.coalesce(of_text, F.lit("")), *whole, F.col("__copy")).alias("h"),
+                              F.struct(*[c.alias(n) for c, n in zip(own, df.columns, strict=True)]).alias("record"))
     # records in order of (key, text hash); the record itself need not be orderable
     item = F.struct("key", "h", "record")
     order = lambda a, b: F.when(a["key"].eqNullSafe(b["key"]), F.when(a["h"] < b["h"], -1).when(a["h"] > b["h"], 1).otherwise(0)) \

@@ -57,3 +57,18 @@ def test_no_python_in_the_plan(spark, text):
     df = spark.createDataFrame([(1, text)], "doc_id long, text string")
     plan = sharding.external_shuffle(df, 2)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
+
+
+def test_repeated_rows_spread_over_the_buckets(spark):
+    """A third of the rows are equal, another has NULL ids and texts."""
+    i = F.col("id")
+    df = spark.range(6000).select(F.when(i % 3 == 0, 7).when(i % 3 == 1, i + 10).alias("doc_id"),
+                                  F.when(i % 3 == 0, "again " * 5).when(i % 3 == 1, F.concat(F.lit("own "), i)).alias("text"),
+                                  F.when(i % 3 == 2, -0.0).otherwise(0.0).alias("x"))
+    s = sharding.external_shuffle(df, 4, bucket_bytes=8000)
+    rows = s.collect()
+    sizes = Counter(r.bucket for r in rows)
+    assert len(rows) == 6000 and len(sizes) > 10 and max(sizes.values()) < 2 * 6000 / len(sizes)
+    assert Counter((*r.record[:2], str(r.record.x)) for r in rows) == Counter((*r[:2], str(r.x)) for r in df.collect())
+    key = lambda rows: sorted((r.shard, r.slot, r.bucket, str(r.record)) for r in rows)
+    assert key(rows) == key(sharding.external_shuffle(df.repartition(5), 4, bucket_bytes=8000).collect())
