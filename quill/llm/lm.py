@@ -13,8 +13,8 @@ one end token. All training documents take part in all of the following:
    unseen token per class. So the model is a distribution over all tokens.
 3. Weights: rounds over growing disjoint parts of the documents. In a round
    every task trains its own copy on its rows; the copies' mean, weighted by
-   tokens, is summed up in levels of ``FAN`` and starts the next round. Small
-   corpora are gone through several times (``epochs``).
+   tokens, is summed up in levels of ``FAN`` and starts the next round. Every
+   corpus is gone through the same number of times.
 4. Scores: each document is scored whole. Counts of tokens outside the
    vocabulary reach their documents by a join on the token; none of them is
    frequent, because the frequent ones are all in the vocabulary.
@@ -250,9 +250,9 @@ class Model:
 
 
 def train(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", known: int = KNOWN, hidden: int = HIDDEN,
-          rate: float = 0.01, least_tokens: int = 4_000_000, max_epochs: int = 8) -> Model:
-    """Learn from all rows of ``docs``. A corpus of fewer than ``least_tokens``
-    tokens is gone through up to ``max_epochs`` times."""
+          rate: float = 0.01, max_epochs: int = 2) -> Model:
+    """Learn from all rows of ``docs``, gone through ``max_epochs`` times
+    whatever their number."""
     sc = docs.sparkSession.sparkContext
     counts = written(token_counts(docs, text_col), "counts")
     size = counts.agg(F.count("*").alias("v"), F.sum("n").alias("n")).first()
@@ -268,7 +268,7 @@ def train(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", known
     shape = Shape(HEADS * WORDS + ENDINGS, hidden, HEADS + TAILS, HEADS, WORDS)
     flat = shape.initial(mass, word_mass)
     part = F.pmod(F.xxhash64(F.lit("round"), F.col(id_col), F.col(text_col)), F.lit(16))
-    for epoch in range(min(max_epochs, max(1, -(-least_tokens // max(n, 1))))):
+    for epoch in range(max_epochs):
         for i, (a, b) in enumerate(ROUNDS):
             flat = trained(docs.where((part >= a) & (part < b)), text_col, vocab, shape, flat, rate / (1 + epoch + i))
     last = (freq[-1], tokens[-1]) if len(tokens) >= known else (0, b"")

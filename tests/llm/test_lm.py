@@ -203,3 +203,15 @@ def test_words_beyond_the_first_512_are_predicted_one_by_one():
     assert len(set(map(tuple, v.xcw[:8192, 1:].tolist()))) == 8192  # own places in their classes
     (read,) = v.texts(pa.array([tokens[5000].decode()]))
     assert tuple(read[0, :3]) == tuple(v.xcw[5000])
+
+
+def test_epochs_do_not_depend_on_the_size(spark, sf, monkeypatch):
+    calls = []
+    monkeypatch.setattr(lm, "trained", lambda docs, text_col, vocab, shape, flat, rate: calls.append(rate) or flat)
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    lm.train(docs.where("doc_id < 5"))
+    small, calls[:] = list(calls), []
+    monkeypatch.setattr(lm, "most_frequent", lambda counts, known: ([lm.END], np.array([1])))
+    big = docs.crossJoin(spark.range(80)).select("doc_id", "text")  # over 4 million words
+    assert lm.train(big).tokens > 4_000_000
+    assert calls == small and len(calls) == 2 * len(lm.ROUNDS)
