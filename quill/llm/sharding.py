@@ -71,7 +71,7 @@ def external_shuffle(df: DataFrame, shards: int, key: str = "doc_id", text_col:
     # shard s takes the places from ceil(s n / shards) on
     shard = F.expr(f"(at * {shards}L) div {max(n, 1)}L")
     first = F.expr(f"(shard * {n}L + {shards - 1}L) div {shards}L")
-    return (mixed.join(starts, "bucket").withColumn("at", at).withColumn("shard", shard)
+    return (mixed.join(F.broadcast(starts), "bucket").withColumn("at", at).withColumn("shard", shard)
             .select(F.col("shard").cast("int").alias("shard"), (F.col("at") - first).alias("slot"), "bucket",
                     F.col("item.record").alias("record")))
 
