@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from . import ann, bpe, langid, licenses, lm, mixing, sharding, simhash, warc, winnow
+from . import ann, bpe, collocations, langid, licenses, lm, mixing, sharding, simhash, warc, winnow
 from .common import fold, table
 
 
@@ -79,6 +79,11 @@ def op10_mixing(spark, sf_dir):
         F.round("__weight", 6).alias("weight"), F.round("__draw", 9).alias("draw"), F.col("__kept").alias("kept"))
 
 
+def op11_collocations(spark, sf_dir):
+    return collocations.collocations(table(spark, sf_dir, "documents").select("lang", "text"), lo=2, hi=3, min_count=10,
+                                     inside_percent=50, top=2000)
+
+
 QUERIES = {
     "op1_lm_scoring": op1_lm_scoring,
     "op2_sharding": op2_sharding,
@@ -90,6 +95,7 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_simhash": op9_simhash,
     "op10_mixing": op10_mixing,
+    "op11_collocations": op11_collocations,
 }
 
 
@@ -108,4 +114,5 @@ QUERIES = {name: _shipped(query) for name, query in QUERIES.items()}
 ORACLES: dict[str, str] = {
     "op7_license_scan": licenses.oracle(DOC_PATH.format(text="VARCHAR")),
     "op10_mixing": mixing.oracle(),
+    "op11_collocations": collocations.oracle(),
 }
