@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from . import ann, bpe, collocations, langid, licenses, lm, mixing, sharding, simhash, warc, winnow
+from . import ann, bpe, collocations, langid, licenses, lm, mixing, sharding, simhash, tokenfile, warc, whitening, winnow
 from .common import fold, table
 
 
@@ -84,6 +84,14 @@ def op11_collocations(spark, sf_dir):
                                      inside_percent=50, top=2000)
 
 
+def op12_whitening(spark, sf_dir):
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), components=16)
+
+
+def op13_token_files(spark, sf_dir):
+    return tokenfile.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
+
+
 QUERIES = {
     "op1_lm_scoring": op1_lm_scoring,
     "op2_sharding": op2_sharding,
@@ -96,6 +104,8 @@ QUERIES = {
     "op9_simhash": op9_simhash,
     "op10_mixing": op10_mixing,
     "op11_collocations": op11_collocations,
+    "op12_whitening": op12_whitening,
+    "op13_token_files": op13_token_files,
 }
 
 
