@@ -79,24 +79,30 @@ def test_partition_invariance(spark, sf, name):
     assert sorted(map(repr, a)) == sorted(map(repr, b))
 
 
-def test_entry_without_the_training_data_package():
-    """The other queries are there when the optional package and pipeline are not."""
+@pytest.mark.parametrize("gone", [["quill/llm", "tests/llm"], ["quill/llm", "tests/llm", "corpus_pipeline.py"], ["quill/llm/*.py"]])
+def test_entry_without_the_training_data_package(tmp_path, gone):
+    """On a copy without the optional folders the entry imports, its queries are
+    the others, and the remaining tests are all there."""
+    import glob
     import os
+    import shutil
     import subprocess
     import sys
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    code = ("import sys, importlib.abc\n"
-            "class Gone(importlib.abc.MetaPathFinder):\n"
-            "    def find_spec(self, name, *a):\n"
-            "        if name in ('quill.llm', 'corpus_pipeline'):\n"
-            "            raise ModuleNotFoundError(f'No module named {name!r}', name=name)\n"
-            "sys.meta_path.insert(0, Gone())\n"
-            "import __spark_entry__ as e\n"
+    copy = tmp_path / "repo"
+    paths = [p for g in gone for p in glob.glob(os.path.join(root, g))]
+    shutil.copytree(root, copy, ignore=lambda d, names: [n for n in names if n in (".git", "__pycache__") or os.path.join(d, n) in paths])
+    code = ("import __spark_entry__ as e\n"
             "q, o = e.queries(), e.oracle_sql()\n"
             "assert not any(k.startswith('op') and k[2].isdigit() or k == 'pipeline' for k in q) and set(o) <= set(q)\n"
-            "print('QUERIES', len(q))")
-    done = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, timeout=120)
+            "from quill.session import get_spark\n"
+            "print('QUERIES', len(q), e.entry(get_spark('local[2]', shuffle_partitions=2)).count())")
+    done = subprocess.run([sys.executable, "-c", code], cwd=copy, capture_output=True, text=True, timeout=300)
     assert "QUERIES" in done.stdout, done.stderr[-1500:]
+    if "tests/llm" in gone:
+        found = subprocess.run([sys.executable, "-m", "pytest", "tests", "--collect-only", "-q"], cwd=copy, capture_output=True,
+                               text=True, timeout=300)
+        assert found.returncode == 0, found.stdout[-1500:]
 
 
 @pytest.mark.parametrize("force", [True, False])
