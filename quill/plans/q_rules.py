@@ -110,3 +110,78 @@ def rules_for_consequent(spark, sf):
     r = mined(spark, sf).withColumn("consequent", F.array("consequent"))
     r = R.rules_for(r, "l_linestatus=O")
     return _out(r.withColumn("consequent", F.col("consequent")[0]))
+
+
+# Rules over all factors of a wide table: lineitem with its order and part, 17
+# columns with some 60 frequent items
+WIDE_NUM = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber", "l_suppkey", "o_totalprice", "o_custkey",
+            "p_size", "p_retailprice"]
+WIDE_CAT = ["l_returnflag", "l_linestatus", "o_orderstatus", "o_orderpriority", "p_type", "ship_year", "order_year"]
+
+
+def wide_transactions(spark, sf):
+    o = table(spark, sf, "orders").withColumnRenamed("o_orderkey", "l_orderkey")
+    p = table(spark, sf, "part").withColumnRenamed("p_partkey", "l_partkey")
+    x = (table(spark, sf, "lineitem").join(o, "l_orderkey").join(p, "l_partkey")
+         .withColumn("ship_year", F.year("l_shipdate")).withColumn("order_year", F.year("o_orderdate")))
+    return FE.to_items(FE.discretize(x.select(*WIDE_CAT, *WIDE_NUM), WIDE_NUM, 3), WIDE_CAT + WIDE_NUM).select("items")
+
+
+def _sql_wide(levels: int, support: float, confidence: float) -> str:
+    """The rules in SQL: sets as masks of item numbers, each level's occurrences
+    joined with the rows' later items."""
+    q = " union all ".join(f"select '{c}' as col, list_sort(list_distinct(quantile_cont({c}, [0.0, 1/3, 2/3, 1.0]))) as q from base"
+                           for c in WIDE_NUM)
+    num = " union all ".join(f"select tx, '{c}' as col, cast({c} as double) as x from base" for c in WIDE_NUM)
+    cat = " union all ".join(f"select tx, '{c}=' || cast({c} as varchar) as item from base where {c} is not null" for c in WIDE_CAT)
+    steps = "".join(f""",
+o{k} as materialized (select o.tx, o.m | (cast(1 as hugeint) << t.bit) as m, t.bit as last
+  from o{k - 1} o join f{k - 1} f on f.m = o.m join ti t on t.tx = o.tx and t.bit > o.last),
+f{k} as materialized (select m, count(*) as c from o{k} group by m having count(*) >= {support} * (select n from n))"""
+                    for k in range(2, levels + 1))
+    every = " union all ".join(f"select m, c, {k} as k from f{k}" for k in range(1, levels + 1))
+    return f"""with base as (select row_number() over () as tx, l.*, o.*, p.*, year(l_shipdate) as ship_year, year(o_orderdate) as order_year
+  from lineitem l join orders o on l_orderkey = o_orderkey join part p on l_partkey = p_partkey),
+q as ({q}),
+bins as (select col, q[i] as lo, q[i + 1] as hi, i = len(q) - 1 as last from q, range(1, 4) r(i) where i < len(q)),
+items as ({cat}
+  union all select tx, b.col || '=[' || cast(round(b.lo, 4) as varchar) || ',' || cast(round(b.hi, 4) as varchar)
+    || case when b.last then ']' else ')' end
+  from ({num}) v join bins b on b.col = v.col and v.x >= b.lo and (v.x < b.hi or (b.last and v.x <= b.hi))),
+n as (select count(*) as n from base),
+code as (select item, count(*) as c, cast(row_number() over (order by item) - 1 as integer) as bit from items group by item
+  having count(*) >= {support} * (select n from n)),
+ti as materialized (select tx, bit from items join code using (item)),
+o1 as (select tx, cast(1 as hugeint) << bit as m, bit as last from ti),
+f1 as (select cast(1 as hugeint) << bit as m, c from code){steps},
+fs as materialized ({every}),
+pairs as (select f.m, f.c, f.k, y.item as consequent, y.c as cy, xor(f.m, cast(1 as hugeint) << y.bit) as a
+  from fs f join code y on (f.m >> y.bit) & 1 = 1 where f.k > 1),
+kept as (select p.*, fa.c as ca from pairs p join fs fa on fa.m = p.a where p.c / fa.c >= {confidence}),
+rules as (
+  select string_agg(x.item, '|' order by x.item) as antecedent, consequent, round(any_value(kept.c) / any_value(n.n), 10) as support,
+    round(any_value(kept.c / ca), 10) as confidence, round(any_value((kept.c / ca) / (cy / n.n)), 10) as lift,
+    cast(any_value(kept.c) as bigint) as count, m
+  from kept join code x on (kept.a >> x.bit) & 1 = 1, n group by m, consequent
+  union all select '', item, round(c / n, 10), round(c / n, 10), 1.0, cast(c as bigint), cast(1 as hugeint) << bit from code, n
+  where c / n >= {confidence})"""
+
+
+def wide_mined(spark, sf, min_support, min_confidence, max_len):
+    r = R.mine_rules(wide_transactions(spark, sf), min_support=min_support, min_confidence=min_confidence, max_len=max_len)
+    return r.select("antecedent", "consequent", *[F.round(c, 10).alias(c) for c in ["support", "confidence", "lift"]], "count")
+
+
+@query("wide_association_rules", "M13 M14 F10 F11", _sql_wide(4, 0.02, 0.5) + """
+select antecedent, consequent, support, confidence, lift, count from rules""")
+def wide_association_rules(spark, sf):
+    return _out(wide_mined(spark, sf, 0.02, 0.5, 4))
+
+
+@query("wide_pruned_rules", "M15 J8 W3 S3", _sql_wide(5, 0.02, 0.3) + """,
+ranked as materialized (select *, row_number() over (order by lift desc, confidence desc, support desc,
+  replace(antecedent, '|', chr(1)), consequent) as rank from rules qualify rank <= 25000)
+select antecedent, consequent, support, confidence, lift, count, rank from ranked j
+where not exists (select 1 from ranked i where i.rank < j.rank and i.m & j.m = i.m)""")
+def wide_pruned_rules(spark, sf):
+    return _ranked_out(R.prune_redundant(wide_mined(spark, sf, 0.02, 0.3, 10), 25_000))
