@@ -1,11 +1,11 @@
 """Dense count regressor trained data-parallel on Spark.
 
 One hidden ReLU layer, softplus outputs: one output for MSE, two (mean,
-variance) for the negative-binomial loss. Each optimisation step is one Spark
-pass: every partition computes the gradient sum of its rows with numpy inside
-``mapInPandas``, Spark sums the per-partition vectors, the driver applies Adam
-and broadcasts the new weights with the next task closure. Steps use full
-batches or a few large hash-assigned batches — not batch size 20.
+variance) for the negative-binomial loss. ``mlp_fit_local`` trains in
+mini-batches: tasks run whole epochs on the rows they hold and their weights are
+averaged, a pass per round. ``mlp_fit`` takes full-batch (or a few large
+hash-assigned batches) steps of one pass each: every partition computes the
+gradient sum of its rows, Spark sums the vectors, the driver applies Adam.
 """
 from __future__ import annotations
 
@@ -14,6 +14,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
@@ -218,6 +219,160 @@ def mlp_fit(df: DataFrame, y: str, features: list[str], loss: str = "mse", hidde
     return model
 
 
+#: bytes of rows that a group of ``mlp_fit_local`` should hold
+GROUP_BYTES = 32 << 20
+#: weight vectors averaged by one task
+FAN = 32
+_ADAM = (0.9, 0.999, 1e-7)
+
+
+def _train_rows(theta, moments, step, X, y, loss, shapes, batch, epochs, lr, rng):
+    """Adam over mini-batches of the rows, in a new order each epoch."""
+    b1, b2, eps = _ADAM
+    m, v = moments
+    n = len(y)
+    size = n if batch is None else min(batch, n)
+    for _ in range(epochs):
+        order = rng.permutation(n) if size < n else np.arange(n)
+        for i in range(0, n, size):
+            rows = order[i:i + size]
+            _, g = _grad_sums(_unpacked(theta, shapes), X[rows], y[rows], loss)
+            g /= len(rows)
+            step += 1
+            m, v = b1 * m + (1 - b1) * g, b2 * v + (1 - b2) * g * g
+            theta = theta - lr * (m / (1 - b1 ** step)) / (np.sqrt(v / (1 - b2 ** step)) + eps)
+    return theta, (m, v), step
+
+
+def _unpacked(theta, shapes):
+    out, i = [], 0
+    for s in shapes:
+        n = int(np.prod(s))
+        out.append(theta[i:i + n].reshape(s))
+        i += n
+    return out
+
+
+def _loss_sum(theta, shapes, X, y, loss) -> float:
+    return float(_loss_grad_out(_forward(_unpacked(theta, shapes), X)[3], y, loss)[0].sum()) if len(y) else 0.0
+
+
+def mlp_fit_local(df: DataFrame, y: str, features: list[str], key: str, loss: str = "mse", hidden: int = 64,
+                  epochs: int = 150, batch: int | None = 20, lr: float = 1e-4, seed: int = 123, local_epochs: int = 10,
+                  groups: int | None = None, validation_frac: float = 0.2, patience: int | None = None, min_delta: float = 0.0,
+                  scale: bool = True, init: list | None = None) -> MLP:
+    """M25 in mini-batches (+M29 history, M30 early stopping with the best weights
+    restored): local SGD.
+
+    Rows are dealt to ``groups`` by the hash of ``key`` (its rows' number over the
+    rows that fit ``GROUP_BYTES``, unless given) and cached there in hash order,
+    so a fit does not depend on partitions. In a round every task runs
+    ``local_epochs`` epochs of mini-batches of ``batch`` rows (None: all of the
+    group) on its own groups, from the same weights and Adam moments; these are
+    averaged by rows, in levels of ``FAN``. A round is one pass over the cached
+    rows: the losses of the weights it starts from are taken on the way, so there
+    is a job per round, not per step. ``patience`` counts rounds.
+
+    Rows with NULL in a feature or response are left out; equal keys share a
+    group, worked through in pieces of a group's size; a table without training
+    rows raises."""
+    from .features import fit_scaler, split
+    if epochs < 1 or local_epochs < 1:
+        raise ValueError("at least one epoch")
+    data = split(df.select(key, y, *features).dropna(subset=[y, *features]), key, validation_frac, seed=seed, col="_val")
+    n_tr, n_va = data.agg(F.count(F.when(~F.col("_val"), 1)), F.count(F.when(F.col("_val"), 1))).first()
+    if not n_tr:
+        raise ValueError("no rows to train on")
+    train = data.where(~F.col("_val"))
+    stats = fit_scaler(train, features, population=True) if scale else {c: (0.0, 1.0) for c in features}
+    X = F.array(*[((F.col(c).cast("double") - stats[c][0]) / stats[c][1]) for c in features])
+    d, out_dim = len(features), 2 if loss == "nb" else 1
+    most = max(1, GROUP_BYTES // (8 * (d + 2)))  # rows held at once
+    G = groups or -(-n_tr // most)
+    h = F.xxhash64(F.col(key), F.lit(seed))
+    prep = (data.select(F.pmod(h, F.lit(G)).cast("int").alias("g"), h.alias("h"), "_val", X.alias("x"), F.col(y).cast("double").alias("y"))
+            .repartitionById(G, F.col("g")).sortWithinPartitions("g", "h", "y", "x").persist())
+    first = [np.array(a, float) for a in init] if init else list(_init(d, hidden, out_dim, seed))
+    shapes = [a.shape for a in first]
+    model = MLP(*first, loss=loss, features=list(features), scaler=stats)
+    theta = model.vector()
+    moments, step, P = (np.zeros_like(theta), np.zeros_like(theta)), 0, theta.size
+    # a row a group: number of rows, then weights, both moments, steps, both losses
+    schema = "g long, n double, v binary"
+
+    def one_round(theta, moments, step, number, more):
+        def run(batches):
+            at, held, done = None, [], None
+
+            def piece(done):
+                x, yy, val = (np.concatenate(c) for c in zip(*held, strict=True))
+                n, t, mo, st, l_tr, l_va = done
+                tr = ~val
+                l_tr += _loss_sum(theta, shapes, x[tr], yy[tr], loss)
+                l_va += _loss_sum(theta, shapes, x[val], yy[val], loss)
+                if more and tr.any():
+                    t, mo, st = _train_rows(t, mo, st, x[tr], yy[tr], loss, shapes, batch, more, lr,
+                                            np.random.default_rng([seed, number, at, n]))
+                return n + int(tr.sum()), t, mo, st, l_tr, l_va
+
+            def closed(done):
+                n, t, (m, v), st, l_tr, l_va = done
+                row = np.concatenate([t * n, m * n, v * n, [st * n, l_tr, l_va]])
+                return pa.RecordBatch.from_pylist([{"g": at, "n": float(n), "v": row.tobytes()}],
+                                                  schema=pa.schema([("g", pa.int64()), ("n", pa.float64()), ("v", pa.binary())]))
+
+            for b in batches:
+                gs = b.column("g").to_numpy()
+                for g in np.unique(gs).tolist():
+                    rows = np.flatnonzero(gs == g)
+                    if g != at:
+                        if at is not None:
+                            yield closed(piece(done) if held else done)
+                        at, held, done = g, [], (0, theta, moments, step, 0.0, 0.0)
+                    part = b.take(pa.array(rows))
+                    held.append((part.column("x").flatten().to_numpy().reshape(-1, d), part.column("y").to_numpy(),
+                                 part.column("_val").to_numpy(zero_copy_only=False)))
+                    if sum(len(r[1]) for r in held) >= most:
+                        done, held = piece(done), []
+            if at is not None:
+                yield closed(piece(done) if held else done)
+
+        def joined(key, rows):
+            rows = rows.sort_by("g")
+            total = np.sum([np.frombuffer(v) for v in rows.column("v").to_pylist()], axis=0)
+            return pa.table({"g": pa.array([key[0].as_py()], pa.int64()), "n": [float(np.sum(rows.column("n").to_numpy()))],
+                             "v": pa.array([total.tobytes()], pa.binary())})
+
+        parts, left = prep.mapInArrow(run, schema), G
+        while left > 1:
+            parts = parts.withColumn("k", F.floor(F.col("g") / FAN).cast("long")).groupBy("k").applyInArrow(joined, schema)
+            left = -(-left // FAN)
+        got = parts.collect()
+        n, v = sum(r["n"] for r in got), np.sum([np.frombuffer(r["v"]) for r in got], axis=0)
+        return v[:P] / n, (v[P:2 * P] / n, v[2 * P:3 * P] / n), int(round(v[3 * P] / n)), v[-2] / n_tr, v[-1] / n_va if n_va else float("nan")
+
+    done, number, wait = 0, 0, 0
+    best, best_theta = float("inf"), theta
+    while True:
+        more = min(local_epochs, epochs - done)
+        new = one_round(theta, moments, step, number, more)
+        if done:
+            model.history.append((done, new[3], new[4]))
+        if done and patience is not None:
+            if new[4] < best - min_delta:
+                best, best_theta, wait = new[4], theta, 0
+            else:
+                wait += 1
+            if wait >= patience:
+                break
+        if not more:
+            break
+        (theta, moments, step), done, number = new[:3], done + more, number + 1
+    model.set_vector(best_theta if patience is not None else theta)
+    prep.unpersist()
+    return model
+
+
 def early_stopping(history: DataFrame, patience: int, min_delta: float = 0.0) -> DataFrame:
     """M30 on a history (epoch, val_loss): whether an epoch improved on the best
     loss so far by more than ``min_delta``, the epochs since the last one that
