@@ -58,16 +58,35 @@ SMALL = [("en", "New York. new york, NEW  york! san francisco bay\tarea new york
 
 
 @pytest.mark.parametrize(("lo", "hi", "least", "percent", "top"), [(2, 3, 2, 50, 2000), (2, 4, 1, 80, 5), (3, 4, 2, 100, 3)])
-@pytest.mark.parametrize("bits", [64, 4])
-def test_small_against_brute_force(spark, lo, hi, least, percent, top, bits, monkeypatch):
+def test_small_against_brute_force(spark, lo, hi, least, percent, top):
     rows = SMALL + SMALL[:4] * 2
     df = spark.createDataFrame(rows, "lang string, text string").repartition(3)
-    if bits < 64:  # nearly all phrases share a fingerprint: counts stay apart
-        f, n = counted(rows)
-        got = sorted((r.lang, r.k, r.phrase, r.a) for r in co.phrases(df, lo, hi, least, key_bits=bits).collect() if r.k)
-        assert got == sorted((g, len(w), " ".join(w), a) for (g, w), a in f.items() if len(w) <= hi and a >= least)
-    else:
-        assert rows_of(co.collocations(df, lo, hi, least, percent, top)) == brute(rows, lo, hi, least, percent, top)
+    assert rows_of(co.collocations(df, lo, hi, least, percent, top)) == brute(rows, lo, hi, least, percent, top)
+
+
+def test_all_phrases_are_cut_from_their_texts(spark):
+    df = spark.createDataFrame(SMALL * 2, "lang string, text string").repartition(2)
+    f, _ = counted(SMALL * 2)
+    assert rows_of(co.phrases(df, 4, 2)) == sorted((g, len(w), " ".join(w), a) for (g, w), a in f.items() if len(w) > 1 and a >= 2)
+
+
+def test_collisions_lead_to_another_base(spark):
+    rows = [("en", "a b. b a. c d e. e d c. a b c. c a b")] * 4  # with base 1 a sum does not know its order
+    df = spark.createDataFrame(rows, "lang string, text string")
+    want = brute(rows, min_count=2)
+    assert rows_of(co.collocations(df, min_count=2, bases=(1, *co.BASES))) == want
+    with pytest.raises(ArithmeticError, match="collide"):
+        co.collocations(df, min_count=2, bases=(1,))
+
+
+def test_documents_of_equal_hash_are_told_apart(spark, monkeypatch):
+    """With a single bit of a document's hash every pointer leads to half of them."""
+    monkeypatch.setattr(co, "DOC_BITS", 1)
+    rows = SMALL * 3
+    runs, d, base = co.counted_phrases(spark.createDataFrame(rows, "lang string, text string"), 3, 2, "text", "lang")
+    f, _ = counted(rows)
+    got = co._cut_out(runs.where("k > 1"), d, base).collect()
+    assert sorted((r.lang, r.phrase) for r in got) == sorted((g, " ".join(w)) for (g, w), a in f.items() if 1 < len(w) < 4 and a >= 2)
 
 
 def test_odd_rows(spark, odd_docs, no_docs):
@@ -88,16 +107,15 @@ def test_blocks_do_not_change_words():
             g = co.Group(True)
             for t in (text, b"one two", b"", text[:70], b"three"):
                 g.add(("en", 0), t)
-            h, doc, begin, end, piece, start = g.close()
+            h, doc, length, piece, start = g.close()
             code = np.concatenate(g.code).tobytes()
         finally:
             co.BLOCK = old
         pieces = np.cumsum(np.r_[0, np.diff(piece) != 0])
-        return [(int(a), int(b), int(c), int(d), int(p), code[s:s + d - c]) for a, b, c, d, p, s in
-                zip(h, doc, begin, end, pieces, start, strict=True)]
+        return [(int(a), int(b), int(p), code[s:s + n]) for a, b, n, p, s in zip(h, doc, length, pieces, start, strict=True)]
 
     want = words(1 << 20)
-    assert [w[5] for w in want[:3]] == re.findall(rb"[^\x20\x09.,;:!?\x0a-\x0d]+", text.lower())[:3]
+    assert [w[3] for w in want[:3]] == re.findall(rb"[^\x20\x09.,;:!?\x0a-\x0d]+", text.lower())[:3]
     for block in (64, 97, 1000, 8000):
         assert words(block) == want
 
@@ -105,15 +123,15 @@ def test_blocks_do_not_change_words():
 def test_words_of_one_hash_are_told_apart():
     g = co.Group(True)
     g.add(("en", 0), b"aa bb aa cc bb d")
-    h, _, begin, end, _, start = g.close()
-    number, second = co._exact_words(g, np.zeros_like(h), np.arange(6), start, end - begin)
-    assert len(set(second[number].tolist())) == 4 and second[number][0] == second[number][2] and second[number][1] == second[number][4]
+    h, _, length, _, start = g.close()
+    second = co._second_hashes(g, np.zeros_like(h), np.arange(6), start, length)
+    assert len(set(second.tolist())) == 4 and second[0] == second[2] and second[1] == second[4]
 
 
 def test_filter_passes_all_its_keys(spark):
-    keys = np.random.default_rng(0).integers(0, 1 << 63, 5000).astype(np.uint64)
+    keys = np.random.default_rng(0).integers(0, 1 << co.BUCKET_BITS, 5000).astype(np.uint64)
     df = spark.createDataFrame([(int(k.view(np.int64)),) for k in keys], "key long")
     bitmap, bits = co._filter_of(df)
     assert co._passes(keys, bitmap, bits).all()
-    other = np.random.default_rng(1).integers(0, 1 << 63, 5000).astype(np.uint64)
+    other = np.random.default_rng(1).integers(0, 1 << co.BUCKET_BITS, 5000).astype(np.uint64)
     assert co._passes(other, bitmap, bits).mean() < 0.1
