@@ -2,12 +2,14 @@
 binomial GLMs with a log link, fitted by IRLS.
 
 Each IRLS step is one pass over a cached design. Weights, working response and
-likelihood terms are column expressions; Xᵀ W X and Xᵀ W z are summed per Arrow
-batch with numpy, one vector per task, and added up by Spark, so the time is
-linear in the rows and one matrix product per batch in the columns. Only the
-p×p solve runs on the driver. θ of the negative binomial is found by Newton
-steps on its profile score from the same passes. A fit that does not converge
-raises ``NotConverged``.
+likelihood terms are column expressions; the weighted design and response are
+reduced by a tall-skinny QR (``qr``): a triangle per task, joined in levels. So
+the time is linear in the rows, and nearly collinear columns, which inflation
+factors are there to find, lose no more digits than the design itself (XᵀWX would
+lose twice as many). The driver solves one triangle. θ of the negative binomial is
+found by Newton steps on its profile score from the same passes. A fit that does
+not converge raises ``NotConverged``, one with a column that the others determine
+``Collinear``.
 """
 from __future__ import annotations
 
@@ -18,9 +20,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions.mathx import digamma, lgamma, nb_logpmf, norm_ppf, norm_sf2, poisson_logpmf, t_sf2, trigamma
 from .features import levels
+from .qr import reduced
 from .windows import dense_index
 
 INTERCEPT = "(Intercept)"
@@ -33,6 +37,8 @@ class Design:
     terms: list[str]                 # design column names, intercept first
     blocks: dict[str, list[int]]     # model term → design column positions
     keys: list[str] = field(default_factory=list)
+    cached: DataFrame | None = None  # what is cached, where ``df`` is a view of it
+    tasks: int = 0                   # partitions of the cached rows, counted once
 
     @property
     def p(self) -> int:
@@ -41,15 +47,26 @@ class Design:
     def xcols(self) -> list[Column]:
         return [F.col(f"_x{j}") for j in range(self.p)]
 
+    def view(self, keep: list[int]) -> Design:
+        """The design with the columns ``keep`` alone, over the same cached rows."""
+        at = {j: k for k, j in enumerate(keep)}
+        df = self.df.select(*self.keys, "_y", "_w", *[F.col(f"_x{j}").alias(f"_x{k}") for j, k in at.items()])
+        blocks = {t: [at[j] for j in idx] for t, idx in self.blocks.items() if all(j in at for j in idx)}
+        return Design(df, [self.terms[j] for j in keep], blocks, self.keys, self.cached if self.cached is not None else self.df, self.tasks)
+
     def free(self) -> None:
         """Release the cached rows; later reads compute them again."""
-        self.df.unpersist()
+        (self.cached if self.cached is not None else self.df).unpersist()
 
 
 class NotConverged(RuntimeError):
     """A fit that stopped at its last allowed step."""
 
 
+class Collinear(np.linalg.LinAlgError):
+    """A design column that the others determine."""
+
+
 def design(df: DataFrame, y: str, numeric=(), factors=(), weight: str | None = None,
            keys=(), level_map: dict | None = None, cache: bool = True) -> Design:
     """Design with intercept; factors are dummy-coded with the alphabetically
@@ -120,6 +137,19 @@ def _gram(d: Design, w: Column, z: Column, extra: dict[str, Column]) -> tuple[np
     return s[:p * p].reshape(p, p), s[p * p:p * p + p], dict(zip(extra, s[p * p + p:].tolist(), strict=True))
 
 
+def _qr(d: Design, w: Column, z: Column, extra: dict[str, Column]) -> tuple[np.ndarray, np.ndarray, dict]:
+    """R of √W·X, Qᵀ√W·z and the sums of the ``extra`` row expressions, in one pass."""
+    p = d.p
+    if not d.tasks:
+        d.tasks = d.df.select(F.spark_partition_id().alias("i")).distinct().count()
+    r, sums = reduced(d.df, [*d.xcols(), z], w, list(extra.values()), d.tasks)
+    scale = np.linalg.norm(r[:, :p], axis=0)
+    low = np.flatnonzero(~(np.abs(np.diag(r)[:p]) > 16 * p * np.finfo(float).eps * scale))
+    if len(low):
+        raise Collinear(f"determined by the others: {', '.join(d.terms[j] for j in low)}")
+    return r[:p, :p], r[:p, p], dict(zip(extra, sums.tolist(), strict=True))
+
+
 def _family(family: str, theta: float | None):
     """Variance and deviance terms; a negative binomial without θ is Poisson."""
     y = F.col("_y")
@@ -138,37 +168,28 @@ def _family(family: str, theta: float | None):
 
 
 def _irls(d: Design, family: str, theta: float | None, beta0: np.ndarray | None,
-          tol: float = 1e-8, max_iter: int = 50):
+          tol: float = 1e-12, max_iter: int = 50):
+    """(β, R, Qᵀz, sums, passes): the pass that finds the deviance unchanged has
+    the sums at its β already, so none follows it."""
     var, devf = _family(family, theta)
     y, pw = F.col("_y"), F.col("_w")
-    beta, dev_old, converged = beta0, None, False
+    beta, dev_old = beta0, None
     for it in range(1, max_iter + 1):
         if beta is None:
             mu = y + 0.1 if family == "poisson" else y + F.lit(1.0 / 6.0)
-            eta = F.log(mu)
+            eta, extra = F.log(mu), {}
         else:
             eta = _eta(beta, d.p)
             mu = F.exp(eta)
-        w = pw * mu * mu / var(mu)
-        z = eta + (y - mu) / mu
-        G, b, ex = _gram(d, w, z, {"dev": pw * devf(mu) if beta is not None else F.lit(0.0)})
-        beta_new = np.linalg.solve(G, b)
+            ll = poisson_logpmf(y, mu) if family == "poisson" else nb_logpmf(y, mu, F.lit(theta))
+            extra = {"dev": pw * devf(mu), "pearson": pw * (y - mu) * (y - mu) / var(mu), "ll": pw * ll, "n": F.lit(1.0), "sw": pw}
+        R, b, ex = _qr(d, pw * mu * mu / var(mu), eta + (y - mu) / mu, extra)
         if beta is not None:
-            converged = dev_old is not None and abs(ex["dev"] - dev_old) / (abs(ex["dev"]) + 0.1) < tol
+            if dev_old is not None and abs(ex["dev"] - dev_old) / (abs(ex["dev"]) + 0.1) < tol:
+                return beta, R, b, ex, it
             dev_old = ex["dev"]
-        beta = beta_new
-        if converged:
-            break
-    if not converged:
-        raise NotConverged(f"{family} fit: {max_iter} steps")
-    # final pass at beta: Gram for the covariance, deviance, Pearson χ², log-likelihood, n
-    eta = _eta(beta, d.p)
-    mu = F.exp(eta)
-    w = pw * mu * mu / var(mu)
-    ll = poisson_logpmf(y, mu) if family == "poisson" else nb_logpmf(y, mu, F.lit(theta))
-    G, _, ex = _gram(d, w, eta, {"dev": pw * devf(mu), "pearson": pw * (y - mu) * (y - mu) / var(mu),
-                                 "ll": pw * ll, "n": F.lit(1.0), "sw": pw})
-    return beta, G, ex, it
+        beta = np.linalg.solve(R, b)
+    raise NotConverged(f"{family} fit: {max_iter} steps")
 
 
 @dataclass
@@ -176,7 +197,7 @@ class GLMFit:
     family: str
     design: Design
     beta: np.ndarray
-    gram: np.ndarray
+    r: np.ndarray                     # triangle of the weighted design: RᵀR = XᵀWX
     deviance: float
     pearson: float
     loglik: float
@@ -187,6 +208,8 @@ class GLMFit:
     quasi: bool = False
     poisson_limit: bool = False       # a negative binomial whose θ is infinite
     converged: bool = True            # a fit that is not raises NotConverged
+    qtz: np.ndarray | None = None     # Qᵀ of the weighted working response
+    passes: list[int] = field(default_factory=list)  # over the rows, per fit of an elimination
 
     @property
     def terms(self):
@@ -202,7 +225,8 @@ class GLMFit:
 
     @property
     def cov(self) -> np.ndarray:
-        return np.linalg.inv(self.gram) * self.dispersion
+        c = np.linalg.solve(self.r, np.eye(len(self.r)))
+        return c @ c.T * self.dispersion
 
     @property
     def aic(self) -> float:
@@ -228,11 +252,11 @@ class GLMFit:
                                           "iterations int, poisson_limit boolean, converged boolean")
 
 
-def poisson_glm(d: Design, quasi: bool = False, tol: float = 1e-8, max_iter: int = 50) -> GLMFit:
+def poisson_glm(d: Design, quasi: bool = False, tol: float = 1e-12, max_iter: int = 50, beta0: np.ndarray | None = None) -> GLMFit:
     """M4/M5: Poisson GLM; with ``quasi`` SEs are scaled by √(Pearson χ²/df)."""
-    beta, G, ex, it = _irls(d, "poisson", None, None, tol, max_iter)
-    return GLMFit("poisson", d, beta, G, float(ex["dev"]), float(ex["pearson"]), float(ex["ll"]),
-                  int(ex["n"]), it, quasi=quasi)
+    beta, R, b, ex, it = _irls(d, "poisson", None, beta0, tol, max_iter)
+    return GLMFit("poisson", d, beta, R, float(ex["dev"]), float(ex["pearson"]), float(ex["ll"]),
+                  int(ex["n"]), it, quasi=quasi, qtz=b)
 
 
 def overdispersion(fit: GLMFit) -> dict:
@@ -259,7 +283,7 @@ def theta_step(th: float, score: float, info: float) -> float:
 
 
 def _nb_pass(d: Design, beta: np.ndarray, th: float):
-    """One pass at (β, θ): NB working Gram and right side, deviance,
+    """One pass at (β, θ): NB working triangle and right side, deviance,
     log-likelihood and θ's profile score / information."""
     var, devf = _family("negbin", th)
     y, pw = F.col("_y"), F.col("_w")
@@ -268,7 +292,7 @@ def _nb_pass(d: Design, beta: np.ndarray, th: float):
     t = F.lit(th)
     w = pw * mu * mu / var(mu)
     z = eta + (y - mu) / mu
-    return _gram(d, w, z, {
+    return _qr(d, w, z, {
         "dev": pw * devf(mu), "ll": pw * nb_logpmf(y, mu, t),
         "pearson": pw * (y - mu) * (y - mu) / var(mu), "n": F.lit(1.0),
         "score": pw * (digamma(y + t) - digamma(t) + math.log(th) + 1.0 - F.log(t + mu) - (y + t) / (mu + t)),
@@ -276,24 +300,25 @@ def _nb_pass(d: Design, beta: np.ndarray, th: float):
                       - (y + t) / ((mu + t) * (mu + t)))})
 
 
-def negbin_glm(d: Design, theta: float | None = None, tol: float = 1e-10, max_iter: int = 100) -> GLMFit:
+def negbin_glm(d: Design, theta: float | None = None, tol: float = 1e-10, max_iter: int = 100,
+               beta0: np.ndarray | None = None) -> GLMFit:
     """M8 (and M9 through the design's prior weights): NB2 GLM, log link.
 
     Starts from the Poisson fit and a moment estimate of θ, then each pass
     makes one IRLS step for β and one Newton step for log θ (profile score, as
     MASS ``theta.ml``) from the same sums — the joint fixed point is the
     ``glm.nb`` estimate, reached in a few passes instead of nested loops.
-    A fixed ``theta`` skips the θ steps. Data without more variance than a
+    A fixed ``theta`` skips the θ steps; ``beta0`` starts the Poisson fit. Data without more variance than a
     Poisson have no finite θ: the fit is the Poisson one, ``poisson_limit``."""
-    beta, G, ex, total = _irls(d, "poisson", None, None)
+    beta, R, b, ex, total = _irls(d, "poisson", None, beta0)
     th = float(theta) if theta is not None else moment_theta(d, beta)
     if th is None:
-        return GLMFit("negbin", d, beta, G, ex["dev"], ex["pearson"], ex["ll"], int(ex["n"]), total, poisson_limit=True)
+        return GLMFit("negbin", d, beta, R, ex["dev"], ex["pearson"], ex["ll"], int(ex["n"]), total, poisson_limit=True, qtz=b)
     ll_old, done = None, False
     for _ in range(max_iter):
-        G, b, ex = _nb_pass(d, beta, th)
+        R, b, ex = _nb_pass(d, beta, th)
         total += 1
-        beta = np.linalg.solve(G, b)
+        beta = np.linalg.solve(R, b)
         th_new = th if theta is not None else theta_step(th, ex["score"], ex["info"])
         done = ll_old is not None and abs(ex["ll"] - ll_old) < tol * (abs(ex["ll"]) + 1) and abs(th_new - th) < 1e-9 * th
         th, ll_old = th_new, ex["ll"]
@@ -301,9 +326,9 @@ def negbin_glm(d: Design, theta: float | None = None, tol: float = 1e-10, max_it
             break
     if not done:
         raise NotConverged(f"negative binomial fit: {max_iter} steps, θ at {th:.4g}")
-    G, _, ex = _nb_pass(d, beta, th)
+    R, b, ex = _nb_pass(d, beta, th)
     th_se = 1.0 / math.sqrt(ex["info"]) if theta is None and ex["info"] > 0 else None
-    return GLMFit("negbin", d, beta, G, ex["dev"], ex["pearson"], ex["ll"], int(ex["n"]), total, theta=th, theta_se=th_se)
+    return GLMFit("negbin", d, beta, R, ex["dev"], ex["pearson"], ex["ll"], int(ex["n"]), total, theta=th, theta_se=th_se, qtz=b)
 
 
 def with_inverse_residual_weights(df: DataFrame, fit: GLMFit, out: str = "w_resid",
@@ -323,66 +348,73 @@ def refit_weighted(fit: GLMFit, weights_df: DataFrame, weight_col: str = "w_resi
     return negbin_glm(d) if fit.family == "negbin" else poisson_glm(d, quasi=fit.quasi)
 
 
-def gvif_from_cov(cov: np.ndarray, terms: list[str], blocks: dict[str, list[int]]) -> list[tuple]:
-    """GVIF per model term from a coefficient covariance (intercept dropped):
-    det(R₁₁)·det(R₂₂)/det(R) on the correlation matrix, and GVIF^(1/(2·df))."""
+def gvif_from_r(r: np.ndarray, terms: list[str], blocks: dict[str, list[int]]) -> list[tuple]:
+    """GVIF per model term from the triangle of a design whose first column is the
+    intercept: det(R₁₁)·det(R₂₂)/det(R) of the coefficients' correlations is the
+    same for the centred columns', whose triangle is what is left of ``r`` without
+    its first row and column. Determinants are products of diagonals, so nothing
+    is squared or inverted."""
     keep = [i for i, t in enumerate(terms) if t != INTERCEPT]
-    V = cov[np.ix_(keep, keep)]
-    s = np.sqrt(np.diag(V))
-    R = V / np.outer(s, s)
+    c = r[np.ix_(keep, keep)] if terms[0] == INTERCEPT else r
+    log_det = lambda a: 2 * float(np.log(np.abs(np.diag(np.linalg.qr(c[:, a], mode="r")))).sum()) if a else 0.0
     pos = {j: k for k, j in enumerate(keep)}
-    detR = np.linalg.det(R)
-    out = []
+    whole, out = log_det(list(range(len(keep)))), []
     for term, idx in blocks.items():
         if term == INTERCEPT or not idx:
             continue
         a = [pos[j] for j in idx]
-        b = [k for k in range(len(keep)) if k not in a]
-        g = np.linalg.det(R[np.ix_(a, a)]) * (np.linalg.det(R[np.ix_(b, b)]) if b else 1.0) / detR
-        out.append((term, float(g), len(a), float(g ** (1.0 / (2 * len(a))))))
+        g = math.exp(log_det(a) + log_det([k for k in range(len(keep)) if k not in a]) - whole)
+        out.append((term, g, len(a), g ** (1.0 / (2 * len(a)))))
     return out
 
 
 def gvif(fit: GLMFit, spark: SparkSession) -> DataFrame:
     """GVIF table of a fitted model."""
-    rows = gvif_from_cov(fit.cov, fit.terms, fit.design.blocks)
+    rows = gvif_from_r(fit.r, fit.terms, fit.design.blocks)
     return spark.createDataFrame(rows, "term string, gvif double, df int, gvif_adj double")
 
 
 def design_gvif(d: Design, spark: SparkSession) -> DataFrame:
     """M10 at unit working weight: GVIF from (XᵀWX)⁻¹ with the design's prior
     weights only (for two numerics this is 1/(1−r²))."""
-    G, _, _ = _gram(d, F.col("_w"), F.lit(0.0), {})
-    rows = gvif_from_cov(np.linalg.inv(G), d.terms, d.blocks)
-    return spark.createDataFrame(rows, "term string, gvif double, df int, gvif_adj double")
+    R, _, _ = _qr(d, F.col("_w"), F.lit(0.0), {})
+    return spark.createDataFrame(gvif_from_r(R, d.terms, d.blocks), "term string, gvif double, df int, gvif_adj double")
+
+
+def without(fit: GLMFit, term: str) -> tuple[Design, np.ndarray]:
+    """The design without a term, as a view of the cached rows, and the weighted
+    least squares solution that the fit's triangle gives for it: no pass."""
+    keep = [j for j in range(fit.design.p) if j not in fit.design.blocks[term]]
+    q, r = np.linalg.qr(fit.r[:, keep])
+    return fit.design.view(keep), np.linalg.solve(r, q.T @ fit.qtz)
 
 
 def eliminate(df: DataFrame, y: str, numeric=(), factors=(), drop=(), max_gvif: float | None = None,
               family: str = "poisson", weight: str | None = None) -> tuple[GLMFit, list[str]]:
     """Drop the listed terms, then (with ``max_gvif``) repeatedly drop the
-    term with the largest GVIF^(1/(2df)) above the bound and refit."""
-    numeric = [c for c in numeric if c not in drop]
-    factors = [c for c in factors if c not in drop]
-    dropped = list(drop)
-    lv = levels(df, factors) if factors else {}
+    term with the largest GVIF^(1/(2df)) above the bound and refit.
+
+    One design is cached for all fits. Each later fit reads the columns that are
+    left of it and starts from the solution that the triangle of the fit before
+    gives without the dropped term, so it takes two or three passes (``passes``)."""
+    d = design(df, y, [c for c in numeric if c not in drop], [c for c in factors if c not in drop], weight=weight)
+    dropped, passes, beta0 = list(drop), [], None
     while True:
-        d = design(df, y, numeric, factors, weight=weight, level_map=lv)
-        fit = negbin_glm(d) if family == "negbin" else poisson_glm(d)
+        fit = negbin_glm(d, beta0=beta0) if family == "negbin" else poisson_glm(d, beta0=beta0)
+        passes.append(fit.iterations)
+        fit.passes = passes
         if max_gvif is None or len(d.blocks) <= 2:
             return fit, dropped
-        g = gvif_from_cov(fit.cov, fit.terms, d.blocks)
-        worst = max(g, key=lambda r: r[3])
+        worst = max(gvif_from_r(fit.r, fit.terms, d.blocks), key=lambda g: g[3])
         if worst[3] <= max_gvif:
             return fit, dropped
         dropped.append(worst[0])
-        numeric = [c for c in numeric if c != worst[0]]
-        factors = [c for c in factors if c != worst[0]]
-        d.free()
+        d, beta0 = without(fit, worst[0])
 
 
 def glm_diagnostics(fit: GLMFit, qq: bool = True) -> DataFrame:
     """Per row fitted value, response / Pearson / deviance residuals,
-    leverage w·xᵀ(XᵀWX)⁻¹x (broadcast p×p inverse as literals), standardised
+    leverage w·xᵀ(XᵀWX)⁻¹x (one product with R⁻¹ per Arrow batch), standardised
     residual, and Q-Q positions (R ``ppoints``) from a distributed rank."""
     d = fit.design
     var, devf = _family(fit.family, fit.theta)
@@ -390,20 +422,23 @@ def glm_diagnostics(fit: GLMFit, qq: bool = True) -> DataFrame:
     eta = _eta(fit.beta, d.p)
     mu = F.exp(eta)
     w = F.col("_w") * mu * mu / var(mu)
-    C = np.linalg.inv(fit.gram)
-    x = d.xcols()
-    quad = F.lit(0.0)
-    for i in range(d.p):
-        for j in range(i, d.p):
-            c = C[i, j] * (1.0 if i == j else 2.0)
-            if c != 0.0:
-                quad = quad + x[i] * x[j] * F.lit(float(c))
-    out = d.df.select(*d.keys, y.alias("y"), mu.alias("fitted"), w.alias("_ww"), quad.alias("_q"),
-                      ((y - mu) / F.sqrt(var(mu))).alias("pearson_resid"),
-                      (F.signum(y - mu) * F.sqrt(F.greatest(devf(mu), F.lit(0.0)))).alias("deviance_resid"))
-    out = out.withColumn("leverage", F.col("_ww") * F.col("_q")).drop("_ww", "_q")
-    out = out.withColumn("std_resid", F.col("deviance_resid") /
-                         F.sqrt(F.lit(fit.dispersion) * (1.0 - F.col("leverage"))))
+    out = d.df.select(*d.keys, y.alias("y"), mu.alias("fitted"), ((y - mu) / F.sqrt(var(mu))).alias("pearson_resid"),
+                      (F.signum(y - mu) * F.sqrt(F.greatest(devf(mu), F.lit(0.0)))).alias("deviance_resid"),
+                      F.sqrt(w).alias("_s"), F.array(*d.xcols()).alias("_x"))
+    turn = np.linalg.solve(fit.r, np.eye(d.p))  # leverage = ‖R⁻ᵀ x √w‖²
+    kept = len(out.columns) - 2
+
+    def lever(batches):
+        for b in batches:
+            s = b.column(kept).to_numpy(zero_copy_only=False)
+            x = b.column(kept + 1).flatten().to_numpy(zero_copy_only=False).reshape(-1, len(turn))
+            h = np.concatenate([((x[i:i + 8192] @ turn) ** 2).sum(axis=1) for i in range(0, len(x), 8192)] or [np.zeros(0)]) * s * s
+            yield pa.RecordBatch.from_arrays([*b.columns[:kept], pa.array(h)], names=[*b.schema.names[:kept], "leverage"])
+
+    schema = StructType([*out.schema.fields[:kept], StructField("leverage", DoubleType())])
+    out = out.mapInArrow(lever, schema)
+    free = 1.0 - F.col("leverage")  # a row that its own columns fit exactly has no standardised residual
+    out = out.withColumn("std_resid", F.when(free > 1e-12, F.col("deviance_resid") / F.sqrt(F.lit(fit.dispersion) * free)))
     out = out.withColumn("response_resid", F.col("y") - F.col("fitted"))
     if not qq:
         return out

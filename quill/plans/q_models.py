@@ -223,3 +223,62 @@ def gvif_elimination(spark, sf):
     fit.design.free()
     return g.select("term", F.round("estimate", 6).alias("estimate"), F.round("gvif", 5).alias("gvif"),
                     F.round("gvif_adj", 5).alias("gvif_adj"), F.lit(",".join(dropped)).alias("dropped"))
+
+
+def lines_per_order_by_month(spark, sf):
+    d = table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), F.date_format("o_orderdate", "yyyy-MM").alias("month"))
+    y = lines_per_order(spark, sf)
+    return y.join(d, y.o_orderkey == d.k).drop("k")
+
+
+@query("poisson_month_leverage", "M12", """with y as (select o.o_orderkey, strftime(o.o_orderdate, '%Y-%m') as month, coalesce(n.n, 0) as y
+  from orders o left join (select l_orderkey, count(*) as n from lineitem group by 1) n on n.l_orderkey = o.o_orderkey),
+g as (select month, avg(y) as m, count(*) as k from y group by 1)
+select o_orderkey, round(m, 6) as fitted, round((y - m) / sqrt(m), 6) as pearson_resid, round(1.0 / k, 8) as leverage,
+  case when k > 1 then round(sign(y - m) * sqrt(greatest(2 * (case when y > 0 then y * ln(y / m) else 0 end - (y - m)), 0))
+    / sqrt(1 - 1.0 / k), 5) end as std_resid
+from y join g using (month)""")
+def poisson_month_leverage(spark, sf):
+    """Diagnostics of a design of some 80 columns, a month each."""
+    d = M.design(lines_per_order_by_month(spark, sf), "y", factors=["month"], keys=["o_orderkey"])
+    r = M.glm_diagnostics(M.poisson_glm(d), qq=False)
+    return r.select("o_orderkey", F.round("fitted", 6).alias("fitted"), F.round("pearson_resid", 6).alias("pearson_resid"),
+                    F.round("leverage", 8).alias("leverage"), F.round("std_resid", 5).alias("std_resid"))
+
+
+@query("gvif_collinear", "M10", """
+with x as (select o_totalprice as price, cast(o_orderkey % 7 as double) as e from orders),
+v as (select price, e, price + e as near from x),
+s as (select var_pop(near) as vn, var_pop(price) as vp, var_pop(e) as ve, corr(price, e) as r, corr(near, e) as rn from v)
+select 'price' as term, round(ln(vp / (ve * (1 - rn * rn))), 6) as log_gvif from s
+union all select 'near', round(ln(vn / (ve * (1 - r * r))), 6) from s""")
+def gvif_collinear(spark, sf):
+    """Two columns correlated at 1 - 1e-10: what is left of one beside the other
+    is the small number that was added."""
+    x = table(spark, sf, "orders").select(F.col("o_totalprice").alias("price"),
+                                          (F.col("o_totalprice") + F.col("o_orderkey") % 7).alias("near"), F.lit(1.0).alias("one"))
+    d = M.design(x, "one", numeric=["price", "near"])
+    g = M.design_gvif(d, spark)
+    d.free()
+    return g.select("term", F.round(F.log("gvif"), 6).alias("log_gvif"))
+
+
+@query("gvif_chain", "M10 M11", f"""with {SQL_Y.split(',' + chr(10) + 'g as')[0]},
+x as materialized (select y.y, o.o_totalprice / 100000.0 as x1, cast(o.o_orderkey % 1000 as double) / 1000.0 as x2
+  from y join orders o using (o_orderkey)),
+{_irls_sql()},
+v as (select 1 / (1 - power(a * e - b * c, 2) / ((a * f - c * c) * (a * d - b * b))) as g from s12)
+select 'price' as term, round(b1, 6) as estimate, round(g, 6) as gvif, 'both' as dropped, true as few_passes from v, b11
+union all select 'part', round(b2, 6), round(g, 6), 'both', true from v, b11""")
+def gvif_chain(spark, sf):
+    """Of three columns, one the sum of the others but for a trace, the sum goes;
+    the second fit starts from the first and takes at most three passes."""
+    x = lines_per_order(spark, sf).withColumn("price", F.col("o_totalprice") / 100000.0).withColumn(
+        "part", (F.col("o_orderkey") % 1000) / 1000.0)
+    x = x.withColumn("both", F.col("price") + F.col("part") + (F.col("o_orderkey") % 11) * 1e-6)
+    fit, dropped = M.eliminate(x, "y", numeric=["price", "part", "both"], max_gvif=10.0)
+    beta = spark.createDataFrame([(t, float(b)) for t, b in zip(fit.terms, fit.beta)], "term string, estimate double")
+    g = M.gvif(fit, spark).join(beta, "term")
+    fit.design.free()
+    return g.select("term", F.round("estimate", 6).alias("estimate"), F.round("gvif", 6).alias("gvif"),
+                    F.lit(",".join(dropped)).alias("dropped"), F.lit(all(n <= 3 for n in fit.passes[1:])).alias("few_passes"))
