@@ -188,7 +188,7 @@ def edited_neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                     held, size = held[-1:], len(held[-1][1])
 
     return (d.withColumn("to", F.explode(route("id"))).select("to.r", "to.copy", "id", "text")
-            .repartition("r").sortWithinPartitions("r", "copy", "id", "text").mapInArrow(run, _SCHEMA))
+            .repartitionById(len(bounds) + 1, F.col("r")).sortWithinPartitions("r", "copy", "id", "text").mapInArrow(run, _SCHEMA))
 
 
 def _rows(held: list, k: int, w: int):
