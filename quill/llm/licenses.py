@@ -159,11 +159,11 @@ tf AS (SELECT doc_id, path, line_no, term, count(*) AS tf FROM
 want AS (SELECT t, license, term, count(*) AS tf FROM
   (SELECT t, license, unnest(regexp_extract_all(lower(text), '{TERM}')) AS term FROM temps) GROUP BY ALL),
 vocab AS (SELECT DISTINCT term FROM want),
-idf AS (SELECT v.term, ln((1.0 + (SELECT n FROM n)) / (1 + count(tf.term))) + 1 AS idf
-  FROM vocab v LEFT JOIN tf ON v.term = tf.term GROUP BY v.term),
+idf AS (SELECT term, ln((1.0 + (SELECT n FROM n)) / (1 + count(doc_line))) + 1 AS idf FROM
+  (SELECT term, line_no AS doc_line FROM tf UNION ALL SELECT term, NULL FROM vocab) GROUP BY term),
 weight AS (SELECT t, license, term, tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY t)) AS w
   FROM want JOIN idf USING (term)),
-v AS (SELECT tf.*, tf * coalesce(idf, ln(1.0 + (SELECT n FROM n)) + 1) AS v FROM tf LEFT JOIN idf USING (term)),
+v AS (SELECT tf.*, tf * idf AS v FROM tf JOIN idf USING (term)),
 norms AS (SELECT doc_id, path, line_no, sqrt(sum(v * v)) AS norm, sum(tf) AS terms FROM v GROUP BY ALL),
 dots AS (SELECT doc_id, path, line_no, t, license, round(sum(v * w), 9) AS dot FROM v JOIN weight USING (term) GROUP BY ALL),
 hits AS (SELECT d.*, dot / norm AS cosine, terms FROM

@@ -14,8 +14,7 @@ def brute(rows, least=0.6, share=0.5):
     lines = [(i, [x for x in re.split(r"\r\n|\r|\n", t or "") if cue(x)]) for i, _, t in rows]
     every = [Counter(terms(x)) for _, xs in lines for x in xs]
     df = Counter(t for c in every for t in c)
-    vocab = {t for _, x in licenses.TEMPLATES for t in terms(x)}
-    idf = lambda t: math.log((1 + len(every)) / (1 + (df[t] if t in vocab else 0))) + 1
+    idf = lambda t: math.log((1 + len(every)) / (1 + df[t])) + 1
     vec = lambda s: {t: k * idf(t) for t, k in Counter(terms(s)).items()}
     norm = lambda v: math.sqrt(sum(x * x for x in v.values()))
 
