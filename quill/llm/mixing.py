@@ -2,9 +2,10 @@
 
 Tokens are summed per cell (one level of every dimension), cell ratios are
 raked by iterative proportional fitting until the weighted tokens of every
-level of every dimension meet their targets, and each document is kept with
-probability min(1, ratio of its cell). A cell whose ratio is above one keeps
-all its documents; ``weight`` tells how often each should count.
+level of every dimension meet their targets, and each document comes as often
+as its cell's ratio says: the whole part of it as copies, one more by a draw
+below the rest. So the kept tokens meet the targets but for the draws, also where
+a small source has to be repeated.
 
 All sums are grouped in Spark: documents are pre-aggregated to cells, and the
 fitting works on the cell table with one window per dimension, so no number of
@@ -24,12 +25,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import dropped, written
 
-#: documents have no topic column: the first rule that holds names the topic
+#: documents have no topic column; as a stand-in for a topic model the first rule
+#: that holds names the topic
 TOPIC_RULES = [
     ("empty", "text IS NULL OR trim(text) = ''"),
     ("license", "contains(text, 'icense')"),
@@ -50,9 +52,9 @@ def token_count(text_col: str = "text"):
     return F.coalesce(words, F.lit(0)).cast("long")
 
 
-def draw(id_col: str = "doc_id", seed: int = 42):
+def draw(id_: Column, seed: int = 42):
     """A uniform number in [0, 1) from the id: 52 bits of an md5."""
-    key = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))
+    key = F.concat(F.lit(f"{seed}:"), F.coalesce(id_.cast("string"), F.lit("")))
     return F.conv(F.substring(F.md5(key.cast("binary")), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
@@ -105,26 +107,30 @@ def gaps(fit: DataFrame, targets: dict[str, DataFrame], budget: float) -> DataFr
 
 def calibrated(docs: DataFrame, dims: list[str], power: float = 0.8, budget_share: float = 1.0, seed: int = 42,
                id_col: str = "doc_id", tokens_col: str = "n_tokens") -> DataFrame:
-    """``docs`` (with ``dims`` and ``tokens_col``) and ``__ratio``, ``__prob``,
-    ``__weight``, ``__draw``, ``__kept``. Targets: the token share of every
-    level to ``power``, of ``budget_share`` of all tokens."""
+    """(row, ratio, prob, draw, copies, kept): ``row`` is a row of ``docs``, which
+    has ``dims`` and ``tokens_col``; its names cannot clash with the others.
+    Targets: the token share of every level to ``power``, of ``budget_share`` of
+    all tokens. ``prob`` is the chance that the row is kept at all."""
     cells = written(docs.groupBy(*dims).agg(F.sum(tokens_col).alias("tokens")), "cells")
     total = cells.agg(F.sum("tokens")).first()[0] or 0
     fit = rake(cells, {d: flattened(cells, d, power) for d in dims}, total * budget_share, strict=False)
-    fit = fit.select(*[F.col(d).alias(f"__{d}") for d in dims], F.col("ratio").alias("__ratio"))
-    same = reduce(lambda a, b: a & b, [F.col(d).eqNullSafe(F.col(f"__{d}")) for d in dims])
-    prob = F.least(F.lit(1.0), F.col("__ratio"))
-    return (docs.join(fit, same).drop(*[f"__{d}" for d in dims])
-            .withColumn("__prob", prob).withColumn("__weight", F.greatest(F.lit(1.0), F.col("__ratio")))
-            .withColumn("__draw", draw(id_col, seed)).withColumn("__kept", F.col("__draw") < F.col("__prob")))
+    fit = fit.select(*[F.col(d).alias(f"d{i}") for i, d in enumerate(dims)], "ratio")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    same = reduce(lambda a, b: a & b, [F.col("row")[d].eqNullSafe(F.col(f"d{i}")) for i, d in enumerate(dims)])
+    whole = F.floor("ratio").cast("long")
+    return (rows.join(fit, same).select("row", "ratio", F.least(F.lit(1.0), F.col("ratio")).alias("prob"),
+                                        draw(F.col("row")[id_col], seed).alias("draw"))
+            .withColumn("copies", whole + (F.col("draw") < F.col("ratio") - whole).cast("long"))
+            .withColumn("kept", F.col("copies") > 0))
 
 
 def mix(docs: DataFrame, **kw) -> DataFrame:
-    """The sampled rows of ``docs``, columns as they are."""
+    """The sampled rows of ``docs``, columns as they are, each as often as drawn."""
     had = docs.columns
     c = docs.select(F.col("doc_id"), "source", "lang", topic().alias("topic"), token_count().alias("n_tokens"),
-                    F.struct(*[F.col(f"`{x}`") for x in had]).alias("__row"))
-    return calibrated(c, ["source", "lang", "topic"], **kw).where("__kept").select("__row.*")
+                    F.struct(*[F.col(f"`{x}`") for x in had]).alias("had"))
+    drawn = calibrated(c, ["source", "lang", "topic"], **kw).where("kept")
+    return drawn.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.had.*")
 
 
 def oracle(power: float = 0.8, budget_share: float = 1.0, seed: int = 42, sweeps: int = 40) -> str:
@@ -152,6 +158,7 @@ def oracle(power: float = 0.8, budget_share: float = 1.0, seed: int = 42, sweeps
                         f"FROM (SELECT *, sum(tokens * ratio) OVER (PARTITION BY {d}) AS h FROM s{n - 1}))")
     u = f"('0x' || substr(md5('{seed}:' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT / 4503599627370496.0"
     same = " AND ".join(f"docs.{d} IS NOT DISTINCT FROM s{n}.{d}" for d in dims)
+    more = f"{u} < ratio - floor(ratio)"
     return (f"WITH {', '.join(ctes)} SELECT doc_id, docs.source, docs.lang, docs.topic, n_tokens, round(least(1.0, ratio), 6) AS prob, "
-            f"round(greatest(1.0, ratio), 6) AS weight, round({u}, 9) AS draw, {u} < least(1.0, ratio) AS kept "
-            f"FROM docs JOIN s{n} ON {same}")
+            f"round(ratio, 6) AS ratio, round({u}, 9) AS draw, CAST(floor(ratio) + CAST({more} AS INTEGER) AS BIGINT) AS copies, "
+            f"ratio >= 1 OR {more} AS kept FROM docs JOIN s{n} ON {same}")

@@ -75,8 +75,7 @@ def op10_mixing(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select(
         "doc_id", "source", "lang", mixing.topic().alias("topic"), mixing.token_count().alias("n_tokens"))
     return mixing.calibrated(docs, ["source", "lang", "topic"]).select(
-        "doc_id", "source", "lang", "topic", "n_tokens", F.round("__prob", 6).alias("prob"),
-        F.round("__weight", 6).alias("weight"), F.round("__draw", 9).alias("draw"), F.col("__kept").alias("kept"))
+        "row.*", F.round("prob", 6).alias("prob"), F.round("ratio", 6).alias("ratio"), F.round("draw", 9).alias("draw"), "copies", "kept")
 
 
 def op11_collocations(spark, sf_dir):

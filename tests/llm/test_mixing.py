@@ -10,8 +10,8 @@ def test_query_equals_sql(spark, sf, llm_queries, duck):
     want = duck.execute(llm_queries.ORACLES["op10_mixing"]).df()[list(got.columns)]
     key = ["doc_id"]
     a, b = (x.sort_values(key).reset_index(drop=True) for x in (got, want))
-    assert (a.kept == b.kept).all() and (a.topic == b.topic).all()
-    assert np.allclose(a[["prob", "weight", "draw"]], b[["prob", "weight", "draw"]], atol=2e-6)
+    assert (a.kept == b.kept).all() and (a.topic == b.topic).all() and (a.copies == b.copies).all() and (a.copies > 1).any()
+    assert np.allclose(a[["prob", "ratio", "draw"]], b[["prob", "ratio", "draw"]], atol=2e-6)
 
 
 def test_margins_meet_targets(spark):
@@ -38,17 +38,27 @@ def test_targets_that_contradict(spark):
 def test_odd_rows(spark, odd_docs, no_docs):
     kept = mixing.mix(odd_docs, power=1.0)
     assert kept.columns == odd_docs.columns and kept.count() == odd_docs.count()  # targets met: all stay
-    assert mixing.mix(odd_docs, power=0.5, budget_share=0.5).count() <= odd_docs.count()
+    assert mixing.mix(odd_docs, power=1.0, budget_share=2.0).count() == 2 * odd_docs.count()
     assert mixing.mix(no_docs).count() == 0
+    clash = odd_docs.selectExpr("*", "1 AS ratio", "2 AS prob", "3 AS kept", "4 AS row", "5 AS had", "6 AS copies", "7 AS d0")
+    assert mixing.mix(clash, power=1.0).columns == clash.columns
 
 
-def test_sample_follows_probabilities(spark):
-    n = 20000
-    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 4 == 0, "b").otherwise("a").alias("source"),
-                                 F.lit(10).cast("long").alias("n_tokens"))
-    got = mixing.calibrated(docs, ["source"], power=0.5)
-    row = got.where("source = 'a'").agg(F.avg(F.col("__kept").cast("int")), F.avg("__prob")).first()
-    assert abs(row[0] - row[1]) < 0.02 and row[1] < 1
+def test_kept_tokens_meet_their_targets(spark):
+    """Levels with ratios above and below one, within the error of the draws."""
+    n = 24000
+    docs = spark.range(n).select(
+        F.col("id").alias("doc_id"), F.when(F.col("id") % 3 < 2, "hot").when(F.col("id") % 12 == 2, "rare").otherwise("other").alias("source"),
+        F.when(F.col("id") % 5 == 0, "fr").otherwise("en").alias("lang"), (5 + F.col("id") % 11).alias("n_tokens"))
+    got = mixing.calibrated(docs, ["source", "lang"], power=0.3).select("row.*", "ratio", "prob", "copies", "kept")
+    assert got.agg(F.max("ratio")).first()[0] > 1.5 and got.where("kept != (copies > 0) OR prob > 1").count() == 0
+    cells = docs.groupBy("source", "lang").agg(F.sum("n_tokens").alias("tokens"))
+    total = docs.agg(F.sum("n_tokens")).first()[0]
+    for dim in ("source", "lang"):
+        want = {r[dim]: r["share"] * total for r in mixing.flattened(cells, dim, 0.3).collect()}
+        have = got.groupBy(dim).agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("t"),
+                                    F.sqrt(F.sum(F.pow("n_tokens", F.lit(2)) / 4)).alias("sd")).collect()
+        assert len(have) == len(want) and all(abs(r["t"] - want[r[dim]]) < 4 * r["sd"] for r in have)
 
 
 def test_a_source_with_a_language_of_its_own(spark):
@@ -56,7 +66,7 @@ def test_a_source_with_a_language_of_its_own(spark):
     rows = [("hot", "en", 900), ("hot", "de", 300), ("a", "en", 100), ("a", "de", 120), ("b", "en", 70), ("b", "de", 60), ("c", "fr", 40)]
     docs = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, source string, lang string, n_tokens long")
     got = mixing.calibrated(docs, ["source", "lang"], power=0.5).collect()
-    assert len(got) == len(rows) and all(0 < r["__ratio"] < 100 for r in got)
+    assert len(got) == len(rows) and all(0 < r["ratio"] < 100 for r in got)
     cells = docs.select("source", "lang", F.col("n_tokens").alias("tokens"))
     targets = {d: mixing.flattened(cells, d, 0.5) for d in ("source", "lang")}
     fit = mixing.rake(cells, targets, 1590.0, strict=False)

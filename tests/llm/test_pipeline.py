@@ -1,3 +1,5 @@
+from collections import Counter
+
 import numpy as np
 import public_tokenizers
 import pytest
@@ -28,7 +30,7 @@ def test_all_but_the_last_return_documents(spark, sf, stages):
     for n in names[:-1]:
         assert stages[n].columns == COLUMNS
     sizes = [spark.read.parquet(f"{sf}/documents.parquet").count(), *[stages[n].count() for n in names]]
-    assert sizes == sorted(sizes, reverse=True) and sizes[-1] == sizes[-2] > 0
+    assert sizes[0] >= sizes[1] >= sizes[2] and sizes[-1] == sizes[-2] > 0  # mixing may repeat documents
 
 
 def test_language_stage_keeps_all_that_has_letters(stages, doc_texts):
@@ -44,10 +46,21 @@ def test_one_of_each_group_stays(stages):
 
 def test_mixing_follows_its_draws(spark, stages):
     docs = stages["simhash_dedup"].select("doc_id", "source", "lang", mixing.topic().alias("topic"), mixing.token_count().alias("n_tokens"))
-    c = mixing.calibrated(docs, ["source", "lang", "topic"]).collect()
-    assert {r.doc_id for r in stages["mix_sources"].collect()} == {r.doc_id for r in c if r["__draw"] < r["__prob"]}
+    c = mixing.calibrated(docs, ["source", "lang", "topic"]).select("row.*", "ratio", "draw", "copies").collect()
+    want = {r.doc_id: int(r.ratio) + (r.draw < r.ratio - int(r.ratio)) for r in c}
+    assert Counter(r.doc_id for r in stages["mix_sources"].collect()) == Counter(want) and {r.doc_id: r.copies for r in c} == want
     total = sum(r.n_tokens for r in c)
-    assert abs(sum(r.n_tokens * r["__ratio"] for r in c) - total) < 1e-6 * total
+    assert abs(sum(r.n_tokens * r.ratio for r in c) - total) < 1e-6 * total
+
+
+def test_predicted_languages_reach_the_mixing(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    some = docs.withColumn("lang", F.when(F.col("doc_id") % 4 != 0, F.col("lang")))
+    true = {r.doc_id: r.lang for r in docs.collect()}
+    told = P.language_id(spark, some, sf).collect()
+    filled = [r for r in told if r.doc_id % 4 == 0]
+    assert filled and all(r.lang for r in told) and all(r.lang == true[r.doc_id] for r in told if r.doc_id % 4)
+    assert sum(r.lang == true[r.doc_id] for r in filled) >= 0.9 * len(filled)
 
 
 def test_tokens_decode(stages):
@@ -63,7 +76,7 @@ def test_odd_and_empty_documents(spark, odd_docs, no_docs):
     docs = odd_docs.select(*COLUMNS, F.lit(1).alias("__row"), F.col("score"), F.lit("x").alias("text_hash"))
     for name, stage in P.STAGES:
         out = stage(spark, docs, "")
-        assert out.count() <= docs.count()
+        assert out.count() <= (docs.count() if name != "mix_sources" else 10 * docs.count())  # small sources come several times
         assert stage(spark, docs.where("1 = 0"), "").count() == 0
         if name != "bpe_encode":
             assert out.columns == docs.columns
