@@ -1,5 +1,10 @@
 """A training-data pipeline over ``documents``: each stage calls one operator
-of ``quill.llm`` on everything its predecessor kept."""
+of ``quill.llm`` on everything its predecessor kept.
+
+NULL in any column and repeated rows pass like others, except that a document
+without text has no language and goes; of equal and nearly equal documents that
+with the smallest id stays (of rows with that id, one); an empty table gives an
+empty result; further columns are handed on."""
 from __future__ import annotations
 
 from collections.abc import Callable
@@ -19,11 +24,13 @@ LEAST_SCORE = 0.5
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told; NULL texts, texts without a letter
-    and undecided ones go. Learns from four fifths of the labelled rows."""
+    and undecided ones go. Learns from four fifths of the labelled rows. Documents
+    without a language get the one told, which the mixing then goes by."""
     model = langid.train(docs.where(fold("doc_id") != 0))
     told = langid.predict(docs, model, names=("__lang", "__score"))
     lang, score = told.columns[-2:]
-    return told.where((F.col(lang) != langid.UND) & (F.col(score) >= LEAST_SCORE)).select(*[f"`{c}`" for c in docs.columns])
+    return told.where((F.col(lang) != langid.UND) & (F.col(score) >= LEAST_SCORE)).select(
+        *[F.coalesce("lang", F.col(lang)).alias("lang") if c == "lang" else F.col(f"`{c}`") for c in docs.columns])
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,7 +39,8 @@ def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents sampled to flattened shares of source, language and topic."""
+    """Documents sampled to flattened shares of source, language and topic; those
+    of cells that are short of their target come more than once."""
     return mixing.mix(docs, power=0.8, budget_share=1.0, seed=42)
 
 
