@@ -7,12 +7,13 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import bayes as B
+from ..operators import draws as D
 from ..operators import features as FE
 from ..operators import glm as M
 from ..operators import mlp as N
 from ..operators import windows as W
 from ..session import table
-from .q_models import SQL_CUST, SQL_Y, lines_per_customer, lines_per_order
+from .q_models import SQL_CUST, SQL_Y, _ppf_sql, lines_per_customer, lines_per_order
 from .registry import query
 from .sqlmath import theta_ctes
 
@@ -159,6 +160,80 @@ def posterior_predictive_hist(spark, sf):
     return t.withColumn("expected", F.round("expected", 4))
 
 
+def _u_sql(name: str, *keys: str) -> str:
+    text = " || ':' || ".join([f"'7:{name}'", *[f"coalesce(cast({k} as varchar), '')" for k in keys]])
+    return f"((('0x' || substr(md5({text}), 1, 13))::bigint + 0.5) / 4503599627370496.0)"
+
+
+@query("prior_draws", "M20", f"""
+with l as (select distinct c_mktsegment as lv from customer where c_mktsegment is not null),
+x as (select stddev_samp(c_acctbal) as s from customer where c_mktsegment is not null and c_acctbal is not null),
+f as (select lv, stddev_samp(case when c.c_mktsegment = lv then 1.0 else 0 end) as s from l, customer c
+      where c.c_mktsegment is not null and c.c_acctbal is not null and lv <> (select min(lv) from l) group by lv),
+pr as (select '(Intercept)' as param, 4.0 as a, 4.0 as b union all select 'c_acctbal', 0.0, 16 / s from x
+  union all select 'c_mktsegment_' || lv, 0.0, 16 / s from f),
+u as materialized (select param, a, b, draw, {_u_sql("' || param || '", "draw")} as u from pr, range(0, 400) r(draw))
+select param, draw, round(a + b * {_ppf_sql('u')}, 6) as value from u
+union all select 'reciprocal_dispersion', draw, round(-ln({_u_sql('reciprocal_dispersion', 'draw')}), 6) from range(0, 400) r(draw)""")
+def prior_draws(spark, sf):
+    """Draws of every parameter from its prior, scaled to the customers' columns."""
+    d = M.design(lines_per_customer(spark, sf), "y", numeric=["c_acctbal"], factors=["c_mktsegment"], keys=["c_custkey"])
+    t = D.prior_draws(spark, d, B.Priors(), family="negbin", n=400, seed=7)
+    d.free()
+    return t.withColumn("value", F.round("value", 6))
+
+
+def _posterior_draw_sql(n: int) -> str:
+    return f"""{_mode_sql(4.0, 4.0, '(-1)', '0')},
+u as materialized (select draw, {_u_sql('(Intercept)', 'draw')} as ub, {_u_sql('reciprocal_dispersion', 'draw')} as ut from range(0, {n}) r(draw)),
+dr as materialized (select draw, b + sd * {_ppf_sql('ub')} as beta, th * exp(lsd * {_ppf_sql('ut')}) as theta from u, mode)"""
+
+
+@query("posterior_draws", "M19 M22", f"""with {_posterior_draw_sql(400)}
+select '(Intercept)' as param, draw % 4 as chain, draw // 4 as iter, round(beta, 5) as value from dr
+union all select 'reciprocal_dispersion', draw % 4, draw // 4, round(theta, 5) from dr""")
+def posterior_draws(spark, sf):
+    """Draws of the customers' model from the Gaussian at its mode, in four chains."""
+    post = _customer_post(spark, sf)
+    post.design.free()
+    return D.posterior_draws(post, 400, seed=7).select("param", "chain", "iter", F.round("value", 5).alias("value"))
+
+
+@query("posterior_draws_summary", "M19 M22", f"""with {_posterior_draw_sql(400)},
+d as (select '(Intercept)' as param, draw % 4 as chain, beta as value from dr
+  union all select 'reciprocal_dispersion', draw % 4, theta from dr),
+ch as (select param, chain, avg(value) as cm, var_samp(value) as cv, count(*) as cn from d group by all),
+rh as (select param, sqrt(((avg(cn) - 1) / avg(cn) * avg(cv) + var_samp(cm)) / avg(cv)) as rhat from ch group by param)
+select param, round(avg(value), 5) as mean, round(stddev_samp(value), 5) as sd, round(quantile_cont(value, 0.025), 5) as q2_5,
+  round(quantile_cont(value, 0.5), 5) as q50, round(quantile_cont(value, 0.975), 5) as q97_5, round(any_value(rhat), 5) as rhat
+from d join rh using (param) group by param""")
+def posterior_draws_summary(spark, sf):
+    """The summary table over draws of the engine's own."""
+    post = _customer_post(spark, sf)
+    post.design.free()
+    s = B.summarise_draws(D.posterior_draws(post, 400, seed=7), ess=False)
+    return s.select("param", *[F.round(c, 5).alias(c) for c in ["mean", "sd", "q2_5", "q50", "q97_5", "rhat"]])
+
+
+@query("posterior_predictive_draws", "M21 G15", f"""with {_posterior_draw_sql(8)},
+pm as materialized (select draw, k, exp(lgamma(k + theta) - lgamma(theta) - lgamma(k + 1) + theta * ln(theta / (theta + exp(beta)))
+  + k * ln(exp(beta) / (theta + exp(beta)))) as p from dr, range(0, 3000) r(k)),
+cdf as materialized (select draw, k, sum(p) over (partition by draw order by k) as c from pm),
+cu as (select c_custkey, draw, {_u_sql('row', 'draw', 'c_custkey')} as u from customer, dr),
+re as (select cu.draw, cdf.k as y from cu asof join cdf on cu.draw = cdf.draw and cdf.c >= cu.u),
+al as (select draw, cast(y as double) as y from re union all select -1, cast(y as double) from yc),
+bn as (select draw, case when y <= 200 then greatest(cast(ceil(y / 10.0) as bigint), 1) end as bin, count(*) as n from al group by all)
+select g.draw, g.bin, coalesce(bn.n, 0) as n from (select draw, bin from (select unnest(range(-1, 8)) as draw), (select unnest(range(1, 21)) as bin
+  union all select null)) g left join bn on bn.draw = g.draw and bn.bin is not distinct from g.bin""")
+def posterior_predictive_draws(spark, sf):
+    """Lines per customer drawn anew under eight draws of the parameters, beside
+    those observed (draw -1)."""
+    post = _customer_post(spark, sf)
+    t = D.predictive_counts(post, 0.0, 200.0, 10.0, draws=8, seed=7)
+    post.design.free()
+    return t
+
+
 @query("trace_and_density", "M22", f"""with {SQL_DRAWS},
 s as (select param, chain, count(*)::double as n, stddev_samp(value) * pow(count(*), -0.2) as bw, min(value) as lo, max(value) as hi from d group by all),
 g as (select *, lo - 3 * bw + point * (hi - lo + 6 * bw) / 63 as x from s, range(0, 64) r(point))
