@@ -14,13 +14,15 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.mathx import digamma, lgamma, trigamma
+from ..functions.mathx import digamma, lgamma, norm_ppf, trigamma
+from ..session import cut_lineage
 from .aggregates import FUZZ
+from .common import measured_broadcast
 from .glm import Design, NotConverged, _eta, _family, _gram, batch_sums, moment_theta, theta_step
-from .windows import acf
+from .windows import acf, running_total
 
 
 @dataclass
@@ -160,24 +162,70 @@ def summarise_draws(d: DataFrame, probs=(0.025, 0.5, 0.975), max_lag: int = 50,
     wide_q = _quantiles_by(d, "param", "value", probs)
     out = base.join(wide_q, "param").join(rh, "param")
     if ess:
-        longest = int(ch.agg(F.max("cn")).collect()[0][0] or 1)
-        lags, tau = max_lag, None
-        while tau is None:
-            lags = min(lags, longest - 1)
-            rho: dict[str, dict[int, float]] = {}
-            a = acf(d, ["param", "chain"], "iter", "value", lags).groupBy("param", "lag").agg(F.avg("acf").alias("rho"))
-            for r in a.collect():  # params × lags rows
-                rho.setdefault(r["param"], {})[r["lag"]] = r["rho"]
-            ended = {p: _geyer(v, lags) for p, v in rho.items()}
-            if all(e for _, e in ended.values()) or lags >= longest - 1:
-                tau = [(p, t) for p, (t, _) in ended.items()]
-            else:  # the pair sums have not turned negative yet
-                lags *= 4
-        tau = d.sparkSession.createDataFrame(tau, "param string, tau double")
-        out = out.join(tau, "param").withColumn("ess", F.col("m") * F.col("n") / F.col("tau")).drop("tau")
+        out = out.join(effective_size(d, max_lag), "param")
     return out.drop("m", "n")
 
 
+def effective_size(d: DataFrame, max_lag: int = 50, name: str = "ess") -> DataFrame:
+    """(param, ess): draws over the integrated chain-averaged autocorrelation. The
+    lags grow fourfold until the pair sums of every parameter have turned negative;
+    a slowly mixing chain asks for long transforms, not for a larger plan."""
+    ch = d.groupBy("param", "chain").agg(F.count(F.lit(1)).alias("cn"))
+    size = ch.groupBy("param").agg(F.sum("cn").alias("n"))
+    longest = int(ch.agg(F.max("cn")).first()[0] or 1)
+    lags, tau = max_lag, None
+    while tau is None:
+        lags = min(lags, longest - 1)
+        rho: dict[str, dict[int, float]] = {}
+        a = acf(d, ["param", "chain"], "iter", "value", lags).groupBy("param", "lag").agg(F.avg("acf").alias("rho"))
+        for r in a.where("rho IS NOT NULL").collect():  # params × lags rows
+            rho.setdefault(r["param"], {})[r["lag"]] = r["rho"]
+        ended = {p: _geyer(v, lags) for p, v in rho.items()}  # a parameter that never moves has none
+        if all(e for _, e in ended.values()) or lags >= longest - 1:
+            tau = [(p, t) for p, (t, _) in ended.items()]
+        else:  # the pair sums have not turned negative yet
+            lags *= 4
+    tau = d.sparkSession.createDataFrame(tau, "param string, tau double")
+    return size.join(tau, "param").select("param", (F.col("n") / F.col("tau")).alias(name))
+
+
+def split_chains(d: DataFrame) -> DataFrame:
+    """Every chain (iter 0, 1, …) as two of half its length; an odd last draw is
+    left out."""
+    half = d.groupBy("param", "chain").agg(F.floor(F.count(F.lit(1)) / 2).alias("half"))
+    number = F.row_number().over(Window.partitionBy("param").orderBy("chain"))  # a row per chain
+    half = half.withColumn("number", 2 * number - 2)
+    x = d.join(measured_broadcast(half), ["param", "chain"]).where(F.col("iter") < 2 * F.col("half"))
+    second = (F.col("iter") >= F.col("half")).cast("int")
+    return x.select("param", (F.col("number") + second).alias("chain"), (F.col("iter") - second * F.col("half")).alias("iter"), "value")
+
+
+def rank_normalised(d: DataFrame) -> DataFrame:
+    """Draws as the normal scores of their ranks within a parameter: ranks are
+    counted over all chains, ties get their mean rank."""
+    counts = d.groupBy("param", "value").agg(F.count(F.lit(1)).alias("c"))
+    n = d.groupBy("param").agg(F.count(F.lit(1)).alias("s"))
+    below = running_total(counts, ["param"], "value", "c")
+    score = below.join(measured_broadcast(n), "param").select(
+        "param", "value", norm_ppf((F.col("before") + (F.col("c") + 1) / 2 - 0.375) / (F.col("s") + 0.25)).alias("z"))
+    return d.join(score, ["param", "value"]).select("param", "chain", "iter", F.col("z").alias("value"))
+
+
+def rank_diagnostics(d: DataFrame, max_lag: int = 50) -> DataFrame:
+    """(param, rhat, bulk_ess, tail_ess) as the summary of a sampler prints
+    them: R-hat and effective size of the rank-normalised halves of the chains, and
+    the smaller effective size of the indicators of the outer twentieths."""
+    halves = cut_lineage(split_chains(d))
+    z = cut_lineage(rank_normalised(halves))
+    out = summarise_draws(z, probs=(0.5,), ess=False).select("param", "rhat").join(effective_size(z, max_lag, "bulk_ess"), "param")
+    q = _quantiles_by(halves, "param", "value", (0.05, 0.95))
+    x = halves.join(measured_broadcast(q), "param")
+    for name, hit in (("low", F.col("value") <= F.col("q5")), ("high", F.col("value") >= F.col("q95"))):
+        marked = x.select("param", "chain", "iter", hit.cast("double").alias("value"))
+        out = out.join(effective_size(marked, max_lag, name), "param")
+    return out.select("param", "rhat", "bulk_ess", F.least("low", "high").alias("tail_ess"))
+
+
 def _geyer(rho: dict[int, float], lags: int) -> tuple[float, bool]:
     """1 + 2 Σ of autocorrelations over pairs until a pair's sum is negative,
     and whether that happened within ``lags``."""

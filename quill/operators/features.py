@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from ..functions.parse import split_tags
 from ..session import cut_lineage
 from .common import measured_broadcast
-from .windows import dense_index
 
 
 def merge_tags(arr: Column, mapping: dict[str, str]) -> Column:
@@ -123,14 +122,45 @@ def fit_scaler(df: DataFrame, cols, population: bool = True) -> dict[str, tuple[
 
 def split(df: DataFrame, key: str, test_frac: float = 0.2, seed: int = 42,
           col: str = "is_test") -> DataFrame:
-    """exact seeded split — rank rows by md5(seed ‖ key) with a distributed
-    index; the first ceil(test_frac·n) are the test set. Independent of
-    partitioning (unlike ``randomSplit``)."""
-    h = F.md5(F.concat(F.lit(str(seed)), F.col(key).cast("string")))
-    n = df.count()
-    n_test = -(-int(round(test_frac * n * 1e9)) // int(1e9))  # ceil without float noise
-    idx = dense_index(df.withColumn("_h", h), ["_h", key], index_col="_i")
-    return idx.withColumn(col, F.col("_i") < n_test).drop("_h", "_i")
+    """exact seeded split: of all rows in the order of md5(seed ‖ key) the first
+    ceil(test_frac·n) are the test set. Independent of partitioning (unlike
+    ``randomSplit``).
+
+    The last hash of the test set is found by counting hashes by their first 16
+    bits, then the next 16 bits of those in the range that holds it, until few
+    enough are left to be looked at; a comparison with it is all that the rows see,
+    they are neither sorted nor shuffled. Rows of equal key have equal hashes and
+    stay together, on the side of the first of them; NULL keys come first."""
+    h = F.coalesce(F.md5(F.concat(F.lit(str(seed)), F.col(key).cast("string"))), F.lit(""))
+    last = last_of_first(df.select(h.alias("h")), test_frac)
+    return df.withColumn(col, F.lit(False) if last is None else h <= F.lit(last))
+
+
+#: hashes that the driver looks at, at most
+FEW = 50_000
+
+
+def last_of_first(hashes: DataFrame, share: float) -> str | None:
+    """The ceil(share·n)-th smallest of n hexadecimal texts ``h``; None for none."""
+    prefix, left = "", None
+    while True:
+        step = len(prefix) + 4
+        got = sorted((r.p, r["n"]) for r in hashes.where(F.col("h").startswith(prefix)).groupBy(F.substring("h", 1, step).alias("p"))
+                     .agg(F.count(F.lit(1)).alias("n")).collect())  # at most 65,537 rows
+        if left is None:
+            n = sum(c for _, c in got)
+            left = -(-int(round(share * n * 1e9)) // int(1e9))  # ceil without float noise
+            if left <= 0:
+                return None
+        for p, c in got:
+            if left <= c:
+                break
+            left -= c
+        if len(p) < step or step >= 32:  # a whole hash
+            return p
+        if c <= FEW:
+            return sorted(r.h for r in hashes.where(F.col("h").startswith(p)).collect())[left - 1]
+        prefix = p
 
 
 #: distinct values that one range of ``exact_quantiles`` should hold

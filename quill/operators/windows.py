@@ -7,8 +7,11 @@ range-partitioned sort plus per-partition offsets (``dense_index``).
 """
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from ..session import cut_lineage
 from .common import input_bytes, measured_broadcast
@@ -112,18 +115,52 @@ def rank_by(df: DataFrame, order: list, n: int | None = None, col: str = "rank")
     return top.withColumn(col, F.row_number().over(Window.orderBy(*order)).cast("long"))
 
 
+def running_total(df: DataFrame, group_cols, order_col: str, value_col: str, out: str = "before",
+                  num_partitions: int | None = None) -> DataFrame:
+    """``df`` with the sum of ``value_col`` over the rows before each in ``order_col``
+    order, per group, without a window over a whole group: rows are sorted over
+    ranges, sums of the ranges are added up, and a window runs within each."""
+    g = _as_cols(group_cols)
+    size = input_bytes(df)
+    usual = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = num_partitions or (usual if size is None else max(1, -(-size // SORT_BYTES)))
+    cut = cut_lineage(df.repartitionByRange(n, *g, order_col).withColumn("_r", F.spark_partition_id()))
+    sums = cut.groupBy(*g, "_r").agg(F.sum(value_col).alias("_k"))
+    earlier = Window.partitionBy(*g).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(*g, "_r", F.coalesce(F.sum("_k").over(earlier), F.lit(0)).alias("_from"))
+    inner = Window.partitionBy(*g, "_r").orderBy(order_col).rowsBetween(Window.unboundedPreceding, -1)
+    return (cut.withColumn("_in", F.coalesce(F.sum(value_col).over(inner), F.lit(0))).join(measured_broadcast(sums), [*g, "_r"])
+            .withColumn(out, F.col("_from") + F.col("_in")).drop("_r", "_from", "_in"))
+
+
+#: positions of a block of ``acf``
+BLOCK = 1 << 16
+
+
+def lag_products(own: np.ndarray, before: np.ndarray, max_lag: int) -> np.ndarray:
+    """Σ own[t]·x[t−k] for k = 0..max_lag over a block and the ``max_lag`` values
+    before it: one correlation by the fast Fourier transform (overlap-save)."""
+    x = np.concatenate([before, own])
+    n = 1 << max(1, (len(x) + max_lag).bit_length())
+    y = np.zeros(n)
+    y[len(before):len(x)] = own
+    return np.fft.irfft(np.fft.rfft(y) * np.conj(np.fft.rfft(x, n)), n)[:max_lag + 1]
+
+
 def acf(df: DataFrame, group_cols, index_col: str, value_col: str, max_lag: int) -> DataFrame:
     """Autocorrelation per group for lags 0..max_lag.
 
     ``index_col`` is a consecutive integer position inside the group (an
     iteration number, or ``dense_index`` output). Each series is cut into
-    blocks of positions; only the ``max_lag`` rows before a block's end are
-    copied into the next one, and the lags are window offsets inside (group,
-    block) — no row is repeated per lag and no task holds a whole group.
+    blocks of positions; only the ``max_lag`` rows before a block are copied to
+    it, and all its lags come from one transform (``lag_products``), whose sums
+    are added up by group. The plan has the same size for any number of lags, and
+    no task holds a whole group. Positions that are not there count as no pair; a
+    series of equal values has autocorrelation NULL.
     acf_k = Σ_t (x_t − m)(x_{t+k} − m) / Σ_t (x_t − m)².
     """
     g = _as_cols(group_cols)
-    block = max(4096, 8 * max_lag)
+    block = max(BLOCK, 4 * max_lag)
     base = df.select(*g, F.col(index_col).cast("long").alias("_t"), F.col(value_col).cast("double").alias("_x"))
     stats = base.groupBy(*g).agg(F.avg("_x").alias("_m"))
     same = None
@@ -135,12 +172,29 @@ def acf(df: DataFrame, group_cols, index_col: str, value_col: str, max_lag: int)
         *g, "_t", (F.col("_x") - F.col("_m")).alias("_d"))
     own = F.floor(F.col("_t") / block).cast("long")
     after = F.floor((F.col("_t") + max_lag) / block).cast("long")  # the block that needs this row as a predecessor
-    cut = cen.select(*g, "_t", "_d", F.explode(F.array_distinct(F.array(own, after))).alias("_b"), own.alias("_own"))
-    w = Window.partitionBy(*g, "_b").orderBy("_t")
-    # position t pairs with position t - k where that row is there
-    lags = [F.when(F.lag("_t", k).over(w) == F.col("_t") - k, F.lag("_d", k).over(w) * F.col("_d")) if k else F.col("_d") * F.col("_d")
-            for k in range(max_lag + 1)]
-    sums = (cut.select(*g, "_b", "_own", *[e.alias(f"_p{k}") for k, e in enumerate(lags)])
-            .where(F.col("_b") == F.col("_own")).groupBy(*g).agg(*[F.sum(f"_p{k}").alias(f"_p{k}") for k in range(max_lag + 1)]))
-    return sums.select(*g, F.col("_p0").alias("_den"), F.posexplode(F.array(*[f"_p{k}" for k in range(max_lag + 1)])).alias("lag", "_num")) \
-        .where(F.col("_num").isNotNull()).select(*g, F.col("lag").cast("long").alias("lag"), (F.col("_num") / F.col("_den")).alias("acf"))
+    cut = cen.select(*g, "_t", "_d", F.explode(F.array_distinct(F.array(own, after))).alias("_b"))
+
+    def sums(key, rows):
+        first = key[-1].as_py() * block  # of this block
+        t = rows.column("_t").to_numpy() - first + max_lag
+        x, there = np.zeros(max_lag + block), np.zeros(max_lag + block)
+        d = rows.column("_d")
+        known = d.is_valid().to_numpy()
+        x[t[known]], there[t[known]] = d.to_numpy()[known], 1.0
+        last = int(t.max()) + 1
+        num = lag_products(x[max_lag:last], x[:max_lag], max_lag)
+        pairs = np.rint(lag_products(there[max_lag:last], there[:max_lag], max_lag))
+        lag = np.flatnonzero(pairs)
+        cols = [pa.array([k.as_py()] * len(lag), k.type) for k in key[:-1]]
+        return pa.table([*cols, pa.array(lag, pa.int64()), pa.array(num[lag])], names=[*names, "lag", "num"])
+
+    names = [f"_g{i}" for i in range(len(g))]
+    types = [cut.schema[cut.columns[i]].dataType for i in range(len(g))]
+    schema = StructType([*[StructField(n, t) for n, t in zip(names, types, strict=True)], StructField("lag", LongType()), StructField("num", DoubleType())])
+    total = cut.groupBy(*g, "_b").applyInArrow(sums, schema).groupBy(*names, "lag").agg(F.sum("num").alias("num"))
+    lag0 = total.where("lag = 0").select(*[F.col(n).alias(f"{n}_") for n in names], F.col("num").alias("den"))
+    same = F.lit(True)
+    for n in names:
+        same = same & F.col(n).eqNullSafe(F.col(f"{n}_"))
+    return total.join(lag0, same).select(*[F.col(n).alias(c) for n, c in zip(names, cut.columns, strict=False)], "lag",
+                                         F.when(F.col("den") > 0, F.col("num") / F.col("den")).alias("acf"))

@@ -3,7 +3,7 @@ from __future__ import annotations
 
 import csv
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -13,17 +13,23 @@ def read_report(spark: SparkSession, path: str, skip_rows: int = 6, max_rows: in
     """A1: an analytics export — ``skip_rows`` preamble lines, a header line,
     then all data rows, or the first ``max_rows`` of each file.
 
-    Lines are read as text with their position; a line's number within its
-    file comes from a distributed index. Every file must have the same header:
-    files that differ raise. Rows are parsed by the CSV reader, so quoting
-    follows the CSV rules (a report row holds no newline). File order is not
-    forced on the result: with ``positions`` the columns ``_file`` and ``_ln``
-    say where a row was.
+    Lines are read as text with their file, the first byte of their split and
+    their place in it; lines are counted per split, and running sums over a file's
+    splits number them. So the body is neither sorted nor shuffled: a table of one
+    row per split meets it. Every file must have the same header: files that differ
+    raise. Rows are parsed by the CSV reader, so quoting follows the CSV rules (a
+    report row holds no newline). File order is not forced on the result: with
+    ``positions`` the columns ``_file`` and ``_ln`` say where a row was.
     """
-    from ..operators.windows import dense_index
-    lines = spark.read.text(path).withColumn("_file", F.input_file_name()).withColumn(
-        "_pos", F.monotonically_increasing_id())
-    idx = dense_index(lines, ["_pos"], partition_cols=["_file"], index_col="_ln")
+    from ..operators.common import measured_broadcast
+    lines = spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_at"),
+        F.monotonically_increasing_id().alias("_pos"))
+    splits = lines.groupBy("_file", "_at").agg(F.count(F.lit(1)).alias("_n"), F.min("_pos").alias("_first"))
+    before = Window.partitionBy("_file").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.select("_file", "_at", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    idx = lines.join(measured_broadcast(splits), ["_file", "_at"]).select(
+        "value", "_file", (F.col("_before") + F.col("_pos") - F.col("_first")).alias("_ln"))
     headers = idx.where(F.col("_ln") == skip_rows).groupBy("value").agg(F.min("_file").alias("_file")).limit(2).collect()
     if not headers:
         raise ValueError(f"{path}: fewer than {skip_rows + 1} lines")
