@@ -6,10 +6,10 @@ import math
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from ..functions.mathx import chi2_sf
 from ..session import cut_lineage
@@ -20,42 +20,63 @@ def _chi2_p(stat: pd.Series, dof: pd.Series) -> pd.Series:
     return pd.Series(chi2_sf(stat.to_numpy(dtype=float), dof.to_numpy(dtype=float)))
 
 
+def level_codes(df: DataFrame, cols) -> tuple[DataFrame, int]:
+    """The columns as hashes of their values (``c0``, ``c1`` …, NULL kept), and the
+    bits of a code: 31 where no two levels of a column share one, else 62.
+
+    Nothing is collected or joined: codes are expressions, and that they tell all
+    levels of a column apart is checked on the distinct levels. 62 bits that do
+    not are tried with other seeds."""
+    cols = list(cols)
+    text = df.select(*[F.col(c).cast("string").alias(f"c{i}") for i, c in enumerate(cols)])
+    long = text.select(F.posexplode(F.array(*[f"c{i}" for i in range(len(cols))])).alias("i", "v")).where(F.col("v").isNotNull())
+    code = lambda v, bits, seed: F.shiftrightunsigned(F.xxhash64(v, F.lit(seed)), 64 - bits)
+    levels = cut_lineage(long.distinct())
+    for bits, seed in ((31, 0), (31, 1), (62, 2), (62, 3), (62, 4)):
+        same = levels.groupBy("i", code(F.col("v"), bits, seed)).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        if same.isEmpty():
+            return text.select(*[F.when(F.col(c).isNotNull(), code(F.col(c), bits, seed)).alias(c) for c in text.columns]), bits
+    raise ArithmeticError("levels that no seed tells apart")
+
+
 def pair_cells(df: DataFrame, cols) -> DataFrame:
-    """(pair, va, vb, n): counts of the value pairs of every pair of columns,
-    NULLs left out. Each task codes the columns of an Arrow batch once and
-    counts all pairs in numpy, so one scan and one exchange of counts serve any
-    number of pairs; ``pair`` numbers the pairs in column order."""
+    """(pair, va, vb, o): counts of the level pairs of every pair of columns,
+    NULLs left out, levels as codes. Each task numbers the codes of an Arrow batch
+    once and counts all pairs in numpy, so one scan and one exchange of counts
+    serve any number of pairs; ``pair`` numbers the pairs in column order. Codes
+    of 31 bits travel two in one number."""
     cols = list(cols)
     pairs = [(i, j) for i in range(len(cols)) for j in range(i + 1, len(cols))]
+    coded, bits = level_codes(df, cols)
+    packed = bits <= 31
 
     def run(batches):
         for b in batches:
-            coded = []
+            known = []
             for c in b.columns:
                 d = c.dictionary_encode()
-                coded.append((d.indices.fill_null(-1).to_numpy(), d.dictionary.to_pylist()))
-            out = ([], [], [], [])
+                known.append((d.indices.fill_null(-1).to_numpy(), d.dictionary.to_numpy(zero_copy_only=False).astype(np.int64)))
             for p, (i, j) in enumerate(pairs):
-                (a, la), (z, lz) = coded[i], coded[j]
+                (a, la), (z, lz) = known[i], known[j]
                 ok = (a >= 0) & (z >= 0)
-                code = a[ok].astype(np.int64) * len(lz) + z[ok]
+                cell = a[ok].astype(np.int64) * max(len(lz), 1) + z[ok]
                 if len(la) * len(lz) <= 1 << 16:
-                    n = np.bincount(code, minlength=len(la) * len(lz))
+                    n = np.bincount(cell, minlength=len(la) * len(lz))
                     at = np.flatnonzero(n)
                     n = n[at]
                 else:
-                    at, n = np.unique(code, return_counts=True)
-                out[0].append(np.full(len(at), p, np.int32))
-                out[1].extend(la[k] for k in at // max(len(lz), 1))
-                out[2].extend(lz[k] for k in at % max(len(lz), 1))
-                out[3].append(n.astype(np.int64))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(out[0])), pa.array(out[1], pa.string()), pa.array(out[2], pa.string()),
-                 pa.array(np.concatenate(out[3]))], names=["pair", "va", "vb", "n"])
+                    at, n = np.unique(cell, return_counts=True)
+                va, vb = la[at // max(len(lz), 1)], lz[at % max(len(lz), 1)]
+                keys = [pa.array(va << 32 | vb)] if packed else [pa.array(va), pa.array(vb)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), p, np.int32)), *keys, pa.array(n.astype(np.int64))],
+                                                 names=["pair", *names, "n"])
 
-    text = df.select(*[F.col(c).cast("string").alias(f"c{i}") for i, c in enumerate(cols)])
-    return text.mapInArrow(run, "pair int, va string, vb string, n long").groupBy("pair", "va", "vb").agg(
-        F.sum("n").cast("double").alias("o"))
+    names = ["cell"] if packed else ["va", "vb"]
+    schema = "pair int, " + "".join(f"{c} long, " for c in names) + "n long"
+    cells = coded.mapInArrow(run, schema).groupBy("pair", *names).agg(F.sum("n").cast("double").alias("o"))
+    if packed:
+        cells = cells.select("pair", F.shiftrightunsigned("cell", 32).alias("va"), F.col("cell").bitwiseAND((1 << 32) - 1).alias("vb"), "o")
+    return cells
 
 
 def chi_square_pairs(df: DataFrame, cols, yates: bool = True, with_p: bool = True,
@@ -123,16 +144,61 @@ def scott_bandwidth(df: DataFrame, col: str) -> float:
     return float(r["s"]) * float(r["n"]) ** (-0.2)
 
 
+#: terms of an expansion, and half-width of a box in bandwidths. The n-th term of a
+#: value is at most 0.25ⁿ/√n!, so what 16 leave out is below 1e-16 of the counts
+TERMS, BOX = 16, 0.25
+
+
+def _box_sums(vals: DataFrame, keys: list[str], num: int | Column, cutoff: float) -> DataFrame:
+    """(keys, i, s): Σ k·exp(−½((grid point i − x)/bw)²) over the rows (keys, x, k,
+    bw, start, step) by a fast Gauss transform.
+
+    Values go to boxes half a bandwidth wide (2·BOX); an aggregate makes the TERMS moments
+    of each box, and a box adds its Hermite series to the grid points within
+    ``cutoff`` bandwidths. So no more rows than boxes lie between the two
+    aggregates, whatever the number of distinct values."""
+    box = F.floor(F.col("x") / (2 * BOX * F.col("bw"))).cast("long")
+    u = (F.col("x") - (F.col("box") + 0.5) * (2 * BOX * F.col("bw"))) / (F.col("bw") * math.sqrt(2))
+    rows = vals.withColumn("box", box).select(*keys, "box", "bw", "start", "step", "k", u.alias("u"))
+    powers = [F.sum(F.col("k") * F.pow("u", F.lit(float(a))) / math.factorial(a)).alias(f"m{a}") for a in range(TERMS)]
+    boxes = rows.groupBy(*keys, "box", "bw", "start", "step").agg(*powers)
+    boxes = boxes.select(*keys, ((F.col("box") + 0.5) * (2 * BOX * F.col("bw"))).alias("c"), "bw", "start", "step",
+                         F.array(*[f"m{a}" for a in range(TERMS)]).alias("m"), F.lit(num).cast("int").alias("num"))
+    width = len(keys)
+
+    def spread(batches):
+        for b in batches:
+            c, bw, start, step = (b.column(n).to_numpy() for n in ("c", "bw", "start", "step"))
+            m, n = b.column("m").flatten().to_numpy().reshape(-1, TERMS), b.column("num").to_numpy()
+            lo = np.clip(np.ceil((c - cutoff * bw - start) / step), 0, n).astype(np.int64)
+            hi = np.clip(np.floor((c + cutoff * bw - start) / step), -1, n - 1).astype(np.int64)
+            count = np.maximum(hi - lo + 1, 0)
+            ends = np.cumsum(count)
+            for first in range(0, int(ends[-1]) if len(ends) else 0, 1 << 20):  # a million points at a time
+                flat = np.arange(first, min(int(ends[-1]), first + (1 << 20)))
+                row = np.searchsorted(ends, flat, "right")
+                i = lo[row] + flat - (ends[row] - count[row])
+                t = (start[row] + i * step[row] - c[row]) / (bw[row] * math.sqrt(2))
+                before, now = np.zeros_like(t), np.exp(-t * t)  # Hermite functions
+                total = m[row, 0] * now
+                for a in range(1, TERMS):
+                    before, now = now, 2 * t * now - 2 * (a - 1) * before
+                    total += m[row, a] * now
+                yield pa.RecordBatch.from_arrays([*[b.column(j).take(pa.array(row)) for j in range(width)], pa.array(i.astype(np.int32)), pa.array(total)],
+                                                 names=[*keys, "i", "s"])
+
+    schema = StructType([*[boxes.schema[j] for j in range(width)], StructField("i", IntegerType()), StructField("s", DoubleType())])
+    return boxes.mapInArrow(spread, schema).groupBy(*keys, "i").agg(F.greatest(F.sum("s"), F.lit(0.0)).alias("_s"))
+
+
 def kde(df: DataFrame, col: str, grid: list[float] | tuple[float, float, int], bw: float | None = None,
         cutoff: float = 9.0) -> DataFrame:
     """M3: Gaussian kernel density of ``col`` on a grid, bandwidth Scott's rule
     (sd·n^(-1/5)) unless given; a constant column has none and raises.
 
-    No data × grid cross product: values are first reduced to (x, count), then
-    each distinct x adds to the grid points within ``cutoff`` bandwidths
-    (outside it the kernel is below e^(-40), far under double rounding of the
-    sum), found by index arithmetic on the regular grid and summed per point.
-    ``grid`` = (start, stop, num) for a regular grid.
+    Values are reduced to (x, count), these to moments of boxes (``_box_sums``:
+    the kernel to 1e-15 of the counts, and left out beyond ``cutoff`` bandwidths,
+    where it is below e^(-40)). ``grid`` = (start, stop, num) for a regular grid.
     """
     start, stop, num = grid if isinstance(grid, tuple) else (grid[0], grid[-1], len(grid))
     step = (stop - start) / (num - 1) if num > 1 else 1.0
@@ -144,12 +210,9 @@ def kde(df: DataFrame, col: str, grid: list[float] | tuple[float, float, int], b
         bw = (stats["sd"] or 0.0) * n ** (-0.2) if n else 0.0
     if not bw > 0:
         raise ValueError(f"{col}: no bandwidth (constant, fewer than two values); give bw")
-    lo = F.greatest(F.ceil((F.col("x") - cutoff * bw - start) / step), F.lit(0))
-    hi = F.least(F.floor((F.col("x") + cutoff * bw - start) / step), F.lit(num - 1))
-    contrib = vals.where(hi >= lo).select("x", "k", F.explode(F.sequence(lo.cast("int"), hi.cast("int"))).alias("i"))
-    g = F.lit(start) + F.col("i") * step
-    z = (g - F.col("x")) / bw
-    dens = contrib.groupBy("i").agg(F.sum(F.col("k") * F.exp(-0.5 * z * z)).alias("_s"))
+    near = vals.where(F.col("x").between(start - (cutoff + 1) * bw, stop + (cutoff + 1) * bw))
+    dens = _box_sums(near.select("x", "k", F.lit(float(bw)).alias("bw"), F.lit(float(start)).alias("start"), F.lit(float(step)).alias("step")),
+                     [], num, cutoff)
     spark = df.sparkSession
     pts = spark.range(num).select(F.col("id").cast("int").alias("i"))
     out = pts.join(dens, "i", "left").select(
@@ -161,9 +224,9 @@ def kde(df: DataFrame, col: str, grid: list[float] | tuple[float, float, int], b
 def kde_by(df: DataFrame, group_cols, col: str, num: int = 512, cut: float = 3.0,
            cutoff: float = 9.0) -> DataFrame:
     """Gaussian KDE per group on a per-group grid (min − cut·bw … max + cut·bw,
-    ``num`` points, bandwidth sd·n^(-1/5)); same truncated-kernel scheme as
-    ``kde`` — no group × grid × rows product. A group of equal values has no
-    density: it is one point, with density NULL."""
+    ``num`` points, bandwidth sd·n^(-1/5)); the same transform as ``kde``, so
+    no group × grid × rows product. A group of equal values has no density: it is
+    one point, with density NULL."""
     g = list(group_cols)
     x = F.col(col).cast("double")
     vals = df.where(x.isNotNull()).groupBy(*g, x.alias("x")).agg(F.count(F.lit(1)).alias("k"))
@@ -173,13 +236,8 @@ def kde_by(df: DataFrame, group_cols, col: str, num: int = 512, cut: float = 3.0
     st = every.where("mn < mx").withColumn("bw", F.col("sd") * F.pow(F.col("n"), -0.2))
     st = st.withColumn("start", F.col("mn") - cut * F.col("bw")).withColumn(
         "step", (F.col("mx") - F.col("mn") + 2 * cut * F.col("bw")) / (num - 1))
-    v = vals.join(st.select(*g, "n", "bw", "start", "step"), g)
-    lo = F.greatest(F.ceil((F.col("x") - cutoff * F.col("bw") - F.col("start")) / F.col("step")), F.lit(0))
-    hi = F.least(F.floor((F.col("x") + cutoff * F.col("bw") - F.col("start")) / F.col("step")), F.lit(num - 1))
-    c = v.select(*g, "x", "k", "n", "bw", "start", "step",
-                 F.explode(F.sequence(lo.cast("int"), hi.cast("int"))).alias("i"))
-    z = (F.col("start") + F.col("i") * F.col("step") - F.col("x")) / F.col("bw")
-    dens = c.groupBy(*g, "i").agg(F.sum(F.col("k") * F.exp(-0.5 * z * z)).alias("_s"))
+    v = vals.join(st.select(*g, "bw", "start", "step"), g)
+    dens = _box_sums(v, g, num, cutoff)
     grid = st.select(*g, "n", "bw", "start", "step", F.explode(F.sequence(F.lit(0), F.lit(num - 1))).alias("i"))
     out = grid.join(dens, [*g, "i"], "left")
     return out.select(*g, (F.col("start") + F.col("i") * F.col("step")).alias("x"),

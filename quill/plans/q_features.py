@@ -199,29 +199,52 @@ WIDE = [(f"{c}_{k}", c, lo + (hi - lo) * k / 13, lo + (hi - lo) * (k + 3) / 13)
         for k in range(1, 10)]
 
 
-def _wide_sql():
-    cols = ", ".join(f"case when {c} < {lo!r} then 'a' when {c} < {hi!r} then 'b' else 'c' end as {n}" for n, c, lo, hi in WIDE)
-    names = [w[0] for w in WIDE]
-    pairs = " union all ".join(f"select {i} as i, {j} as j, {names[i]} as va, {names[j]} as vb, count(*)::double as o from x group by all"
-                               for i in range(len(names)) for j in range(i + 1, len(names)))
+def _pairs_sql(frame: str, names: list[str], digits: int) -> str:
+    """χ² of all pairs of the columns of a frame; two-by-two tables by Yates."""
+    pairs = " union all ".join(
+        f"select {i} as i, {j} as j, cast({names[i]} as varchar) as va, cast({names[j]} as varchar) as vb, count(*)::double as o from x "
+        f"where {names[i]} is not null and {names[j]} is not null group by all" for i in range(len(names)) for j in range(i + 1, len(names)))
     lst = "[" + ", ".join(f"'{n}'" for n in names) + "]"
-    return f"""with x as materialized (select {cols} from lineitem), o as materialized ({pairs}),
+    return f"""x as materialized ({frame}), o as materialized ({pairs}),
 r as (select i, j, va, sum(o) as r from o group by all), c as (select i, j, vb, sum(o) as c from o group by all),
 t as (select i, j, sum(r) as n, count(*) as nr from r group by all), tc as (select i, j, count(*) as nc from c group by all),
 s as (select i, j, sum(o * o / (r * c)) as s from o join r using (i, j, va) join c using (i, j, vb) group by all),
-z as (select i, j, n * (s - 1) as statistic, cast((nr - 1) * (nc - 1) as integer) as dof, nr, nc from s join t using (i, j) join tc using (i, j))
-select {lst}[i + 1] as var1, {lst}[j + 1] as var2, round(statistic, 4) as statistic, dof,
-  round({chi2_p('statistic', 'dof')}, 6) as p_value from z where dof > 1"""
+g as (select i, j, n, r.va, c.vb, r * c / n as e from t join tc using (i, j) join r using (i, j) join c using (i, j) where nr = 2 and nc = 2),
+y as (select i, j, sum(power(d - least(0.5, d), 2) / e) as yates from (select g.*, abs(coalesce(o, 0) - e) as d from g left join o using (i, j, va, vb)) group by all),
+z as (select {lst}[i + 1] as var1, {lst}[j + 1] as var2, coalesce(yates, n * (s - 1)) as raw, round(raw, {digits}) as statistic,
+  cast((nr - 1) * (nc - 1) as integer) as dof from s join t using (i, j) join tc using (i, j) left join y using (i, j))"""
 
 
-@query("chi_square_wide", "M1", _wide_sql())
+_WIDE_FRAME = "select " + ", ".join(f"case when {c} < {lo!r} then 'a' when {c} < {hi!r} then 'b' else 'c' end as {n}"
+                                    for n, c, lo, hi in WIDE) + " from lineitem"
+
+
+@query("chi_square_wide", "M1", f"""with {_pairs_sql(_WIDE_FRAME, [w[0] for w in WIDE], 4)}
+select var1, var2, statistic, dof, round({chi2_p('raw', 'dof')}, 6) as p_value from z""")
 def chi_square_wide(spark, sf):
-    """All 990 pairs of 45 columns from one scan (pairs of two-level columns,
-    which take Yates' correction, are left to chi_square_pvalues)."""
+    """All 990 pairs of 45 columns from one scan, two-level columns among them."""
     li = table(spark, sf, "lineitem")
     x = li.select(*[F.when(F.col(c) < lo, "a").when(F.col(c) < hi, "b").otherwise("c").alias(n) for n, c, lo, hi in WIDE])
     r = ST.chi_square_pairs(x, [w[0] for w in WIDE], symmetric=False)
-    return r.where("dof > 1").select("var1", "var2", F.round("statistic", 4).alias("statistic"), "dof", F.round("p_value", 6).alias("p_value"))
+    return r.select("var1", "var2", F.round("statistic", 4).alias("statistic"), "dof", F.round("p_value", 6).alias("p_value"))
+
+
+UNCUT = {"o_totalprice": "cast(o_totalprice as {t})", "o_custkey": "cast(o_custkey as {t})", "o_orderdate": "cast(cast(o_orderdate as date) as {t})",
+         "o_orderpriority": "o_orderpriority", "o_orderstatus": "o_orderstatus", "dear": "case when o_totalprice >= 150000 then 'Y' else 'N' end",
+         "late": "case when o_orderdate >= timestamp '1998-06-01 00:00:00' then 'Y' else 'N' end",
+         "odd": "case when o_custkey % 2 = 1 then 'Y' when o_custkey % 10 <> 0 then 'N' end"}
+
+
+def _uncut_frame(text: str) -> str:
+    return "select " + ", ".join(f"{e.format(t=text)} as {n}" for n, e in UNCUT.items()) + " from orders"
+
+
+@query("chi_square_uncut", "M1", f"with {_pairs_sql(_uncut_frame('varchar'), list(UNCUT), 3)} select var1, var2, statistic, dof from z")
+def chi_square_uncut(spark, sf):
+    """Prices, customers and dates as they are, thousands of levels each, beside
+    factors and two-level columns, NULLs among them."""
+    x = table(spark, sf, "orders").selectExpr(*[f"{e.format(t='string')} AS {n}" for n, e in UNCUT.items()])
+    return ST.chi_square_pairs(x, list(UNCUT), with_p=False, symmetric=False).withColumn("statistic", F.round("statistic", 3))
 
 
 @query("chi_square_long", "M2", f"""with m as ({_chi_sql()})
