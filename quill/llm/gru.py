@@ -135,10 +135,8 @@ class Net:
         return s, (a, gates)  # of every step: both gates and the new value; the products with the state
 
     @staticmethod
-    def _softmax(s, weight, bias, rows, pick):
-        """Exponentials, log probability of the picked columns, row sums."""
-        e = s @ weight
-        e += bias
+    def _exponentials(e, rows, pick):
+        """Of logits: exponentials, log probability of the picked columns, row sums."""
         p = e[rows, pick]
         with np.errstate(over="ignore"):
             top = np.exp(e)
@@ -154,7 +152,7 @@ class Net:
         gradient of their negative sum on ``s``, the weights' added to ``grad``."""
         v = self.v
         every = np.arange(len(s))
-        logits, logp, total = self._softmax(s, v["wc"], v["bc"], every, c)
+        logits, logp, total = self._exponentials(s @ v["wc"] + v["bc"], every, c)
         ds = None
         if grad is not None:
             logits /= total[:, None]
@@ -164,19 +162,28 @@ class Net:
             ds = logits @ v["wc"].T
         head = np.flatnonzero(w >= 0)
         order = head[np.argsort(c[head].astype(np.int16), kind="stable")]
-        edge = np.searchsorted(c[order], np.arange(self.shape.heads + 1))
-        for k in np.flatnonzero(np.diff(edge)):
-            rows = order[edge[k]:edge[k + 1]]
-            sk, wk = s[rows], w[rows]
-            i = every[:len(rows)]
-            q, p, total = self._softmax(sk, v["wh"][k], v["bh"][k], i, wk)
-            logp[rows] += p
-            if grad is not None:
-                q /= total[:, None]
-                q[i, wk] -= 1
-                grad["wh"][k] += sk.T @ q
-                grad["bh"][k] += q.sum(0)
-                ds[rows] += q @ v["wh"][k].T
+        if not len(order):
+            return logp, ds
+        # rows sorted by class: a product per class, all else over all rows at once
+        of, sk, wk = c[order], s[order], w[order]
+        edge = np.searchsorted(of, np.arange(self.shape.heads + 1))
+        spans = [(k, edge[k], edge[k + 1]) for k in np.flatnonzero(np.diff(edge)).tolist()]
+        e = np.empty((len(order), self.shape.words), F32)
+        for k, i, j in spans:
+            np.matmul(sk[i:j], v["wh"][k], out=e[i:j])
+        e += v["bh"].take(of, axis=0)
+        every = every[:len(order)]
+        e, p, total = self._exponentials(e, every, wk)
+        logp[order] += p
+        if grad is not None:
+            e /= total[:, None]
+            e[every, wk] -= 1
+            back = np.empty_like(sk)
+            for k, i, j in spans:
+                grad["wh"][k] += sk[i:j].T @ e[i:j]
+                np.matmul(e[i:j], v["wh"][k].T, out=back[i:j])
+            grad["bh"][[k for k, _, _ in spans]] += np.add.reduceat(e, [i for _, i, _ in spans], axis=0)
+            ds[order] += back
         return logp, ds
 
     def score(self, lane, token, live) -> tuple[np.ndarray, np.ndarray]:
@@ -236,13 +243,25 @@ class Net:
 class Adam:
     def __init__(self, size: int, rate: float):
         self.m, self.s, self.t, self.rate = np.zeros(size, F32), np.zeros(size, F32), 0, rate
+        self.work = np.empty(size, F32)
 
     def step(self, flat: np.ndarray, g: np.ndarray) -> None:
+        """One step; ``g`` is used up."""
         self.t += 1
-        self.m += F32(0.1) * (g - self.m)
-        self.s += F32(0.005) * (g * g - self.s)
         size = F32(self.rate * min(1.0, self.t / 20) / (1 - 0.9 ** self.t))
-        flat -= size * self.m / (np.sqrt(self.s * F32(1 / (1 - 0.995 ** self.t))) + F32(1e-6))
+        work = np.multiply(g, g, out=self.work)
+        work *= F32(0.005)
+        self.s *= F32(0.995)
+        self.s += work
+        g *= F32(0.1)
+        self.m *= F32(0.9)
+        self.m += g
+        np.multiply(self.s, F32(1 / (1 - 0.995 ** self.t)), out=work)
+        np.sqrt(work, out=work)
+        work += F32(1e-6)
+        np.divide(self.m, work, out=work)
+        work *= size
+        flat -= work
 
 
 def cut(documents, most: int):

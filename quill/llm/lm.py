@@ -212,30 +212,29 @@ def trained(docs: DataFrame, text_col: str, vocab, shape: Shape, flat: np.ndarra
         v, mine = vocab.value, start.value.copy()
         _, n = fit(mine, shape, (t for part in long_first(batches, 0) for t in v.texts(part.column(0))), Adam(len(mine), rate))
         if n:
-            yield blob(mine.astype(np.float64) * n, n)
+            yield blob(mine, n)
 
-    def blob(total, n):
-        return pa.RecordBatch.from_arrays([pa.array([total.astype(np.float64).tobytes()], pa.binary()), pa.array([n], pa.int64())],
-                                          names=["total", "n"])
+    def blob(mean, n):
+        return pa.RecordBatch.from_arrays([pa.array([mean.astype(np.float32).tobytes()], pa.binary()), pa.array([n], pa.int64())],
+                                          names=["mean", "n"])
 
     def add(batches):
         total, n = 0, 0
         for b in batches:
             for raw, k in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                total, n = total + np.frombuffer(raw), n + k
+                total, n = total + np.frombuffer(raw, np.float32) * float(k), n + k
         if n:
-            yield blob(total, n)
+            yield blob(total / n, n)
 
     rows = docs.select(F.col(text_col).alias("text"))
     tasks = rows.rdd.getNumPartitions()
-    sums = rows.mapInArrow(run, "total binary, n long")
-    while tasks > FAN:
+    means = rows.mapInArrow(run, "mean binary, n long")
+    while tasks > 1:  # the driver gets one vector
         tasks = -(-tasks // FAN)
-        sums = sums.repartition(tasks).mapInArrow(add, "total binary, n long")
-    got = sums.collect()  # at most FAN rows
-    start.unpersist()
-    n = sum(r.n for r in got)
-    return (sum(np.frombuffer(r.total) for r in got) / n).astype(np.float32) if n else flat
+        means = means.repartition(tasks).mapInArrow(add, "mean binary, n long")
+    got = means.first()
+    start.destroy()
+    return np.frombuffer(got["mean"], np.float32) if got else flat
 
 
 @dataclass
