@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..session import ship_package
 from . import ann, bpe, collocations, langid, licenses, lm, mixing, sharding, simhash, tokenfile, warc, whitening, winnow
-from .common import fold, table
+from .common import fold, scratch_path, table
 
 
 def op1_lm_scoring(spark, sf_dir):
@@ -17,7 +17,9 @@ def op1_lm_scoring(spark, sf_dir):
 
 
 def op2_sharding(spark, sf_dir):
-    s = sharding.external_shuffle(table(spark, sf_dir, "documents").select("doc_id", "text"), shards=24)
+    shuffled, path = sharding.external_shuffle(table(spark, sf_dir, "documents").select("doc_id", "text"), shards=24), scratch_path(spark, "shards")
+    sharding.write_shards(shuffled, path)
+    s = sharding.read_shards(spark, path, shuffled.schema)
     text = F.coalesce(F.col("record.text"), F.lit(""))
     return s.select(F.col("record.doc_id").alias("doc_id"),
                     (F.octet_length(text).cast("long") + sharding.ROW_BYTES).alias("size"),

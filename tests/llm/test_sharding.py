@@ -48,8 +48,18 @@ def test_odd_rows_and_files(spark, odd_docs, no_docs, tmp_path):
     assert sharding.external_shuffle(no_docs, 24).count() == 0
     named = sharding.external_shuffle(odd_docs.drop("shard"), 3)
     sharding.write_shards(named, str(tmp_path / "shards"))
-    back = spark.read.parquet(str(tmp_path / "shards"))
-    assert back.count() == odd_docs.count()
+    back = sharding.read_shards(spark, str(tmp_path / "shards"), named.schema)
+    key = lambda rows: sorted(map(repr, rows))
+    assert back.columns == named.columns and key(back.collect()) == key(named.collect())
+    wide = odd_docs.selectExpr("*", "map('a', 1.5D) AS m", "doc_id AS bucket", "text AS __d0", "1 AS __g0", "2 AS __copy")
+    got = sharding.external_shuffle(wide, 3)
+    assert Counter(str(r.record) for r in got.collect()) == Counter(str(r) for r in wide.collect())
+
+
+def test_a_record_larger_than_a_bucket(spark):
+    df = spark.createDataFrame([(i, "x" * (50_000 if i == 3 else 10)) for i in range(40)], "doc_id long, text string")
+    got = sharding.external_shuffle(df, 4, bucket_bytes=1000).collect()
+    assert sorted(r.record.doc_id for r in got) == list(range(40)) and Counter(r.shard for r in got) == {s: 10 for s in range(4)}
 
 
 @pytest.mark.parametrize("text", ["", "word " * 10])
