@@ -13,9 +13,10 @@ so phrases are counted, cut, scored and dropped without their text.
 3. Pointer pass: runs that pass the filter are counted by their whole fingerprint,
    with that of the run less its last word (for single words: XXH3 of the word)
    and a pointer to a document that holds it (32 bits of its hash). Tasks take
-   64 MB of text, so that most repetitions meet before the shuffle. Words of equal hash are compared byte by byte within a task. A fingerprint that
-   comes with two different second values is a collision: everything is then
-   counted anew with another base, so counts are exact.
+   64 MB of text, so that most repetitions meet before the shuffle. Words of equal
+   hash are compared byte by byte within a task. A fingerprint that comes with two
+   different second values is a collision: everything is then counted anew with
+   another base, so counts are exact.
 4. Phrases that can be among the first ones, ties included, are cut from the texts
    they point to, and their fingerprints worked out anew from what is found there;
    a document of equal hash that does not hold the phrase is passed over.
