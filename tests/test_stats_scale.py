@@ -47,6 +47,12 @@ def test_wider_codes_when_levels_collide(spark):
     assert ST.level_codes(df, ["b"])[1] == 31
 
 
+def test_degrees_of_freedom_beyond_an_int(spark):
+    df = spark.range(50_000).select(F.col("id").cast("string").alias("a"), (F.col("id") * 3).cast("string").alias("b"))
+    r = ST.chi_square_pairs(df, ["a", "b"], with_p=False, symmetric=False).first()
+    assert r.dof == 49_999 ** 2 > (1 << 31) and r.statistic == pytest.approx(50_000 * 49_999, rel=1e-9)
+
+
 @pytest.mark.parametrize("n", [3, 5000])
 def test_density_against_the_sum(spark, n):
     rng = np.random.default_rng(n)
