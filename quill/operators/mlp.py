@@ -80,11 +80,11 @@ def _forward(params, X):
     return a1, h, a2, _softplus(a2)
 
 
-def _loss_grad_out(out, y, loss):
-    """Per-row loss and d loss / d output."""
+def _loss_grad_out(out, y, loss, value=True):
+    """Per-row loss (None without ``value``) and d loss / d output."""
     if loss == "mse":
         e = out[:, 0] - y
-        return e * e, (2.0 * e)[:, None]
+        return e * e if value else None, (2.0 * e)[:, None]
     m_raw, v_raw = out[:, 0], out[:, 1]
     m = np.maximum(m_raw, 1e-10)
     vclamp = v_raw < m + 1e-10
@@ -93,26 +93,26 @@ def _loss_grad_out(out, y, loss):
     r = m * m / s
     lr = np.log(m / v)
     l1 = np.log1p(-m / v)
-    ll = lgamma_np(y + r) - lgamma_np(y + 1.0) - lgamma_np(r) + r * lr + y * l1
+    nll = -(lgamma_np(y + r) - lgamma_np(y + 1.0) - lgamma_np(r) + r * lr + y * l1) if value else None
     dr = digamma_np(y + r) - digamma_np(r) + lr
     dldm = dr * (m * (2 * v - m) / s ** 2) + r / m - y / s
     dldv = dr * (-m * m / s ** 2) - r / v + y * (1.0 / s - 1.0 / v)
     dldm = np.where(vclamp, dldm + dldv, dldm) * (m_raw > 1e-10)
     dldv = np.where(vclamp, 0.0, dldv)
-    return -ll, -np.stack([dldm, dldv], axis=1)
+    return nll, -np.stack([dldm, dldv], axis=1)
 
 
-def _grad_sums(params, X, y, loss):
+def _grad_sums(params, X, y, loss, value=True):
     W1, b1, W2, b2 = params
     a1, h, a2, out = _forward(params, X)
-    lval, g_out = _loss_grad_out(out, y, loss)
+    lval, g_out = _loss_grad_out(out, y, loss, value)
     g_a2 = g_out / (1.0 + np.exp(-a2))
     gW2 = h.T @ g_a2
     gb2 = g_a2.sum(0)
     g_h = (g_a2 @ W2.T) * (a1 > 0)
     gW1 = X.T @ g_h
     gb1 = g_h.sum(0)
-    return float(lval.sum()), np.concatenate([gW1.ravel(), gb1, gW2.ravel(), gb2])
+    return float(lval.sum()) if value else None, np.concatenate([gW1.ravel(), gb1, gW2.ravel(), gb2])
 
 
 def _init(d, hidden, out, seed):
@@ -219,8 +219,9 @@ def mlp_fit(df: DataFrame, y: str, features: list[str], loss: str = "mse", hidde
     return model
 
 
-#: bytes of rows that a group of ``mlp_fit_local`` should hold
-GROUP_BYTES = 32 << 20
+#: bytes of rows that a group of ``mlp_fit_local`` should hold, and rows: a group is
+#: one task's work, some 800 steps an epoch in batches of 20
+GROUP_BYTES, GROUP_ROWS = 32 << 20, 1 << 14
 #: weight vectors averaged by one task
 FAN = 32
 _ADAM = (0.9, 0.999, 1e-7)
@@ -236,7 +237,7 @@ def _train_rows(theta, moments, step, X, y, loss, shapes, batch, epochs, lr, rng
         order = rng.permutation(n) if size < n else np.arange(n)
         for i in range(0, n, size):
             rows = order[i:i + size]
-            _, g = _grad_sums(_unpacked(theta, shapes), X[rows], y[rows], loss)
+            _, g = _grad_sums(_unpacked(theta, shapes), X[rows], y[rows], loss, value=False)
             g /= len(rows)
             step += 1
             m, v = b1 * m + (1 - b1) * g, b2 * v + (1 - b2) * g * g
@@ -265,7 +266,7 @@ def mlp_fit_local(df: DataFrame, y: str, features: list[str], key: str, loss: st
     restored): local SGD.
 
     Rows are dealt to ``groups`` by the hash of ``key`` (its rows' number over the
-    rows that fit ``GROUP_BYTES``, unless given) and cached there in hash order,
+    rows that fit ``GROUP_BYTES``, ``GROUP_ROWS`` at most, unless given) and cached there in hash order,
     so a fit does not depend on partitions. In a round every task runs
     ``local_epochs`` epochs of mini-batches of ``batch`` rows (None: all of the
     group) on its own groups, from the same weights and Adam moments; these are
@@ -288,7 +289,7 @@ def mlp_fit_local(df: DataFrame, y: str, features: list[str], key: str, loss: st
     X = F.array(*[((F.col(c).cast("double") - stats[c][0]) / stats[c][1]) for c in features])
     d, out_dim = len(features), 2 if loss == "nb" else 1
     most = max(1, GROUP_BYTES // (8 * (d + 2)))  # rows held at once
-    G = groups or -(-n_tr // most)
+    G = groups or -(-n_tr // min(most, GROUP_ROWS))
     h = F.xxhash64(F.col(key), F.lit(seed))
     prep = (data.select(F.pmod(h, F.lit(G)).cast("int").alias("g"), h.alias("h"), "_val", X.alias("x"), F.col(y).cast("double").alias("y"))
             .repartitionById(G, F.col("g")).sortWithinPartitions("g", "h", "y", "x").persist())

@@ -87,3 +87,12 @@ def test_odd_rows(spark, rows):
     assert all(np.isfinite(m.vector()))
     with pytest.raises(ValueError, match="no rows"):
         N.mlp_fit_local(rows.where("id < 0"), "y", ["a", "b"], "id")
+
+
+def test_groups_are_bounded_by_rows(spark, monkeypatch):
+    """A group is one task's work, so a larger table makes more groups of the same size."""
+    monkeypatch.setattr(N, "GROUP_ROWS", 50)
+    rng = np.random.default_rng(3)
+    df = spark.createDataFrame([(i, float(a), float(2 + a)) for i, a in enumerate(rng.normal(size=200))], "k long, a double, y double")
+    fit = lambda g: N.mlp_fit_local(df, "y", ["a"], "k", hidden=2, epochs=2, local_epochs=1, batch=10, lr=0.05, groups=g).vector()
+    assert np.array_equal(fit(None), fit(4)) and not np.array_equal(fit(None), fit(1))  # 160 rows are trained on
