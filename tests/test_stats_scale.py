@@ -53,6 +53,34 @@ def test_degrees_of_freedom_beyond_an_int(spark):
     assert r.dof == 49_999 ** 2 > (1 << 31) and r.statistic == pytest.approx(50_000 * 49_999, rel=1e-9)
 
 
+def test_products_count_like_pairs(monkeypatch):
+    """Indicator products in narrow groups and few rows at a time, NULLs (−1) left out."""
+    monkeypatch.setattr(ST, "WIDTH", 4)
+    monkeypatch.setattr(ST, "INDICATORS", 40)
+    rng = np.random.default_rng(5)
+    sizes = [2, 3, 16, 1, 5]
+    known = [(rng.integers(-1, s, 777), rng.permutation(100)[:s].astype(np.int64)) for s in sizes]
+    got = {}
+    for i, j, va, vb, n in ST._joint_counts(known, [0, 1, 2, 4], 777):
+        for key, c in zip(zip(i.tolist(), j.tolist(), va.tolist(), vb.tolist(), strict=True), n.tolist(), strict=True):
+            assert key not in got
+            got[key] = c
+    want = {}
+    for i, j in ((0, 1), (0, 2), (0, 4), (1, 2), (1, 4), (2, 4)):
+        for x, y in zip(known[i][0], known[j][0], strict=True):
+            if x >= 0 and y >= 0:
+                key = (i, j, int(known[i][1][x]), int(known[j][1][y]))
+                want[key] = want.get(key, 0) + 1
+    assert got == want
+
+
+def test_codes_are_no_wide_projection(spark):
+    """45 columns go to Python as one array made by a lambda, in both scans."""
+    df = spark.range(10).select(*[F.when(F.col("id") < i, "a").otherwise("b").alias(f"x{i}") for i in range(45)])
+    coded, _ = ST._coded(df, df.columns)
+    assert coded.columns == ["a"] and "transform(array(" in coded._jdf.queryExecution().optimizedPlan().toString()
+
+
 @pytest.mark.parametrize("n", [3, 5000])
 def test_density_against_the_sum(spark, n):
     rng = np.random.default_rng(n)
