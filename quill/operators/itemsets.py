@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from ..session import stage_path
 
 BROADCAST_BYTES = 16 << 20
-#: rows whose bitmaps a task holds at once, and bytes of one AND of them
-ROWS, AND_BYTES = 1 << 20, 32 << 20
+#: rows whose bitmaps a task holds at once, and bytes of one AND of them: both stay in a core's cache
+ROWS, AND_BYTES = 1 << 17, 1 << 20
 #: frequent single items; with support s there are at most (items per row) / s
 MAX_ITEMS = 1 << 15
 
@@ -149,13 +149,29 @@ def _pass(coded: DataFrame, cand: np.ndarray, least: int) -> tuple[np.ndarray, n
     return got.column("i").to_numpy(), got.column("n").to_numpy()
 
 
+def _held(batches):
+    """Rows of each batch that hold an item, repeats within a row once: (item, n)."""
+    for b in batches:
+        lists = b.column("items")
+        d = lists.flatten().cast(pa.string()).dictionary_encode()
+        has, size = d.indices.is_valid().to_numpy(zero_copy_only=False), max(1, len(d.dictionary))
+        pairs = pc.list_parent_indices(lists).to_numpy()[has].astype(np.int64) * size + d.indices.drop_null().to_numpy()
+        if b.num_rows * size <= ROWS * 64:
+            seen = np.zeros(b.num_rows * size, np.uint8)
+            seen[pairs] = 1
+            n = seen.reshape(-1, size).sum(axis=0, dtype=np.int64)
+        else:
+            n = np.bincount(np.unique(pairs) % size, minlength=size)
+        n = n[:len(d.dictionary)]
+        yield pa.RecordBatch.from_arrays([d.dictionary, pa.array(n.astype(np.int64))], names=["item", "n"])
+
+
 def frequent_sets(tx: DataFrame, items_col: str = "items", min_support: float = 0.1, max_len: int = 10) -> Mined:
     """All item sets of up to ``max_len`` items held by ``min_support`` of the
     rows. Items repeated in a row and NULL items do not count; a row without
     items is a row. A row count of zero has no sets."""
     spark = tx.sparkSession
-    rows = tx.select(F.array_distinct(F.filter(F.coalesce(F.col(items_col), F.array().cast("array<string>")),
-                                               lambda x: x.isNotNull())).alias("items"))
+    rows = tx.select(F.col(items_col).cast("array<string>").alias("items"))
     path = stage_path(spark, "transactions")
     rows.write.parquet(f"{path}/items")
     rows = spark.read.schema(rows.schema).parquet(f"{path}/items")
@@ -163,7 +179,7 @@ def frequent_sets(tx: DataFrame, items_col: str = "items", min_support: float =
     if not n or max_len < 1:
         return Mined([], n)
     least = max(1, math.ceil(round(min_support * n, 6)))
-    ones = rows.select(F.explode("items").alias("item")).groupBy("item").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    ones = rows.mapInArrow(_held, "item string, n long").groupBy("item").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
     found = sorted((r.item, r.n) for r in ones.limit(MAX_ITEMS + 1).collect())
     if len(found) > MAX_ITEMS:
         raise ValueError(f"more than {MAX_ITEMS} frequent items")
@@ -183,7 +199,9 @@ def frequent_sets(tx: DataFrame, items_col: str = "items", min_support: float =
             bits = np.zeros((b.num_rows, width * 8), np.uint8)
             bits[pc.list_parent_indices(lists).to_numpy()[has], code.drop_null().to_numpy()] = 1
             packed = np.packbits(bits, axis=1, bitorder="little")
-            yield pa.RecordBatch.from_arrays([pa.array([p.tobytes() for p in packed], pa.binary())], names=["bits"])
+            ends = np.arange(b.num_rows + 1, dtype=np.int32) * width
+            yield pa.RecordBatch.from_arrays([pa.Array.from_buffers(pa.binary(), b.num_rows, [None, pa.py_buffer(ends), pa.py_buffer(packed)])],
+                                             names=["bits"])
 
     coded = rows.mapInArrow(encode, "bits binary").groupBy("bits").agg(F.count(F.lit(1)).alias("w"))
     coded.write.parquet(f"{path}/coded")
