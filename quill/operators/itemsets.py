@@ -149,21 +149,13 @@ def _pass(coded: DataFrame, cand: np.ndarray, least: int) -> tuple[np.ndarray, n
     return got.column("i").to_numpy(), got.column("n").to_numpy()
 
 
-def _held(batches):
-    """Rows of each batch that hold an item, repeats within a row once: (item, n)."""
+def _singles(batches):
+    """Rows that hold each item, of bitsets and their weights: (i, n)."""
     for b in batches:
-        lists = b.column("items")
-        d = lists.flatten().cast(pa.string()).dictionary_encode()
-        has, size = d.indices.is_valid().to_numpy(zero_copy_only=False), max(1, len(d.dictionary))
-        pairs = pc.list_parent_indices(lists).to_numpy()[has].astype(np.int64) * size + d.indices.drop_null().to_numpy()
-        if b.num_rows * size <= ROWS * 64:
-            seen = np.zeros(b.num_rows * size, np.uint8)
-            seen[pairs] = 1
-            n = seen.reshape(-1, size).sum(axis=0, dtype=np.int64)
-        else:
-            n = np.bincount(np.unique(pairs) % size, minlength=size)
-        n = n[:len(d.dictionary)]
-        yield pa.RecordBatch.from_arrays([d.dictionary, pa.array(n.astype(np.int64))], names=["item", "n"])
+        if b.num_rows:
+            bits = np.frombuffer(b"".join(b.column("bits").to_pylist()), np.uint8).reshape(b.num_rows, -1)
+            n = b.column("w").to_numpy() @ np.unpackbits(bits, axis=1, bitorder="little").astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(n))), pa.array(n)], names=["i", "n"])
 
 
 def frequent_sets(tx: DataFrame, items_col: str = "items", min_support: float = 0.1, max_len: int = 10) -> Mined:
@@ -179,14 +171,13 @@ def frequent_sets(tx: DataFrame, items_col: str = "items", min_support: float =
     if not n or max_len < 1:
         return Mined([], n)
     least = max(1, math.ceil(round(min_support * n, 6)))
-    ones = rows.mapInArrow(_held, "item string, n long").groupBy("item").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    ones = rows.select(F.explode("items").alias("item")).where(F.col("item").isNotNull()).groupBy("item").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
     found = sorted((r.item, r.n) for r in ones.limit(MAX_ITEMS + 1).collect())
     if len(found) > MAX_ITEMS:
         raise ValueError(f"more than {MAX_ITEMS} frequent items")
     out = Mined([x for x, _ in found], n)
     if not found:
         return out
-    out.levels.append(Level(np.arange(len(found), dtype=np.uint32)[:, None], np.array([c for _, c in found], np.int64), len(found), 1))
     width = -(-len(found) // 8)
     names = out.names
 
@@ -206,6 +197,11 @@ def frequent_sets(tx: DataFrame, items_col: str = "items", min_support: float =
     coded = rows.mapInArrow(encode, "bits binary").groupBy("bits").agg(F.count(F.lit(1)).alias("w"))
     coded.write.parquet(f"{path}/coded")
     coded = spark.read.schema(coded.schema).parquet(f"{path}/coded")
+    # items repeated in a row were counted each time: their rows are counted on the bitsets
+    ones = coded.mapInArrow(_singles, "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).where(F.col("n") >= least).toArrow().sort_by("i")
+    if not ones.num_rows:
+        return out
+    out.levels.append(Level(ones.column("i").to_numpy().astype(np.uint32)[:, None], ones.column("n").to_numpy().astype(np.int64), len(found), 1))
     while len(out.levels) < max_len and len(out.levels[-1].sets) > 1:
         cand = candidates(out.levels[-1].sets)
         if not len(cand):
