@@ -16,6 +16,8 @@ from dataclasses import dataclass
 import numpy as np
 
 F32 = np.float32
+ROWS = 512  # whose class logits are worked on at once
+PIECE = 1 << 14  # weights that a step changes at once
 
 
 @dataclass(frozen=True)
@@ -41,6 +43,8 @@ class Shape:
             n = int(np.prod(s))
             out[name] = flat[at:at + n].reshape(s)
             at += n
+        at = (self.inputs + self.hidden) * 3 * self.hidden  # class weights with their biases as a last row
+        out["wcb"] = flat[at:at + (self.hidden + 1) * self.classes].reshape(self.hidden + 1, self.classes)
         return out
 
     def initial(self, class_mass: np.ndarray, word_mass: np.ndarray, seed: int = 42) -> np.ndarray:
@@ -104,6 +108,8 @@ class Net:
     def __init__(self, shape: Shape, flat: np.ndarray, lanes: int):
         self.shape, self.flat, self.v = shape, flat, shape.views(flat)
         self.state = np.zeros((lanes, shape.hidden), F32)
+        self.kept: dict[str, np.ndarray] = {}
+        self.ones = np.ones(max(shape.classes, shape.words), F32)
 
     def forward(self, lane: np.ndarray, token: np.ndarray, live: np.ndarray, keep: bool):
         """States before each token; the lanes' states move on."""
@@ -134,49 +140,62 @@ class Net:
         self.state[lane] = now
         return s, (a, gates)  # of every step: both gates and the new value; the products with the state
 
-    @staticmethod
-    def _exponentials(e, rows, pick):
-        """Of logits: exponentials, log probability of the picked columns, row sums."""
+    def _exponentials(self, e, rows, pick, top):
+        """Of logits: exponentials (in ``top``), log probability of the picked
+        columns, row sums."""
         p = e[rows, pick]
         with np.errstate(over="ignore"):
-            top = np.exp(e)
-            total = top.sum(1)
+            np.exp(e, out=top)
+            total = top @ self.ones[:top.shape[1]]
         if not (np.isfinite(total) & (total > 0)).all():  # hardly ever: states and weights are small
             m = e.max(1, keepdims=True)
-            top, p = np.exp(e - m), p - m[:, 0]
+            np.exp(e - m, out=top)
+            p = p - m[:, 0]
             total = top.sum(1)
         return top, p - np.log(total), total
 
+    def _buffers(self, name: str, rows: int, columns: int) -> tuple[np.ndarray, np.ndarray]:
+        """Two arrays for logits and their exponentials, used again and again."""
+        if name not in self.kept or self.kept[name].shape[1] < rows:
+            self.kept[name] = np.empty((2, rows, columns), F32)
+        return self.kept[name][0, :rows], self.kept[name][1, :rows]
+
     def outputs(self, s: np.ndarray, c: np.ndarray, w: np.ndarray, grad: dict | None):
         """Natural log probabilities of class and word; with ``grad`` also the
-        gradient of their negative sum on ``s``, the weights' added to ``grad``."""
-        v = self.v
-        every = np.arange(len(s))
-        logits, logp, total = self._exponentials(s @ v["wc"] + v["bc"], every, c)
-        ds = None
-        if grad is not None:
-            logits /= total[:, None]
-            logits[every, c] -= 1
-            grad["wc"] += s.T @ logits
-            grad["bc"] += logits.sum(0)
-            ds = logits @ v["wc"].T
+        gradient of their negative sum on ``s``, the weights' added to ``grad``.
+        Classes go ``ROWS`` rows at a time, so that these stay in the cache."""
+        v, shape = self.v, self.shape
+        logp, ds = np.empty(len(s), F32), None if grad is None else np.empty_like(s)
+        every, back_c = np.arange(len(s)), None if grad is None else v["wc"].T.copy()
+        for i in range(0, len(s), ROWS):
+            part = slice(i, i + ROWS)
+            sp, cp, rows = np.ones((len(s[part]), shape.hidden + 1), F32), c[part], every[:len(s[part])]
+            sp[:, :-1] = s[part]
+            e, top = self._buffers("classes", len(sp), shape.classes)
+            np.matmul(sp, v["wcb"], out=e)
+            top, logp[part], total = self._exponentials(e, rows, cp, top)
+            if grad is not None:
+                top *= (1 / total)[:, None]
+                top[rows, cp] -= 1
+                grad["wcb"] += sp.T @ top
+                np.matmul(top, back_c, out=ds[part])
         head = np.flatnonzero(w >= 0)
         order = head[np.argsort(c[head].astype(np.int16), kind="stable")]
         if not len(order):
             return logp, ds
         # rows sorted by class: a product per class, all else over all rows at once
         of, sk, wk = c[order], s[order], w[order]
-        edge = np.searchsorted(of, np.arange(self.shape.heads + 1))
+        edge = np.searchsorted(of, np.arange(shape.heads + 1))
         spans = [(k, edge[k], edge[k + 1]) for k in np.flatnonzero(np.diff(edge)).tolist()]
-        e = np.empty((len(order), self.shape.words), F32)
+        e, top = self._buffers("words", len(order), shape.words)
         for k, i, j in spans:
             np.matmul(sk[i:j], v["wh"][k], out=e[i:j])
         e += v["bh"].take(of, axis=0)
         every = every[:len(order)]
-        e, p, total = self._exponentials(e, every, wk)
+        e, p, total = self._exponentials(e, every, wk, top)
         logp[order] += p
         if grad is not None:
-            e /= total[:, None]
+            e *= (1 / total)[:, None]
             e[every, wk] -= 1
             back = np.empty_like(sk)
             for k, i, j in spans:
@@ -243,23 +262,28 @@ class Net:
 class Adam:
     def __init__(self, size: int, rate: float):
         self.m, self.s, self.t, self.rate = np.zeros(size, F32), np.zeros(size, F32), 0, rate
-        self.work = np.empty(size, F32)
+        self.work = np.empty(min(size, PIECE), F32)
 
     def step(self, flat: np.ndarray, g: np.ndarray) -> None:
-        """One step; ``g`` is used up."""
+        """One step, a piece of the weights after the other; ``g`` is used up."""
         self.t += 1
         size = F32(self.rate * min(1.0, self.t / 20) / (1 - 0.9 ** self.t))
-        work = np.multiply(g, g, out=self.work)
+        for i in range(0, len(flat), PIECE):
+            at = slice(i, i + PIECE)
+            self._piece(flat[at], g[at], self.m[at], self.s[at], size)
+
+    def _piece(self, flat, g, m, s, size) -> None:
+        work = np.multiply(g, g, out=self.work[:len(g)])
         work *= F32(0.005)
-        self.s *= F32(0.995)
-        self.s += work
+        s *= F32(0.995)
+        s += work
         g *= F32(0.1)
-        self.m *= F32(0.9)
-        self.m += g
-        np.multiply(self.s, F32(1 / (1 - 0.995 ** self.t)), out=work)
+        m *= F32(0.9)
+        m += g
+        np.multiply(s, F32(1 / (1 - 0.995 ** self.t)), out=work)
         np.sqrt(work, out=work)
         work += F32(1e-6)
-        np.divide(self.m, work, out=work)
+        np.divide(m, work, out=work)
         work *= size
         flat -= work
 

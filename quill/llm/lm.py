@@ -49,6 +49,7 @@ ENDINGS = 512  # input ids of all other tokens, by their last three bytes
 HIDDEN = 16
 FAN = 32
 BLOCK = 1 << 20  # bytes of text worked on at once
+LOOKED_UP = 1 << 22  # bytes of text whose words are looked up among all known at once
 LANES = 256  # documents that take a step together
 COUNTED = 1 << 24  # bytes of text whose words are counted at once
 ROUNDS = ((0, 1), (1, 4), (4, 16))  # parts of 16
@@ -66,11 +67,11 @@ def split_words(column) -> tuple[pa.Array, np.ndarray]:
     return flat.filter(some), before[at[1:]] - before[at[:-1]]
 
 
-def long_first(batches, column: int):
+def long_first(batches, column: int, block: int | None = None):
     """Slices of each Arrow batch, the longest texts first: lanes end together."""
     for b in batches:
         size = pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy()
-        yield from slices(b.take(pa.array(np.argsort(-size, kind="stable"))), column, BLOCK)
+        yield from slices(b.take(pa.array(np.argsort(-size, kind="stable"))), column, block or BLOCK)
 
 
 # 1. counts ------------------------------------------------------------------
@@ -292,7 +293,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
         def documents():
             nonlocal sums, places
-            for part in long_first(batches, 2):
+            for part in long_first(batches, 2, LOOKED_UP):
                 tokens, ends, known, odd, unknown = v.read(part.column(2))
                 numbers, ids = part.column(0).to_pylist(), part.column(1).to_pylist()
                 starts, have = np.r_[0, ends[:-1] + 1], known >= 0

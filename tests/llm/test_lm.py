@@ -137,6 +137,23 @@ def test_gradient_against_differences(monkeypatch):
     assert abs(total(flat) - logp) < 1e-6
 
 
+def test_pieces_of_rows_and_weights_change_nothing(monkeypatch):
+    docs, shape, flat = small_documents(np.random.default_rng(4), [7, 13, 11, 9])
+    lane, token, live = next(gru.windows(docs, 2, 20))
+
+    def learned(rows, piece):
+        monkeypatch.setattr(gru, "ROWS", rows)
+        monkeypatch.setattr(gru, "PIECE", piece)
+        mine, adam = flat.copy(), gru.Adam(len(flat), 0.01)
+        for _ in range(3):
+            g, logp = gru.Net(shape, mine, 2).gradient(lane, token, live)
+            adam.step(mine, g)
+        return mine, logp
+    (one, a), (many, b) = learned(1 << 20, 1 << 20), learned(3, 5)
+    assert np.allclose(one, many, atol=1e-5) and abs(a - b) < 1e-3
+    assert not np.allclose(one, flat, atol=1e-3)
+
+
 @pytest.mark.parametrize(("count", "steps"), [(1, 3), (4, 7), (64, 16)])
 def test_lanes_do_not_change_scores(count, steps):
     rng = np.random.default_rng(2)
