@@ -35,6 +35,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -47,6 +48,7 @@ MAGIC = b"QPF1"
 TRAILER = struct.Struct("<QQQQ4s")
 RUN = pfor.SIZE << 9  # numbers packed at once
 REMEMBERED = 800_000  # cuts a worker keeps at most
+SLICE = 4 << 20  # bytes of text encoded at once
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 
 
@@ -121,34 +123,38 @@ class Encoder:
         self.edge[at + other] = [c.strip() != c or not c for c in text]
         return number
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids one after another, and the number of ids of each text."""
+    def encode(self, texts) -> tuple[np.ndarray, np.ndarray]:
+        """All ids one after another, and the number of ids of each text (list or
+        Arrow column, NULL: empty). Arrow splits the texts and finds the distinct
+        words; only these become Python objects and are looked up."""
         if len(self.number) > REMEMBERED:
             self.forget()
-        if not texts:
+        if not len(texts):
             return np.zeros(0, np.uint32), np.zeros(0, np.int64)
-        words = [t.split(" ") for t in texts]
-        count = np.fromiter(map(len, words), np.int64, len(words))
-        start = np.cumsum(count) - count
-        flat = list(itertools.chain.from_iterable(words))
-        number = self._numbers(flat)
-        edge = self.edge[number]
-        cut = np.ones(len(flat), bool)  # a cut begins here
+        lists = pc.split_pattern(pc.fill_null(pa.array(texts, pa.string()) if isinstance(texts, list) else texts, ""), " ")
+        at = lists.offsets.to_numpy()
+        start = at[:-1] - at[0]
+        words = lists.flatten().dictionary_encode()
+        distinct, place = words.dictionary.to_pylist(), words.indices.to_numpy()
+        known = self._numbers(distinct)
+        number, edge = known[place], self.edge[known][place]
+        cut = np.ones(len(place), bool)  # a cut begins here
         cut[1:] = ~(edge[1:] | edge[:-1])
         cut[start] = True
         begin = np.flatnonzero(cut)
-        length = np.diff(np.r_[begin, len(flat)])
+        length = np.diff(np.r_[begin, len(place)])
         number = number[begin]
-        opens = np.zeros(len(flat), bool)
+        opens = np.zeros(len(place), bool)
         opens[start] = True
         own = np.flatnonzero((length > 1) | opens[begin])
         if len(own):
-            joined = (" ".join(flat[a:a + n]) for a, n in zip(begin[own].tolist(), length[own].tolist(), strict=True))
+            joined = (" ".join([distinct[k] for k in place[a:a + n].tolist()])
+                      for a, n in zip(begin[own].tolist(), length[own].tolist(), strict=True))
             number[own] = self._numbers([(c,) if o else c for c, o in zip(joined, opens[begin[own]].tolist(), strict=True)])
         size = self.size[number].astype(np.int64)
         stop = np.cumsum(size)
         src = np.repeat(self.first[number] - (stop - size), size) + np.arange(int(stop[-1]))
-        last = np.searchsorted(begin, np.r_[start[1:], len(flat)]) - 1
+        last = np.searchsorted(begin, np.r_[start[1:], len(place)]) - 1
         return self.ids[src], np.diff(np.r_[0, stop[last]])
 
 
@@ -274,8 +280,8 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int | Non
         fs.create_dir(base, recursive=True)
         out, roll = None, 0
         for batch in batches:
-            for some in slices(batch, 1):
-                ids, count = enc.encode([t or "" for t in some.column(1).to_pylist()])
+            for some in slices(batch, 1, SLICE):
+                ids, count = enc.encode(some.column(1))
                 at = 0
                 for doc, n in zip(some.column(0).to_pylist(), count.tolist(), strict=True):
                     out = out or Writer(fs, base, f"tokens-{part:07d}-{roll:05d}.pfor", share)

@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -60,6 +61,18 @@ def test_encoder_equals_the_library(tok):
     assert enc.encode([])[0].tolist() == [] and enc.encode(["", ""])[1].tolist() == [0, 0]
 
 
+def test_words_are_looked_up_once_a_slice(tok):
+    enc, asked = tokenfile.Encoder(PATH), []
+    inner, enc._numbers = enc._numbers, lambda cuts: (asked.append(len(cuts)), inner(cuts))[1]
+    texts = pa.array([None, "one two two  one\ntwo", "two one " * 500, "\n two", ""]).slice(1)
+    ids, count = enc.encode(texts)
+    want = [plain(tok, t) for t in texts.to_pylist()]
+    assert count.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+    assert sum(asked) < 20  # of 1,009 words
+    got = enc.encode(pa.array(["two", None, "one"]))
+    assert got[1].tolist() == [len(plain(tok, "two")), 0, len(plain(tok, "one"))]
+
+
 def test_memory_is_bounded(tok, monkeypatch):
     monkeypatch.setattr(tokenfile, "REMEMBERED", 50)
     enc = tokenfile.Encoder(PATH)
