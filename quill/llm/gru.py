@@ -43,8 +43,6 @@ class Shape:
             n = int(np.prod(s))
             out[name] = flat[at:at + n].reshape(s)
             at += n
-        at = (self.inputs + self.hidden) * 3 * self.hidden  # class weights with their biases as a last row
-        out["wcb"] = flat[at:at + (self.hidden + 1) * self.classes].reshape(self.hidden + 1, self.classes)
         return out
 
     def initial(self, class_mass: np.ndarray, word_mass: np.ndarray, seed: int = 42) -> np.ndarray:
@@ -109,7 +107,6 @@ class Net:
         self.shape, self.flat, self.v = shape, flat, shape.views(flat)
         self.state = np.zeros((lanes, shape.hidden), F32)
         self.kept: dict[str, np.ndarray] = {}
-        self.ones = np.ones(max(shape.classes, shape.words), F32)
 
     def forward(self, lane: np.ndarray, token: np.ndarray, live: np.ndarray, keep: bool):
         """States before each token; the lanes' states move on."""
@@ -140,13 +137,14 @@ class Net:
         self.state[lane] = now
         return s, (a, gates)  # of every step: both gates and the new value; the products with the state
 
-    def _exponentials(self, e, rows, pick, top):
+    @staticmethod
+    def _exponentials(e, rows, pick, top):
         """Of logits: exponentials (in ``top``), log probability of the picked
         columns, row sums."""
         p = e[rows, pick]
         with np.errstate(over="ignore"):
             np.exp(e, out=top)
-            total = top @ self.ones[:top.shape[1]]
+            total = top.sum(1)
         if not (np.isfinite(total) & (total > 0)).all():  # hardly ever: states and weights are small
             m = e.max(1, keepdims=True)
             np.exp(e - m, out=top)
@@ -154,31 +152,33 @@ class Net:
             total = top.sum(1)
         return top, p - np.log(total), total
 
-    def _buffers(self, name: str, rows: int, columns: int) -> tuple[np.ndarray, np.ndarray]:
-        """Two arrays for logits and their exponentials, used again and again."""
-        if name not in self.kept or self.kept[name].shape[1] < rows:
-            self.kept[name] = np.empty((2, rows, columns), F32)
-        return self.kept[name][0, :rows], self.kept[name][1, :rows]
+    def _buffer(self, name: str, rows: int, columns: int) -> np.ndarray:
+        """An array that is used again and again."""
+        if name not in self.kept or len(self.kept[name]) < rows:
+            self.kept[name] = np.empty((rows, columns), F32)
+        return self.kept[name][:rows]
 
     def outputs(self, s: np.ndarray, c: np.ndarray, w: np.ndarray, grad: dict | None):
         """Natural log probabilities of class and word; with ``grad`` also the
         gradient of their negative sum on ``s``, the weights' added to ``grad``.
-        Classes go ``ROWS`` rows at a time, so that these stay in the cache."""
+        Class logits go ``ROWS`` rows at a time, so that they stay in the cache."""
         v, shape = self.v, self.shape
-        logp, ds = np.empty(len(s), F32), None if grad is None else np.empty_like(s)
-        every, back_c = np.arange(len(s)), None if grad is None else v["wc"].T.copy()
+        logp, ds, every = np.empty(len(s), F32), None, np.arange(len(s))
+        logits = self._buffer("logits", ROWS, shape.classes)
+        tops = self._buffer("classes", ROWS if grad is None else len(s), shape.classes)
         for i in range(0, len(s), ROWS):
-            part = slice(i, i + ROWS)
-            sp, cp, rows = np.ones((len(s[part]), shape.hidden + 1), F32), c[part], every[:len(s[part])]
-            sp[:, :-1] = s[part]
-            e, top = self._buffers("classes", len(sp), shape.classes)
-            np.matmul(sp, v["wcb"], out=e)
-            top, logp[part], total = self._exponentials(e, rows, cp, top)
+            part = slice(i, min(i + ROWS, len(s)))
+            n = part.stop - i
+            e = np.matmul(s[part], v["wc"], out=logits[:n])
+            e += v["bc"]
+            top, logp[part], total = self._exponentials(e, every[:n], c[part], tops[:n] if grad is None else tops[part])
             if grad is not None:
-                top *= (1 / total)[:, None]
-                top[rows, cp] -= 1
-                grad["wcb"] += sp.T @ top
-                np.matmul(top, back_c, out=ds[part])
+                top /= total[:, None]
+                top[every[:n], c[part]] -= 1
+        if grad is not None:
+            grad["wc"] += s.T @ tops
+            grad["bc"] += tops.sum(0)
+            ds = tops @ v["wc"].T
         head = np.flatnonzero(w >= 0)
         order = head[np.argsort(c[head].astype(np.int16), kind="stable")]
         if not len(order):
@@ -187,15 +187,15 @@ class Net:
         of, sk, wk = c[order], s[order], w[order]
         edge = np.searchsorted(of, np.arange(shape.heads + 1))
         spans = [(k, edge[k], edge[k + 1]) for k in np.flatnonzero(np.diff(edge)).tolist()]
-        e, top = self._buffers("words", len(order), shape.words)
+        e = self._buffer("words", len(order), shape.words)
         for k, i, j in spans:
             np.matmul(sk[i:j], v["wh"][k], out=e[i:j])
         e += v["bh"].take(of, axis=0)
         every = every[:len(order)]
-        e, p, total = self._exponentials(e, every, wk, top)
+        e, p, total = self._exponentials(e, every, wk, self._buffer("shares", len(order), shape.words))
         logp[order] += p
         if grad is not None:
-            e *= (1 / total)[:, None]
+            e /= total[:, None]
             e[every, wk] -= 1
             back = np.empty_like(sk)
             for k, i, j in spans:
