@@ -16,8 +16,8 @@ from dataclasses import dataclass
 import numpy as np
 
 F32 = np.float32
-ROWS = 512  # whose class logits are worked on at once
-PIECE = 1 << 14  # weights that a step changes at once
+ROWS = 512  # tokens whose class logits are worked on at once
+PIECE = 1 << 15  # weights that a step changes at once
 
 
 @dataclass(frozen=True)
@@ -30,8 +30,8 @@ class Shape:
 
     def parts(self) -> list[tuple[str, tuple[int, ...]]]:
         h = self.hidden
-        return [("wx", (self.inputs, 3 * h)), ("u", (h, 3 * h)), ("wc", (h, self.classes)), ("bc", (self.classes,)),
-                ("wh", (self.heads, h, self.words)), ("bh", (self.heads, self.words))]
+        return [("wx", (3 * h, self.inputs)), ("u", (h, 3 * h)), ("class", (self.classes, h + 1)),
+                ("word", (self.heads, h + 1, self.words))]
 
     @property
     def size(self) -> int:
@@ -43,7 +43,9 @@ class Shape:
             n = int(np.prod(s))
             out[name] = flat[at:at + n].reshape(s)
             at += n
-        return out
+        h = self.hidden  # the last ones are biases
+        return out | {"wx": out["wx"].T, "wc": out["class"][:, :h].T, "bc": out["class"][:, h],
+                      "wh": out["word"][:, :h], "bh": out["word"][:, h]}
 
     def initial(self, class_mass: np.ndarray, word_mass: np.ndarray, seed: int = 42) -> np.ndarray:
         """Small random weights; biases that make the untrained model the
@@ -97,192 +99,223 @@ def windows(documents, lanes: int, steps: int):
         out = np.zeros((len(parts), steps, 6), np.int32)
         for row, p in zip(out, parts, strict=True):
             row[:len(p)] = p
-        yield np.array(active), out.transpose(1, 0, 2), np.arange(steps)[:, None] < size
+        out = np.ascontiguousarray(out.transpose(2, 1, 0))  # each column of a token by itself
+        yield np.array(active), out.transpose(1, 2, 0), np.arange(steps)[:, None] < size
 
 
 class Net:
-    """The network over windows, with its lanes' states."""
+    """The network over windows, with its lanes' states. Arrays lie feature by
+    feature, [features, steps, lanes], so that every operation runs along lanes."""
 
     def __init__(self, shape: Shape, flat: np.ndarray, lanes: int):
         self.shape, self.flat, self.v = shape, flat, shape.views(flat)
-        self.state = np.zeros((lanes, shape.hidden), F32)
+        self.state = np.zeros((shape.hidden, lanes), F32)
         self.kept: dict[str, np.ndarray] = {}
 
     def forward(self, lane: np.ndarray, token: np.ndarray, live: np.ndarray, keep: bool):
-        """States before each token; the lanes' states move on."""
+        """States before each token, a row of ones below them; the lanes' states
+        move on."""
         h, v = self.shape.hidden, self.v
         steps, n = live.shape
-        # the gates' sigmoid as (1 + tanh(x / 2)) / 2
-        half = np.r_[np.full(2 * h, 0.5), np.ones(h)].astype(F32)
-        u, wx = v["u"] * half, v["wx"] * half
-        a = wx.take(token[:, :, X], axis=0, mode="clip")
-        fresh = (live & (token[:, :, FIRST] == 0)).astype(F32)[:, :, None]  # states that go on
-        s = np.empty((steps, n, h), F32)
-        gates = np.empty((steps, n, 3 * h), F32) if keep else None
-        now = self.state[lane]
-        for t in range(steps):
-            now = np.multiply(now, fresh[t], out=s[t])
-            g = np.matmul(now, u, out=gates[t]) if keep else now @ u
-            zr = a[t, :, :2 * h]
-            zr += g[:, :2 * h]
-            np.tanh(zr, out=zr)
-            zr += 1
-            zr *= F32(0.5)
-            z, r, gn, new = zr[:, :h], zr[:, h:], g[:, 2 * h:], a[t, :, 2 * h:]
-            new += r * gn
-            np.tanh(new, out=new)
-            now = now - new
-            now *= z
-            now += new
-        self.state[lane] = now
-        return s, (a, gates)  # of every step: both gates and the new value; the products with the state
+        a = self._buffer("gates", steps if keep else 1, 3 * h * n).reshape(-1, 3 * h, n)
+        gn = self._buffer("products", steps if keep else 1, h * n).reshape(-1, h, n)
+        s = self._buffer("states", h + 1, steps * n, True).reshape(h + 1, steps, n)
+        s[h] = 1
+        ids, fresh = token[:, :, X], (live & (token[:, :, FIRST] == 0)).astype(F32)  # fresh: states that go on
+        wx, ut = v["wx"].T, np.ascontiguousarray(v["u"].T)
+        np.negative(ut[:2 * h], out=ut[:2 * h])  # the gates' sigmoid as 1 / (1 + exp(-x))
+        g, now = np.empty((3 * h, n), F32), self.state.take(lane, axis=1)
+        with np.errstate(over="ignore"):
+            for t in range(steps):
+                at = a[t if keep else 0]
+                wx.take(ids[t], axis=1, mode="clip", out=at)
+                before = np.multiply(now, fresh[t], out=s[:h, t])
+                np.matmul(ut, before, out=g)
+                zr, new, product = at[:2 * h], at[2 * h:], gn[t if keep else 0]
+                np.subtract(g[:2 * h], zr, out=zr)
+                np.exp(zr, out=zr)
+                zr += 1
+                np.divide(1, zr, out=zr)
+                product[:] = g[2 * h:]
+                new += np.multiply(zr[h:], product, out=g[2 * h:])
+                np.tanh(new, out=new)
+                np.subtract(before, new, out=now)
+                now *= zr[:h]
+                now += new
+        self.state[:, lane] = now
+        return s, (a, gn, fresh)  # of every step: both gates and the new value; the new value's products with the state
 
     @staticmethod
-    def _exponentials(e, rows, pick, top):
-        """Of logits: exponentials (in ``top``), log probability of the picked
-        columns, row sums."""
-        p = e[rows, pick]
+    def _exponentials(logits, out, pick, axis):
+        """In ``out`` the exponentials of what ``logits`` writes there; the log
+        probability of the picked entries along the axis, and the sums."""
+        logits(out)
+        p, ones = out[pick], np.ones(out.shape[axis], F32)
         with np.errstate(over="ignore"):
-            np.exp(e, out=top)
-            total = top.sum(1)
-        if not (np.isfinite(total) & (total > 0)).all():  # hardly ever: states and weights are small
-            m = e.max(1, keepdims=True)
-            np.exp(e - m, out=top)
-            p = p - m[:, 0]
-            total = top.sum(1)
-        return top, p - np.log(total), total
-
-    def _buffer(self, name: str, rows: int, columns: int) -> np.ndarray:
-        """An array that is used again and again."""
-        if name not in self.kept or len(self.kept[name]) < rows:
-            self.kept[name] = np.empty((rows, columns), F32)
-        return self.kept[name][:rows]
+            np.exp(out, out=out)
+            total = out @ ones if axis else ones @ out
+        if not 0 < total.min() <= total.max() < np.inf:  # hardly ever: states and weights are small
+            logits(out)
+            out -= out.max(axis, keepdims=True)
+            p = out[pick]
+            np.exp(out, out=out)
+            total = out @ ones if axis else ones @ out
+        return p - np.log(total), total
+
+    def _buffer(self, name: str, rows: int, columns: int, apart: bool = False) -> np.ndarray:
+        """An array that is used again and again; with ``apart`` its rows do not
+        begin at the same places of the cache."""
+        wide = columns + 16 * apart
+        if name not in self.kept or self.kept[name].size < rows * wide:
+            self.kept[name] = np.empty(rows * wide, F32)
+        return self.kept[name][:rows * wide].reshape(rows, wide)[:, :columns]
 
     def outputs(self, s: np.ndarray, c: np.ndarray, w: np.ndarray, grad: dict | None):
-        """Natural log probabilities of class and word; with ``grad`` also the
-        gradient of their negative sum on ``s``, the weights' added to ``grad``.
-        Class logits go ``ROWS`` rows at a time, so that they stay in the cache."""
-        v, shape = self.v, self.shape
-        logp, ds, every = np.empty(len(s), F32), None, np.arange(len(s))
-        logits = self._buffer("logits", ROWS, shape.classes)
-        tops = self._buffer("classes", ROWS if grad is None else len(s), shape.classes)
-        for i in range(0, len(s), ROWS):
-            part = slice(i, min(i + ROWS, len(s)))
-            n = part.stop - i
-            e = np.matmul(s[part], v["wc"], out=logits[:n])
-            e += v["bc"]
-            top, logp[part], total = self._exponentials(e, every[:n], c[part], tops[:n] if grad is None else tops[part])
+        """Natural log probabilities of class and word, for states by columns with
+        a row of ones; with ``grad`` also the gradient of their negative mean on
+        the states, the weights' set in ``grad`` (zero before). Probabilities less the truth
+        stay undivided by their sums: the sums divide the short vectors that they
+        meet. ``ROWS`` tokens at a time stay in the cache."""
+        v, shape, h, n = self.v, self.shape, self.shape.hidden, s.shape[1]
+        logp, every, share = np.empty(n, F32), np.arange(max(ROWS, n)), F32(1 / max(1, n))
+        ds = self._buffer("of states", h, n, True) if grad is not None else None
+        wc = np.ascontiguousarray(v["wc"].T)
+        for i in range(0, n, ROWS):
+            part = slice(i, min(i + ROWS, n))
+            sk, ck = s[:, part], c[part]
+            e = self._buffer("classes", shape.classes, len(ck))
+            pick = ck, every[:len(ck)]
+            logp[part], total = self._exponentials(lambda out, sk=sk: np.matmul(v["class"], sk, out=out), e, pick, 0)
             if grad is not None:
-                top /= total[:, None]
-                top[every[:n], c[part]] -= 1
-        if grad is not None:
-            grad["wc"] += s.T @ tops
-            grad["bc"] += tops.sum(0)
-            ds = tops @ v["wc"].T
+                e[pick] -= total
+                of = share / total
+                grad["class"] += e @ (sk * of).T
+                np.multiply((e.T @ wc).T, of, out=ds[:, part])
         head = np.flatnonzero(w >= 0)
         order = head[np.argsort(c[head].astype(np.int16), kind="stable")]
         if not len(order):
             return logp, ds
-        # rows sorted by class: a product per class, all else over all rows at once
-        of, sk, wk = c[order], s[order], w[order]
-        edge = np.searchsorted(of, np.arange(shape.heads + 1))
-        spans = [(k, edge[k], edge[k + 1]) for k in np.flatnonzero(np.diff(edge)).tolist()]
-        e = self._buffer("words", len(order), shape.words)
-        for k, i, j in spans:
-            np.matmul(sk[i:j], v["wh"][k], out=e[i:j])
-        e += v["bh"].take(of, axis=0)
-        every = every[:len(order)]
-        e, p, total = self._exponentials(e, every, wk, self._buffer("shares", len(order), shape.words))
-        logp[order] += p
+        # tokens sorted by class: a product per class, all else over many classes at once
+        of, sk, wk = c[order], s.take(order, axis=1), w[order]
+        edge = np.searchsorted(of, np.arange(shape.heads + 1)).tolist()
+        back, k = None, 0
         if grad is not None:
-            e /= total[:, None]
-            e[every, wk] -= 1
-            back = np.empty_like(sk)
-            for k, i, j in spans:
-                grad["wh"][k] += sk[i:j].T @ e[i:j]
-                np.matmul(e[i:j], v["wh"][k].T, out=back[i:j])
-            grad["bh"][[k for k, _, _ in spans]] += np.add.reduceat(e, [i for _, i, _ in spans], axis=0)
-            ds[order] += back
+            back, word_t = np.empty((h, len(order) + 1), F32), np.ascontiguousarray(v["wh"].transpose(0, 2, 1))
+        while k < shape.heads:
+            a, first = edge[k], k
+            k += 1
+            while k < shape.heads and edge[k + 1] - a <= 2 * ROWS:
+                k += 1
+            z = edge[k]
+            if a == z:
+                continue
+            spans = [(i, edge[i] - a, edge[i + 1] - a) for i in range(first, k) if edge[i] < edge[i + 1]]
+            e, at = self._buffer("words", z - a, shape.words), sk[:, a:z]
+
+            def logits(out, spans=spans, at=at.T):
+                for i, x, y in spans:
+                    np.matmul(at[x:y], v["word"][i], out=out[x:y])
+            pick = every[:z - a], wk[a:z]
+            p, total = self._exponentials(logits, e, pick, 1)
+            logp[order[a:z]] += p
+            if grad is not None:
+                e[pick] -= total
+                scale = share / total
+                scaled, rows = at * scale, self._buffer("back", z - a, h)
+                for i, x, y in spans:
+                    np.matmul(scaled[:, x:y], e[x:y], out=grad["word"][i])
+                    np.matmul(e[x:y], word_t[i], out=rows[x:y])
+                np.multiply(rows.T, scale, out=back[:, a:z])
+        if grad is not None:
+            back[:, -1] = 0
+            place = np.full(n, len(order))
+            place[order] = every[:len(order)]
+            ds += back.take(place, axis=1, mode="clip")
         return logp, ds
 
     def score(self, lane, token, live) -> tuple[np.ndarray, np.ndarray]:
         """Of a window its live tokens, and their natural log probabilities."""
         s, _ = self.forward(lane, token, live, False)
-        full = live.all()
-        t = token.reshape(-1, 6) if full else token[live]
-        return t, self.outputs(s.reshape(-1, s.shape[2]) if full else s[live], t[:, C], t[:, W], None)[0]
+        s, t, _ = self._live(s, token, live)
+        return t.T, self.outputs(s, t[C], t[W], None)[0]
+
+    @staticmethod
+    def _live(s, token, live):
+        """States and tokens of a window by columns, live ones only, and where they
+        are (None: everywhere)."""
+        s, t = s.reshape(len(s), -1), token.transpose(2, 0, 1).reshape(6, -1)
+        if live.all():
+            return s, t, None
+        at = np.flatnonzero(live)
+        return s.take(at, axis=1), t.take(at, axis=1), at
 
     def gradient(self, lane, token, live) -> tuple[np.ndarray, float]:
-        """Mean gradient of a window and its summed log probability."""
+        """Mean gradient of a window (until the next call) and its summed log
+        probability."""
         shape, h, v = self.shape, self.shape.hidden, self.v
-        g = np.zeros(shape.size, F32)
+        g = self._buffer("gradient", 1, shape.size)[0]
         grad = shape.views(g)
-        s, (a, gates) = self.forward(lane, token, live, True)
-        full, (steps, n) = live.all(), live.shape
-        tokens = token.reshape(-1, 6) if full else token[live]
-        logp, ds = self.outputs(s.reshape(-1, h) if full else s[live], tokens[:, C], tokens[:, W], grad)
-        if full:
-            ds = ds.reshape(s.shape)
-        else:
-            ds_live, ds = ds, np.zeros_like(s)
-            ds[live] = ds_live
-        da, dg = np.empty((steps, n, 3 * h), F32), np.empty((steps, n, 3 * h), F32)
-        fresh, ut = (live & (token[:, :, FIRST] == 0)).astype(F32)[:, :, None], v["u"].T.copy()
-        back = np.zeros((n, h), F32)  # gradient on the state after the step
-        for t in range(steps - 1, -1, -1):
-            z, r, new, gn = a[t, :, :h], a[t, :, h:2 * h], a[t, :, 2 * h:], gates[t, :, 2 * h:]
-            bz = back * z
-            of_new = back - bz
-            of_new *= 1 - new * new
-            of_z = s[t] - new
+        g[:] = 0
+        s, (a, gates, fresh) = self.forward(lane, token, live, True)
+        steps, n = live.shape
+        of_live, t, at = self._live(s, token, live)
+        logp, ds = self.outputs(of_live, t[C], t[W], grad)
+        if at is not None:
+            ds_live, ds = ds, np.zeros((h, steps * n), F32)
+            ds[:, at] = ds_live
+        ds = ds.reshape(h, steps, n)
+        dg = self._buffer("of products", 3 * h, steps * n, True)
+        of_news = self._buffer("of new values", h, steps * n, True)
+        back, bz, x, u = np.zeros((h, n), F32), np.empty((h, n), F32), np.empty((h, n), F32), v["u"].copy()
+        for t in range(steps - 1, -1, -1):  # back: gradient on the state after the step
+            z, r, new, now = a[t, :h], a[t, h:2 * h], a[t, 2 * h:], slice(t * n, (t + 1) * n)
+            of_z, of_r, of_gn, of_new = dg[:h, now], dg[h:2 * h, now], dg[2 * h:, now], of_news[:, now]
+            np.multiply(back, z, out=bz)
+            back -= bz
+            np.multiply(new, new, out=x)
+            np.subtract(1, x, out=x)
+            np.multiply(back, x, out=of_new)
+            np.subtract(s[:h, t], new, out=of_z)
             of_z *= bz
-            of_z *= 1 - z
-            of_r = of_new * r
-            da[t, :, :h] = dg[t, :, :h] = of_z
-            da[t, :, 2 * h:], dg[t, :, 2 * h:] = of_new, of_r
-            of_r *= gn
-            of_r *= 1 - r
-            da[t, :, h:2 * h] = dg[t, :, h:2 * h] = of_r
-            back = dg[t] @ ut
+            of_z *= np.subtract(1, z, out=x)
+            np.multiply(of_new, r, out=of_gn)
+            np.multiply(of_gn, gates[t], out=of_r)
+            of_r *= np.subtract(1, r, out=x)
+            np.matmul(u, dg[:, now], out=back)
             back += bz
-            back += ds[t]
+            back += ds[:, t]
             back *= fresh[t]
-        grad["u"] += s.reshape(-1, h).T @ dg.reshape(-1, 3 * h)
-        ids, rows = token[:, :, X].ravel(), da.reshape(-1, 3 * h)
-        if shape.inputs < 1 << 15:
-            ids = ids.astype(np.int16)  # sorted by radix
-        order = np.argsort(ids, kind="stable")
-        ids = ids[order]
-        edge = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
-        grad["wx"][ids[edge]] += np.add.reduceat(rows[order], edge, axis=0)
-        g /= max(1, len(tokens))
+        grad["u"] += s[:h].reshape(h, -1) @ dg.T
+        ids, of_wx = token[:, :, X].ravel().astype(np.intp), grad["wx"].T
+        for k, row in enumerate((*dg[:2 * h], *of_news)):
+            of_wx[k] = np.bincount(ids, row, shape.inputs)
         return g, float(logp.sum())
 
 
 class Adam:
+    """Moments are kept as plain decaying sums, 10 and 200 times the usual means."""
+
     def __init__(self, size: int, rate: float):
         self.m, self.s, self.t, self.rate = np.zeros(size, F32), np.zeros(size, F32), 0, rate
         self.work = np.empty(min(size, PIECE), F32)
 
     def step(self, flat: np.ndarray, g: np.ndarray) -> None:
-        """One step, a piece of the weights after the other; ``g`` is used up."""
+        """One step, a piece of the weights after the other."""
         self.t += 1
-        size = F32(self.rate * min(1.0, self.t / 20) / (1 - 0.9 ** self.t))
+        root = (0.005 / (1 - 0.995 ** self.t)) ** 0.5
+        size = F32(self.rate * min(1.0, self.t / 20) / (1 - 0.9 ** self.t) * 0.1 / root)
         for i in range(0, len(flat), PIECE):
             at = slice(i, i + PIECE)
-            self._piece(flat[at], g[at], self.m[at], self.s[at], size)
+            self._piece(flat[at], g[at], self.m[at], self.s[at], size, F32(1e-6 / root))
 
-    def _piece(self, flat, g, m, s, size) -> None:
+    def _piece(self, flat, g, m, s, size, least) -> None:
         work = np.multiply(g, g, out=self.work[:len(g)])
-        work *= F32(0.005)
         s *= F32(0.995)
         s += work
-        g *= F32(0.1)
         m *= F32(0.9)
         m += g
-        np.multiply(s, F32(1 / (1 - 0.995 ** self.t)), out=work)
-        np.sqrt(work, out=work)
-        work += F32(1e-6)
+        np.sqrt(s, out=work)
+        work += least
         np.divide(m, work, out=work)
         work *= size
         flat -= work

@@ -50,7 +50,7 @@ HIDDEN = 16
 FAN = 32
 BLOCK = 1 << 20  # bytes of text worked on at once
 LOOKED_UP = 1 << 22  # bytes of text whose words are looked up among all known at once
-LANES = 256  # documents that take a step together
+LANES = 512  # documents that take a step together
 COUNTED = 1 << 24  # bytes of text whose words are counted at once
 ROUNDS = ((0, 1), (1, 4), (4, 16))  # parts of 16
 

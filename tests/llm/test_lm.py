@@ -154,6 +154,37 @@ def test_pieces_of_rows_and_weights_change_nothing(monkeypatch):
     assert not np.allclose(one, flat, atol=1e-3)
 
 
+def test_training_holds_no_logits_of_all_tokens(monkeypatch):
+    """Logits of at most ``ROWS`` tokens, and words' of twice as many, exist at a time."""
+    monkeypatch.setattr(gru, "ROWS", 8)
+    docs, shape, flat = small_documents(np.random.default_rng(5), [90, 70, 80, 60])
+    lane, token, live = next(gru.windows(docs, 4, 60))
+    net = gru.Net(shape, flat, 4)
+    g, _ = net.gradient(lane, token, live)
+    assert net.kept["classes"].size <= 8 * shape.classes
+    assert net.kept["words"].size <= max(16, max(np.bincount(token[live][:, gru.C]))) * shape.words
+    assert np.isfinite(g).all() and (g != 0).any()
+
+
+def test_large_logits_and_a_second_window(monkeypatch):
+    """Logits beyond the range of exponentials, ragged lanes and buffers used again
+    give what a new network gives in double precision."""
+    docs, shape, flat = small_documents(np.random.default_rng(6), [41, 7, 13, 30])
+    flat *= 40
+    shape.views(flat)["bc"][:] += 200
+    both = list(gru.windows(docs, 3, 9))
+    net, used = gru.Net(shape, flat, 3), []
+    for w in both:
+        t, logp = net.score(*w)
+        used.append((t.copy(), logp.copy()))
+    monkeypatch.setattr(gru, "F32", np.float64)
+    exact = gru.Net(shape, flat.astype(np.float64), 3)
+    for w, (t, logp) in zip(both, used, strict=True):
+        want_t, want = exact.score(*w)
+        assert (t == want_t).all() and np.isfinite(logp).all() and np.allclose(logp, want, rtol=1e-3, atol=1e-2)
+    assert len(both) > 2 and not all(w[2].all() for w in both)
+
+
 @pytest.mark.parametrize(("count", "steps"), [(1, 3), (4, 7), (64, 16)])
 def test_lanes_do_not_change_scores(count, steps):
     rng = np.random.default_rng(2)
