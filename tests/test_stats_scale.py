@@ -1,4 +1,6 @@
 """χ² over many levels (M1) and density by the fast Gauss transform."""
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -53,6 +55,31 @@ def test_degrees_of_freedom_beyond_an_int(spark):
     assert r.dof == 49_999 ** 2 > (1 << 31) and r.statistic == pytest.approx(50_000 * 49_999, rel=1e-9)
 
 
+@pytest.mark.parametrize("totals", [0, 60, 1 << 17])
+def test_totals_are_joined_by_their_number(spark, monkeypatch, totals):
+    """The optimizer takes the totals of thousands of levels to be small and would gather
+    them on the driver: they are broadcast up to TOTALS, and the others shuffled."""
+    ran, cut = [], ST.cut_lineage
+    monkeypatch.setattr(ST, "TOTALS", totals, raising=False)
+    monkeypatch.setattr(ST, "cut_lineage", lambda df: (ran.append(df), cut(df))[1])
+    rng = np.random.default_rng(1)
+    n = 4000
+    cols = {"many": [int(x) + 0.5 for x in rng.integers(0, 600, n)], "two": [None if i % 7 == 0 else "y" if i % 3 else "n" for i in range(n)],
+            "more": [int(x) for x in rng.integers(0, 900, n)], "flag": [bool(x) for x in rng.integers(0, 2, n)], "some": [int(x) for x in rng.integers(0, 5, n)]}
+    df = spark.createDataFrame(list(zip(*cols.values(), strict=True)), "many double, two string, more int, flag boolean, some int").repartition(3)
+    r = ST.chi_square_pairs(df, list(cols), symmetric=False, with_p=False)
+    got = {(x.var1, x.var2): x for x in r.collect()}
+    names = list(cols)
+    assert set(got) == {(a, b) for i, a in enumerate(names) for b in names[i + 1:]}
+    for (a, b), x in got.items():
+        stat, dof = brute_chi(cols[a], cols[b])
+        assert x.dof == dof and x.statistic == pytest.approx(stat, rel=1e-9, abs=1e-9)
+    text = "\n".join(x._jdf.queryExecution().executedPlan().toString() for x in [*ran, r])
+    joins = set(re.findall(r"(\w+Join) \[pair#\d+L?, v[ab]#\d+L?\], ", text))
+    # flag, two and some have 2 * 4 + 2 * 3 + 5 * 2 totals; more's 900 are beyond 60
+    assert joins == {0: {"SortMergeJoin"}, 60: {"SortMergeJoin", "BroadcastHashJoin"}, 1 << 17: {"BroadcastHashJoin"}}[totals]
+
+
 def test_products_count_like_pairs(monkeypatch):
     """Indicator products in narrow groups and few rows at a time, NULLs (−1) left out."""
     monkeypatch.setattr(ST, "WIDTH", 4)
